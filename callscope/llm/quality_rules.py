@@ -5,9 +5,9 @@ the raw multinomial; over the trusted ones (labelled good) the target
 multinomial. A document's score is the mean log ratio of the two over its
 n-grams, and it is kept from a fixed threshold on, unless the base rules fail.
 
-Both passes stay in the rows: bucket counts are aggregated map-side, and the
-ratios come back as one literal array of ``BUCKETS`` numbers, so no text is
-shuffled and no row expanded on the scoring pass.
+Texts are read once: their counts and bucket numbers (13 bits an n-gram) are
+staged. Bucket counts are aggregated map-side, and the ratios come back as one
+literal array of ``BUCKETS`` numbers, so no text is shuffled.
 
 Defined results: null and empty texts have no words and fail the base rules;
 without trusted documents all ratios are 0 and the base rules decide.
@@ -23,29 +23,22 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import BLANKS, join_ids, stage_table
 
-BUCKETS, THRESHOLD, SMOOTHING = 1 << 13, -0.1, 4.0
+BUCKETS, THRESHOLD, SMOOTHING = 1 << 13, -0.033, 4.0
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
+    """The words of a text, none of a blank one."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANKS))
 
 
-def bucket_expr(hashes: str) -> Column:
-    """Buckets of the words and of the word pairs."""
-    return F.expr(
-        f"concat(transform({hashes}, h -> cast(pmod(h, {BUCKETS}) as int)), "
-        f"transform({hashes}, (h, i) -> if(i = 0, -1, cast(pmod(xxhash64({hashes}[i - 1], h), {BUCKETS}) as int))))"
-    )
-
-
-def count_buckets(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, target) over every document."""
-    ids = stage_table(trusted.select("doc_id").distinct().withColumn("__trusted", F.lit(1)), "trusted")
-    rows = join_ids(docs.select("doc_id", "text"), ids, "doc_id", "left")
-    rows = rows.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
-    rows = rows.select("t", F.explode(bucket_expr("hs")).alias("bucket")).where("bucket >= 0")
+def count_buckets(features: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(bucket, raw, target) over the n-grams of every document."""
+    ids = stage_table(trusted.select("doc_id").distinct().withColumn("trusted", F.lit(1)), "trusted")
+    rows = join_ids(features.select("doc_id", "grams"), ids, "doc_id", "left")
+    rows = rows.select(F.coalesce("trusted", F.lit(0)).alias("t"), F.explode("grams").alias("bucket"))
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum(F.col("t").cast("long")).alias("target"))
 
 
@@ -77,33 +70,44 @@ def repeat_words() -> Column:
     return F.expr(f"if(size(array_distinct(windows)) = size(windows), 0, {covered})").cast("long")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of every row."""
-    trusted = labels.where("quality = 1 and doc_id is not null")
-    ratios = log_ratios(count_buckets(docs, trusted))
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # one literal of BUCKETS numbers
+def text_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, the base counts, base_failed, grams: the bucket of every word and word pair)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = (
-        docs.select(
-            "doc_id",
-            words_of(F.col("text")).alias("words"),
-            F.length(F.regexp_replace(text, BLANKS, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            lines.alias("lines"),
-        )
+    has_symbol = text.rlike(r"[#*$%&|<>]")
+    n_symbols = F.when(has_symbol, F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).otherwise(0)
+    n_dup_lines = F.size("lines") - F.size(F.array_distinct("lines"))
+    return (
+        docs.select("doc_id", words_of(F.col("text")).alias("words"), n_symbols.cast("long").alias("n_symbols"), lines.alias("lines"))
         .withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
         .withColumn("hs", F.transform("words", lambda w: F.xxhash64(w)))
-        .withColumn("windows", F.expr("if(n_words < 3, cast(array() as array<bigint>), transform(slice(hs, 1, cast(n_words as int) - 2), (x, i) -> xxhash64(x, hs[i + 1], hs[i + 2])))"))
+        .withColumn("pairs", F.expr("if(n_words < 2, cast(array() as array<bigint>), transform(slice(hs, 1, cast(n_words as int) - 1), (x, i) -> xxhash64(x, hs[i + 1])))"))
+        .withColumn("windows", F.expr("if(n_words < 3, cast(array() as array<bigint>), transform(slice(pairs, 1, cast(n_words as int) - 2), (x, i) -> x ^ shiftleft(hs[i + 2], 1)))"))
         .withColumn("bits", F.expr("cast(ceil(log2(n_words + 2)) as int)"))
         .withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
         .withColumn("s", F.expr("sort_array(transform(windows, (x, i) -> shiftleft(x, bits) | i))"))
         .withColumn("n_repeat_words", repeat_words())
-        .withColumn("ratios", table)
-        .withColumn("grams", F.filter(bucket_expr("hs"), lambda b: b >= 0))
-        .withColumn("score", F.expr("if(n_words = 0, 0D, aggregate(grams, 0D, (acc, b) -> acc + ratios[b]) / size(grams))"))
-        .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
+        .select(
+            "doc_id",
+            "n_words",
+            F.expr("aggregate(words, 0L, (a, w) -> a + char_length(w))").alias("word_chars"),
+            "n_symbols",
+            n_dup_lines.cast("long").alias("n_dup_lines"),
+            "n_repeat_words",
+            F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words").alias("base_failed"),
+            F.expr(f"transform(concat(hs, pairs), x -> cast(x & {BUCKETS - 1} as smallint))").alias("grams"),
+        )
+    )
+
+
+def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) of every row."""
+    features = stage_table(text_features(docs), "features")
+    ratios = log_ratios(count_buckets(features, labels.where("quality = 1 and doc_id is not null")))
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # one literal of BUCKETS numbers
+    total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(table, b.cast("int")))
+    return (
+        features.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        .drop("grams")
     )
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")

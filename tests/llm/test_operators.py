@@ -73,13 +73,9 @@ def test_quality_rules_score(spark):
 
     rows = [(1, "good words here good words"), (2, "bad bad junk"), (3, "good words")]
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    from pyspark.sql import functions as F
-
-    def h(*w):
-        v = [spark.range(1).select(F.xxhash64(F.lit(x))).first()[0] for x in w]
-        return (v[0] if len(v) == 1 else spark.range(1).select(F.xxhash64(F.lit(v[0]).cast("long"), F.lit(v[1]).cast("long"))).first()[0]) % quality_rules.BUCKETS
-
-    grams = {k: [h(x) for x in t.split()] + [h(*p) for p in zip(t.split(), t.split()[1:])] for k, t in rows}
+    frames = quality_rules.text_features(frame(spark, rows)).collect()
+    grams = {r.doc_id: list(r.grams) for r in frames}
+    assert [len(grams[k]) for k in (1, 2, 3)] == [9, 5, 3] and grams[3] == [grams[1][0], grams[1][1], grams[1][5]]
     raw, target = [b for g in grams.values() for b in g], grams[1]
     s, n = quality_rules.SMOOTHING, quality_rules.BUCKETS
 
