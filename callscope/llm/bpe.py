@@ -16,8 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
-from collections.abc import Iterable, Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 MAX_WORDS, MAX_PAIRS = 400_000, 400_000
 #: Characters of text whose words are put into one trie.
 BATCH_CHARS = 4_000_000
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -56,15 +60,20 @@ class Vocabulary:
             self.merge[self.ids[a], self.ids[b]] = r
             if whole not in self.rank:
                 self.rank[whole], self.parts[whole] = r, (self.ids[a], self.ids[b])
-        self.longest = max(map(len, self.ids))
+        #: Bytes of the longest token by its last three bytes; tokens without three are found anyway.
+        self.longest: dict[bytes, int] = {}
+        for b in self.ids:
+            if len(b) > 2:
+                self.longest[b[-3:]] = max(len(b), self.longest.get(b[-3:], 0))
 
 
 class TrieEncoder:
-    """Encodes batches of words; ``known`` maps a word to (ids as little-endian 32-bit integers, decoded bytes)."""
+    """Encodes batches of words; ``known`` maps a word to its ids as little-endian 32-bit integers, ``decoded`` to their bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def stands(self, a: int, b: int) -> bool:
@@ -88,49 +97,68 @@ class TrieEncoder:
                 before, b = rb + 1, parts[b][0]
 
     def encode(self, words: Iterable[str]) -> None:
-        """Adds the words to ``known``."""
+        """Adds the words to ``known`` and ``decoded``."""
         if len(self.known) > MAX_WORDS:
             self.known.clear()
+            self.decoded.clear()
         if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
-        ids, longest, pairs, known, token = self.v.ids, self.v.longest, self.pairs, self.known, self.v.bytes
+        ids, longest, pairs, known, decoded, token = self.v.ids, self.v.longest, self.pairs, self.known, self.decoded, self.v.bytes
         last: list[int] = [-1]  # by depth: the last token of the path's prefix
         before = b""
-        for word, text in sorted(((w.encode(), w) for w in words if w not in known)):
-            size = len(word)
-            shared = min(size, len(before))
-            if word[:shared] != before[:shared]:
-                shared = next(k for k in range(shared) if word[k] != before[k])
+        for word, text in sorted([(w.encode(), w) for w in words if w not in known]):
+            size, shared, most = len(word), 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, size + 1):
-                for start in range(max(0, end - longest), end):
+                start = end - longest.get(word[end - 3 : end], 2) if end > 2 else 0
+                start = max(start, 0)
+                while True:
                     t = ids.get(word[start:end])
-                    if t is None:
-                        continue
-                    if not start:
-                        break
-                    ok = pairs.get(pair := (last[start], t))
-                    if ok is None:
-                        ok = pairs[pair] = self.stands(*pair)
-                    if ok:
-                        break
-                else:
-                    raise ValueError(f"the vocabulary can't encode {word[:end]!r}")
+                    if t is not None:
+                        if not start:
+                            break
+                        ok = pairs.get(pair := (last[start], t))
+                        if ok is None:
+                            ok = pairs[pair] = self.stands(*pair)
+                        if ok:
+                            break
+                    start += 1
+                    if start == end:
+                        raise ValueError(f"the vocabulary can't encode {word[:end]!r}")
                 last.append(t)
             out, at = [], size
             while at:
-                out.append(last[at])
-                at -= len(token[last[at]])
+                t = last[at]
+                out.append(t)
+                at -= len(token[t])
             out.reverse()
-            known[text] = struct.pack(f"<{len(out)}I", *out), b"".join([token[t] for t in out])
+            known[text] = array("I", out).tobytes() if _NATIVE else struct.pack(f"<{len(out)}I", *out)
+            decoded[text] = b"".join([token[t] for t in out])
             before = word
 
 
+#: Letters from Latin-1 to the IPA extensions, and a character beyond them and plain ASCII.
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af"
+_NOT_PLAIN = re.compile(rf"[^\t-\r -~{_LETTERS}]").search
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the tokenizer's pattern; texts of Latin letters take an equal pattern of the faster library."""
+    full = regex.compile(pattern).findall
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTERS}0-9]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", "[0-9]")
+    if r"\p" in plain:
+        return full
+    fast = re.compile(plain).findall
+    return lambda text: full(text) if _NOT_PLAIN(text) else fast(text)
+
+
 def _coder(vocabulary, pattern: str, want_ids: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        encoder, find = TrieEncoder(v), regex.compile(pattern).findall
-        special = {s: (struct.pack("<I", k), v.bytes[k]) for s, k in v.special.items()}
+        encoder, find = TrieEncoder(v), splitter(pattern)
+        special = {s: struct.pack("<I", k) for s, k in v.special.items()}
         cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
         def pieces(text: str) -> list[str]:
@@ -153,10 +181,11 @@ def _coder(vocabulary, pattern: str, want_ids: bool):
                 nonlocal chars
                 encoder.encode({w for words in group for w in words} - special.keys())
                 encoder.known.update(special)
+                encoder.decoded.update((s, s.encode()) for s in special)
+                ids, decoded = encoder.known.__getitem__, encoder.decoded.__getitem__
                 for words in group:
-                    coded = [encoder.known[w] for w in words]
-                    data = b"".join([c[0] for c in coded])
-                    text = b"".join([c[1] for c in coded]).decode("utf-8", "replace")
+                    data = b"".join(map(ids, words))
+                    text = b"".join(map(decoded, words)).decode("utf-8", "replace")
                     rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), data if want_ids else None))
                 group.clear()
                 chars = 0

@@ -71,16 +71,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def gram_hashes(h: np.ndarray, n: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """64-bit hash of every run of ``n`` hashes; empty if there are fewer."""
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 4096)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of every run of ``n`` hashes, from prefix sums; empty if there are fewer."""
     m = len(h) - n + 1
-    if m <= 0:
+    if m <= 0 or n <= 0:
         return np.zeros(0, np.uint64)
-    mult, out = np.uint64(seed | 1), np.zeros(m, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            out = mix(out * mult + h[i : i + m])
-    return out
+    up, down = _powers(len(h))
+    sums = np.cumsum(h * up, dtype=np.uint64)
+    runs = sums[n - 1 :].copy()
+    runs[1:] -= sums[: m - 1]
+    return mix(runs * down[:m] + np.uint64(n))
 
 
 def bounded_sample(df: DataFrame, by: str, per_class: int, key: str) -> DataFrame:

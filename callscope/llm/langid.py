@@ -108,17 +108,17 @@ class Hierarchy:
 
 
 def _softmax_regression(x: np.ndarray, y: np.ndarray, n: int, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    w, b = np.zeros((x.shape[1], n)), np.zeros(n)
+    w, b = np.zeros((x.shape[1], n), np.float32), np.zeros(n, np.float32)
     share = np.bincount(y, minlength=n) / len(y)
-    weight = (1 / (n * share[y]))[:, None]
-    one = np.eye(n)[y]
+    weight = (1 / (n * share[y])).astype(np.float32)[:, None]
+    one = np.eye(n, dtype=np.float32)[y]
     mw = np.zeros_like(w)
     for _ in range(steps):
         z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         g = weight * (p - one) / len(y)
-        mw = 0.9 * mw + x.T @ g + 1e-5 * w
+        mw = np.float32(0.9) * mw + x.T @ g + np.float32(1e-5) * w
         w -= 1.0 * mw
         b -= 1.0 * g.sum(axis=0)
     return w, b
@@ -126,14 +126,15 @@ def _softmax_regression(x: np.ndarray, y: np.ndarray, n: int, steps: int = 150)
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
     """Squared hinge loss with a ridge, both classes weighted alike; y is +1 or -1."""
-    w, b, m = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1])
-    weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
+    w, b, m = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32)
+    weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)).astype(np.float32)
+    y = y.astype(np.float32)
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ w + b))
-        g = -2 * weight * y * slack / len(y)
-        m = 0.9 * m + x.T @ g + 1e-4 * w
-        w -= 0.1 * m
-        b -= 0.1 * g.sum()
+        slack = np.maximum(0, 1 - y * (x @ w + np.float32(b)))
+        g = np.float32(-2 / len(y)) * weight * y * slack
+        m = np.float32(0.9) * m + x.T @ g + np.float32(1e-4) * w
+        w -= np.float32(0.1) * m
+        b -= 0.1 * float(g.sum())
     return w, b
 
 

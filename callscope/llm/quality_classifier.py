@@ -16,6 +16,7 @@ good rows (0.5 without any); empty and null texts get that share too.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,9 +66,13 @@ def difference(data: bytes, pair: list) -> float:
     return total / (len(data) + 64)
 
 
+def _training(labels: DataFrame, label: str) -> DataFrame:
+    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 5, 0))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """A bounded sample (text, y) of labelled rows outside the held-out fold."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 5, 0))
+    rows = _training(labels, label)
     picked = bounded_sample(rows.select("doc_id", F.col(label).alias("y")), "y", PER_CLASS, "doc_id")
     picked = stage_table(picked.dropDuplicates(["doc_id"]), "picked")
     texts = docs.select("doc_id", utf8()).where(F.col("text").isNotNull() & (F.length("text") <= MAX_FIT_CHARS))
@@ -75,7 +80,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    blocks = [t[at : at + BLOCK_BYTES] for t in texts for at in range(0, len(t), BLOCK_BYTES)]
+    blocks = [t[at : at + BLOCK_BYTES] for t in texts for at in range(0, len(t), BLOCK_BYTES)] or [b" "]
     size = min(DICT_BYTES, sum(map(len, blocks)) // 4)
     try:
         return zstandard.train_dictionary(size, blocks).as_bytes()
@@ -90,18 +95,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
     base = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return CompressionModel(b"", b"", 0.0, 0.0, base)
+    prior = {r["quality"]: r["n"] for r in _training(labels, "quality").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = prior.get(1, 0) / max(1, sum(prior.values()))
+    # Lines that several texts share tell nothing of either kind and would fill the dictionaries.
+    shared = Counter(line for text, _ in rows for line in set(text.split(b"\n")))
     # Of each label every second row trains its dictionary, the others fit the curve.
     turn = {0: 0, 1: 0}
     train: dict[int, list[bytes]] = {0: [], 1: []}
     curve: list[tuple[bytes, int]] = []
     for text, label in rows:
         turn[label] += 1
-        (train[label].append(text) if turn[label] % 2 else curve.append((text, label)))
+        (train[label].append(b"\n".join(x for x in text.split(b"\n") if shared[x] < 3)) if turn[label] % 2 else curve.append((text, label)))
     curve = curve or rows
     model = CompressionModel(_dictionary(train[1]), _dictionary(train[0]), 1.0, 0.0, base)
     pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
     x = np.array([difference(t, pair) for t, _ in curve])
     model.slope, model.offset = logistic(x, np.array([k for _, k in curve], float))
+    model.offset += float(np.log((base + 1e-3) / (1 - base + 1e-3)))  # from equal shares to the labels' own
     return model
 
 

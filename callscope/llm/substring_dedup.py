@@ -34,6 +34,8 @@ from callscope.llm.common import gram_hashes, join_ids, stage_table, utf8, word_
 
 #: Words of the grams whose least hash in a window is its fingerprint.
 GRAM = 6
+#: Low bits that hold a gram's place while the least of a window is sought.
+PLACE_BITS = 24
 _SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -45,14 +47,22 @@ def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
     n = len(hashes) - window + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 3
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    place = view.argmin(axis=1) + np.arange(n)  # the leftmost least gram
+    # The place of the leftmost least gram of every window: places break ties in the low bits.
+    if len(grams) >> PLACE_BITS:
+        place = np.lib.stride_tricks.sliding_window_view(grams >> np.uint64(PLACE_BITS), width).argmin(axis=1) + np.arange(n)
+    else:
+        low, span = (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(grams), dtype=np.uint64), 1
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        low = np.minimum(low[:n], low[width - span : width - span + n])
+        place = (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     return grams[place[first]], first, np.diff(first, append=n)
 
 
 def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
-    return gram_hashes(hashes, window, seed=0xD6E8FEB86659FD93)
+    return gram_hashes(hashes, window)
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

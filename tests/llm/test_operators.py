@@ -153,7 +153,7 @@ def test_bpe_every_token(spark):
     words = {w for x in texts for w in bpe.regex.findall(public_tokenizers.PATTERN, x)}
     enc.encode(words)
     for w in sorted(words):
-        assert list(struct.unpack(f"<{len(enc.known[w][0]) // 4}I", enc.known[w][0])) == t.encode(w, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(enc.known[w]) // 4}I", enc.known[w])) == t.encode(w, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("batches", [1, 2, 7])
