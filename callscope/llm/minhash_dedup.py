@@ -3,11 +3,11 @@
 A document's set holds the distinct hashes of its word shingles. Equal sets
 collapse to one class first, however many copies there are. A class keeps the
 minima of many universal hashes; bands of them key buckets. In a bucket every
-member is compared with one hub instead of with every other member: the
+member is compared with two hubs instead of with every other member: the
 signatures first, then the full sets. The verified links make components by
-alternating large-star and small-star. Buckets whose members are still in
-several components are linked again to other hubs, and what then remains is
-compared exactly, across components only; so no link that a bucket shows is lost.
+alternating large-star and small-star. In buckets whose members are then still
+in several components, what is left is compared across components only; so no
+link that a bucket shows is lost.
 
 Defined results: a null or empty text has an empty set and is linked with
 nothing; a null doc_id is kept and has a null component; rows that share a
@@ -20,18 +20,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import at_most, gram_hashes, join_ids, stage_table, utf8, word_hashes
+from callscope.llm.common import gram_hashes, join_ids, stage_table, utf8, word_hashes
 
 #: Bands of hashes: at similarity 0.8 a pair shares no bucket with probability 4e-7.
 BANDS, ROWS = 28, 4
 #: Signatures that agree in less than the threshold less this share are not compared in full (over six deviations).
 SLACK = 0.25
-#: Rounds of hubs before the exact comparison of what is left.
-HUB_ROUNDS = 3
+
+#: Documents of either side of a block of the exact comparison.
+QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 
 _RNG = np.random.RandomState(20240229)
 _A = _RNG.randint(0, 2**63 - 1, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,28 +87,28 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the node's least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, or only edges from above."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("all")).where("down > 1 or (down = 1 and all > 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge (u, v); the component is its least node."""
     edges = small_star(edges.select("u", "v").where("u != v")).checkpoint()
-    state = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.expr("pmod(xxhash64(u, v), 1000000007)"))).first()
-        if now == state:
-            break
-        state = now
+    while not _are_stars(edges):
         edges = small_star(large_star(edges)).checkpoint()
-    # Stars now: each node points at the least of its component.
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
@@ -122,35 +124,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) ->
     )
     bands = [F.xxhash64(F.lit(b), *[F.get("sig", F.lit(ROWS * b + r)) for r in range(ROWS)]) for b in range(BANDS)]
     members = classes.select("rep", "n", F.explode(F.array(*bands)).alias("bucket"))
-    counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    shared = stage_table(members.join(counted, "bucket"), "buckets")  # single members, nearly all, are gone
-
-    tested = links = None
-    comps = None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == 0:
-            pairs = shared.where("rep != hub").select(F.col("hub").alias("u"), F.col("rep").alias("v"))
-        else:
-            placed = _with_component(shared.where("size > 2"), comps)
-            split = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("bucket")
-            open_ = stage_table(placed.join(split, "bucket", "left_semi"), f"open{turn}")
-            if at_most(open_, 0):
-                break
-            if turn < HUB_ROUNDS:
-                hubs = open_.groupBy("bucket").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", "bucket", F.lit(turn))).alias("h"))
-                pairs = open_.join(hubs, "bucket").where(F.col("comp") != F.col("h.comp")).select(F.col("h.rep").alias("u"), F.col("rep").alias("v"))
-            else:
-                other = open_.select("bucket", F.col("rep").alias("v"), F.col("comp").alias("other"))
-                pairs = open_.join(other, "bucket").where("comp < other").select(F.col("rep").alias("u"), "v")
-            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stage_table(pairs, f"pairs{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stage_table(_verified(pairs, classes, rows, kind, k, threshold_percent), f"links{turn}")
-        links = found if links is None else links.unionByName(found)
-        comps = stage_table(components(links), f"components{turn}")
+    hubs = [F.min("rep"), F.min_by("rep", F.xxhash64("rep", "bucket"))]  # the second differs from bucket to bucket
+    counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.array(*hubs).alias("hubs")).where("size > 1")
+    shared = stage_table(members.join(counted, "bucket").select("bucket", "size", "rep", "n", "hubs"), "buckets")  # buckets of one are gone
+
+    pairs = _ordered(shared.select("rep", F.explode("hubs").alias("other")))
+    links = stage_table(_verified(pairs, classes, rows, kind, k, threshold_percent), "links")
+    comps = stage_table(components(links), "components")
+
+    # Buckets whose members are still apart: what is left is compared across components.
+    placed = _with_component(shared.where("size > 2"), comps)
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("bucket", "least")
+    apart = stage_table(placed.join(split, "bucket").select("rep", "comp", "least").distinct(), "apart")
+    if not apart.isEmpty():
+        more = stage_table(_across(apart, rows, kind, k, threshold_percent), "more_links")
+        if not more.isEmpty():
+            stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comps = stage_table(components(stars.unionByName(more)), "components2")
 
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("class_component")
@@ -161,9 +151,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) ->
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where("rep != other")
+    return pairs.select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
+
+
 def _with_component(members: DataFrame, comps: DataFrame) -> DataFrame:
     named = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return named.select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    return named.select("bucket", "rep", "n", "hubs", F.coalesce("component", "rep").alias("comp"))
+
+
+def _across(apart: DataFrame, rows: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components that share an open bucket.
+
+    Components joined by such buckets are a family. Its members outside its
+    largest component are compared with all of it in blocks: a task holds at most
+    one block of either side, and only links leave it.
+    """
+    families = components(apart.select(F.col("comp").alias("u"), F.col("least").alias("v")).distinct())
+    members = apart.select("rep", "comp").distinct().join(families.select(F.col("node").alias("comp"), F.col("component").alias("family")), "comp")
+    members = stage_table(members, "family_members")
+    sizes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size"))
+    plan = sizes.groupBy("family").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
+    plan = plan.select("family", "main", F.ceil((F.col("all") - F.col("largest")) / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / MEMBER_BLOCK).cast("int").alias("nm"))
+    dealt = members.join(plan, "family").withColumn("h", F.xxhash64("rep"))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod("h", n.cast("long")).cast("int")
+    asked = dealt.where("comp != main").select("family", "rep", "comp", own(F.col("nq")).alias("q"), blocks(F.col("nm")).alias("m"), F.lit(True).alias("asks"))
+    all_ = dealt.select("family", "rep", "comp", blocks(F.col("nq")).alias("q"), own(F.col("nm")).alias("m"), F.lit(False).alias("asks"))
+    sets = join_ids(rows, members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_setter(k), f"doc_id {kind}, hashes array<long>")
+    sets = stage_table(sets, "family_sets")
+    given = asked.unionByName(all_).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group.asks], group[~group.asks]
+        found: list[tuple] = []
+        if len(left) and len(right):
+            flat, place = np.unique(np.concatenate(right.hashes.to_list()), return_inverse=True)
+            sizes_ = np.array([len(x) for x in right.hashes])
+            starts = np.concatenate([[0], np.cumsum(sizes_)[:-1]])
+            reps, comps_ = right.rep.to_numpy(), right.comp.to_numpy()
+            for rep, comp, own_set in zip(left.rep, left.comp, left.hashes, strict=True):
+                common = np.add.reduceat(np.isin(flat, own_set)[place], starts, dtype=np.int64)
+                hit = (100 * common >= percent * (sizes_ + len(own_set) - common)) & (comps_ != comp)
+                found += [(min(rep, other), max(rep, other)) for other in reps[hit]]
+        return pd.DataFrame(found, columns=["u", "v"]) if found else pd.DataFrame({"u": group.rep[:0], "v": group.rep[:0]})
+
+    return given.groupBy("family", "q", "m").applyInPandas(compare, f"u {kind}, v {kind}").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
@@ -175,7 +209,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, kind: str,
     near = stage_table(near.where(agree >= int((percent / 100 - SLACK) * BANDS * ROWS)).select("u", "v", "nu", "nv"), "near")
     ids = near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct()
     # A doc_id on several rows may stand for several sets; each is tried.
-    texts = join_ids(rows, stage_table(ids, "near_ids"), "doc_id", "left_semi")
+    texts = join_ids(rows, ids, "doc_id", "left_semi")
     sets = stage_table(texts.mapInArrow(_setter(k), f"doc_id {kind}, hashes array<long>"), "sets")
     of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set{c}"))
     both = near.join(of("u"), "u").join(of("v"), "v").withColumn("common", F.size(F.array_intersect("setu", "setv")))
