@@ -7,11 +7,13 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_CALL = Window.partitionBy("call_id").orderBy("seq")
+def by_call():
+    return Window.partitionBy("call_id").orderBy("seq")
+
 
 
 def index_turns(turns: DataFrame) -> DataFrame:
-    return turns.withColumn("idx", F.row_number().over(BY_CALL) - 1)
+    return turns.withColumn("idx", F.row_number().over(by_call()) - 1)
 
 
 def call_facts(turns: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def render_transcripts(turns: DataFrame) -> DataFrame:
 
 def live_windows(turns: DataFrame, size: int = 6, stride: int = 2) -> DataFrame:
     """The last ``size`` turns at every ``stride``-th turn."""
-    w = BY_CALL.rowsBetween(1 - size, 0)
+    w = by_call().rowsBetween(1 - size, 0)
     out = index_turns(turns).withColumn("turns", F.collect_list("seq").over(w))
     return out.where((F.col("idx") + 1) % stride == 0).select("call_id", "idx", F.element_at("turns", 1).alias("first_seq"), F.size("turns").alias("turns"))
 
@@ -81,7 +83,7 @@ def phrase_hits(turns: DataFrame, phrases: list[tuple[str, str]], speaker: str |
 def disclosure_status(turns: DataFrame, required: list[tuple[str, str, int | None]]) -> DataFrame:
     """(call_id, policy_id, given, seq): whether a required phrase is said in the first n agent turns (all without n)."""
     table = F.from_json(F.lit(json.dumps([{"policy": p, "phrase": x.lower(), "n": n} for p, x, n in required])), "array<struct<policy:string,phrase:string,n:int>>")
-    agent = turns.where("speaker = 'agent'").withColumn("k", F.row_number().over(BY_CALL))
+    agent = turns.where("speaker = 'agent'").withColumn("k", F.row_number().over(by_call()))
     rows = agent.select("call_id", "seq", "k", F.lower("text").alias("t"), F.explode(table).alias("p")).where("p.n is null or k <= p.n")
     hit = F.col("t").contains(F.col("p.phrase"))
     return rows.groupBy("call_id", F.col("p.policy").alias("policy_id")).agg(F.max(hit).alias("given"), F.min(F.when(hit, F.col("seq"))).alias("seq"))
@@ -119,7 +121,7 @@ def classify_resolution(turns: DataFrame, follow_up: list[str], resolved: list[s
 
 def sentiment_endpoints(scored: DataFrame) -> DataFrame:
     """Mean over the first and the last third of a call's customer turns."""
-    c = scored.where("speaker = 'customer'").withColumn("k", F.row_number().over(BY_CALL)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("call_id")))
+    c = scored.where("speaker = 'customer'").withColumn("k", F.row_number().over(by_call())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("call_id")))
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     c = c.withColumn("head", F.col("k") <= third).withColumn("tail", F.col("k") > F.col("n") - third)
     return c.groupBy("call_id").agg(F.round(F.avg(F.when(F.col("head"), F.col("sentiment"))), 3).alias("start"), F.round(F.avg(F.when(F.col("tail"), F.col("sentiment"))), 3).alias("end"))
