@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.functions.digits import digit_claims, digit_stream
 from callscope.functions.spans import match_spans
 
 #: The order in which types win overlaps, the months and street words.
@@ -12,6 +13,8 @@ PRIORITY = ("CARD", "SSN", "DOB", "PHONE", "ACCOUNT", "EMAIL", "PERSON", "ADDRES
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
 STREETS = "lane|road|street|st|avenue|ave|boulevard|blvd|drive|dr|court|ct|way|place|pl|terrace|circle|parkway|highway"
 
+NAME_TRIGGERS = "my name is|this is|i'm|i am|speaking with|it's|name is|name on the account is|account holder is|calling for|on behalf of|the name is|under the name"
+
 #: Kind, type, confidence and pattern.
 DETECTORS = {
     "email": ("EMAIL", 0.99, r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
@@ -22,17 +25,41 @@ DETECTORS = {
     "account_labelled": ("ACCOUNT", 0.9, r"(?i)\b(?:acct|account|ac|a/c)\s*(?:no\.?|number|#)?\s*[-:#]?\s*\d[\d\s-]{4,}\d\b"),
     "address": ("ADDRESS", 0.8, rf"(?i)\b\d{{1,6}}\s+(?:[A-Z][\w'\-]*\s+){{1,4}}(?:{STREETS})\b"),
     "long_digits": ("CARD", 0.45, r"\b\d(?:[ -]?\d){12,18}\b"),
+    "spoken_email": ("EMAIL", 0.85, r"(?i)\b[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]+)*\s+at\s+[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]+)+\b"),
+    "person_trigger": ("PERSON", 0.75, rf"(?<=\b(?i:{NAME_TRIGGERS})\s{{1,8}})[A-Z][\w'\-]+(?:\s+[A-Z][\w'\-]+){{0,2}}"),
+    "person_run": ("PERSON", 0.55, r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]+)+"),
 }
 
+#: Top-level domains of a spoken email; capitalised words that are no names.
+DOMAINS = r"(?i)\b(com|org|net|edu|gov|io|co)\b"
+NOT_NAMES = (
+    "i|okay|ok|yes|no|thanks|thank|hi|hello|sorry|sure|please|monday|tuesday|wednesday|thursday|friday|saturday|sunday|january|february|march|april|may|june|july|august|"
+    "september|october|november|december|northwind|financial|recovery|visa|mastercard|amex|discover|american|express"
+)
+
+#: What a match must fulfil beside its pattern.
+ACCEPT = {
+    "spoken_email": lambda v: v.rlike(DOMAINS),
+    "person_trigger": lambda v: ~v.rlike(rf"(?i)^(?:{NOT_NAMES})(?:\s|$)"),
+    "person_run": lambda v: ~v.rlike(rf"(?i)(?:^|\s)(?:{NOT_NAMES})(?:\s|$)") & ~v.rlike(rf"(?i)\b(?:{STREETS})\b"),
+}
+
 
-def _spans(text: Column, kinds: list[str]) -> Column:
+def _spans(text: Column, kinds: list[str], context: Column | None = None) -> Column:
     def named(kind: str) -> Column:
+        if kind == "digit_runs":
+            rank = F.create_map(*[F.lit(x) for i, t in enumerate(PRIORITY) for x in (t, i)])
+            return F.transform(digit_claims(text, context), lambda s: F.struct(
+                rank[s["type"]].alias("rank"), s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"),
+                F.lit(kind).alias("detector"), s["confidence"].alias("confidence"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
+            ))
         type_, confidence, pattern = DETECTORS[kind]
         own = lambda s: F.struct(
             F.lit(PRIORITY.index(type_)).alias("rank"), F.lit(type_).alias("type"), s["start"].alias("start"), s["end"].alias("end"),
             F.lit(kind).alias("detector"), F.lit(confidence).alias("confidence"), s["value"].alias("value"),
         )
-        return F.transform(match_spans(text, pattern), own)
+        found = match_spans(text, pattern)
+        return F.transform(F.filter(found, lambda s: ACCEPT[kind](s["value"])) if kind in ACCEPT else found, own)
 
     return F.concat(*[named(k) for k in kinds])
 
@@ -43,6 +70,12 @@ def pii_spans(df: DataFrame, kinds: list[str], keys: tuple[str, ...] = ("call_id
     return found.select(*keys, "s.type", "s.start", "s.end", "s.detector", "s.confidence")
 
 
+def digit_streams(df: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
+    """(keys, digits, breaks) of the texts that have digits, typed or spoken."""
+    out = df.where(F.col("text").isNotNull()).select(*keys, digit_stream(F.col("text")).alias("d"))
+    return out.where(F.length("d.digits") > 0).select(*keys, "d.digits", "d.breaks")
+
+
 def resolve_overlaps(spans: Column) -> Column:
     """Greedy: by type, then length, confidence and place; a span that meets a kept one goes."""
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["confidence"]).alias("c"), s["start"].alias("d"), s.alias("s"))))
