@@ -97,18 +97,22 @@ def search_policies(queries: DataFrame, policies: DataFrame, k: int = 3) -> Data
 
 
 def sentiment_shift(scored: DataFrame, least: float = 0.35) -> DataFrame:
-    """(call_id, label, delta, anchor): mean of the later half of three customer turns or more against the earlier half; the anchor is its extreme turn."""
+    """(call_id, label, delta, anchor) of calls with three customer turns or more whose later half moved from the earlier half.
+
+    An odd turn in the middle counts for neither half; the anchor is the most extreme later turn, the first of equals.
+    """
     w = Window.partitionBy("call_id")
     c = scored.where("speaker = 'customer'").withColumn("k", F.row_number().over(w.orderBy("seq"))).withColumn("n", F.count(F.lit(1)).over(w)).where("n >= 3")
-    late = F.col("k") > F.floor(F.col("n") / 2)
-    val = F.when(late, F.col("sentiment"))
+    half = F.floor(F.col("n") / 2)
+    late = F.col("k") > F.col("n") - half
     out = c.groupBy("call_id").agg(
-        F.round(F.avg(val) - F.avg(F.when(~late, F.col("sentiment"))), 3).alias("delta"),
+        (F.avg(F.when(late, F.col("sentiment"))) - F.avg(F.when(F.col("k") <= half, F.col("sentiment")))).alias("delta"),
         F.min(F.when(late, F.struct("sentiment", "seq")))["seq"].alias("low"),
         F.min(F.when(late, F.struct((-F.col("sentiment")).alias("s"), "seq")))["seq"].alias("high"),
     )
     worse = F.col("delta") < 0
-    return out.where(F.abs("delta") >= least).select("call_id", F.when(worse, "worsening").otherwise("improving").alias("label"), "delta", F.when(worse, F.col("low")).otherwise(F.col("high")).alias("anchor"))
+    out = out.where(F.abs("delta") >= least)
+    return out.select("call_id", F.when(worse, "negative_shift").otherwise("positive_shift").alias("label"), F.round("delta", 3).alias("delta"), F.when(worse, F.col("low")).otherwise(F.col("high")).alias("anchor"))
 
 
 def summarize_calls(facts: DataFrame, intents: DataFrame, resolution: DataFrame, moods: DataFrame, hits: DataFrame, prohibited: DataFrame, disclosures: DataFrame, escalating: list[str]) -> DataFrame:

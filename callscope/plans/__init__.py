@@ -63,6 +63,9 @@ SCORES_SQL = f"""(select call_id, intent, round(sum(w * case when speaker = 'cus
  join (values ('the_topic', 'the', 1.0::double), ('the_topic', 'of', 0.5), ('in_topic', 'in ', 1.0), ('in_topic', 'to', 0.75)) k(intent, phrase, w) on contains(lower(text), phrase) group by 1, 2)"""
 
 
+SCRUBBED = r"regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[email]', 'g'), '[0-9](?:[ -]?[0-9]){6,}', '[digits]', 'g')"
+
+
 def _pct(part: str, whole: str, digits: int = 2) -> str:
     return f"round(100.0 * ({part}) / ({whole}), {digits})"
 
@@ -136,10 +139,18 @@ def queries() -> dict:
     }
     for kind in pii.DETECTORS:
         q[f"pii_{kind}"] = lambda s, d, k=kind: pii.pii_spans(documents(s, d), [k])
-    return q
+    from callscope.plans import evidence
+
+    return q | evidence.queries()
 
 
 def oracle_sql() -> dict:
+    from callscope.plans import evidence
+
+    return base_sql() | evidence.oracle_sql()
+
+
+def base_sql() -> dict:
     sm, sg, tn, seg = SUMMARIES_SQL, SIGNALS_SQL, TURNS_SQL, SEGMENTS_SQL
     gold = "(select lang, quality, cast(length(text) >= 400 as int) as predicted from labels join documents using (doc_id))"
     rank = "case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 when 'low' then 3 else 4 end"
@@ -168,7 +179,7 @@ def oracle_sql() -> dict:
         "latest_hypothesis": f"select call_id, seq, arg_max(event_id, emitted_at) as event_id from {seg} group by 1, 2",
         "sequence_gaps": f"select call_id, after, seq - after - 1 as missing from (select call_id, seq, lag(seq) over (partition by call_id order by seq) as after from (select distinct call_id, seq from {seg})) where seq > after + 1",
         "drop_weak": f"select signal_id from {sg} where confidence >= 0.35",
-        "scrub": r"select doc_id as call_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[email]', 'g'), '[0-9](?:[ -]?[0-9]){6,}', '[digits]', 'g')) as scrubbed from documents",
+        "scrub": f"select doc_id as call_id, md5({SCRUBBED}) as scrubbed from documents",
         "index_turns": f"select call_id, seq, row_number() over (partition by call_id order by seq) - 1 as idx from {tn}",
         "call_facts": f"select call_id, count(*) as turn_count, max(end_ms) - min(start_ms) as duration_ms, count(distinct speaker) as speakers from {tn} group by 1",
         "transcripts": f"select call_id, string_agg('[' || idx || '] ' || speaker || ': ' || text, chr(10) order by idx) as transcript from (select *, row_number() over (partition by call_id order by seq) - 1 as idx from {tn}) group by 1",
