@@ -78,3 +78,27 @@ def sequence_gaps(segments: DataFrame) -> DataFrame:
     w = Window.partitionBy("call_id").orderBy("seq")
     gap = segments.select("call_id", "seq").distinct().withColumn("after", F.lag("seq").over(w))
     return gap.where("seq > after + 1").select("call_id", "after", (F.col("seq") - F.col("after") - 1).alias("missing"))
+
+
+def check_call_id(segments: DataFrame, stream_id: str) -> DataFrame:
+    """The stream's id rules: an empty or null call_id takes it, another one gets the reason ``call_id_mismatch``."""
+    own = F.when(F.coalesce("call_id", F.lit("")) == "", F.col(stream_id)).otherwise(F.col("call_id"))
+    return segments.withColumn("call_id", own).withColumn("reason", F.when(~F.col("call_id").eqNullSafe(F.col(stream_id)), "call_id_mismatch"))
+
+
+def unknown_fields(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """Adds ``unknown``: sorted top-level keys of a JSON object that are not allowed; null where it is no object."""
+    keys = F.json_object_keys(F.when(F.col(column).rlike(r"^\s*\{"), F.col(column)))
+    return df.withColumn("unknown", F.array_sort(F.array_except(keys, F.array(*map(F.lit, allowed)).cast("array<string>"))))
+
+
+def validate_signals(signals: DataFrame) -> DataFrame:
+    """Adds ``reasons``: signals need an id, a label of 1 to 128 characters, a confidence in [0, 1], evidence, and windows in order."""
+    bad = {
+        "signal_id": F.col("signal_id").isNull() | (F.col("signal_id").cast("string") == ""),
+        "label": ~F.coalesce(F.length("label").between(1, 128), F.lit(False)),
+        "confidence": ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)),
+        "evidence": ~F.coalesce(F.size("evidence") > 0, F.lit(False)),
+        "window": F.coalesce((F.col("window_start_ms") < 0) | (F.col("window_end_ms") < F.col("window_start_ms")), F.lit(False)),
+    }
+    return signals.withColumn("reasons", F.filter(F.array(*[F.when(c, n) for n, c in bad.items()]), lambda r: r.isNotNull()))

@@ -133,3 +133,40 @@ def search_turns(turns: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     joined = turns.join(queries, "call_id").withColumn("overlap", F.size(F.array_intersect(words("text"), words("query")))).where("overlap > 0")
     w = Window.partitionBy("call_id", "query").orderBy(F.col("overlap").desc(), "seq")
     return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("call_id", "query", "seq", "overlap", "rank")
+
+
+def label_speakers(segments: DataFrame, turn_times: DataFrame) -> DataFrame:
+    """Segments (call_id, seq, start_ms, end_ms) with the speaker of the timed turn (call_id, idx, ...) that holds their middle.
+
+    Else the turn with the largest overlap, else ``unknown``; ties go to the earlier turn.
+    """
+    s, t = segments.select("call_id", "seq", "start_ms", "end_ms").alias("s"), turn_times.alias("t")
+    mid = F.floor((F.col("s.start_ms") + F.col("s.end_ms")) / 2)
+    holds = mid.between(F.col("t.start_ms"), F.col("t.end_ms"))
+    overlap = F.least("s.end_ms", "t.end_ms") - F.greatest("s.start_ms", "t.start_ms")
+    near = s.join(t, (F.col("s.call_id") == F.col("t.call_id")) & (holds | (overlap > 0)))
+    best = F.min(F.struct((~holds).alias("a"), F.when(holds, 0).otherwise(-overlap).alias("b"), F.col("t.idx").alias("c"), F.col("t.speaker").alias("speaker")))
+    found = near.groupBy(F.col("s.call_id").alias("call_id"), F.col("s.seq").alias("seq")).agg(best.alias("best"))
+    return segments.drop("speaker").join(found, ["call_id", "seq"], "left").withColumn("speaker", F.coalesce("best.speaker", F.lit("unknown"))).drop("best")
+
+
+def required_disclosures(intents: DataFrame, policies: DataFrame, always: list[str]) -> DataFrame:
+    """(call_id, policy_id): the policies that always apply and those (policy_id, intents) that name an intent of the call."""
+    named = intents.select("call_id", F.explode(F.array_append(F.split("secondary", ","), F.col("primary_intent"))).alias("intent"))
+    scoped = policies.select("policy_id", F.explode("intents").alias("intent"))
+    base = intents.select("call_id", F.explode(F.array(*map(F.lit, always)).cast("array<string>")).alias("policy_id"))
+    return named.join(scoped, "intent").select("call_id", "policy_id").unionByName(base).distinct()
+
+
+def action_items(turns: DataFrame, patterns: list[str], noise: list[str], least: int = 6) -> DataFrame:
+    """(call_id, seq, description, owner) of the agent's commitments: first group of each pattern, once per call without case.
+
+    Items under ``least`` characters or with a ``noise`` phrase go; turn, pattern and place decide which comes first.
+    """
+    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns]))
+    rows = turns.where("speaker = 'agent' and text is not null").select("call_id", "seq", F.posexplode(found).alias("place", "item"))
+    rows = rows.withColumn("description", F.trim("item")).where(F.length("description") >= least)
+    for phrase in noise:
+        rows = rows.where(~F.lower("description").contains(phrase.lower()))
+    first = rows.groupBy("call_id", F.lower("description").alias("__k")).agg(F.min(F.struct("seq", "place", "description")).alias("f"))
+    return first.select("call_id", "f.seq", "f.description", F.lit("agent").alias("owner"))

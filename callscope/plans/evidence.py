@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callscope import plans
 from callscope.operators import contracts, conversation, pii, scoring, signals
+from callscope.sources import load_policies, route_insights
 from callscope.testdata import SIGNALS_SQL, TURNS_SQL, documents, table, turns
 from callscope.testdata import signals as events
 
@@ -79,8 +80,45 @@ def _claims(s, d):
     return signals.ground_claims(rows, turns(s, d), _policies(s)).select("signal_id", F.coalesce("reason", F.lit("")).alias("reason"), F.md5(F.coalesce("quote", F.lit(""))).alias("quote"))
 
 
+PROMISE = r"(?i)\bthe ([a-z]+ [a-z]+)"
+
+
+def _intents(s, d):
+    return conversation.classify_intent(turns(s, d), plans._scores(s, d), list(plans.INTENTS))
+
+
+def _scoped(s):
+    return load_policies(s, [{"id": "P1", "applies_when": "intent in [the_topic]"}, {"id": "P2", "applies_when": "intent in ['in_topic', other]"}, {"id": "P3"}])[0]
+
+
+def _named(s, d):
+    """Segments whose own call id is empty, foreign or that of the stream."""
+    own = F.expr("case when signal_id % 5 = 0 then '' when signal_id % 7 = 0 then 'x' else cast(call_id as string) end")
+    return events(s, d).select("signal_id", F.col("call_id").cast("string").alias("stream"), own.alias("call_id"))
+
+
+def _late(s, d):
+    return turns(s, d).select("call_id", "seq", (F.col("start_ms") + 700 * F.col("seq")).alias("start_ms"), (F.col("end_ms") + 700 * F.col("seq")).alias("end_ms"))
+
+
+def _envelopes(s, d):
+    """Events as envelopes: two signals in a live one."""
+    one = F.struct(F.col("signal_id").cast("string").alias("signal_id"), F.col("signal_type").alias("type"), "severity", "confidence")
+    return events(s, d).select(F.to_json(F.struct(F.when(F.col("signal_id") % 4 > 0, "live").otherwise("other").alias("kind"), F.col("call_id").cast("string").alias("call_id"), F.array(one).alias("signals"))).alias("value"))
+
+
 def queries() -> dict:
     return {
+        "check_call_id": lambda s, d: contracts.check_call_id(_named(s, d), "stream").select("signal_id", "call_id", F.coalesce("reason", F.lit("")).alias("reason")),
+        "unknown_fields": lambda s, d: contracts.unknown_fields(table(s, d, "events"), "props", ["id"]).select("event_id", F.array_join("unknown", ",").alias("unknown")),
+        "signal_reasons": lambda s, d: contracts.validate_signals(
+            events(s, d).select("signal_id", F.when(F.col("signal_id") % 9 > 0, F.col("signal_type")).otherwise("").alias("label"), (F.col("confidence") * 1.1).alias("confidence"), F.when(F.col("signal_id") % 11 > 0, F.array("signal_id")).alias("evidence"),
+                                F.lit(5).alias("window_start_ms"), F.expr("cast(signal_id % 60 as int)").alias("window_end_ms"))
+        ).select("signal_id", F.array_join("reasons", ",").alias("reasons")),
+        "label_speakers": lambda s, d: conversation.label_speakers(_late(s, d), conversation.index_turns(turns(s, d))).select("call_id", "seq", "speaker"),
+        "required_disclosures": lambda s, d: conversation.required_disclosures(_intents(s, d), _scoped(s), ["P0"]),
+        "action_items": lambda s, d: conversation.action_items(turns(s, d), [PROMISE], ["zz"], 8),
+        "route_insights": lambda s, d: route_insights(_envelopes(s, d))[0].select("call_id", "signal_id", F.col("type").alias("signal_type"), "severity"),
         "digit_streams": lambda s, d: pii.digit_streams(documents(s, d)).select("call_id", F.length("digits").alias("digits"), F.size("breaks").alias("breaks")),
         "digit_runs": lambda s, d: pii.pii_spans(documents(s, d), ["digit_runs"]),
         "quotes": lambda s, d: signals.with_quotes(pii.pii_spans(documents(s, d), ["email"]), documents(s, d)).select("call_id", "start", "quote"),
@@ -131,6 +169,17 @@ def oracle_sql() -> dict:
     broken = f"select call_id, policy_id from ({own['compliance_hits']}) where policy_id = 'P3' union all select call_id, policy_id from ({own['disclosure_status']}) where not given"
     id_ = "call_id * 1000 + seq"
     return {
+        "check_call_id": f"select signal_id, case when signal_id % 5 > 0 and signal_id % 7 = 0 then 'x' else call_id::varchar end as call_id, case when signal_id % 5 > 0 and signal_id % 7 = 0 then 'call_id_mismatch' else '' end as reason from {SIGNALS_SQL}",
+        "unknown_fields": "select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'id')), ',') as unknown from events",
+        "signal_reasons": f"select signal_id, array_to_string(list_filter([case when signal_id % 9 = 0 then 'label' end, case when not (confidence * 1.1 between 0 and 1) then 'confidence' end, case when signal_id % 11 = 0 then 'evidence' end, case when signal_id % 60 < 5 then 'window' end], lambda x: x is not null), ',') as reasons from {SIGNALS_SQL}",
+        "label_speakers": f"""with s as (select call_id, seq, start_ms + 700 * seq as a, end_ms + 700 * seq as b from {TURNS_SQL}), t as (select * from {TURNS_SQL})
+ select s.call_id, s.seq, coalesce((select arg_min(t.speaker, (case when (a + b) // 2 between t.start_ms and t.end_ms then 0 else 1 end, case when (a + b) // 2 between t.start_ms and t.end_ms then 0 else greatest(a, t.start_ms) - least(b, t.end_ms) end, t.seq))
+ from t where t.call_id = s.call_id and ((a + b) // 2 between t.start_ms and t.end_ms or least(b, t.end_ms) > greatest(a, t.start_ms))), 'unknown') as speaker from s""",
+        "required_disclosures": f"""select distinct call_id, policy_id from (select call_id, 'P0' as policy_id from ({own['intents']}) union all
+ select call_id, p from ({own['intents']}) join (values ('P1', 'the_topic'), ('P2', 'in_topic'), ('P2', 'other')) v(p, i) on i = primary_intent or list_contains(string_split(secondary, ','), i))""",
+        "action_items": f"""select call_id, seq, description, 'agent' as owner from (select call_id, arg_min(seq, (seq, place)) as seq, arg_min(item, (seq, place)) as description from
+ (select call_id, seq, unnest(v) as item, unnest(range(len(v))) as place from (select *, regexp_extract_all(text, '{PROMISE}', 1) as v from {TURNS_SQL} where speaker = 'agent')) where length(item) >= 8 and not contains(lower(item), 'zz') group by call_id, lower(item))""",
+        "route_insights": f"select call_id::varchar as call_id, signal_id::varchar as signal_id, signal_type, severity from {SIGNALS_SQL} where signal_id % 4 > 0",
         "quotes": f"""select call_id, start, case when lo > 0 then '...' else '' end || regexp_replace(substring(text, lo + 1, hi - lo), '^\\s+|\\s+$', '', 'g') || case when hi < length(text) then '...' else '' end as quote
  from (select call_id, start, text, greatest(0, start - 45) as lo, least(length(text), "end" + 45) as hi from ({own['pii_email']}) join documents on doc_id = call_id)""",
         "ground_claims": f"""select signal_id, case when t.call_id is null then 'no_turn' when signal_type = 'click' and policy_id not in ('P0', 'P1', 'P2', 'P3') then 'no_policy' else '' end as reason, md5(coalesce(left(t.text, 500), '')) as quote

@@ -28,3 +28,44 @@ def write_fact(df: DataFrame, path: str, ts: str, grain: str = "month") -> None:
     """Append, partitioned by the month or day of ``ts``."""
     form = {"month": "yyyyMM", "day": "yyyyMMdd"}[grain]
     df.withColumn(grain, F.date_format(ts, form)).write.mode("append").partitionBy(grain).parquet(path)
+
+
+CALL = (
+    "call_id string, category string, agent_id string, turns array<struct<idx:int,speaker:string,text:string,pii:array<struct<type:string,start:int,end:int,value:string,surface_form:string,is_partial:boolean>>>>, "
+    "labels struct<primary_intent:string,resolution:string,sentiment_start:double,sentiment_end:double,escalation_risk:string,escalated:boolean,secondary_intents:array<string>,"
+    "required_disclosures:array<string>,disclosures_given:array<string>,compliance_violations:array<string>,action_items:array<string>>"
+)
+
+
+def read_calls(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turns, spans, labels) of labelled calls, one JSON document a file; files that are no call give no rows."""
+    calls = spark.read.schema(CALL).json(path, multiLine=True).where("call_id is not null")
+    rows = calls.select("call_id", "category", F.explode("turns").alias("t"))
+    turns = rows.select("call_id", F.col("t.idx").cast("long").alias("seq"), "t.speaker", "t.text")
+    spans = rows.select("call_id", "category", F.col("t.idx").cast("long").alias("seq"), F.explode("t.pii").alias("p")).select("call_id", "category", "seq", "p.*")
+    return turns, spans, calls.select("call_id", "category", "labels.*")
+
+
+def load_policies(spark: SparkSession, rows: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(policies, phrases) of a catalog; ``intents`` are those that ``applies_when`` lists as ``intent in [a, b]``."""
+    schema = "id string, title string, kind string, severity string, window string, applies_when string, summary string, satisfied_by_phrases array<string>, prohibited_phrases array<string>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    raw = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).withColumnRenamed("id", "policy_id")
+    listed = F.regexp_extract(F.coalesce("applies_when", F.lit("")), r"(?i)\bintent\s+in\s*\[([^\]]*)\]", 1)
+    intents = F.filter(F.transform(F.split(listed, ","), lambda x: F.regexp_replace(x, r"""^[\s'"]+|[\s'"]+$""", "")), lambda x: x != "")
+    policies = raw.withColumn("intents", intents).withColumn("severity", F.coalesce("severity", F.lit("medium")))
+    use = lambda column, name: policies.select("policy_id", F.lit(name).alias("use"), F.explode(column).alias("phrase"))
+    return policies, use("prohibited_phrases", "prohibited").unionByName(use("satisfied_by_phrases", "satisfies"))
+
+
+INSIGHT = (
+    "kind string, call_id string, signals array<struct<signal_id:string,type:string,label:string,severity:string,confidence:double,policy_id:string,emitted_at:string>>, "
+    "summary struct<call_id:string,summary:string,resolution:string,primary_intent:string,escalated:boolean,generated_at:string>"
+)
+
+
+def route_insights(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signals, summaries) of JSON envelopes in ``value``: kind ``live`` carries signals, ``post_call`` a summary; others give no rows."""
+    e = envelopes.select(F.from_json("value", INSIGHT).alias("e")).select("e.*")
+    live = e.where("kind = 'live'").select("call_id", F.explode("signals").alias("s")).select("call_id", "s.*")
+    return live, e.where("kind = 'post_call' and summary is not null").select("summary.*")

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from callscope.operators import scoring, signals
+from callscope.sources import load_policies, read_calls
 
 COLUMNS = "call_id long, idx long, signal_type string, policy_id string, label string, severity string, confidence double, anchor long"
 
@@ -57,3 +58,13 @@ def test_quotes_and_grounding(spark):
     claims = spark.createDataFrame([(1, 0, "compliance_violation", "P1"), (1, 0, "compliance_violation", "P9"), (1, 5, "intent", None), (1, 1, "intent", None)], "call_id long, seq long, signal_type string, policy_id string")
     out = signals.ground_claims(claims, turns, spark.createDataFrame([("P1",)], "policy_id string"))
     assert [r.reason for r in out.orderBy("seq", F.col("policy_id")).collect()] == [None, "no_policy", None, "no_turn"]
+
+
+def test_call_files_and_catalog(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"call_id": "c", "category": "clean", "turns": [{"idx": 0, "speaker": "agent",\n "text": "hi", "pii": []}, {"idx": 1, "speaker": "customer", "text": "4111", "pii": [{"type": "CARD", "start": 0, "end": 4, "value": "4111"}]}], "labels": {"resolution": "resolved"}}')
+    (tmp_path / "b.json").write_text("{broken")
+    turns, spans, labels = read_calls(spark, str(tmp_path))
+    assert turns.count() == 2 and [(r.seq, r.type) for r in spans.collect()] == [(1, "CARD")] and labels.collect()[0].resolution == "resolved"
+    policies, phrases = load_policies(spark, [{"id": "A", "applies_when": "intent in [x, 'y']", "prohibited_phrases": ["no"]}, {"id": "B"}])
+    assert {r.policy_id: (list(r.intents), r.severity) for r in policies.collect()} == {"A": (["x", "y"], "medium"), "B": ([], "medium")}
+    assert [(r.policy_id, r.use, r.phrase) for r in phrases.collect()] == [("A", "prohibited", "no")]
