@@ -11,6 +11,7 @@ from callscope.llm import (
     decontaminate,
     langid,
     minhash_dedup,
+    oracle,
     quality_classifier,
     quality_rules,
     sharding,
@@ -103,4 +104,10 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": oracle.url_filters(URL_RULES, url_filter.DEFAULT_KEYWORDS),
+    "op3_decontamination": oracle.decontamination(n=10),
+    "op7_sharding": oracle.sharding(n_shards=8),
+    "op9_substring_dedup": oracle.substring_dedup(window=20),
+    "op10_minhash_dedup": oracle.near_duplicates(k=4, threshold_percent=80),
+}
