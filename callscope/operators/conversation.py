@@ -170,3 +170,28 @@ def action_items(turns: DataFrame, patterns: list[str], noise: list[str], least:
         rows = rows.where(~F.lower("description").contains(phrase.lower()))
     first = rows.groupBy("call_id", F.lower("description").alias("__k")).agg(F.min(F.struct("seq", "place", "description")).alias("f"))
     return first.select("call_id", "f.seq", "f.description", F.lit("agent").alias("owner"))
+
+
+def disclosure_gate(status: DataFrame, turns: DataFrame, windows: dict[str, int | None]) -> DataFrame:
+    """``status`` with ``closed``: whether the agent has had more turns than the policy's window holds.
+
+    Policies without a window, and those not listed, stay open while a call is live.
+    """
+    table = F.from_json(F.lit(json.dumps({p: n for p, n in windows.items() if n is not None})), "map<string,int>")
+    said = turns.groupBy("call_id").agg(F.count_if(F.col("speaker") == "agent").alias("agent_turns"))
+    closed = F.coalesce(F.col("agent_turns") > table[F.col("policy_id")], F.lit(False))
+    return status.join(said, "call_id", "left").withColumn("closed", closed).drop("agent_turns")
+
+
+def intent_evidence(turns: DataFrame, keywords: dict[str, dict[str, float]]) -> DataFrame:
+    """(call_id, intent, seq, phrase, start, end) of the heaviest phrase of each intent; customer words count 1, others 0.45.
+
+    Of equal weights the earlier turn wins, then the phrase listed first. ``start`` counts from 0.
+    """
+    flat = [{"intent": i, "phrase": p, "w": w, "k": k} for i, own in keywords.items() for k, (p, w) in enumerate(own.items())]
+    table = F.from_json(F.lit(json.dumps(flat)), "array<struct<intent:string,phrase:string,w:double,k:int>>")
+    rows = turns.select("call_id", "seq", "speaker", F.lower("text").alias("t"), F.explode(table).alias("p"))
+    rows = rows.select("call_id", "seq", "p.*", F.position("p.phrase", "t").alias("at"), F.when(F.col("speaker") == "customer", 1.0).otherwise(0.45).alias("share")).where("at > 0")
+    best = F.min(F.struct((-F.col("w") * F.col("share")).alias("w"), "seq", "k", "phrase", (F.col("at") - 1).alias("start")))
+    out = rows.groupBy("call_id", "intent").agg(best.alias("b")).select("call_id", "intent", "b.seq", "b.phrase", "b.start")
+    return out.withColumn("end", F.col("start") + F.length("phrase"))

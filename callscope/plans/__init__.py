@@ -139,15 +139,15 @@ def queries() -> dict:
     }
     for kind in pii.DETECTORS:
         q[f"pii_{kind}"] = lambda s, d, k=kind: pii.pii_spans(documents(s, d), [k])
-    from callscope.plans import evidence
+    from callscope.plans import calls, evidence
 
-    return q | evidence.queries()
+    return q | evidence.queries() | calls.queries()
 
 
 def oracle_sql() -> dict:
-    from callscope.plans import evidence
+    from callscope.plans import calls, evidence
 
-    return base_sql() | evidence.oracle_sql()
+    return base_sql() | evidence.oracle_sql() | calls.oracle_sql()
 
 
 def base_sql() -> dict:

@@ -31,3 +31,18 @@ def slo_alerts(latency: DataFrame, budget_ms: float, width: str = "1 day") -> Da
     """Windows whose p95 is over the budget."""
     out = latency.groupBy(F.window("emitted_at", width).alias("w"), "signal_type").agg(F.percentile("duration_ms", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("samples"))
     return out.where(F.col("p95") > budget_ms).select(F.col("w.start").alias("window_start"), "signal_type", F.round("p95", 3).alias("p95_ms"), "samples")
+
+
+def stage_throughput(latency: DataFrame, width: str = "1 minute", late: str = "1 hour") -> DataFrame:
+    """(window_start, stage, samples, p50_ms, p95_ms) of (stage, duration_ms, emitted_at), batch or stream."""
+    rows = latency.withWatermark("emitted_at", late) if latency.isStreaming else latency
+    at = lambda q, n: F.round(F.percentile("duration_ms", F.lit(q)), 6).alias(n)
+    out = rows.groupBy(F.window("emitted_at", width).alias("w"), "stage").agg(F.count(F.lit(1)).alias("samples"), at(0.5, "p50_ms"), at(0.95, "p95_ms"))
+    return out.select(F.col("w.start").alias("window_start"), "stage", "samples", "p50_ms", "p95_ms")
+
+
+def ops_ratios(events: DataFrame, label: str, width: str = "15 minutes") -> DataFrame:
+    """(window_start, label, events, share): each label's share of its window's events; null labels count as ``none``."""
+    counted = events.groupBy(F.window("emitted_at", width).alias("w"), F.coalesce(F.col(label).cast("string"), F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("events"))
+    whole = counted.groupBy("w").agg(F.sum("events").alias("all"))  # both counts come from the same small table
+    return counted.join(whole, "w").select(F.col("w.start").alias("window_start"), "label", "events", F.round(F.col("events") / F.col("all"), 6).alias("share"))
