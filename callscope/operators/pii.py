@@ -45,7 +45,7 @@ ACCEPT = {
 }
 
 
-def _spans(text: Column, kinds: list[str], context: Column | None = None) -> Column:
+def spans_of(text: Column, kinds: list[str], context: Column | None = None) -> Column:
     def named(kind: str) -> Column:
         if kind == "digit_runs":
             rank = F.create_map(*[F.lit(x) for i, t in enumerate(PRIORITY) for x in (t, i)])
@@ -66,7 +66,7 @@ def _spans(text: Column, kinds: list[str], context: Column | None = None) -> Col
 
 def pii_spans(df: DataFrame, kinds: list[str], keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
     """One row a span: keys, type, start, end, detector, confidence."""
-    found = df.where(F.col("text").isNotNull()).select(*keys, F.explode(_spans(F.col("text"), kinds)).alias("s"))
+    found = df.where(F.col("text").isNotNull()).select(*keys, F.explode(spans_of(F.col("text"), kinds)).alias("s"))
     return found.select(*keys, "s.type", "s.start", "s.end", "s.detector", "s.confidence")
 
 
@@ -89,25 +89,29 @@ def resolve_overlaps(spans: Column) -> Column:
 
 def detect_pii(df: DataFrame, kinds: list[str] | None = None, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
     """(keys, text, spans) with overlaps resolved."""
-    rows = df.where(F.col("text").isNotNull()).select(*keys, "text", _spans(F.col("text"), kinds or list(DETECTORS)).alias("all"))
+    rows = df.where(F.col("text").isNotNull()).select(*keys, "text", spans_of(F.col("text"), kinds or list(DETECTORS)).alias("all"))
     return rows.where(F.size("all") > 0).select(*keys, "text", resolve_overlaps(F.col("all")).alias("spans"))
 
 
-def assign_placeholders(detected: DataFrame) -> DataFrame:
-    """One row a span, with ``<TYPE_n>`` numbered per call in first-seen order of the value."""
-    s = detected.select("call_id", "seq", F.explode("spans").alias("s")).select("call_id", "seq", "s.type", "s.start", "s.end", "s.detector", "s.confidence", "s.value")
+def assign_placeholders(detected: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
+    """One row a span, with ``<TYPE_n>`` numbered per call in first-seen order of the value; the keys after the call's order its turns."""
+    s = detected.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.type", "s.start", "s.end", "s.detector", "s.confidence", "s.value")
     digits = F.regexp_replace("value", r"\D", "")
     s = s.withColumn("key", F.when(F.length(digits) >= 4, digits).otherwise(F.lower("value")))
-    s = s.withColumn("first", F.min(F.struct("seq", "start")).over(Window.partitionBy("call_id", "type", "key")))
+    s = s.withColumn("first", F.min(F.struct(*keys[1:], "start")).over(Window.partitionBy("call_id", "type", "key")))
     n = F.dense_rank().over(Window.partitionBy("call_id", "type").orderBy("first"))
     return s.withColumn("placeholder", F.concat(F.lit("<"), F.col("type"), F.lit("_"), n.cast("string"), F.lit(">"))).drop("key", "first", "value")
 
 
 def redact(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """(call_id, seq, text, n_redactions): spans replaced by their placeholders; other rows as they are."""
-    detected = detect_pii(df, kinds)
-    marks = assign_placeholders(detected).groupBy("call_id", "seq").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("marks"))
-    joined = df.select("call_id", "seq", "text").join(marks, ["call_id", "seq"], "left")
+    return write_placeholders(df, detect_pii(df, kinds))
+
+
+def write_placeholders(df: DataFrame, detected: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
+    """(keys, text, n_redactions) of the rows, with the placeholders of ``detected``'s spans."""
+    marks = assign_placeholders(detected, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("marks"))
+    joined = df.select(*keys, "text").join(marks, list(keys), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     body = F.aggregate(
         "marks",
@@ -115,7 +119,7 @@ def redact(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), m["placeholder"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    return joined.select("call_id", "seq", F.coalesce(body, F.col("text")).alias("text"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_redactions"))
+    return joined.select(*keys, F.coalesce(body, F.col("text")).alias("text"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_redactions"))
 
 
 def redaction_summary(spans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope import plans, streaming
-from callscope.operators import conversation, summaries
+from callscope.operators import conversation, holds, summaries
 from callscope.testdata import SIGNALS_SQL, TURNS_SQL, turns
 from callscope.testdata import signals as events
 
@@ -53,6 +53,12 @@ def _envelopes(s, d):
     )
 
 
+def _read_out(s, d):
+    """Turns of which every third ends in a number that is being read out."""
+    number = F.concat("text", F.lit(" card number "), (F.col("call_id") % 9000 + 1000).cast("string"))
+    return turns(s, d).withColumn("text", F.when(F.col("seq") % 3 == 0, number).otherwise(F.col("text")))
+
+
 def _stages(s, d):
     return events(s, d).withColumnRenamed("signal_type", "stage")
 
@@ -64,6 +70,9 @@ def queries() -> dict:
         "coerce_summaries": lambda s, d: _flat(_coerced(s, d)),
         "summary_reasons": lambda s, d: summaries.validate_summaries(_raw(s, d).withColumn("action_items", F.expr("transform(action_items, i -> named_struct('description', i.description, 'owner', i.owner, 'evidence', i.evidence_turns))")).withColumn("customer_sentiment_start", F.expr("try_cast(customer_sentiment_start as double)"))).select("call_id", F.array_join("reasons", ",").alias("reasons")),
         "envelope_reasons": lambda s, d: summaries.validate_envelopes(_envelopes(s, d)).select("signal_id", F.array_join("reasons", ",").alias("reasons")),
+        "hold_calls": lambda s, d: holds.hold_calls(_read_out(s, d)).select("call_id", "seq", "part", F.md5("text").alias("text"), "held_digits"),
+        "redact_calls": lambda s, d: holds.redact_calls(_read_out(s, d)).select("call_id", "seq", "part", F.md5("text").alias("text"), "n_redactions"),
+        "preview_partials": lambda s, d: holds.preview_partials(_read_out(s, d).withColumn("is_final", F.col("seq") % 2 > 0)).select("call_id", "seq", F.md5("text").alias("text"), "held_digits"),
         "stage_throughput": lambda s, d: streaming.stage_throughput(_stages(s, d), "1 hour"),
         "ops_ratios": lambda s, d: streaming.ops_ratios(events(s, d), "signal_type", "1 day"),
     }
