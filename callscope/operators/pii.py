@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.functions.digits import digit_claims, digit_stream
+from callscope.functions.digits import CONTEXT, NEAR, digit_claims, digit_stream
 from callscope.functions.spans import match_spans
 
 #: The order in which types win overlaps, the months and street words.
@@ -30,6 +30,9 @@ DETECTORS = {
     "person_run": ("PERSON", 0.55, r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]+)+"),
 }
 
+#: Kinds that are surer beside a word that tells their type, and how sure then.
+SURER = {"ssn": 0.97}
+
 #: Top-level domains of a spoken email; capitalised words that are no names.
 DOMAINS = r"(?i)\b(com|org|net|edu|gov|io|co)\b"
 NOT_NAMES = (
@@ -54,9 +57,17 @@ def spans_of(text: Column, kinds: list[str], context: Column | None = None) -> C
                 F.lit(kind).alias("detector"), s["confidence"].alias("confidence"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
             ))
         type_, confidence, pattern = DETECTORS[kind]
+
+        def sure(s: Column) -> Column:
+            if kind not in SURER:
+                return F.lit(confidence)
+            at = F.greatest(s["start"] - NEAR, F.lit(0))
+            around = F.lower(F.concat_ws(" ", F.lit("") if context is None else context, F.substring(text, at + 1, s["end"] + NEAR - at)))
+            return F.when(F.exists(F.array(*map(F.lit, CONTEXT[type_])), lambda w: around.contains(w)), SURER[kind]).otherwise(confidence)
+
         own = lambda s: F.struct(
             F.lit(PRIORITY.index(type_)).alias("rank"), F.lit(type_).alias("type"), s["start"].alias("start"), s["end"].alias("end"),
-            F.lit(kind).alias("detector"), F.lit(confidence).alias("confidence"), s["value"].alias("value"),
+            F.lit(kind).alias("detector"), sure(s).alias("confidence"), s["value"].alias("value"),
         )
         found = match_spans(text, pattern)
         return F.transform(F.filter(found, lambda s: ACCEPT[kind](s["value"])) if kind in ACCEPT else found, own)
@@ -87,9 +98,23 @@ def resolve_overlaps(spans: Column) -> Column:
     return kept
 
 
-def detect_pii(df: DataFrame, kinds: list[str] | None = None, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
-    """(keys, text, spans) with overlaps resolved."""
-    rows = df.where(F.col("text").isNotNull()).select(*keys, "text", spans_of(F.col("text"), kinds or list(DETECTORS)).alias("all"))
+def detect_pii(
+    df: DataFrame, kinds: list[str] | None = None, keys: tuple[str, ...] = ("call_id", "seq"), types: list[str] | None = None,
+    least: float = 0.0, allowed: Column | None = None,
+) -> DataFrame:
+    """(keys, text, spans) with overlaps resolved, of the ``types`` (null: all) with a confidence of ``least``.
+
+    ``allowed`` is a row's array of names: a PERSON or ADDRESS that equals one, or one word of it, without case, is no find. Null allows none.
+    """
+    found = spans_of(F.col("text"), kinds or list(DETECTORS))
+    keep = lambda s: s["confidence"] >= least
+    if types is not None:
+        found = F.filter(found, lambda s: s["type"].isin(*types) if types else F.lit(False))
+    if allowed is not None:
+        names = F.transform(F.filter(F.coalesce(allowed, F.array().cast("array<string>")), lambda n: n.isNotNull()), F.lower)
+        known = F.concat(names, F.flatten(F.transform(names, lambda n: F.split(n, r"\s+"))))
+        found = F.filter(found, lambda s: ~(s["type"].isin("PERSON", "ADDRESS") & F.array_contains(known, F.lower(F.trim(s["value"])))))
+    rows = df.where(F.col("text").isNotNull()).select(*keys, "text", F.filter(found, keep).alias("all"))
     return rows.where(F.size("all") > 0).select(*keys, "text", resolve_overlaps(F.col("all")).alias("spans"))
 
 

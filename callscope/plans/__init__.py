@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope import streaming
+from callscope.functions.digits import CONTEXT, NEAR
 from callscope.operators import contracts, conversation, marts, pii, quality
 from callscope.testdata import SIGNALS_SQL, SUMMARIES_SQL, TURNS_SQL, documents, signals, summaries, table, turns
 
@@ -74,11 +75,17 @@ def _spans_sql(kind: str, pattern: str) -> str:
     """Positions by splitting: gap lengths and match lengths summed up."""
     type_, confidence, _ = pii.DETECTORS[kind]
     p = pattern.replace("'", "''")
+    sure = f"cast({confidence} as double)"
+    if kind in pii.SURER:
+        words = ", ".join(f"'{w}'" for w in CONTEXT[type_])
+        around = f'lower(substring(text, greatest(start - {NEAR}, 0) + 1, "end" + {NEAR} - greatest(start - {NEAR}, 0)))'
+        sure = f"case when len(list_filter([{words}], lambda w: contains({around}, w))) > 0 then {pii.SURER[kind]} else {sure} end::double"
     return f"""with m as (select doc_id, text, regexp_extract_all(text, '{p}') as v, regexp_split_to_array(text, '{p}') as g from documents where regexp_matches(text, '{p}')),
- e as (select doc_id, v, g, unnest(range(1, len(v) + 1)) as i from m)
- select doc_id as call_id, cast(0 as bigint) as seq, '{type_}' as type,
+ e as (select doc_id, text, v, g, unnest(range(1, len(v) + 1)) as i from m),
+ s as (select text, doc_id as call_id, cast(0 as bigint) as seq, '{type_}' as type,
  cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) as int) as start,
- cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(v[1:i], lambda x: length(x))) as int) as "end", '{kind}' as detector, cast({confidence} as double) as confidence from e"""
+ cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(v[1:i], lambda x: length(x))) as int) as "end", '{kind}' as detector from e)
+ select call_id, seq, type, start, "end", detector, {sure} as confidence from s"""
 
 
 def queries() -> dict:
