@@ -102,11 +102,11 @@ def detect_pii(
     df: DataFrame, kinds: list[str] | None = None, keys: tuple[str, ...] = ("call_id", "seq"), types: list[str] | None = None,
     least: float = 0.0, allowed: Column | None = None,
 ) -> DataFrame:
-    """(keys, text, spans) with overlaps resolved, of the ``types`` (null: all) with a confidence of ``least``.
+    """(keys, text, spans) with overlaps resolved, of the ``types`` (null: all) with a confidence of ``least``; all kinds unless ``kinds`` names some.
 
     ``allowed`` is a row's array of names: a PERSON or ADDRESS that equals one, or one word of it, without case, is no find. Null allows none.
     """
-    found = spans_of(F.col("text"), kinds or list(DETECTORS))
+    found = spans_of(F.col("text"), kinds or [*DETECTORS, "digit_runs"])
     keep = lambda s: s["confidence"] >= least
     if types is not None:
         found = F.filter(found, lambda s: s["type"].isin(*types) if types else F.lit(False))

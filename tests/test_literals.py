@@ -23,6 +23,15 @@ def test_redaction_numbers_values_per_call(spark):
     assert out[0] == "mail <EMAIL_1> or call <PHONE_1>" and out[1] == "again <EMAIL_1>, and <EMAIL_2>" and out[2] is None and out[3] == "no data"
 
 
+def test_redaction_finds_spoken_and_bare_numbers(spark):
+    df = texts(spark, "reach me on four one five five five five oh one three four", "my social is 900123456", "the account is 12345678 or so", "born on 04121987 she was", None, "", "it rained for 300 days")
+    out = {r.seq: (r.text, r.n_redactions) for r in pii.redact(df).collect()}
+    assert out[0] == ("reach me on <PHONE_1>", 1) and out[1] == ("my social is <SSN_1>", 1)
+    assert out[2] == ("the account is <ACCOUNT_1> or so", 1) and out[3] == ("born on <DOB_1> she was", 1)
+    assert out[4] == (None, 0) and out[5] == ("", 0) and out[6] == ("it rained for 300 days", 0)
+    assert [r.placeholder for r in pii.assign_placeholders(pii.detect_pii(df)).orderBy("seq").collect()] == ["<PHONE_1>", "<SSN_1>", "<ACCOUNT_1>", "<DOB_1>"]
+
+
 def test_overlaps_keep_the_type_that_comes_first(spark):
     out = pii.detect_pii(texts(spark, "card 4111 1111 1111 1111 here")).collect()
     assert [(s.type, s.start, s.end) for s in out[0].spans] == [("CARD", 5, 24)]
