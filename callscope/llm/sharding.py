@@ -18,18 +18,20 @@ from pyspark.sql import functions as F
 from callscope.llm.common import stage_table
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): slot counts from 0 within the shard, in order of id."""
+def _placed(docs: DataFrame, n_shards: int, id_col: str, text_col: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``shard_documents`` with the columns ``more`` of the rows as a struct ``doc``, if there are any."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
+        *([F.struct(*more).alias("doc")] if more else []),
     ).withColumn("tie", F.rand(11))  # equal rows, however many, spread over partitions
     order = ["doc_id", "text_crc32", "size", "tie"]
     rows = stage_table(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged")
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    kept = ["doc_id", "size", "text_crc32", *(["doc"] if more else [])]
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = rows.groupBy("part").agg(F.sum("size").alias("part_size"), F.count(F.lit(1)).alias("part_rows"))
     parts = parts.select(
@@ -46,17 +48,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
         .withColumn("first_byte", F.col("bytes_before") + F.col("end_in_part") - F.col("size"))
         .withColumn("row", F.col("rows_before") + F.col("row_in_part") - 1)
         .withColumn("shard", F.expr(f"cast((first_byte * {int(n_shards)}) div total as int)"))
-        .select("doc_id", "size", "text_crc32", "shard", "row")
+        .select(*kept, "shard", "row")
     )
     placed = stage_table(placed, "placed")
     starts = placed.groupBy("shard").agg(F.min("row").alias("first_row"))
     return placed.join(F.broadcast(starts), "shard").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first_row")).alias("slot")
+        *kept, "shard", (F.col("row") - F.col("first_row")).alias("slot")
     )
 
 
+def shard_documents(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot): slot counts from 0 within the shard, in order of id."""
+    return _placed(docs, n_shards, id_col, text_col)
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Write the documents as one folder a shard."""
-    placed = shard_documents(docs, n_shards).select("doc_id", "text_crc32", "shard").distinct()
-    keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    keyed.join(placed.dropDuplicates(["doc_id", "text_crc32"]), ["doc_id", "text_crc32"]).drop("text_crc32").write.partitionBy("shard").parquet(path)
+    """Write the documents as one folder a shard: every row, in the shard that it is placed in."""
+    _placed(docs, n_shards, "doc_id", "text", tuple(docs.columns)).select("doc.*", "shard").write.partitionBy("shard").parquet(path)
