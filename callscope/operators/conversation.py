@@ -7,6 +7,10 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: the finest time buckets are of 2^14 ms.
+FINEST = 14
+
+
 def by_call():
     return Window.partitionBy("call_id").orderBy("seq")
 
@@ -135,18 +139,35 @@ def search_turns(turns: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("call_id", "query", "seq", "overlap", "rank")
 
 
+def _levelled(times: DataFrame) -> DataFrame:
+    """Adds ``lo`` and ``hi``, whole numbers around a row's times, and ``level``: 2^level is longer than the row; rows without a time go."""
+    rows = times.where("start_ms is not null and end_ms is not null")
+    rows = rows.withColumn("lo", F.floor(F.least("start_ms", "end_ms")).cast("long")).withColumn("hi", F.ceil(F.greatest("start_ms", "end_ms")).cast("long"))
+    return rows.withColumn("level", F.greatest(F.lit(FINEST), F.length(F.bin(F.col("hi") - F.col("lo")))))
+
+
+def _in_buckets(rows: DataFrame, level: str) -> DataFrame:
+    """A row for each time bucket of 2^level that it meets: two at most from its own level up."""
+    return rows.withColumn("bucket", F.explode(F.expr(f"sequence(shiftright(lo, {level}), shiftright(hi, {level}))")))
+
+
 def label_speakers(segments: DataFrame, turn_times: DataFrame) -> DataFrame:
     """Segments (call_id, seq, start_ms, end_ms) with the speaker of the timed turn (call_id, idx, ...) that holds their middle.
 
-    Else the turn with the largest overlap, else ``unknown``; ties go to the earlier turn.
+    Else the turn with the largest overlap, else ``unknown``; ties go to the earlier turn. A turn without a time holds nothing.
+    Segment and turn meet by call and time bucket, at the level of the longer one; a pair that meets in two buckets counts once in the minimum.
     """
-    s, t = segments.select("call_id", "seq", "start_ms", "end_ms").alias("s"), turn_times.alias("t")
-    mid = F.floor((F.col("s.start_ms") + F.col("s.end_ms")) / 2)
-    holds = mid.between(F.col("t.start_ms"), F.col("t.end_ms"))
-    overlap = F.least("s.end_ms", "t.end_ms") - F.greatest("s.start_ms", "t.start_ms")
-    near = s.join(t, (F.col("s.call_id") == F.col("t.call_id")) & (holds | (overlap > 0)))
-    best = F.min(F.struct((~holds).alias("a"), F.when(holds, 0).otherwise(-overlap).alias("b"), F.col("t.idx").alias("c"), F.col("t.speaker").alias("speaker")))
-    found = near.groupBy(F.col("s.call_id").alias("call_id"), F.col("s.seq").alias("seq")).agg(best.alias("best"))
+    s = _levelled(segments.select("call_id", "seq", "start_ms", "end_ms"))
+    t = _levelled(turn_times.select("call_id", "idx", "start_ms", "end_ms", "speaker")).select("call_id", "idx", "speaker", F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"), "lo", "hi", "level")
+    levels = lambda rows: F.broadcast(rows.select(F.col("level").alias("at")).distinct())  # noqa: E731  some tens of numbers at most
+    own = lambda rows: _in_buckets(rows.withColumn("at", F.col("level")), "at").drop("lo", "hi", "level")
+    up = lambda rows, to, test: _in_buckets(rows.join(levels(to), F.expr(test)), "at").drop("lo", "hi", "level")
+    met = up(s, t, "at >= level").join(own(t), ["call_id", "at", "bucket"]).unionByName(own(s).join(up(t, s, "at > level"), ["call_id", "at", "bucket"]))
+    mid = F.floor((F.col("start_ms") + F.col("end_ms")) / 2)
+    holds = mid.between(F.col("t_start"), F.col("t_end"))
+    overlap = F.least("end_ms", "t_end") - F.greatest("start_ms", "t_start")
+    best = F.min(F.struct((~holds).alias("a"), F.when(holds, 0).otherwise(-overlap).alias("b"), F.col("idx").alias("c"), F.col("speaker").alias("speaker")))
+    found = met.where(holds | (overlap > 0)).groupBy("call_id", "seq").agg(best.alias("best"))
     return segments.drop("speaker").join(found, ["call_id", "seq"], "left").withColumn("speaker", F.coalesce("best.speaker", F.lit("unknown"))).drop("best")
 
 

@@ -162,6 +162,14 @@ def luhn_filter(df: DataFrame, column: str) -> DataFrame:
 
 
 def carry_context(turns: DataFrame, chars: int = 240) -> DataFrame:
-    """The last ``chars`` characters of the call's earlier turns."""
-    w = Window.partitionBy("call_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("context", F.right(F.concat_ws(" ", F.collect_list("text").over(w)), F.lit(chars)))
+    """The last ``chars`` characters of the call's earlier turns.
+
+    A turn counts with its last ``chars`` characters and a separator, so no turn that begins more than twice as far back can matter:
+    the window holds a bounded stretch of text, however long the call is.
+    """
+    call = Window.partitionBy("call_id")
+    said = F.right("text", F.lit(chars))
+    size = F.when(F.col("text").isNotNull(), F.length(said) + 1).otherwise(0).cast("long")
+    placed = turns.withColumn("__said", said).withColumn("__at", F.coalesce(F.sum(size).over(call.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = call.orderBy("__at").rangeBetween(-(2 * chars + 1), -1)
+    return placed.withColumn("context", F.right(F.concat_ws(" ", F.collect_list("__said").over(near)), F.lit(chars))).drop("__said", "__at")

@@ -33,10 +33,11 @@ def accuracy(pairs: DataFrame, predicted: str, gold: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: str, by: str, q: float) -> DataFrame:
     """The value at place round(q n + 0.5) - 1, halves to even, clamped."""
-    w = Window.partitionBy(by).orderBy(value)
-    d = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v")).withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy("v"))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    w = Window.partitionBy(by).orderBy("v")
+    d = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))  # equal values are one row of the windows
+    d = d.withColumn("__k", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(Window.partitionBy(by)))
     place = F.least(F.greatest(F.bround(q * F.col("__n") + 0.5), F.lit(1.0)), F.col("__n").cast("double"))
-    return d.where(F.col("__k") == place).select(by, F.col("v").alias("value"))
+    return d.where((F.col("__k") - F.col("__c") < place) & (place <= F.col("__k"))).select(by, F.col("v").alias("value"))
 
 
 def compare_runs(before: DataFrame, after: DataFrame, tolerance: float = 0.01) -> DataFrame:

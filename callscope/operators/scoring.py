@@ -85,11 +85,40 @@ def normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"^[ .,!?…]+|[ .,!?…]+$", ""), r"\s+", " "))
 
 
+def _grams(c: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text, none of a shorter one."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _keyed(texts: DataFrame, keys: Column) -> DataFrame:
+    """(call_id, __key, __id) of each key of each text, hashed: what meets by it is compared as text afterwards."""
+    hashed = F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
+    return texts.select("call_id", "__id", F.explode_outer(hashed).alias("__key")).where("__key is not null")  # a plain explode works out its array again in a filter
+
+
+def _counted(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``wanted`` (call_id, __key, ...) with ``__n``, the number of the call's texts that have the key."""
+    n = keyed.join(wanted.select("call_id", "__key").distinct(), ["call_id", "__key"], "left_semi").groupBy("call_id", "__key").agg(F.count(F.lit(1)).alias("__n"))
+    return wanted.join(n, ["call_id", "__key"], "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+
+
 def citation_validity(evidence: DataFrame, turns: DataFrame) -> DataFrame:
-    """``evidence`` (id, call_id, quote) with ``valid``: the quote, without case, ellipses and spacing, stands in a turn of its call; under 8 characters it passes."""
+    """``evidence`` (id, call_id, quote) with ``valid``: the quote, without case, ellipses and spacing, stands in a turn of its call; under 8 characters it passes.
+
+    A quote is compared with the distinct turns of its call that hold its rarest whole word (all but its first and last);
+    one without such a word with those that hold its rarest run of 8 characters.
+    """
     quotes = evidence.withColumn("__q", normalise(F.replace(F.col("quote"), F.lit("..."), F.lit(" "))))
-    said = turns.select("call_id", normalise(F.col("text")).alias("__t"))
-    stands = quotes.select("id", "call_id", "__q").join(said, "call_id").where(F.col("__t").contains(F.col("__q"))).select("id").distinct().withColumn("__found", F.lit(True))
+    wanted = quotes.where(F.length("__q") >= LEAST_QUOTE).select("call_id", "__q").distinct().withColumn("__words", F.split("__q", " "))
+    short = F.size("__words") <= 2
+    keys = F.when(short, _grams(F.col("__q"), LEAST_QUOTE)).otherwise(F.slice("__words", F.lit(2), F.greatest(F.size("__words") - 2, F.lit(0))))
+    said = turns.select("call_id", normalise(F.col("text")).alias("__t")).where("__t is not null").distinct().withColumn("__id", F.xxhash64("__t"))
+    runs = said.join(wanted.where(short).select("call_id").distinct(), "call_id", "left_semi")
+    keyed = _keyed(said, F.split("__t", " ")).unionByName(_keyed(runs, _grams(F.col("__t"), LEAST_QUOTE))).distinct()
+    counted = _counted(wanted.select("call_id", "__q", F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("__key")), keyed)
+    rarest = counted.groupBy("call_id", "__q").agg(F.min_by("__key", F.struct("__n", "__key")).alias("__key"))
+    near = rarest.join(keyed, ["call_id", "__key"]).select("call_id", "__id", "__q").join(said, ["call_id", "__id"]).where(F.col("__t").contains(F.col("__q")))
+    stands = quotes.select("id", "call_id", "__q").join(near.select("call_id", "__q").distinct(), ["call_id", "__q"]).select("id").distinct().withColumn("__found", F.lit(True))
     out = quotes.join(stands, "id", "left")
     return out.withColumn("valid", F.coalesce(F.col("__found") | (F.length("__q") < LEAST_QUOTE), F.length("__q") < LEAST_QUOTE, F.lit(False))).drop("__q", "__found")
 
@@ -100,10 +129,24 @@ def evidence_rate(signals: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def action_recall(labelled: DataFrame, produced: DataFrame) -> DataFrame:
-    """(call_id, items, found, recall): a labelled (id, call_id, item) is found if half of its words of over four letters stand in one produced (call_id, description)."""
+    """(call_id, items, found, recall): a labelled (id, call_id, item) is found if half of its words of over four letters stand in one produced (call_id, description).
+
+    Of n words of which k must stand, one of any n - k + 1 does: an item is compared with the distinct descriptions of its call
+    that hold the rarest run of 5 characters of one of its n - k + 1 rarest words.
+    """
     words = labelled.withColumn("__w", F.filter(F.split(normalise(F.col("item")), " "), lambda w: F.length(w) > 4))
-    said = produced.select("call_id", normalise(F.col("description")).alias("__p"))
+    wanted = words.where(F.size("__w") > 0).select("call_id", "__w").distinct()
+    need = F.greatest(F.lit(1), F.floor(F.size("__w") / 2))
+    said = produced.select("call_id", normalise(F.col("description")).alias("__p")).where("__p is not null").distinct().withColumn("__id", F.xxhash64("__p"))
+    tokens = said.select("call_id", "__id", F.explode_outer(F.array_distinct(F.split("__p", " "))).alias("token")).where(F.length("token") >= 5)
+    keyed = _keyed(tokens, _grams(F.col("token"), 5)).distinct()
+    each = wanted.select("call_id", "__w", F.posexplode("__w").alias("__at", "word")).select("call_id", "__w", "__at", F.explode(F.transform(_grams(F.col("word"), 5), lambda g: F.xxhash64(g))).alias("__key"))
+    rarest = _counted(each, keyed).groupBy("call_id", "__w", "__at").agg(F.min(F.struct("__n", "__key")).alias("k"))
+    first = rarest.groupBy("call_id", "__w").agg(F.array_sort(F.collect_list(F.struct("k", "__at"))).alias("ks"))
+    first = first.select("call_id", "__w", F.explode(F.array_distinct(F.transform(F.slice("ks", F.lit(1), (F.size("__w") - need + 1).cast("int")), lambda x: x["k"]["__key"]))).alias("__key"))
+    near = first.join(keyed, ["call_id", "__key"]).select("call_id", "__id", "__w").distinct().join(said, ["call_id", "__id"])
     shared = F.size(F.filter("__w", lambda w: F.col("__p").contains(w)))
-    found = words.where(F.size("__w") > 0).join(said, "call_id").where(shared >= F.greatest(F.lit(1), F.floor(F.size("__w") / 2))).select("id").distinct().withColumn("__found", F.lit(True))
+    met = near.where(shared >= need).select("call_id", "__w").distinct()
+    found = words.select("id", "call_id", "__w").join(met, ["call_id", "__w"]).select("id").distinct().withColumn("__found", F.lit(True))
     n, hits = F.count(F.lit(1)), F.count("__found")
     return labelled.join(found, "id", "left").groupBy("call_id").agg(n.alias("items"), hits.alias("found"), F.round(hits / n, 6).alias("recall"))
