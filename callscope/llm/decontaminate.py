@@ -170,7 +170,7 @@ def _scanner(automata: list, want_text: bool, max_coverage: float):
                 out[0].append(len(words))
                 out[1].append(n_hit)
                 out[2].append(len(items))
-                out[3].append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+                out[3].append(hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest())
                 if not want_text:
                     out[4].append(None)
                     out[5].append(True)
