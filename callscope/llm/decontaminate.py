@@ -6,28 +6,34 @@ that ends at each word tell which item windows occur there. Words inside any
 occurrence of a window are hit; spans of hit words are removed, and documents of
 which they cover too much are dropped.
 
-Items beyond ``MAX_AUTOMATON_WORDS`` words are split by item into several
-automata, and the documents are streamed through each.
+The automaton is built in a task and broadcast, so its size is checked first: a
+benchmark beyond ``MAX_AUTOMATON_WORDS`` words is dealt to groups of items by
+hash. Then each group's automaton is broadcast by itself and streamed over by
+the documents, one pass a group; only the hits leave a pass, and come together
+by document.
 
 Defined results: null and empty texts have no words; an item without words never
-occurs; an empty benchmark hits nothing; repeated rows are judged one by one.
+occurs; an empty benchmark hits nothing; repeated rows are judged one by one;
+items without an id count, their names are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import pickle
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import utf8
+from callscope.llm.common import slices, stage_table, utf8
 
-#: Words of the items in one automaton (it is broadcast; a word costs about 1 kB at most).
-MAX_AUTOMATON_WORDS = 200_000
+#: Words (about) of the items in one automaton (it is broadcast; a word costs about 1 kB at most).
+MAX_AUTOMATON_WORDS = 100_000
 
 _IS_WORD = [0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)]
 #: Lower-cases A-Z and blanks every other byte that no word holds.
@@ -137,57 +143,126 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-def build_automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> list[Automaton]:
-    """Automata of at most ``MAX_AUTOMATON_WORDS`` words each (one item may exceed it alone)."""
-    groups: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), utf8(text_col).alias("t"))
-    for r in rows.toLocalIterator():
-        words = fold_words(bytes(r["t"]))
-        if groups[-1] and size + len(words) > MAX_AUTOMATON_WORDS:
-            groups.append([])
-            size = 0
-        groups[-1].append((r["k"], words))
-        size += len(words)
-    return [Automaton(g, n) for g in groups if g]
+def build_automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(group, automaton): pickled automata of about ``MAX_AUTOMATON_WORDS`` words each (one item may exceed it alone)."""
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), utf8(text_col).alias("t"))
+    words = F.size(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
+    total = benchmark.agg(F.sum(words.cast("long"))).first()[0] or 0
+    n_groups = max(1, -(-total // MAX_AUTOMATON_WORDS))
 
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        own = sorted(zip(rows.k, rows.t, strict=True), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        machine = Automaton([(k, fold_words(bytes(t))) for k, t in own], n)
+        return pd.DataFrame({"group": rows.group.iloc[:1], "automaton": [pickle.dumps(machine, pickle.HIGHEST_PROTOCOL)]})
 
-def _scanner(automata: list, want_text: bool, max_coverage: float):
+    dealt = items.withColumn("group", F.pmod(F.xxhash64("k", "t"), F.lit(n_groups)).cast("int"))
+    return stage_table(dealt.groupBy("group").applyInPandas(build, "group int, automaton binary"), "automata")
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], machine) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Each batch with (text, folded text, words, spans, items) of its rows."""
+    machine = pickle.loads(machine.value) if machine else None
+    for batch in slices(batches):
+        rows = []
+        for data in batch.column("text"):
+            data = data.as_py()
+            folded = (data or b"").translate(_FOLD)
+            words = folded.split()
+            spans, found = machine.scan(words) if machine else ([], set())
+            rows.append((data, folded, len(words), spans, [machine.names[k] for k in found]))
+        yield batch, rows
+
+
+def _report(rows: list, want_text: bool, max_coverage: float) -> list[pa.Array]:
+    """Columns n_words, n_hit, n_items, items_sha256, clean, within of scanned rows."""
+    out: list[list] = [[], [], [], [], [], []]
+    for data, folded, n_words, spans, items in rows:
+        hit = bytearray(n_words)
+        for a, b in spans:
+            hit[a:b] = b"\1" * (b - a)
+        n_hit = sum(hit)
+        out[0].append(n_words)
+        out[1].append(n_hit)
+        out[2].append(len(items))
+        out[3].append(hashlib.sha256(",".join(sorted(k for k in items if k is not None)).encode()).hexdigest())
+        out[4].append((_cut(data, folded, hit) if n_hit else data) if want_text else None)
+        out[5].append(not n_words or n_hit / n_words <= max_coverage)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_())
+    return [pa.array(v, t) for v, t in zip(out, types, strict=True)]
+
+
+_REPORT = ["n_words", "n_hit", "n_items", "items_sha256", "clean", "within"]
+_REPORT_DDL = "n_words long, n_hit long, n_items long, items_sha256 string, clean binary, within boolean"
+
+
+def _scanner(machine, want_text: bool, max_coverage: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [a.value for a in automata]
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for data in batch.column("text").to_pylist():
-                folded = (data or b"").translate(_FOLD)
-                words = folded.split()
-                hit, items = bytearray(len(words)), set()
-                for machine in machines:
-                    spans, found = machine.scan(words)
-                    items.update(machine.names[k] for k in found)
-                    for a, b in spans:
-                        hit[a:b] = b"\1" * (b - a)
-                n_hit = sum(hit)
-                out[0].append(len(words))
-                out[1].append(n_hit)
-                out[2].append(len(items))
-                out[3].append(hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest())
-                if not want_text:
-                    out[4].append(None)
-                    out[5].append(True)
-                    continue
-                out[4].append(_cut(data, folded, hit) if n_hit else data)
-                out[5].append(not words or n_hit / len(words) <= max_coverage)
-            rest = [batch.column(k) for k, c in enumerate(batch.schema.names) if c != "text"]
+        for batch, rows in _scanned(batches, machine):
             names = [c for c in batch.schema.names if c != "text"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + _report(rows, want_text, max_coverage), [*names, *_REPORT])
+
+    return scan
+
+
+def _hitter(machine, group: int):
+    """(text_key, spans, items) of the texts that a group's items hit; items are told apart by group and number."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, item = pa.struct([("a", pa.int32()), ("b", pa.int32())]), pa.struct([("k", pa.int64()), ("name", pa.string())])
+        for _, rows in _scanned(batches, machine):
+            hits = [(data, spans, items) for data, _, _, spans, items in rows if spans]
             yield pa.RecordBatch.from_arrays(
-                rest + [pa.array(v, t) for v, t in zip(out, types, strict=True)],
-                [*names, "n_words", "n_hit", "n_items", "items_sha256", "clean", "within"],
+                [
+                    pa.array([hashlib.md5(data).digest() for data, _, _ in hits], pa.binary()),
+                    pa.array([[{"a": a, "b": b} for a, b in spans] for _, spans, _ in hits], pa.list_(span)),
+                    pa.array([[{"k": group * (1 << 32) + k, "name": name} for k, name in enumerate(sorted(items, key=str))] for _, _, items in hits], pa.list_(item)),
+                ],
+                ["text_key", "spans", "items"],
             )
 
     return scan
 
 
+def _merger(want_text: bool, max_coverage: float):
+    """The report of rows whose spans and items were found in several passes."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for data, spans, items in zip(*(batch.column(c) for c in ("text", "spans", "items")), strict=True):
+                data = data.as_py()
+                folded = (data or b"").translate(_FOLD)
+                found = [(s["a"], s["b"]) for part in spans.as_py() or () for s in part]
+                names = [i["name"] for part in items.as_py() or () for i in part]
+                rows.append((data, folded, len(folded.split()), found, names))
+            names = [c for c in batch.schema.names if c not in ("text", "spans", "items", "text_key")]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + _report(rows, want_text, max_coverage), [*names, *_REPORT])
+
+    return merge
+
+
+def _reported(rows: DataFrame, benchmark: DataFrame, n: int, want_text: bool, max_coverage: float) -> DataFrame:
+    """The columns of ``rows`` but ``text`` (binary), and the report's."""
+    sc = rows.sparkSession.sparkContext
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    automata = build_automata(benchmark, n)
+    groups = [r["group"] for r in automata.select("group").orderBy("group").collect()]
+    machine = lambda g: sc.broadcast(bytes(automata.where(F.col("group") == g).first()["automaton"]))  # noqa: E731  about MAX_AUTOMATON_WORDS words
+    if len(groups) < 2:
+        return rows.mapInArrow(_scanner(machine(groups[0]) if groups else None, want_text, max_coverage), fields + _REPORT_DDL)
+    hits: DataFrame | None = None
+    for g in groups:
+        own = machine(g)
+        found = rows.select("text").mapInArrow(_hitter(own, g), "text_key binary, spans array<struct<a:int,b:int>>, items array<struct<k:bigint,name:string>>")
+        found = stage_table(found.dropDuplicates(["text_key"]), f"hits{g}")
+        own.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("text_key").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # a row a group at most
+    keyed = rows.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
+    joined = keyed.join(hits, "text_key", "left")
+    return joined.mapInArrow(_merger(want_text, max_coverage), fields + _REPORT_DDL)
+
+
 def _cut(data: bytes, folded: bytes, hit: bytearray) -> bytes:
     """The text without its runs of hit words; what stands between kept words stays."""
     kept, at = [], 0
@@ -203,30 +278,16 @@ def _cut(data: bytes, folded: bytes, hit: bytearray) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_coverage: float | None = None) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256; with ``max_coverage`` also the cleaned text and whether it stays."""
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in build_automata(benchmark, n)]
-    rows = docs.select("doc_id", utf8())
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(
-        _scanner(automata, max_coverage is not None, max_coverage or 0.0),
-        f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, clean binary, within boolean",
-    )
-    return out.withColumn("clean", F.col("clean").cast("string"))
+def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """Per document: n_words, n_hit, n_items, items_sha256."""
+    return _reported(docs.select("doc_id", utf8()), benchmark, n, False, 0.0).drop("clean", "within")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """The documents' own columns, hit spans removed, and documents covered beyond ``max_coverage`` dropped."""
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in build_automata(benchmark, n)]
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(others)], utf8())
-    fields = ", ".join(f"in_{k} {rows.schema[f'in_{k}'].dataType.simpleString()}" for k in range(len(others)))
-    out = rows.mapInArrow(
-        _scanner(automata, True, max_coverage),
-        f"{fields}, n_words long, n_hit long, n_items long, items_sha256 string, clean binary, within boolean",
-    ).where("within")
+    out = _reported(rows, benchmark, n, True, max_coverage).where("within")
     back = {c: F.col(f"in_{k}") for k, c in enumerate(others)} | {"text": F.col("clean").cast("string")}
     if "n_chars" in back:
         back["n_chars"] = F.when(F.col("n_hit") > 0, F.length(back["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])

@@ -4,10 +4,12 @@ Texts become frequencies of hashed byte n-grams of their letters. A softmax
 regression picks the language family; inside a family every pair of languages
 has a linear support vector machine, and the language with most pairwise wins
 (then the largest summed margin) is predicted. All models are linear in the
-n-gram frequencies, so a text is scored by one table look-up per n-gram.
+n-gram frequencies, so a text is scored by one product of its shares.
 
-Fitted on a bounded sample of ``PER_LANG`` rows a language (texts of up to
-``MAX_FIT_CHARS``); every document is predicted from its whole text.
+Fitted on a bounded sample of ``PER_LANG`` rows a language, of those with texts of
+up to ``MAX_FIT_CHARS`` (fewer a language, and the most frequent languages only,
+beyond the bounds of ``bounded_sample``); every document is predicted from its
+whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 without training rows everything is ``und``; with one language it is that one.
@@ -25,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import bounded_sample, in_fold, join_ids, stage_table, utf8
+from callscope.llm.common import bounded_sample, in_fold, slices, utf8
 
-PER_LANG, MAX_FIT_CHARS, BITS, MAX_LANGS = 500, 6_000, 13, 200
+PER_LANG, MAX_FIT_CHARS, BITS = 500, 6_000, 13
+#: Bytes of a text whose n-grams are counted at a time.
+CHUNK = 1 << 18
 
 #: Families of ISO 639-1 codes; any other language is a family of its own.
 FAMILIES = {
@@ -54,22 +58,24 @@ def has_letter(data: bytes | None) -> bool:
     return bool(_ASCII_LETTER.search(data)) or any(c.isalpha() for c in data.decode("utf-8", "replace"))
 
 
-def ngrams(data: bytes) -> np.ndarray:
-    """Buckets of the byte bigrams, trigrams and 4-grams of the lower-cased letters; words are set apart by one blank."""
+def shares(data: bytes) -> np.ndarray:
+    """Shares of the byte bigrams, trigrams and 4-grams of the lower-cased letters by bucket; words are set apart by one blank."""
     words = data.decode("utf-8", "replace").lower().encode().translate(_BLANK).split()
-    b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
-    parts = []
+    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    counts = np.zeros(1 << BITS, np.int64)
     with np.errstate(over="ignore"):
-        for n in (2, 3, 4):
-            m = len(b) - n + 1
-            if m < 1:
-                continue
-            h = np.full(m, n, np.uint32)
-            for k in range(n):
-                h = (h ^ b[k : k + m]) * np.uint32(0x9E3779B1)
-                h ^= h >> np.uint32(15)
-            parts.append(h >> np.uint32(32 - BITS))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        for at in range(0, len(text), CHUNK):
+            for n in (2, 3, 4):
+                b = text[at : at + CHUNK + n - 1].astype(np.uint32)
+                m = len(b) - n + 1
+                if m < 1:
+                    continue
+                h = np.full(m, n, np.uint32)
+                for k in range(n):
+                    h = (h ^ b[k : k + m]) * np.uint32(0x9E3779B1)
+                    h ^= h >> np.uint32(15)
+                counts += np.bincount(h >> np.uint32(32 - BITS), minlength=1 << BITS)
+    return (counts / max(1, counts.sum())).astype(np.float32)
 
 
 @dataclass
@@ -83,8 +89,7 @@ class Hierarchy:
     def predict(self, data: bytes | None) -> tuple[str, float]:
         if not self.families or not has_letter(data):
             return "und", 0.0
-        grams = ngrams(data)
-        z = self.bias + (self.table[grams].mean(axis=0) if len(grams) else 0)
+        z = self.bias + shares(data) @ self.table
         n = len(self.families)
         p = np.exp(z[:n] - z[:n].max())
         p /= p.sum()
@@ -139,14 +144,11 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[np.ndar
 
 
 def fit(docs: DataFrame) -> Hierarchy:
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 3, 1)).select("doc_id", "lang")
-    ids = stage_table(bounded_sample(known, "lang", PER_LANG, "doc_id").select("doc_id").distinct(), "picked")
-    texts = docs.where("lang is not null").select("doc_id", "lang", utf8()).where(F.length("text") <= MAX_FIT_CHARS)
-    rows = sorted((r["lang"], bytes(r["text"])) for r in join_ids(texts, ids, "doc_id", "left_semi").select("lang", "text").toLocalIterator())
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 3, 1) & (F.length("text") <= MAX_FIT_CHARS))
+    picked = bounded_sample(known.select("doc_id", "lang", utf8()), "lang", PER_LANG, "doc_id")
+    rows = sorted((r["lang"], bytes(r["text"])) for r in picked.select("lang", "text").toLocalIterator())
     rows = [(lang, t) for lang, t in rows if has_letter(t)]
     langs = sorted({lang for lang, _ in rows})
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGS} are fitted")
     if not langs:
         return Hierarchy([], [])
     by_family: dict[str, list[str]] = {}
@@ -157,9 +159,7 @@ def fit(docs: DataFrame) -> Hierarchy:
     size = 1 << BITS
     x = np.zeros((len(rows), size), np.float32)
     for k, (_, text) in enumerate(rows):
-        g = ngrams(text)
-        if len(g):
-            x[k] = np.bincount(g, minlength=size) / len(g)
+        x[k] = shares(text)
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5).astype(np.float32)
     x *= scale
     norm = 1 / max(1e-9, float(np.sqrt((x * x).sum(axis=1).mean())))
@@ -188,7 +188,7 @@ def fit(docs: DataFrame) -> Hierarchy:
 def _predictor(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model.value.predict
-        for batch in batches:
+        for batch in slices(batches):
             found = [predict(data.as_py()) for data in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import gram_hashes, join_ids, stage_table, utf8, word_hashes
+from callscope.llm.common import gram_hashes, join_ids, slices, stage_table, utf8, word_hashes
 
 #: Bands of hashes: at similarity 0.8 a pair shares no bucket with probability 4e-7.
 BANDS, ROWS = 28, 4
@@ -59,7 +59,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _signer(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, sigs = [], [], []
             for data in batch.column("text"):
                 s = shingle_set(data.as_py(), k)
@@ -76,7 +76,7 @@ def _signer(k: int):
 
 def _setter(k: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(data.as_py(), k).view(np.int64) for data in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "hashes"])
 

@@ -7,11 +7,12 @@ the text better. A logistic curve fitted on other labelled rows makes it a
 probability.
 
 The dictionaries and the curve are fitted on a bounded sample of labelled rows
-(``PER_CLASS`` rows a label, texts up to ``MAX_FIT_CHARS``); every document is
-scored whole.
+(``PER_CLASS`` rows a label, of those with texts up to ``MAX_FIT_CHARS``); every
+document is scored whole.
 
 Defined results: without labelled rows of both kinds every score is the share of
-good rows (0.5 without any); empty and null texts get that share too.
+good rows (0.5 without any); empty and null texts get that share too; a document
+whose labels contradict each other has none.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import bounded_sample, in_fold, join_ids, stage_table, utf8
+from callscope.llm.common import labelled_sample, slices, training_labels, utf8
 
 PER_CLASS, MAX_FIT_CHARS = 1_500, 20_000
 DICT_BYTES, BLOCK_BYTES, LEVEL = 48 * 1024, 2048, 3
@@ -66,19 +67,6 @@ def difference(data: bytes, pair: list) -> float:
     return total / (len(data) + 64)
 
 
-def _training(labels: DataFrame, label: str) -> DataFrame:
-    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 5, 0))
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """A bounded sample (text, y) of labelled rows outside the held-out fold."""
-    rows = _training(labels, label)
-    picked = bounded_sample(rows.select("doc_id", F.col(label).alias("y")), "y", PER_CLASS, "doc_id")
-    picked = stage_table(picked.dropDuplicates(["doc_id"]), "picked")
-    texts = docs.select("doc_id", utf8()).where(F.col("text").isNotNull() & (F.length("text") <= MAX_FIT_CHARS))
-    return join_ids(texts, picked, "doc_id", "inner")
-
-
 def _dictionary(texts: list[bytes]) -> bytes:
     blocks = [t[at : at + BLOCK_BYTES] for t in texts for at in range(0, len(t), BLOCK_BYTES)] or [b" "]
     size = min(DICT_BYTES, sum(map(len, blocks)) // 4)
@@ -89,13 +77,12 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionModel:
-    rows = sorted((bytes(r["text"]), r["y"]) for r in labelled(docs, labels, "quality").select("text", "y").toLocalIterator())
-    rows = [r for r in rows if r[0].strip()]
+    rows = [r for r in labelled_sample(docs, labels, "quality", PER_CLASS, MAX_FIT_CHARS) if r[0].strip()]
     y = np.array([r[1] for r in rows], float)
     base = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         return CompressionModel(b"", b"", 0.0, 0.0, base)
-    prior = {r["quality"]: r["n"] for r in _training(labels, "quality").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = {r["quality"]: r["n"] for r in training_labels(labels, "quality").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = prior.get(1, 0) / max(1, sum(prior.values()))
     # Lines that several texts share tell nothing of either kind and would fill the dictionaries.
     shared = Counter(line for text, _ in rows for line in set(text.split(b"\n")))
@@ -136,7 +123,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _scorer(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             k = batch.schema.names.index("text")
             scores = [score(data.as_py()) for data in batch.column(k)]
             names = batch.schema.names
@@ -158,7 +145,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: CompressionModel |
 def _filter(model, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.scorer()
-        for batch in batches:
+        for batch in slices(batches, "__quality_text"):
             keep = [score(data.as_py()) >= threshold for data in batch.column("__quality_text")]
             batch = batch.filter(pa.array(keep, pa.bool_()))
             yield batch.select([n for n in batch.schema.names if n != "__quality_text"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import gram_hashes, join_ids, stage_table, utf8, word_hashes
+from callscope.llm.common import gram_hashes, join_ids, slices, stage_table, utf8, word_hashes
 
 #: Words of the grams whose least hash in a window is its fingerprint.
 GRAM = 6
@@ -67,7 +67,7 @@ def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word count, key of the word sequence and digest of the words as they are."""
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[], [], []]
         for data in batch.column("text"):
             words = (data.as_py() or b"").split()
@@ -83,7 +83,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segmenter(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, fps, los, counts = [], [], [], []
             for k, data in enumerate(batch.column("text")):
                 fp, lo, n = segments(word_hashes((data.as_py() or b"").split()), window)
@@ -105,7 +105,7 @@ def _verifier(window: int):
     """For the flagged segments of a document: the hash of each of their windows, and one of the segment."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, los, windows = [], [], [], []
             for k, (data, segs) in enumerate(zip(batch.column("text"), batch.column("segs"), strict=True)):
                 h = window_hashes(word_hashes((data.as_py() or b"").split()), window)
@@ -188,7 +188,7 @@ class FingerprintIndex:
 
 def _remover(window: int, want_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], []]
             for data, segs in zip(batch.column("text"), batch.column("segs"), strict=True):
                 data = data.as_py() or b""

@@ -7,12 +7,13 @@ log-odds in the training sample beside small random values. Thresholds are
 calibrated for each language that the text itself shows by its function words,
 and shifted into the score so that 0.5 is the decision in all of them.
 
-Fitted on a bounded sample (``PER_CLASS`` labelled rows a class, texts of up to
-``MAX_FIT_CHARS``); only words in ``MIN_DOCS`` of its texts have an embedding of
+Fitted on a bounded sample (``PER_CLASS`` labelled rows a class, of those with
+texts of up to ``MAX_FIT_CHARS``); only words in ``MIN_DOCS`` of its texts have an embedding of
 their own, at most ``MAX_WORDS`` of them, and all other words share one.
 
 Defined results: null and empty texts are scored as a text of unknown words;
-without labelled rows of both kinds every score is 0.
+without labelled rows of both kinds every score is 0; a document whose labels
+contradict each other has none.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from callscope.llm.common import bounded_sample, in_fold, join_ids, stage_table, utf8, word_hashes
+from callscope.llm.common import labelled_sample, slices, utf8, word_hashes
 
 PER_CLASS, MAX_FIT_CHARS, MIN_DOCS, MAX_WORDS = 2_500, 12_000, 4, 1 << 15
 DIM, FILTERS, WIDTHS, EPOCHS, BATCH = 12, 6, (1, 2, 3), 6, 64
@@ -105,11 +105,7 @@ class ConvModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ConvModel | None:
-    rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", 5, 0))
-    picked = bounded_sample(rows.select("doc_id", F.col("toxic").alias("y")), "y", PER_CLASS, "doc_id")
-    picked = stage_table(picked.dropDuplicates(["doc_id"]), "picked")
-    texts = docs.select("doc_id", utf8()).where(F.col("text").isNotNull() & (F.length("text") <= MAX_FIT_CHARS))
-    sample = sorted((bytes(r["text"]), r["y"]) for r in join_ids(texts, picked, "doc_id", "inner").select("text", "y").toLocalIterator())
+    sample = labelled_sample(docs, labels, "toxic", PER_CLASS, MAX_FIT_CHARS)
     sample = [(h, y) for h, y in ((text_hashes(t), y) for t, y in sample) if len(h)]
     if len({y for _, y in sample}) < 2:
         return None
@@ -224,7 +220,7 @@ def _scorer(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         tables = [[t.astype(np.float32) for t in table] for table in m.tables()] if m else None
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for data in batch.column("text"):
                 if m is None:
