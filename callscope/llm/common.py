@@ -48,6 +48,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Empty the folder of a staged table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def is_small(ids: DataFrame, rows: int = MAX_BROADCAST_IDS, size: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether a narrow table has at most so many rows and bytes; reads no more rows than needed to tell."""
     wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in ids.schema]
@@ -65,6 +72,11 @@ def in_fold(doc_id: str, mod: int, rest: int):
     return F.coalesce(F.expr(f"pmod(crc32(cast({doc_id} as string)), {mod}) = {rest}"), F.lit(False))
 
 
+def text_tie(text: str = "text"):
+    """64-bit hash of a text's bytes: tells the rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+
+
 def utf8(name: str = "text"):
     return F.col(name).cast("binary").alias(name)
 
@@ -102,7 +114,7 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd base and of its inverse modulo 2^64."""
     if len(_POWERS[0]) < n:
         size = max(n, 4096)
@@ -116,7 +128,7 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0 or n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(h))
+    up, down = powers(len(h))
     sums = np.cumsum(h * up, dtype=np.uint64)
     runs = sums[n - 1 :].copy()
     runs[1:] -= sums[: m - 1]

@@ -5,13 +5,17 @@ collapse to one class first, however many copies there are. A class keeps the
 minima of many universal hashes; bands of them key buckets. In a bucket every
 member is compared with two hubs instead of with every other member: the
 signatures first, then the full sets. The verified links make components by
-alternating large-star and small-star. In buckets whose members are then still
-in several components, what is left is compared across components only; so no
-link that a bucket shows is lost.
+alternating large-star and small-star. Members of buckets that are then still in
+several components are compared across components, by an exact prefix filter:
+with shingles in order of rarity, two similar sets share one of their first few,
+so a family that shares boilerplate only yields no pairs. A shingle that very many
+of these prefixes hold is compared in blocks, which only links leave. So no link
+that a bucket shows is lost.
 
 Defined results: a null or empty text has an empty set and is linked with
 nothing; a null doc_id is kept and has a null component; rows that share a
-doc_id share its component; an empty table gives an empty result.
+doc_id but not a text are documents of their own, in the order of the texts'
+hashes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import gram_hashes, join_ids, slices, stage_table, utf8, word_hashes
+from callscope.llm.common import gram_hashes, join_ids, release, slices, stage_table, text_tie, utf8, word_hashes
 
 #: Bands of hashes: at similarity 0.8 a pair shares no bucket with probability 4e-7.
 BANDS, ROWS = 28, 4
 #: Signatures that agree in less than the threshold less this share are not compared in full (over six deviations).
 SLACK = 0.25
 
+#: Members of a shingle's group up to which its pairs are formed; beyond it blocks are compared.
+PAIRED = 64
 #: Documents of either side of a block of the exact comparison.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 
@@ -67,8 +73,8 @@ def _signer(k: int):
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "set_key", "sig"],
+                [batch.column("doc_id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
+                ["doc_id", "tie", "n_shingles", "set_key", "sig"],
             )
 
     return sign
@@ -115,10 +121,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
+    return _grouped(docs, k, threshold_percent).drop("tie")
+
+
+def _grouped(docs: DataFrame, k: int, threshold_percent: int) -> DataFrame:
+    """``near_duplicates`` with ``tie``, the hash of the row's text."""
     rows = docs.select("doc_id", utf8())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = stage_table(rows.mapInArrow(_signer(k), f"doc_id {kind}, n_shingles long, set_key binary, sig array<int>"), "signatures")
-    usable = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    signed = rows.withColumn("tie", text_tie()).mapInArrow(_signer(k), f"doc_id {kind}, tie long, n_shingles long, set_key binary, sig array<int>")
+    signed = stage_table(signed, "signatures")
+    # Where an id stands for several texts, documents are told apart by (id, hash of the text).
+    named_twice = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("tie").alias("a"), F.max("tie").alias("b")).where("a != b")
+    wide = not named_twice.isEmpty()
+    node = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie")) if wide else F.col("doc_id")
+    if wide:
+        rows = rows.withColumn("tie", text_tie()).select(node.alias("doc_id"), "text")
+        kind = rows.schema["doc_id"].dataType.simpleString()
+    usable = signed.where("set_key is not null and doc_id is not null").withColumn("doc_id", node)
     classes = stage_table(
         usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes"
     )
@@ -134,10 +153,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) ->
 
     # Buckets whose members are still apart: what is left is compared across components.
     placed = _with_component(shared.where("size > 2"), comps)
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("bucket", "least")
-    apart = stage_table(placed.join(split, "bucket").select("rep", "comp", "least").distinct(), "apart")
+    split = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most").select("bucket")
+    apart = stage_table(placed.join(split, "bucket").select("rep", "comp").distinct(), "apart")
+    release(shared)
     if not apart.isEmpty():
-        more = stage_table(_across(apart, rows, kind, k, threshold_percent), "more_links")
+        more = stage_table(_across(apart, classes, rows, kind, k, threshold_percent), "more_links")
         if not more.isEmpty():
             stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comps = stage_table(components(stars.unionByName(more)), "components2")
@@ -145,10 +165,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) ->
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("class_component")
     )
-    out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = signed.join(named, "set_key", "left").withColumn("node", node)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "node"))
+    out = out.select("doc_id", "tie", "n_shingles", component.alias("component"), "node")
+    kept = F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "tie", "n_shingles", F.col("component.doc_id" if wide else "component").alias("component_id"), kept)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -161,26 +182,65 @@ def _with_component(members: DataFrame, comps: DataFrame) -> DataFrame:
     return named.select("bucket", "rep", "n", "hubs", F.coalesce("component", "rep").alias("comp"))
 
 
-def _across(apart: DataFrame, rows: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
-    """Links (u, v) between components that share an open bucket.
+def prefix_rows(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(t, rep, comp, n, at, indexed) of the first shingles of each set, rarest first, that a similar set could share.
 
-    Components joined by such buckets are a family. Its members outside its
-    largest component are compared with all of it in blocks: a task holds at most
-    one block of either side, and only links leave it.
+    A set of n with a similar one of at most n shares one of its first n - ceil(t n) + 1 shingles with the other's first
+    m - ceil(2 t m / (1 + t)) + 1, which are ``indexed``.
+    """
+    rows = apart.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("t"))
+    held = rows.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = Window.partitionBy("rep", "n").orderBy(F.coalesce("f", F.lit(1)), "t")  # a doc_id on several rows may have several sets
+    ranked = rows.join(held, "t", "left").withColumn("at", F.row_number().over(order) - 1)
+    ranked = ranked.where(F.col("f").isNotNull() & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+    return ranked.select("t", "rep", "comp", "n", "at", (F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent))).alias("indexed"))
+
+
+def prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components whose prefixes meet, and whose sizes and places leave room for enough common shingles."""
+    x, y = (prefixes.select("t", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "at", "indexed")]) for s in "xy")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    larger = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") > F.col("rep_y")))
+    met = x.join(y.where("indexed_y"), "t").where(larger & (F.col("comp_x") != F.col("comp_y")) & (100 * F.col("n_y") >= percent * F.col("n_x")) & (left >= need))
+    return _ordered(met.select(F.col("rep_x").alias("rep"), F.col("rep_y").alias("other")))
+
+
+def _across(apart: DataFrame, classes: DataFrame, rows: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components, among the documents of ``apart`` (rep, comp)."""
+    ids = apart.select(F.col("rep").alias("doc_id")).distinct()
+    sets = stage_table(join_ids(rows, ids, "doc_id", "left_semi").mapInArrow(_setter(k), f"doc_id {kind}, hashes array<long>"), "apart_sets")
+    prefixes = stage_table(prefix_rows(apart, sets, percent), "prefixes")
+    groups = prefixes.groupBy("t").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least != most")
+    groups = stage_table(groups, "prefix_groups")
+    few = prefixes.join(groups.where(F.col("size") <= PAIRED).select("t"), "t", "left_semi")
+    links = _verified(prefix_pairs(few, percent), classes, rows, kind, k, percent)
+    many = groups.where(F.col("size") > PAIRED).select("t", "least")
+    if not many.isEmpty():
+        hot = stage_table(prefixes.join(many, "t").select("rep", "comp", "least").distinct(), "hot")
+        links = links.unionByName(_in_blocks(hot, sets, kind, percent))
+    return links.distinct()
+
+
+def _in_blocks(apart: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Links (u, v) between components that meet in ``apart`` (rep, comp, least: a component that each meets).
+
+    Components so joined are a family. Its members outside its largest component
+    are compared with all of it in blocks: a task holds at most one block of
+    either side, and only links leave it.
     """
     families = components(apart.select(F.col("comp").alias("u"), F.col("least").alias("v")).distinct())
     members = apart.select("rep", "comp").distinct().join(families.select(F.col("node").alias("comp"), F.col("component").alias("family")), "comp")
     members = stage_table(members, "family_members")
     sizes = members.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size"))
     plan = sizes.groupBy("family").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("all"), F.max("size").alias("largest"))
-    plan = plan.select("family", "main", F.ceil((F.col("all") - F.col("largest")) / QUERY_BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / MEMBER_BLOCK).cast("int").alias("nm"))
+    blocks_of = lambda n, size: F.ceil(n / size).cast("int")
+    plan = plan.select("family", "main", blocks_of(F.col("all") - F.col("largest"), QUERY_BLOCK).alias("nq"), blocks_of(F.col("all"), MEMBER_BLOCK).alias("nm"))
     dealt = members.join(plan, "family").withColumn("h", F.xxhash64("rep"))
     blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod("h", n.cast("long")).cast("int")
     asked = dealt.where("comp != main").select("family", "rep", "comp", own(F.col("nq")).alias("q"), blocks(F.col("nm")).alias("m"), F.lit(True).alias("asks"))
     all_ = dealt.select("family", "rep", "comp", blocks(F.col("nq")).alias("q"), own(F.col("nm")).alias("m"), F.lit(False).alias("asks"))
-    sets = join_ids(rows, members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_setter(k), f"doc_id {kind}, hashes array<long>")
-    sets = stage_table(sets, "family_sets")
     given = asked.unionByName(all_).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -193,11 +253,11 @@ def _across(apart: DataFrame, rows: DataFrame, kind: str, k: int, percent: int)
             reps, comps_ = right.rep.to_numpy(), right.comp.to_numpy()
             for rep, comp, own_set in zip(left.rep, left.comp, left.hashes, strict=True):
                 common = np.add.reduceat(np.isin(flat, own_set)[place], starts, dtype=np.int64)
-                hit = (100 * common >= percent * (sizes_ + len(own_set) - common)) & (comps_ != comp)
-                found += [(min(rep, other), max(rep, other)) for other in reps[hit]]
-        return pd.DataFrame(found, columns=["u", "v"]) if found else pd.DataFrame({"u": group.rep[:0], "v": group.rep[:0]})
+                hit = (100 * common >= percent * (sizes_ + len(own_set) - common)) & np.array([c != comp for c in comps_], bool)
+                found += [(rep, other) for other in reps[hit]]
+        return pd.DataFrame(found, columns=["rep", "other"]) if found else pd.DataFrame({"rep": group.rep[:0], "other": group.rep[:0]})
 
-    return given.groupBy("family", "q", "m").applyInPandas(compare, f"u {kind}, v {kind}").distinct()
+    return _ordered(given.groupBy("family", "q", "m").applyInPandas(compare, f"rep {kind}, other {kind}"))
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, kind: str, k: int, percent: int) -> DataFrame:
@@ -217,7 +277,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, kind: str,
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) -> DataFrame:
-    """The documents' own columns, one document of each group: the one with the smallest id, once."""
-    gone = near_duplicates(docs, k, threshold_percent).where(~F.col("kept")).select("doc_id").distinct()
-    kept = join_ids(docs, stage_table(gone, "gone"), "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])  # a document given twice under one id is one document
+    """The documents' own columns, one document of each group: the one with the smallest id, once.
+
+    A row is told by its id and the hash of its text, so of rows that share an id only those that duplicate another document go.
+    Rows without an id stay. Texts are only joined with the narrow table of what goes.
+    """
+    grouped = stage_table(_grouped(docs, k, threshold_percent), "grouped")
+    keys = ["__id", "__tie"]
+    narrow = grouped.where("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "kept")
+    gone = stage_table(narrow.where("not kept").select(*keys).distinct(), "gone")
+    again = stage_table(narrow.where("kept").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys), "again")
+    rows = docs.withColumn("__id", F.col("doc_id")).withColumn("__tie", text_tie())
+    kept = join_ids(rows, gone, keys, "left_anti")
+    if not again.isEmpty():  # a document given twice under one id is one document
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        once = join_ids(kept, again, keys, "left_semi").withColumn("__rank", first).where("__rank = 1").drop("__rank")
+        kept = join_ids(kept, again, keys, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

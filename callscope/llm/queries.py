@@ -81,7 +81,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=20, batches=2)
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), window=20, batches=3)
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,33 @@
 
 Windows of consecutive words are indexed by winnowing: the least hash among the
 short word grams of a window is its fingerprint, so equal windows share it, and
-a stretch of windows with one fingerprint is one index row (a segment). A batch
-of documents becomes an immutable run of segments, sorted by fingerprint. To
-add a batch, its run is merge-joined with the runs of history on the
-fingerprint; segments whose fingerprint occurs twice are verified with 64-bit
-hashes of every whole window, taken from the texts again. Runs beyond a fan-out
-are compacted into one.
-
-A word goes if a window that covers it also starts earlier: in a document with
-a smaller id, or before in the same document. Windows are judged on the input.
+a stretch of windows with one fingerprint is one index row (a segment), with a
+64-bit hash of all its windows. Rows of equal fingerprint and segment hash are a
+class; a class is told apart by 128 bits. A batch of documents becomes an
+immutable run, bucketed and sorted by fingerprint.
+
+To add a batch, its run is merge-joined with the runs of history, bucket by
+bucket, without a shuffle of history; only the rows that meet go on. A new segment whose class has an earlier
+member is repeated as a whole. Where a fingerprint has several classes, their
+first members may share windows in part: these are verified by the 64-bit hashes
+of every window beside the fingerprint, from the words of those few documents.
+Runs beyond a fan-out are merged into one, which keeps the first of each class.
+``save`` and ``open`` keep the index in a folder, so that a later session adds a
+batch without the tables of the earlier ones.
+
+A class that very many documents hold doesn't gather: a task passes on only its
+own least member of each class that it remembers, and knows the others as
+repeated.
+
+A word goes if a window that covers it also starts earlier: in an earlier batch,
+in a document with a smaller id, or before in the same document. Windows are
+judged on the input.
 
 Defined results: null and empty texts have no words; documents shorter than a
-window lose nothing; whole copies are resolved by one hash of the document and
-stay out of the index, so they cost nothing there; a document whose id is null
-sorts last; rows that share an id don't remove each other.
+window lose nothing; documents whose id is null come last; of documents that
+share an id, or have none, one that differs comes earlier by the hash of its
+text, and equal rows are one document, with one result; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +36,25 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import gram_hashes, join_ids, slices, stage_table, utf8, word_hashes
+from callscope.llm.common import gram_hashes, is_small, mix, powers, release, slices, stage_table, text_tie, utf8, word_hashes, work_dir
 
 #: Words of the grams whose least hash in a window is its fingerprint.
 GRAM = 6
 #: Low bits that hold a gram's place while the least of a window is sought.
 PLACE_BITS = 24
+#: Classes that a task remembers to tell their later members at once.
+REMEMBERED = 50_000
+#: Columns of a place, in order: an earlier one keeps a window.
+PLACE = ("batch", "unnamed", "doc_id", "tie", "lo")
 _SPAN = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -61,146 +80,262 @@ def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
     return grams[place[first]], first, np.diff(first, append=n)
 
 
-def window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
-    return gram_hashes(hashes, window)
+def run_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run of ``size`` hashes from ``first``, from prefix sums."""
+    up, down = powers(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
+    first = first.astype(np.int64)
+    return mix((sums[first + size.astype(np.int64)] - sums[first]) * down[first] + size.astype(np.uint64))
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word count, key of the word sequence and digest of the words as they are."""
+    """Word count and digest of the words as they are."""
     for batch in slices(batches):
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], []]
         for data in batch.column("text"):
             words = (data.as_py() or b"").split()
-            joined = b" ".join(words)
             out[0].append(len(words))
-            out[1].append(hashlib.md5(joined).digest())
-            out[2].append(hashlib.sha256(joined).hexdigest())
+            out[1].append(hashlib.sha256(b" ".join(words)).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.string()), strict=True))],
-            ["doc_id", "n_words", "key", "words_sha256"],
+            [batch.column("doc_id"), batch.column("tie"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string()), strict=True))],
+            ["doc_id", "tie", "n_words", "words_sha256"],
         )
 
 
+def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+
+
 def _segmenter(window: int):
+    """(fp, seg, doc_id, tie, lo, n, lead) of every segment; one that isn't a lead has an equal one before it in the same task."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], tuple] = {}
         for batch in slices(batches):
-            ids, fps, los, counts = [], [], [], []
-            for k, data in enumerate(batch.column("text")):
-                fp, lo, n = segments(word_hashes((data.as_py() or b"").split()), window)
-                if len(fp):
-                    ids.append(np.full(len(fp), k))
-                    fps.append(fp)
-                    los.append(lo)
-                    counts.append(n)
-            cat = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
+            ids, fps, segs, los, counts, leads = [], [], [], [], [], []
+            for k, (data, own, tie) in enumerate(zip(*(batch.column(c) for c in ("text", "doc_id", "tie")), strict=True)):
+                words = word_hashes((data.as_py() or b"").split())
+                fp, lo, n = segments(words, window)
+                if not len(fp):
+                    continue
+                seg = run_hashes(gram_hashes(words, window), lo, n)
+                own, tie = own.as_py(), tie.as_py()
+                doc = (own is None, own if own is not None else 0, tie)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                lead = []
+                for key, at in zip(zip(fp.tolist(), seg.tolist(), strict=True), lo.tolist(), strict=True):
+                    place, least = (doc, at), seen.get(key)
+                    first = least is None or place <= least
+                    if first:
+                        seen[key] = place
+                    lead.append(first)
+                ids.append(np.full(len(fp), k))
+                for part, values in zip((fps, segs, los, counts, leads), (fp, seg, lo, n, lead), strict=True):
+                    part.append(np.asarray(values))
+            at = pa.array(_cat(ids, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(fps, np.uint64).view(np.int64)), batch.column("doc_id").take(pa.array(cat(ids, np.int64))), pa.array(cat(los, np.int32)), pa.array(cat(counts, np.int32))],
-                ["fp", "doc_id", "lo", "n"],
-            )
+                [
+                    pa.array(_cat(fps, np.uint64).view(np.int64)), pa.array(_cat(segs, np.uint64).view(np.int64)), batch.column("doc_id").take(at), batch.column("tie").take(at),
+                    pa.array(_cat(los, np.int32)), pa.array(_cat(counts, np.int32)), pa.array(_cat(leads, np.bool_)),
+                ],
+                ["fp", "seg", "doc_id", "tie", "lo", "n", "lead"],
+            )
 
     return rows
 
 
-def _verifier(window: int):
-    """For the flagged segments of a document: the hash of each of their windows, and one of the segment."""
+def _windower(window: int):
+    """(fp, w, batch, doc_id, tie, lo) of every window of the wanted segments of a document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, keys, los, windows = [], [], [], []
-            for k, (data, segs) in enumerate(zip(batch.column("text"), batch.column("segs"), strict=True)):
-                h = window_hashes(word_hashes((data.as_py() or b"").split()), window)
-                for seg in segs.as_py():
-                    own = h[seg["lo"] : seg["lo"] + seg["n"]]
-                    if len(own) < seg["n"]:
-                        continue  # of another row with this id
-                    ids.append(k)
-                    keys.append(own)
-                    los.append(seg["lo"])
-                    windows.append(own.view(np.int64))
-            sums = [int(gram_hashes(own, len(own)).view(np.int64)[0]) for own in keys]
+            ids, fps, ws, los = [], [], [], []
+            wanted = batch.column("segs")
+            flat, offsets = wanted.flatten(), np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
+            fp, lo, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "lo", "n"))
+            for k, data in enumerate(batch.column("text")):
+                own = slice(int(offsets[k]), int(offsets[k + 1]))
+                h = gram_hashes(word_hashes((data.as_py() or b"").split()), window)
+                size = n[own].astype(np.int64)
+                starts = np.repeat(lo[own].astype(np.int64) - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+                ids.append(np.full(len(starts), k))
+                fps.append(np.repeat(fp[own], size))
+                ws.append(h[starts])
+                los.append(starts)
+            at = pa.array(_cat(ids, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(sums, pa.int64()), pa.array(los, pa.int32()), pa.array(windows, pa.list_(pa.int64()))],
-                ["doc_id", "seg", "lo", "windows"],
+                [pa.array(_cat(fps, np.int64)), pa.array(_cat(ws, np.uint64).view(np.int64)), *(batch.column(c).take(at) for c in ("batch", "doc_id", "tie")), pa.array(_cat(los, np.int32))],
+                ["fp", "w", "batch", "doc_id", "tie", "lo"],
             )
 
     return rows
 
 
+def _place() -> Column:
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    return F.struct(*[unnamed if c == "unnamed" else F.col(c) for c in PLACE])
+
+
+def _of_same_document(df: DataFrame, other: DataFrame, how: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Join by (doc_id, tie, ``also``), a null id with a null id; ``other`` is broadcast if it is checked to be small and flat."""
+    keys = ("doc_id", "tie", *also)
+    right = other.select(*[F.col(c).alias(f"__{c}") for c in keys], *[c for c in other.columns if c not in keys])
+    same = [df["doc_id"].eqNullSafe(right["__doc_id"]), *[df[c] == right[f"__{c}"] for c in keys[1:]]]
+    small = len(right.columns) == len(keys) and is_small(right)
+    return df.join(F.broadcast(right) if small else right, reduce(lambda a, b: a & b, same), how).drop(*[f"__{c}" for c in keys])
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of segments; each ``add`` tells which windows of the new batch start earlier."""
+    """Runs of segments, each bucketed and sorted by fingerprint, and the words of the documents that they came from."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = 20, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.window, self.fanout = spark, window, fanout
+        self.path = (path or f"{work_dir(spark)}/callscope-{uuid.uuid4().hex}/index").rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.kind: str | None = None
+        self.runs: dict[str, DataFrame] = {}
+        self.texts: dict[int, DataFrame] = {}
+        self.stored: set[int] = set()
+        self.version = self.batches = self.made = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index as it was last saved in the folder."""
+        saved = spark.read.parquet(f"{path.rstrip('/')}/manifest")
+        last = saved.where(F.col("version") == saved.agg(F.max("version")).first()[0]).collect()  # a row a run and a batch
+        head = last[0]
+        index = cls(spark, path, head["window"], head["fanout"], head["buckets"])
+        index.kind, index.version, index.batches, index.made = head["kind"], head["version"], head["batches"], head["made"]
+        index.runs = {r["name"]: index._table(r["name"], True) for r in last if r["what"] == "run"}
+        for r in last:
+            if r["what"] == "words":
+                index.texts[int(r["name"])] = spark.read.parquet(f"{index.path}/words-{r['name']}")
+        index.stored = set(index.texts)
+        return index
+
+    def save(self) -> None:
+        """Write what isn't in the folder yet: the words of new batches and the list of runs."""
+        for number, text in self.texts.items():
+            if number not in self.stored:
+                text.write.parquet(f"{self.path}/words-{number}")
+                self.texts[number] = self.spark.read.parquet(f"{self.path}/words-{number}")
+        self.stored = set(self.texts)
+        self.version += 1
+        head = (self.version, self.window, self.fanout, self.buckets, self.kind, self.batches, self.made)
+        rows = [(*head, "run", name) for name in self.runs] + [(*head, "words", str(k)) for k in self.texts]
+        schema = "version int, window int, fanout int, buckets int, kind string, batches int, made int, what string, name string"
+        self.spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def close(self) -> None:
+        """Forget the tables of the session; the files stay."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+
+    def _name(self, name: str) -> str:
+        return f"callscope_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{name}"
+
+    def _table(self, name: str, create: bool = False) -> DataFrame:
+        if create:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+            self.spark.sql(
+                f"CREATE TABLE {self._name(name)} (fp BIGINT, seg BIGINT, batch INT, doc_id {self.kind}, tie BIGINT, lo INT, n INT) USING parquet "
+                f"CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+            )
+        return self.spark.table(self._name(name))
 
-    def __init__(self, window: int, fanout: int = 4):
-        self.window, self.fanout = window, fanout
-        self.runs: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
+    def _write(self, rows: DataFrame) -> str:
+        """A new run; ``rows`` are dealt by fingerprint already, so every task writes one bucket."""
+        name = f"run{self.made}"
+        self.made += 1
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
+        rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(self._name(name))
+        return name
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """``batch`` (doc_id, text) holds larger ids than all before. Returns (doc_id, lo, n): runs of repeated windows."""
-        kind = batch.schema["doc_id"].dataType.simpleString()
-        run = batch.mapInArrow(_segmenter(self.window), f"fp long, doc_id {kind}, lo int, n int")
-        run = stage_table(run.sortWithinPartitions("fp"), f"run{len(self.runs)}")
-        self.texts.append(batch)
-        marked = run.withColumn("new", F.lit(1))
-        for old in self.runs:
-            marked = marked.unionByName(old.withColumn("new", F.lit(0)))
-        twice = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("times"), F.max("new").alias("any_new")).where("times > 1 and any_new = 1").select("fp")
-        flagged = marked.join(twice, "fp", "left_semi")
-        per_doc = flagged.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("segs"), F.max("new").alias("new"))
-        per_doc = stage_table(per_doc, "flagged")
-        texts = self.texts[0]
-        for more in self.texts[1:]:
-            texts = texts.unionByName(more)
-        ids = stage_table(per_doc.select("doc_id"), "flagged_ids")
-        some = join_ids(texts, ids, "doc_id", "left_semi").join(per_doc.select("doc_id", "segs"), "doc_id")
-        checked = stage_table(
-            some.mapInArrow(_verifier(self.window), f"doc_id {kind}, seg long, lo int, windows array<long>"), "checked"
-        )
-        self.runs.append(run)
-        if len(self.runs) > self.fanout:
+        """``batch`` (doc_id, tie, text as binary) comes after all before it. Returns (doc_id, tie, lo, n): its runs of repeated windows."""
+        self.kind = self.kind or batch.schema["doc_id"].dataType.simpleString()
+        if len(self.runs) >= self.fanout:
             self.compact()
-        fresh = stage_table(per_doc.where("new = 1").select("doc_id"), "fresh")
-        return self._repeated(checked, fresh)
-
-    def _repeated(self, checked: DataFrame, fresh: DataFrame) -> DataFrame:
-        # Whole segments first: a passage met many times is nearly always cut into the same ones.
-        place = F.struct("doc_id", "lo")
-        firsts = stage_table(checked.groupBy("seg").agg(F.min(F.struct("doc_id", "lo", "windows")).alias("f")).select("seg", "f.*"), "firsts")
-        whole = (
-            checked.select("seg", "doc_id", "lo", F.size("windows").alias("n"))
-            .join(firsts.select("seg", F.struct("doc_id", "lo").alias("first")), "seg")
-            .where(place != F.col("first"))
-            .select("doc_id", "lo", "n")
-        )
-        # Then single windows among the first of each segment, which differ as a whole.
-        single = firsts.select("doc_id", "lo", F.posexplode("windows").alias("k", "w")).select("w", "doc_id", (F.col("lo") + F.col("k")).alias("lo"))
-        least = single.groupBy("w").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1").select("w", "first")
-        single = single.join(least, "w").where(place != F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
-        return join_ids(whole.unionByName(single), fresh, "doc_id", "left_semi")
+        number, self.batches = self.batches, self.batches + 1
+        self.texts[number] = batch
+        members = stage_table(batch.mapInArrow(_segmenter(self.window), f"fp long, seg long, doc_id {self.kind}, tie long, lo int, n int, lead boolean"), "members")
+        loose = stage_table(members.where("not lead").select("doc_id", "tie", "lo", "n"), "loose")
+        run = members.where("lead").select("fp", "seg", F.lit(number).alias("batch"), "doc_id", "tie", "lo", "n")
+        name = self._write(run.repartition(self.buckets, "fp"))
+        release(members)
+        new = self._table(name)
+        met = reduce(DataFrame.unionByName, self.met(new)).repartition("fp")
+        by_fp = Window.partitionBy("fp")
+        met = met.withColumn("rep", _place() == F.min(_place()).over(Window.partitionBy("fp", "seg")))
+        several = F.min("seg").over(by_fp) != F.max("seg").over(by_fp)
+        is_new = F.col("batch") == number
+        met = met.withColumn("open", several & F.max(is_new & F.col("rep")).over(by_fp))
+        met = stage_table(met.where((is_new & ~F.col("rep")) | (F.col("rep") & F.col("open"))), "met")
+        self.runs[name] = new
+        whole = met.where(is_new & ~F.col("rep")).select("doc_id", "tie", "lo", "n")
+        found = loose.unionByName(whole).unionByName(self._shared_windows(met.where("rep and open"), number))
+        return stage_table(found, "repeated")
+
+    def met(self, new: DataFrame) -> list[DataFrame]:
+        """The rows of the run ``new`` whose fingerprint is in it twice or in another run, and the rows of each other run that it meets.
+
+        All runs are bucketed alike, so these are merge joins of buckets: nothing is shuffled.
+        """
+        old = list(self.runs.values())
+        twice = new.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("fp")))
+        test = F.col("__n") > 1
+        for k, df in enumerate(old):
+            twice = twice.join(df.groupBy("fp").agg(F.count(F.lit(1)).alias(f"__in{k}")), "fp", "left")
+            test |= F.col(f"__in{k}").isNotNull()
+        return [twice.where(test).select(*new.columns), *(df.join(new.select("fp"), "fp", "left_semi") for df in old)]
+
+    def _shared_windows(self, reps: DataFrame, number: int) -> DataFrame:
+        """Windows of batch ``number`` that another class has before, among first members of classes that share a fingerprint."""
+        per_doc = stage_table(reps.groupBy("batch", "doc_id", "tie").agg(F.collect_list(F.struct("fp", "lo", "n")).alias("segs")), "wanted")
+        some = [
+            _of_same_document(text, stage_table(per_doc.where(F.col("batch") == k).select("doc_id", "tie"), f"ids{k}"), "left_semi").withColumn("batch", F.lit(k))
+            for k, text in self.texts.items()
+        ]
+        some = _of_same_document(reduce(DataFrame.unionByName, some), per_doc, "inner", ("batch",))
+        windows = some.mapInArrow(_windower(self.window), f"fp long, w long, batch int, doc_id {self.kind}, tie long, lo int")
+        windows = stage_table(windows, "windows")
+        first = windows.groupBy("fp", "w").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("fp", "w", "first")
+        later = windows.where(F.col("batch") == number).join(first, ["fp", "w"]).where(_place() != F.col("first"))
+        return later.select("doc_id", "tie", "lo", F.lit(1).alias("n"))
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.unionByName(run)
-        n = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.runs = [stage_table(merged.repartitionByRange(n, "fp", "doc_id", "lo").sortWithinPartitions("fp"), "compacted")]
+        """Merge all runs into one; the first member of a class stands for it."""
+        order = ["batch", F.col("doc_id").asc_nulls_last(), "tie", "lo"]
+        rank = F.row_number().over(Window.partitionBy("fp", "seg").orderBy(*order))
+        # Dealt anew: Spark 4.1 takes a union of bucketed tables for bucketed, but reads its parts one after the other.
+        merged = reduce(DataFrame.unionByName, self.runs.values()).repartition(self.buckets, "fp").withColumn("__rank", rank)
+        old, name = self.runs, self._write(merged.where("__rank = 1").drop("__rank"))
+        self.runs = {name: self._table(name)}
+        for gone, df in old.items():
+            if not self.version:  # a saved index may be open elsewhere
+                release(df)
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(gone)}")
 
 
 def _remover(window: int, want_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list] = [[], [], []]
-            for data, segs in zip(batch.column("text"), batch.column("segs"), strict=True):
+            found = batch.column("segs")
+            flat, offsets = found.flatten(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy(zero_copy_only=False))])
+            lo, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "n"))
+            for k, data in enumerate(batch.column("text")):
                 data = data.as_py() or b""
                 words = data.split()
                 gone = bytearray(len(words))
-                for seg in segs.as_py() or ():
-                    end = min(len(words), seg["lo"] + seg["n"] + window - 1)
-                    gone[seg["lo"] : end] = b"\1" * max(0, end - seg["lo"])
-                n = sum(gone)
-                out[0].append(n)
+                own = slice(int(offsets[k]), int(offsets[k + 1]))
+                for first, size in zip(lo[own].tolist(), n[own].tolist(), strict=True):
+                    gone[first : first + size + window - 1] = b"\1" * (size + window - 1)
+                removed = sum(gone)
+                out[0].append(removed)
                 out[1].append(hashlib.sha256(b" ".join([w for w, g in zip(words, gone, strict=True) if not g])).hexdigest())
-                out[2].append((_without(data, gone) if n else data) if want_text else None)
+                out[2].append((_without(data, gone) if removed else data) if want_text else None)
             rest = [(batch.column(k), c) for k, c in enumerate(batch.schema.names) if c not in ("text", "segs")]
             yield pa.RecordBatch.from_arrays(
                 [c for c, _ in rest] + [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.string(), pa.binary()), strict=True)],
@@ -221,78 +356,66 @@ def _without(data: bytes, gone: bytearray) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(summary of every row, (doc_id, segs) of the documents that lose words).
-
-    The documents come to the index in ``batches`` steps of ascending ids. The
-    summary has doc_id, n_words, words_sha256 and copy: whether the same word
-    sequence stands in a document with a smaller id.
-    """
-    rows = docs.select("doc_id", utf8())
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    summary = stage_table(rows.mapInArrow(_summary, f"doc_id {kind}, n_words long, key binary, words_sha256 string"), "summary")
-    firsts = summary.where(f"n_words >= {window}").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    summary = summary.join(firsts.select("key", "first"), "key", "left").withColumn(
-        "copy", F.coalesce(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")), F.lit(False))
-    )
-    summary = stage_table(summary.select("doc_id", "n_words", "words_sha256", "copy"), "copies")
-    copies = stage_table(summary.where("copy").select("doc_id").where("doc_id is not null").distinct(), "copy_ids")
-    texts = join_ids(rows.where("doc_id is not null"), copies, "doc_id", "left_anti")
-    index = FingerprintIndex(window)
-    found: DataFrame | None = None
-    for lower, upper in _cuts(summary, batches):
-        part = texts
-        if lower is not None:
-            part = part.where(F.col("doc_id") > F.lit(lower))
-        if upper is not None:
-            part = part.where(F.col("doc_id") <= F.lit(upper))
-        new = index.add(part)
-        found = new if found is None else found.unionByName(new)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("segs"))
-    return summary, stage_table(spans, "spans")
-
-
-def _cuts(summary: DataFrame, batches: int) -> list[tuple]:
-    """Ranges of ids with about equally many rows."""
-    if batches < 2 or summary.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+def with_tie(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds ``tie``, which tells documents of one id apart: 0, or the text's hash where the id is null or some id has several texts."""
+    digest = text_tie(text_col)
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    unique = ids.where("a != b").isEmpty()
+    tie = F.when(F.col(id_col).isNull(), digest).otherwise(0) if unique else digest
+    return docs.withColumn("tie", tie.cast("long"))
+
+
+def repeated_spans(rows: DataFrame, window: int = 20, batches: int = 3) -> DataFrame:
+    """(doc_id, tie, segs) of the documents of (doc_id, tie, text) that lose words; they come to the index in ``batches`` steps of ascending ids."""
+    index = FingerprintIndex(rows.sparkSession, window=window)
+    found = []
+    for lower, upper in _cuts(rows, batches):
+        part = rows if lower is None else rows.where(F.col("doc_id").isNull() | (F.col("doc_id") > F.lit(lower)))
+        found.append(index.add(part if upper is None else part.where(F.col("doc_id") <= F.lit(upper))))
+    spans = reduce(DataFrame.unionByName, found).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("segs"))
+    spans = stage_table(spans, "spans")
+    for df in (*found, *index.runs.values()):
+        release(df)
+    index.close()
+    return spans
+
+
+def _cuts(rows: DataFrame, batches: int) -> list[tuple]:
+    """Ranges of ids with about equally many documents, whatever their type; null ids are in the last."""
+    if batches < 2:
         return [(None, None)]
-    at = summary.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
-    at = sorted(set(at))
+    parts = rows.select("doc_id").where("doc_id is not null").repartitionByRange(4 * batches, "doc_id")
+    ends = sorted(r["e"] for r in parts.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("e")).collect())  # one row a partition
+    at = sorted({ends[len(ends) * k // batches - 1] for k in range(1, batches) if len(ends) * k // batches > 0})
     return list(zip([None, *at], [*at, None], strict=True))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, batches: int = 3) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row."""
-    summary, spans = repeated_spans(docs, window, batches)
-    rows = docs.select("doc_id", utf8())
+    rows = with_tie(docs.select("doc_id", utf8()))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ids = stage_table(spans.select("doc_id"), "span_ids")
-    some = join_ids(rows, ids, "doc_id", "left_semi").join(spans, "doc_id")
-    cut = some.mapInArrow(_remover(window, False), f"doc_id {kind}, n_removed long, kept_sha256 string, clean binary")
-    cut = stage_table(cut.dropDuplicates(["doc_id"]).select("doc_id", "n_removed", "kept_sha256"), "cut")
-    nothing = hashlib.sha256(b"").hexdigest()
-    return summary.join(cut, "doc_id", "left").select(
-        "doc_id",
-        "n_words",
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), F.lit(nothing)).otherwise(F.coalesce("kept_sha256", "words_sha256")).alias("kept_sha256"),
+    spans = repeated_spans(rows, window, batches)
+    summary = rows.mapInArrow(_summary, f"doc_id {kind}, tie long, n_words long, words_sha256 string")
+    some = _of_same_document(rows, stage_table(spans.select("doc_id", "tie"), "span_ids"), "left_semi")
+    cut = _of_same_document(some, spans, "inner").mapInArrow(_remover(window, False), f"doc_id {kind}, tie long, n_removed long, kept_sha256 string, clean binary")
+    cut = stage_table(cut.drop("clean").dropDuplicates(["doc_id", "tie"]), "cut")
+    return _of_same_document(summary, cut, "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256")
     )
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
-    """The documents' own columns, texts without repeated passages; documents left without a word go."""
-    summary, spans = repeated_spans(docs, window, batches)
-    others = [c for c in docs.columns if c != "text"]
-    copies = stage_table(summary.where("copy").select("doc_id").where("doc_id is not null").distinct(), "copy_ids")
-    rest = join_ids(docs, copies, "doc_id", "left_anti")
-    ids = stage_table(spans.select("doc_id"), "span_ids")
-    same = join_ids(rest, ids, "doc_id", "left_anti")
-    some = join_ids(rest, ids, "doc_id", "left_semi").select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(others)], utf8())
-    at = f"in_{others.index('doc_id')}"
-    some = some.join(spans.select(F.col("doc_id").alias(at), "segs"), at)
+def drop_repeats(docs: DataFrame, window: int = 20, batches: int = 3) -> DataFrame:
+    """The documents' own columns, texts without repeated passages; documents that lose all their words go."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)])
+    at = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    rows = with_tie(own.withColumn("doc_id", F.col(at["doc_id"])).withColumn("text", F.col(at["text"]).cast("binary")))
+    spans = repeated_spans(rows.select("doc_id", "tie", "text"), window, batches)
+    ids = stage_table(spans.select("doc_id", "tie"), "span_ids")
+    same = _of_same_document(rows, ids, "left_anti").select(*[F.col(at[c]).alias(c) for c in docs.columns])
+    some = _of_same_document(_of_same_document(rows, ids, "left_semi").drop(at["text"]), spans, "inner")
     fields = ", ".join(f"{c} {some.schema[c].dataType.simpleString()}" for c in some.columns if c not in ("text", "segs"))
     cut = some.mapInArrow(_remover(window, True), f"{fields}, n_removed long, kept_sha256 string, clean binary")
-    back = {c: F.col(f"in_{k}") for k, c in enumerate(others)} | {"text": F.col("clean").cast("string")}
+    back = {c: F.col(k) for c, k in at.items()} | {"text": F.col("clean").cast("string")}
     if "n_chars" in back:
         back["n_chars"] = F.length(back["text"]).cast(docs.schema["n_chars"].dataType)
     cut = cut.select(*[back[c].alias(c) for c in docs.columns]).where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "")

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 AZ = {c: c + 32 for c in range(65, 91)}
@@ -77,6 +79,24 @@ def repeats(docs, n=20):
     return out
 
 
+def tie(text):
+    """The 64-bit hash that Spark's xxhash64 gives a text's bytes, signed."""
+    h = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def repeats_by_row(rows, n=20):
+    """(id, words, removed, digest) of rows whose ids may be null or shared, in any order."""
+    texts = defaultdict(set)
+    for k, text in rows:
+        texts[k].add(text or "")
+    shared = any(len(own) > 1 for k, own in texts.items() if k is not None)
+    order = sorted({(k is None, k if k is not None else 0, tie(t) if shared or k is None else 0, t) for k, own in texts.items() for t in own})
+    done = repeats([(place, t) for place, (_, _, _, t) in enumerate(order)], n)
+    by = {(None if none else k, t): done[place] for place, (none, k, _, t) in enumerate(order)}
+    return sorted(((k, *by[k, t or ""]) for k, t in rows), key=str)
+
+
 def near(docs, k=4, percent=80):
     sets = {}
     for d, text in docs:

@@ -168,8 +168,10 @@ def test_substring_dedup_small_windows_and_odd_tables(spark):
     out = substring_dedup.remove_repeats(frame(spark, rows), 7, 3)
     assert got(out, "n_words", "n_removed", "kept_sha256") == brute.repeats(rows, 7)
     assert substring_dedup.remove_repeats(frame(spark, []), 20, 2).count() == 0
-    odd = substring_dedup.remove_repeats(frame(spark, ODD + [(None, PASSAGE), (1, PASSAGE), (1, PASSAGE)]), 20, 2)
-    assert odd.count() == len(ODD) + 3
+    rows = ODD + [(None, PASSAGE), (1, PASSAGE), (1, PASSAGE), (None, f"more {PASSAGE} here"), (13, " ".join(f"u{i}" for i in range(32))), (None, "short")]
+    for batches in (1, 3):
+        odd = substring_dedup.remove_repeats(frame(spark, rows), 20, batches).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in odd), key=str) == brute.repeats_by_row(rows)
     kept = substring_dedup.drop_repeats(frame(spark, ODD), 20, 2)
     assert kept.columns == frame(spark, []).columns
     texts = {r.doc_id: r.text for r in kept.collect()}
