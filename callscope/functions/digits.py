@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 #: Spoken digits, words that repeat the next one, and how far filler words may part a number.
 UNITS = {"zero": "0", "oh": "0", "o": "0", "nought": "0", "nil": "0", "one": "1", "won": "1", "two": "2", "three": "3", "tree": "3",
          "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "ate": "8", "nine": "9"}
-TEENS = {w: str(10 + i) for i, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
-TENS = {w: str(2 + i) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split())} | {"fourty": "4"}
+TEENS = {"ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16",
+         "seventeen": "17", "eighteen": "18", "nineteen": "19"}
+TENS = {"twenty": "2", "thirty": "3", "forty": "4", "fourty": "4", "fifty": "5", "sixty": "6", "seventy": "7", "eighty": "8", "ninety": "9"}
 REPEATS = {"double": 2, "triple": 3, "treble": 3}
 FILLERS, STOPS = 5, ".?!;"
 

@@ -20,7 +20,7 @@ def validate_segments(segments: DataFrame) -> DataFrame:
         ("times", "start_ms", "start_ms is null or end_ms is null or start_ms < 0 or end_ms < start_ms"),
         ("confidence", "asr_confidence", "asr_confidence not between 0 and 1"),
         ("emitted_at", "emitted_at", "emitted_at is null"),
-        ("version", "schema_version", f"split_part(schema_version, '.', 1) <> '{MAJOR}'"),
+        ("version", "schema_version", f"coalesce(split_part(schema_version, '.', 1), '') <> '{MAJOR}'"),
         ("redactions", "redactions", f"size(redactions) > {MAX_REDACTIONS}"),
         ("spans", "redactions", "exists(redactions, r -> not (r.start >= 0 and r.end > r.start and r.end <= length(text) and substring(text, r.start + 1, r.end - r.start) = r.placeholder and r.placeholder rlike '^<[A-Z_]+_[0-9]+>$' and r.confidence between 0 and 1))"),
     ]
@@ -28,6 +28,11 @@ def validate_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("reasons", F.array_compact(F.array(*found)))
 
 
+def compatible(segments: DataFrame, column: str = "schema_version") -> DataFrame:
+    """Rows whose version has the major number that this library reads; a row without a version is not compatible."""
+    return segments.where(F.coalesce(F.split_part(column, F.lit("."), F.lit(1)), F.lit("")) == MAJOR)
+
+
 def dedupe_segments(segments: DataFrame, arrival: str = "emitted_at") -> DataFrame:
     """The first arrival of every (call, seq, final or partial)."""
     w = Window.partitionBy("call_id", "seq", "is_final").orderBy(arrival)
@@ -40,8 +45,8 @@ def latest_hypothesis(segments: DataFrame) -> DataFrame:
 
 
 def ingest_outcomes(segments: DataFrame, arrival: str) -> DataFrame:
-    """Counts by outcome (accepted, duplicate, rejected) and first reason."""
-    w = Window.partitionBy("call_id", "seq", "is_final").orderBy(arrival)
+    """Counts by outcome (accepted, duplicate, rejected) and first reason; a rejected segment is nothing that another could repeat."""
+    w = Window.partitionBy("call_id", "seq", "is_final", F.size("reasons") > 0).orderBy(arrival)
     judged = validate_segments(segments).withColumn("rn", F.row_number().over(w))
     outcome = F.when(F.size("reasons") > 0, "rejected").when(F.col("rn") > 1, "duplicate").otherwise("accepted")
     reason = F.when(F.size("reasons") > 0, F.element_at("reasons", 1)).otherwise("")
@@ -69,8 +74,16 @@ def with_trace_id(df: DataFrame, column: str = "traceparent") -> DataFrame:
     return df.withColumn("trace_id", F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).otherwise(""))
 
 
+def drop_reasons(findings: DataFrame, least: float = 0.35) -> DataFrame:
+    """Adds ``dropped``: ``confidence`` for a finding under ``least`` or without one, ``evidence`` for one without evidence, else null."""
+    weak = ~F.coalesce(F.col("confidence") >= least, F.lit(False))
+    bare = ~F.coalesce(F.size("evidence") > 0, F.lit(False)) if "evidence" in findings.columns else F.lit(False)
+    return findings.withColumn("dropped", F.when(weak, "confidence").when(bare, "evidence"))
+
+
 def drop_weak(findings: DataFrame, least: float = 0.35) -> DataFrame:
-    return findings.where(F.col("confidence") >= least)
+    """The findings that ``drop_reasons`` leaves."""
+    return drop_reasons(findings, least).where("dropped is null").drop("dropped")
 
 
 def sequence_gaps(segments: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,15 @@ def index_turns(turns: DataFrame) -> DataFrame:
 
 
 def call_facts(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("call_id").agg(F.count(F.lit(1)).alias("turn_count"), (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"), F.count_distinct("speaker").alias("speakers"))
+    """Turns, milliseconds, speakers; ``redaction_count`` where turns carry ``n_redactions``, first and last ``emitted_at`` where they carry that."""
+    more = []
+    if "n_redactions" in turns.columns:
+        more.append(F.coalesce(F.sum("n_redactions"), F.lit(0)).cast("long").alias("redaction_count"))
+    if "emitted_at" in turns.columns:
+        more += [F.min("emitted_at").alias("started_at"), F.max("emitted_at").alias("ended_at")]
+    return turns.groupBy("call_id").agg(
+        F.count(F.lit(1)).alias("turn_count"), (F.max("end_ms") - F.min("start_ms")).alias("duration_ms"), F.count_distinct("speaker").alias("speakers"), *more
+    )
 
 
 def render_transcripts(turns: DataFrame) -> DataFrame:
@@ -37,8 +46,13 @@ def live_windows(turns: DataFrame, size: int = 6, stride: int = 2) -> DataFrame:
     return out.where((F.col("idx") + 1) % stride == 0).select("call_id", "idx", F.element_at("turns", 1).alias("first_seq"), F.size("turns").alias("turns"))
 
 
-def score_sentiment(turns: DataFrame, weights: dict[str, float], negations: list[str], intensifiers: dict[str, float], window: int = 3) -> DataFrame:
-    """Mean weight of the lexicon words of a turn in [-1, 1]; negations flip the words after them, intensifiers raise the next."""
+def score_sentiment(
+    turns: DataFrame, weights: dict[str, float], negations: list[str], intensifiers: dict[str, float], window: int = 3, phrases: dict[str, float] | None = None
+) -> DataFrame:
+    """Mean weight of the lexicon words and ``phrases`` of a turn in [-1, 1].
+
+    Negations flip the words after them, intensifiers raise the next; a phrase counts once, neither flipped nor raised.
+    """
     weight, strong = F.from_json(F.lit(json.dumps(weights)), "map<string,double>"), F.from_json(F.lit(json.dumps(intensifiers)), "map<string,double>")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z']+"), F.lit(0))
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("hits"), F.lit(0).alias("i"), F.lit(-1).alias("until"), F.lit(1.0).alias("by"))
@@ -52,7 +66,15 @@ def score_sentiment(turns: DataFrame, weights: dict[str, float], negations: list
         plain = F.when(weight[t].isNotNull(), state(a["sum"] + value, a["hits"] + 1, by=F.lit(1.0))).otherwise(state())
         return F.when(t.isin(*negations), state(until=a["i"] + window)).when(strong[t].isNotNull(), state(by=strong[t])).otherwise(plain)
 
-    score = F.aggregate(tokens, zero, step, lambda a: F.when(a["hits"] == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a["sum"] / a["hits"] * 1.35))))
+    said = F.filter(F.from_json(F.lit(json.dumps([{"p": p, "w": w} for p, w in (phrases or {}).items()])), "array<struct<p:string,w:double>>"), lambda x: F.lower("text").contains(x["p"]))
+    extra = F.aggregate(said, F.lit(0.0), lambda a, x: a + x["w"]) if phrases else F.lit(0.0)
+    more = F.size(said) if phrases else F.lit(0)
+
+    def mean(a):
+        hits = a["hits"] + more
+        return F.when(hits == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (a["sum"] + extra) / hits * 1.35)))
+
+    score = F.aggregate(tokens, zero, step, mean)
     return turns.withColumn("sentiment", F.coalesce(score, F.lit(0.0)))
 
 
@@ -65,15 +87,24 @@ def pattern_hits(turns: DataFrame, patterns: list[tuple[str, float, str]]) -> Da
 
 
 def escalation_risk(turns: DataFrame, hits: DataFrame, sentiment: DataFrame) -> DataFrame:
-    """Per call: the peak pattern weight, raised by the mood of the last three customer turns, and its band."""
+    """Per call: the peak pattern weight, at least that of the mood of the last three customer turns, and its band.
+
+    A mood under -0.4 makes a risk of 0.45 and more, by as much as it is under it (0.75 at most); a good one nearly halves the risk.
+    """
     peak = hits.groupBy("call_id").agg(F.max("weight").alias("peak"))
     last = sentiment.where("speaker = 'customer'").withColumn("rn", F.row_number().over(Window.partitionBy("call_id").orderBy(F.col("seq").desc()))).where("rn <= 3")
     mood = last.groupBy("call_id").agg(F.avg("sentiment").alias("mood"))
     out = turns.select("call_id").distinct().join(peak, "call_id", "left").join(mood, "call_id", "left")
     base = F.coalesce("peak", F.lit(0.0))
-    risk = F.when(F.col("mood") < -0.4, F.least(F.lit(1.0), base + 0.15)).when(F.col("mood") > 0.25, base * 0.55).otherwise(base)
-    out = out.select("call_id", F.round(risk, 3).alias("risk"))
-    return out.withColumn("band", F.when(F.col("risk") >= 0.75, "high").when(F.col("risk") >= 0.45, "medium").when(F.col("risk") >= 0.2, "low").otherwise("none"))
+    upset = 0.45 + F.least(F.lit(0.3), F.abs("mood") - 0.4)
+    raw = F.when(F.col("mood") < -0.4, F.greatest(base, upset)).when(F.col("mood") > 0.25, base * 0.55).otherwise(base)
+    band = F.when(F.col("raw") >= 0.75, "high").when(F.col("raw") >= 0.45, "medium").when(F.col("raw") >= 0.2, "low").otherwise("none")
+    return out.select("call_id", raw.alias("raw")).select("call_id", F.round(F.least("raw", F.lit(1.0)), 3).alias("risk"), band.alias("band"))
+
+
+def escalated_flag(hits: DataFrame, labels: list[str]) -> DataFrame:
+    """(call_id, escalated) of the calls with hits: whether one of them has a label of ``labels``."""
+    return hits.groupBy("call_id").agg(F.max(F.col("label").isin(labels)).alias("escalated"))
 
 
 def phrase_hits(turns: DataFrame, phrases: list[tuple[str, str]], speaker: str | None = "agent") -> DataFrame:
@@ -85,12 +116,28 @@ def phrase_hits(turns: DataFrame, phrases: list[tuple[str, str]], speaker: str |
 
 
 def disclosure_status(turns: DataFrame, required: list[tuple[str, str, int | None]]) -> DataFrame:
-    """(call_id, policy_id, given, seq): whether a required phrase is said in the first n agent turns (all without n)."""
+    """(call_id, policy_id, given, seq, anchor): whether a required phrase is said in the first n agent turns (all without n).
+
+    ``anchor`` is the turn to cite: where the phrase is first said, or the call's first agent turn if it is missing.
+    Several phrases of a policy are alternatives.
+    """
     table = F.from_json(F.lit(json.dumps([{"policy": p, "phrase": x.lower(), "n": n} for p, x, n in required])), "array<struct<policy:string,phrase:string,n:int>>")
     agent = turns.where("speaker = 'agent'").withColumn("k", F.row_number().over(by_call()))
     rows = agent.select("call_id", "seq", "k", F.lower("text").alias("t"), F.explode(table).alias("p")).where("p.n is null or k <= p.n")
-    hit = F.col("t").contains(F.col("p.phrase"))
-    return rows.groupBy("call_id", F.col("p.policy").alias("policy_id")).agg(F.max(hit).alias("given"), F.min(F.when(hit, F.col("seq"))).alias("seq"))
+    hit = F.coalesce(F.col("t").contains(F.col("p.phrase")), F.lit(False))
+    out = rows.groupBy("call_id", F.col("p.policy").alias("policy_id")).agg(F.max(hit).alias("given"), F.min(F.when(hit, F.col("seq"))).alias("seq"), F.min("seq").alias("first"))
+    return out.select("call_id", "policy_id", "given", "seq", F.coalesce("seq", "first").alias("anchor"))
+
+
+#: How much a missing disclosure weighs by the severity of its policy, and without a known one.
+SEVERITY_SCORES, OTHER_SEVERITY = {"critical": 1.0, "high": 0.8, "medium": 0.55, "low": 0.3}, 0.5
+
+
+def missing_disclosures(status: DataFrame, policies: DataFrame) -> DataFrame:
+    """Findings (call_id, seq, policy_id, label, score) of the disclosures not given; ``policies`` are (policy_id, title, severity)."""
+    score = F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY_SCORES.items() for x in kv])[F.coalesce("severity", F.lit("medium"))], F.lit(OTHER_SEVERITY))
+    lost = status.where("not given").join(policies.select("policy_id", "title", "severity"), "policy_id")
+    return lost.select("call_id", F.col("anchor").alias("seq"), "policy_id", F.col("title").alias("label"), score.alias("score"))
 
 
 def score_intents(turns: DataFrame, keywords: dict[str, dict[str, float]]) -> DataFrame:
@@ -115,12 +162,23 @@ def classify_intent(turns: DataFrame, scores: DataFrame, catalog: list[str], def
     return out.select("call_id", F.coalesce("p", F.lit(default)).alias("primary_intent"), F.coalesce(F.array_join(F.transform("s", lambda x: x["intent"]), ","), F.lit("")).alias("secondary"))
 
 
-def classify_resolution(turns: DataFrame, follow_up: list[str], resolved: list[str]) -> DataFrame:
-    """(call_id, resolution): markers in the last five turns, follow-up before resolved."""
-    last = turns.withColumn("rn", F.row_number().over(Window.partitionBy("call_id").orderBy(F.col("seq").desc()))).where("rn <= 5")
-    has = lambda words: F.max(F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower("text").contains(w)), F.lit(False)))
-    out = last.groupBy("call_id").agg(has(follow_up).alias("f"), has(resolved).alias("r"))
-    return out.select("call_id", F.when(F.col("f"), "follow_up_required").when(F.col("r"), "resolved").otherwise("unresolved").alias("resolution"))
+def classify_resolution(turns: DataFrame, follow_up: list[str], resolved: list[str], escalated: DataFrame | None = None, up: list[str] | None = None) -> DataFrame:
+    """(call_id, resolution, seq): how a call ended, and the turn that shows it.
+
+    Calls of ``escalated`` (call_id, escalated) that are so end as ``escalated``, by their latest turn with a marker of ``up``. Of the
+    others, markers in the last five turns decide, follow-up before resolved. Where no marker is found the last turn is cited.
+    """
+    numbered = turns.withColumn("rn", F.row_number().over(Window.partitionBy("call_id").orderBy(F.col("seq").desc())))
+    any_of = lambda words: F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.lower("text").contains(w)), F.lit(False))
+    at = lambda test, name: F.max(F.when(test, F.col("seq"))).alias(name)
+    tail = F.col("rn") <= 5
+    marks = [at(tail & any_of(follow_up), "f"), at(tail & any_of(resolved), "r"), at(any_of(up) if up else F.lit(False), "e")]
+    out = numbered.groupBy("call_id").agg(F.max("seq").alias("last"), *marks)
+    out = out.join(escalated.select("call_id", "escalated"), "call_id", "left") if escalated is not None else out.withColumn("escalated", F.lit(False))
+    is_up = F.coalesce("escalated", F.lit(False))
+    name = F.when(is_up, "escalated").when(F.col("f").isNotNull(), "follow_up_required").when(F.col("r").isNotNull(), "resolved").otherwise("unresolved")
+    shown = F.when(is_up, F.col("e")).otherwise(F.coalesce("f", "r"))
+    return out.select("call_id", name.alias("resolution"), F.coalesce(shown, F.col("last")).alias("seq"))
 
 
 def sentiment_endpoints(scored: DataFrame) -> DataFrame:
@@ -179,18 +237,23 @@ def required_disclosures(intents: DataFrame, policies: DataFrame, always: list[s
     return named.join(scoped, "intent").select("call_id", "policy_id").unionByName(base).distinct()
 
 
-def action_items(turns: DataFrame, patterns: list[str], noise: list[str], least: int = 6) -> DataFrame:
-    """(call_id, seq, description, owner) of the agent's commitments: first group of each pattern, once per call without case.
+def action_items(turns: DataFrame, patterns: list[tuple[str, str]], noise: str, least: int = 6) -> DataFrame:
+    """(call_id, seq, description, owner) of the agent's commitments by ``patterns`` (pattern, owner), once per call without case.
 
-    Items under ``least`` characters or with a ``noise`` phrase go; turn, pattern and place decide which comes first.
+    A pattern's groups, joined by a blank and without blanks, dots and commas around, are the item. Items under ``least`` characters or
+    that begin with ``noise`` go; turn, pattern and place decide which of equal items comes first.
     """
-    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns]))
-    rows = turns.where("speaker = 'agent' and text is not null").select("call_id", "seq", F.posexplode(found).alias("place", "item"))
-    rows = rows.withColumn("description", F.trim("item")).where(F.length("description") >= least)
-    for phrase in noise:
-        rows = rows.where(~F.lower("description").contains(phrase.lower()))
-    first = rows.groupBy("call_id", F.lower("description").alias("__k")).agg(F.min(F.struct("seq", "place", "description")).alias("f"))
-    return first.select("call_id", "f.seq", "f.description", F.lit("agent").alias("owner"))
+
+    def found(pattern: str, owner: str, rank: int):
+        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in range(1, re.compile(pattern).groups + 1)]
+        joined = groups[0] if len(groups) == 1 else F.zip_with(groups[0], groups[1], lambda a, b: F.concat_ws(" ", a, b))
+        return F.transform(joined, lambda x, i: F.struct(F.lit(rank).alias("pattern"), i.alias("place"), F.btrim(x, F.lit(" .,")).alias("item"), F.lit(owner).alias("owner")))
+
+    items = F.concat(*[found(p, owner, k) for k, (p, owner) in enumerate(patterns)])
+    rows = turns.where("speaker = 'agent' and text is not null").select("call_id", "seq", F.explode_outer(items).alias("i"))
+    rows = rows.where((F.length("i.item") >= least) & ~F.col("i.item").rlike(noise))
+    first = rows.groupBy("call_id", F.lower("i.item").alias("__k")).agg(F.min(F.struct("seq", "i.pattern", "i.place", "i.item", "i.owner")).alias("f"))
+    return first.select("call_id", "f.seq", F.col("f.item").alias("description"), "f.owner")
 
 
 def disclosure_gate(status: DataFrame, turns: DataFrame, windows: dict[str, int | None]) -> DataFrame:

@@ -13,6 +13,7 @@ null call are not held; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -31,7 +32,7 @@ OPEN_WORDS, LONG_TAIL_WORDS, TAIL = 4, 12, 240
 SURE = 0.9
 
 #: Kinds whose patterns can claim a number.
-_NUMERIC = [(pii.DETECTORS[k][1], re.compile(pii.DETECTORS[k][2])) for k in ("ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled")]
+_NUMERIC = {k: re.compile(pii.DETECTORS[k][2]) for k in ("ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled")}
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
 _OPEN_EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]*$")
 
@@ -48,29 +49,46 @@ class Held:
 
 
 def _claimed(text: str, context: str) -> list[tuple[int, int, float]]:
+    """(start, end, confidence) of every number that some detector claims."""
     found = [(s, e, c) for _, s, e, c in claims(text, context)]
-    return found + [(*m.span(), confidence) for confidence, pattern in _NUMERIC for m in pattern.finditer(text)]
+    for kind, pattern in _NUMERIC.items():
+        type_, confidence, _ = pii.DETECTORS[kind]
+        for m in pattern.finditer(text):
+            around = f"{context} {text[max(0, m.start() - NEAR) : m.end() + NEAR]}".lower()
+            near = kind in pii.SURER and any(w in around for w in CONTEXT[type_])
+            if kind != "account_labelled" or sum(c.isdigit() for c in m[0]) >= 5:
+                found.append((*m.span(m.lastindex or 0), pii.SURER[kind] if near else confidence))
+    return found
+
+
+def _release(held: int, trailing: int, expected: bool, sentence_over: bool) -> bool:
+    """Whether an unclaimed number of ``held`` digits, with ``trailing`` words after it, may be shown in a final turn."""
+    cases = (
+        not SHORTEST <= held <= LONGEST,  # no fragment of an identifier
+        trailing > LONG_TAIL_WORDS,  # the talk has moved on
+        trailing > OPEN_WORDS and not expected,
+        sentence_over and not expected,
+    )
+    return any(cases)
 
 
 def hold_from(text: str, context: str, spans: list[tuple[int, int, float]], final: bool) -> int | None:
-    """Where the part of a text that must wait begins; null if all of it is safe."""
-    open_email = None if final else _OPEN_EMAIL.search(text.rstrip())
-    email_at = open_email.start() if open_email else None
+    """Where the part of a text that must wait begins; null if all of it is safe. A partial turn waits for its open email too."""
+    waits = []
+    if not final and (email := _OPEN_EMAIL.search(text.rstrip())):
+        waits.append(email.start())
     digits, places, ends = read_digits(text)
-    if not digits:
-        return email_at
-    first = ends[-1] if ends else 0
-    start, end = places[first][0], places[-1][1]
-    sure = any(s <= start and e >= end and c >= SURE for s, e, c in spans)
-    if sure or not SHORTEST <= len(digits) - first <= LONGEST:
-        return email_at
-    if not final:
-        return start if email_at is None else min(start, email_at)
-    around = f"{context} {text[max(0, start - NEAR) : end + NEAR]}".lower()
-    words = len(text[end:].split())
-    expected = any(w in around for w in CONTEXT["IDENTIFIER"])
-    over = words > LONG_TAIL_WORDS or (not expected and (words > OPEN_WORDS or _SENTENCE_END.search(text[end:])))
-    return None if over else start
+    own = digits[ends[-1] if ends else 0 :]
+    if own:
+        start, end = places[len(digits) - len(own)][0], places[-1][1]
+        around = f"{context} {text[max(0, start - NEAR) : end + NEAR]}".lower()
+        expected = any(w in around for w in CONTEXT["IDENTIFIER"])
+        after = text[end:]
+        claimed = any(s <= start and end <= e and c >= SURE for s, e, c in spans)
+        trailing, over = (len(after.split()), bool(_SENTENCE_END.search(after))) if final else (0, False)
+        if not claimed and not _release(len(own), trailing, expected, over):
+            waits.append(start)
+    return min(waits, default=None)
 
 
 def _orphan(fragment: str, spans: list[tuple[int, int, float]], at: int = 0) -> list[tuple[int, int]]:
@@ -139,11 +157,15 @@ def hold_calls(turns: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     final = F.coalesce("is_final", F.lit(True)) if "is_final" in turns.columns else F.lit(True)
-    rows = turns.select("call_id", "seq", final.alias("is_final"), "text").repartition("call_id").sortWithinPartitions("call_id", "seq", "is_final")
+    all_rows = turns.select("call_id", "seq", final.alias("is_final"), "text")
+    rows = all_rows.where("call_id is not null").repartition("call_id").sortWithinPartitions("call_id", "seq", "is_final")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"call_id {kinds['call_id']}, seq {kinds['seq']}, is_final boolean, {FIELDS}"
     arrow = to_arrow_schema(turns.sparkSession.createDataFrame([], schema).schema)
-    return rows.mapInArrow(lambda batches: _fold(batches, arrow), schema)
+    loose = all_rows.where("call_id is null").selectExpr(
+        "call_id", "seq", "is_final", "0 as part", "text", "'' as context", "cast(array() as array<struct<start:int,end:int>>) as orphans", "0 as held_digits"
+    )
+    return rows.mapInArrow(lambda batches: _fold(batches, arrow), schema).unionByName(loose)
 
 
 def _detected(shown: DataFrame, kinds: list[str] | None, keys: tuple[str, ...]) -> DataFrame:
@@ -155,12 +177,12 @@ def _detected(shown: DataFrame, kinds: list[str] | None, keys: tuple[str, ...])
         F.lit("cross_segment").alias("detector"), F.lit(0.5).alias("confidence"), F.substring(text, o["start"] + 1, o["end"] - o["start"]).alias("value"),
     ))
     found = F.concat(pii.spans_of(text, kinds or [*pii.DETECTORS, "digit_runs"], F.col("context")), orphans)
-    rows = shown.where(text.isNotNull()).select(*keys, "text", found.alias("all")).where(F.size("all") > 0)
-    return rows.select(*keys, "text", pii.resolve_overlaps(F.col("all")).alias("spans"))
+    rows = pii.once(shown.where(text.isNotNull()), "all", found, *keys, "text").where(F.size("all") > 0)
+    return pii.once(rows, "spans", pii.resolve_overlaps(F.col("all")), *keys, "text")
 
 
 def redact_calls(turns: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(call_id, seq, part, text, n_redactions) of the final turns: held, joined and with placeholders numbered per call."""
+    """(call_id, seq, part, text, n_redactions, redactions) of the final turns: held, joined and with placeholders numbered per call."""
     finals = turns.where(F.coalesce("is_final", F.lit(True))) if "is_final" in turns.columns else turns
     shown, keys = hold_calls(finals), ("call_id", "seq", "part")
     return pii.write_placeholders(shown, _detected(shown, kinds, keys), keys)
@@ -171,33 +193,94 @@ def preview_partials(turns: DataFrame) -> DataFrame:
     return hold_calls(turns).where("not is_final").select("call_id", "seq", "text", "held_digits")
 
 
-def hold_stream(turns: DataFrame, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
-    """``hold_calls`` of a stream of final turns (call_id string, seq long, text, emitted_at): the state lives in Spark's store.
-
-    A call that stays silent by event time, or whose row has ``ended`` true, gives out what it still holds.
-    """
+#: What a match must fulfil beside its pattern, for texts that are scanned one by one.
+_PATTERNS = {k: re.compile(p) for k, (_, _, p) in pii.DETECTORS.items()}
+_NOT_FIRST, _NOT_ANY = re.compile(rf"(?i)^(?:{pii.NOT_NAMES})(?:\s|$)"), re.compile(rf"(?i)(?:^|\s)(?:{pii.NOT_NAMES})(?:\s|$)")
+_DOMAIN, _STREET = re.compile(pii.DOMAINS), re.compile(rf"(?i)\b(?:{pii.STREETS})\b")
+_ACCEPT = {
+    "spoken_email": lambda v: bool(_DOMAIN.search(v)),
+    "person_trigger": lambda v: not _NOT_FIRST.search(v),
+    "person_run": lambda v: not _NOT_ANY.search(v) and not _STREET.search(v),
+    "account_labelled": lambda v: sum(c.isdigit() for c in v) >= 5,
+}
+
+
+def detect_text(text: str, context: str, orphans: list[dict] = ()) -> list[tuple[str, int, int, str, float]]:
+    """(type, start, end, detector, confidence) of one text, overlaps resolved: what ``detect_pii`` finds in a table, for a stream's state."""
+    found = [(t, s, e, "digit_runs", c) for t, s, e, c in claims(text, context)]
+    found += [("ACCOUNT", o["start"], o["end"], "cross_segment", 0.5) for o in orphans]
+    for kind, pattern in _PATTERNS.items():
+        type_, confidence, _ = pii.DETECTORS[kind]
+        for m in pattern.finditer(text):
+            start, end = m.span(m.lastindex or 0) if kind in pii.GROUPED else m.span()
+            if kind in _ACCEPT and not _ACCEPT[kind](text[start:end]):
+                continue
+            around = f"{context} {text[max(0, start - NEAR) : end + NEAR]}".lower()
+            near = kind in pii.SURER and any(w in around for w in CONTEXT[type_])
+            found.append((type_, start, end, kind, pii.SURER[kind] if near else confidence))
+    kept: list[tuple[str, int, int, str, float]] = []
+    for span in sorted(found, key=lambda x: (pii.PRIORITY.index(x[0]), x[1] - x[2], -x[4], x[1])):
+        if all(span[2] <= o[1] or o[2] <= span[1] for o in kept):
+            kept.append(span)
+    return sorted(kept, key=lambda x: x[1])
+
+
+def _masked(row: dict, table: dict[str, int]) -> dict:
+    """The row with placeholders, numbered in ``table`` by type and value as they first come."""
+    text, out, at, marks = row["text"], "", 0, []
+    for type_, start, end, detector, confidence in detect_text(text, row["context"], row["orphans"]):
+        value = text[start:end]
+        digits = "".join(c for c in value if c in "0123456789")
+        key = f"{type_} {digits if len(digits) >= 4 else value.lower()}"
+        number = table.setdefault(key, 1 + sum(k.startswith(f"{type_} ") for k in table))
+        mark = f"<{type_}_{number}>"
+        out += text[at:start]
+        marks.append({"type": type_, "placeholder": mark, "start": len(out), "end": len(out) + len(mark), "detector": detector, "confidence": confidence})
+        out, at = out + mark, end
+    return {"part": row["part"], "text": out + text[at:], "redactions": marks, "held_digits": row["held_digits"]}
+
+
+def _stream(turns: DataFrame, silence_ms: int, late: str, fields: str, render) -> DataFrame:
+    """The fold of ``hold_calls`` over a stream; ``render`` makes the row that is given out, with a table that the call carries."""
     ends = F.coalesce("ended", F.lit(False)) if "ended" in turns.columns else F.lit(False)
     rows = turns.withWatermark("emitted_at", late).select(F.col("call_id").cast("string").alias("call_id"), F.col("seq").cast("long").alias("seq"), "text", "emitted_at", ends.alias("ended"))
-    names = ["call_id", "seq", "part", "text", "context", "orphans", "held_digits"]
+    names = ["call_id", "seq", *(x.strip().split(" ")[0] for x in re.sub(r"<[^;]*>", "", fields).split(","))]
 
     def run(key, frames, state):
-        carry, age, tail, last, seen = state.get if state.exists else ("", 0, "", 0, 0)
-        held, out, over = Held(carry, age, tail), [], state.hasTimedOut
+        carry, age, tail, last, seen, known = state.get if state.exists else ("", 0, "", 0, 0, "{}")
+        held, table, out, over = Held(carry, age, tail), json.loads(known), [], state.hasTimedOut
         if not over:
             batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
             for seq, text, at, ended in zip(batch.seq, batch.text, batch.emitted_at, batch.ended, strict=True):
                 last, seen, over = int(seq), max(seen, int(at.timestamp() * 1000)), over or bool(ended)
                 if text is not None:
                     given, held = step(held, text)
-                    out.append({"call_id": key[0], "seq": last, **given})
+                    out.append({"call_id": key[0], "seq": last, **render(given, table)})
         if over:
             if rest := flush(held):
-                out.append({"call_id": key[0], "seq": last, **rest})
+                out.append({"call_id": key[0], "seq": last, **render(rest, table)})
             state.remove()
         else:
-            state.update((held.carry, held.age, held.tail, last, seen))
+            state.update((held.carry, held.age, held.tail, last, seen, json.dumps(table)))
             state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + silence_ms)
         yield pd.DataFrame(out, columns=names)
 
     grouped = rows.groupBy("call_id")
-    return grouped.applyInPandasWithState(run, f"call_id string, seq long, {FIELDS}", "carry string, age int, tail string, last long, seen long", "append", "EventTimeTimeout")
+    kept = "carry string, age int, tail string, last long, seen long, known string"
+    return grouped.applyInPandasWithState(run, f"call_id string, seq long, {fields}", kept, "append", "EventTimeTimeout")
+
+
+def hold_stream(turns: DataFrame, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
+    """``hold_calls`` of a stream of final turns (call_id string, seq long, text, emitted_at): the state lives in Spark's store.
+
+    A call that stays silent by event time, or whose row has ``ended`` true, gives out what it still holds.
+    """
+    return _stream(turns, silence_ms, late, FIELDS, lambda row, table: row)
+
+
+def redact_stream(turns: DataFrame, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
+    """(call_id, seq, part, text, redactions, held_digits) of a stream: held, joined, and with placeholders whose numbers a call keeps.
+
+    The state of a call also holds its values' keys, as the placeholders need them; it goes when the call ends.
+    """
+    return _stream(turns, silence_ms, late, f"part int, text string, redactions {pii.REDACTIONS}, held_digits int", _masked)

@@ -77,11 +77,34 @@ def overview(summaries: DataFrame) -> DataFrame:
     )
 
 
-def rollup_signals_hourly(signals: DataFrame, grain: str = "hour") -> DataFrame:
-    """Mergeable states: sums, counts and sketches for distinct calls and latency quantiles."""
-    return signals.groupBy(F.date_trunc(grain, "emitted_at").alias("hour"), "agent_id", "signal_type", "severity", "policy_id").agg(
+SIGNAL_KEYS = ("agent_id", "signal_type", "label", "severity", "policy_id")
+
+
+def rollup_signals_hourly(signals: DataFrame, grain: str = "hour", null_as_zero: bool = False) -> DataFrame:
+    """Mergeable states: sums, counts and sketches for distinct calls and latency quantiles.
+
+    A missing latency is left out; with ``null_as_zero`` it counts as 0, as a rollup of stored rows without nulls would have it.
+    """
+    latency = "coalesce(duration_ms, 0D)" if null_as_zero else "duration_ms"
+    return signals.groupBy(F.date_trunc(grain, "emitted_at").alias("hour"), *SIGNAL_KEYS).agg(
         F.count(F.lit(1)).alias("events"), F.sum("confidence").alias("confidence_sum"), F.hll_sketch_agg("call_id").alias("calls_hll"),
-        F.expr("kll_sketch_agg_double(duration_ms)").alias("latency_kll"),
+        F.expr(f"kll_sketch_agg_double(cast({latency} as double))").alias("latency_kll"),
+    )
+
+
+def merge_rollup(rollup: DataFrame, by: list[str], grain: str | None = None) -> DataFrame:
+    """The same states on coarser keys: fewer of ``SIGNAL_KEYS``, and ``hour`` cut to ``grain`` if one is given."""
+    keys = [F.date_trunc(grain, "hour").alias("hour"), *by] if grain else by
+    return rollup.groupBy(*keys).agg(
+        F.sum("events").alias("events"), F.sum("confidence_sum").alias("confidence_sum"), F.hll_union_agg("calls_hll").alias("calls_hll"),
+        F.expr("kll_merge_agg_double(latency_kll)").alias("latency_kll"),
+    )
+
+
+def exact_rollup(signals: DataFrame, by: list[str], grain: str = "day") -> DataFrame:
+    """What merged states estimate, worked out from the signals themselves."""
+    return signals.groupBy(F.date_trunc(grain, "emitted_at").alias("hour"), *by).agg(
+        F.count(F.lit(1)).alias("events"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.count_distinct("call_id").alias("calls"),
     )
 
 
@@ -112,7 +135,8 @@ def agent_league(rollup: DataFrame, least_calls: int = 3) -> DataFrame:
 
 
 def current_summaries(summaries: DataFrame, version: str = "generated_at") -> DataFrame:
-    w = Window.partitionBy("call_id").orderBy(F.col(version).desc())
+    """The latest version of each call's summary; of equal versions the one with the larger row hash, so that no choice is arbitrary."""
+    w = Window.partitionBy("call_id").orderBy(F.col(version).desc(), F.xxhash64(*summaries.columns).desc())
     return summaries.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

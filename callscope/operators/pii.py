@@ -13,25 +13,51 @@ PRIORITY = ("CARD", "SSN", "DOB", "PHONE", "ACCOUNT", "EMAIL", "PERSON", "ADDRES
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
 STREETS = "lane|road|street|st|avenue|ave|boulevard|blvd|drive|dr|court|ct|way|place|pl|terrace|circle|parkway|highway"
 
-NAME_TRIGGERS = "my name is|this is|i'm|i am|speaking with|it's|name is|name on the account is|account holder is|calling for|on behalf of|the name is|under the name"
+UNIT = r"(?:,?\s*(?:apartment|apt|unit|suite|ste|flat|#)\.?\s*[\w\-]+)?"
 
-#: Kind, type, confidence and pattern.
+#: What introduces a name.
+NAME_TRIGGERS = (
+    "my name is|this is|i'm|i am|speaking with|it's|name is|name on the account is|account holder is|"
+    "calling for|on behalf of|the name is|under the name"
+)
+
+#: Kind, type, confidence and pattern; where a pattern has a group, the span is the group, and ends with the match.
 DETECTORS = {
     "email": ("EMAIL", 0.99, r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
     "ssn": ("SSN", 0.8, r"\b\d{3}[-\s.]\d{2}[-\s.]\d{4}\b"),
     "phone": ("PHONE", 0.95, r"(?:\+?1[-.\s]?)?(?:\(\d{3}\)|\d{3})[-.\s]\d{3}[-.\s]\d{4}\b"),
-    "dob_numeric": ("DOB", 0.9, r"\b(?:0?[1-9]|1[0-2])[/\-.](?:0?[1-9]|[12]\d|3[01])[/\-.](?:19|20)\d{2}\b|\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19|20)\d{2}\b"),
-    "dob_wordy": ("DOB", 0.85, rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+(?:19|20)?\d{{2}}\b|\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{MONTHS}),?\s+(?:19|20)?\d{{2}}\b"),
-    "account_labelled": ("ACCOUNT", 0.9, r"(?i)\b(?:acct|account|ac|a/c)\s*(?:no\.?|number|#)?\s*[-:#]?\s*\d[\d\s-]{4,}\d\b"),
-    "address": ("ADDRESS", 0.8, rf"(?i)\b\d{{1,6}}\s+(?:[A-Z][\w'\-]*\s+){{1,4}}(?:{STREETS})\b"),
+    "dob_numeric": (
+        "DOB", 0.75,
+        r"\b(?:0?[1-9]|1[0-2])[/\-.](?:0?[1-9]|[12]\d|3[01])[/\-.](?:19|20)\d{2}\b"
+        r"|\b(?:0?[1-9]|[12]\d|3[01])[/\-.](?:0?[1-9]|1[0-2])[/\-.](?:19|20)\d{2}\b",
+    ),
+    "dob_wordy": (
+        "DOB", 0.7,
+        rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+(?:19|20)?\d{{2}}\b"
+        rf"|\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?(?:{MONTHS}),?\s+(?:19|20)?\d{{2}}\b",
+    ),
+    "account_labelled": ("ACCOUNT", 0.9, r"(?i)\b(?:acct|account|ac|a/c)\s*(?:no\.?|number|#)?\s*[-:#]?\s*(\d[\d\s-]{4,}\d)\b"),
+    "address": ("ADDRESS", 0.8, rf"(?i)\b\d{{1,6}}\s+(?:[A-Z][\w'\-]*\s+){{1,4}}(?:{STREETS})\b{UNIT}"),
     "long_digits": ("CARD", 0.45, r"\b\d(?:[ -]?\d){12,18}\b"),
-    "spoken_email": ("EMAIL", 0.85, r"(?i)\b[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]+)*\s+at\s+[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]+)+\b"),
-    "person_trigger": ("PERSON", 0.75, rf"(?<=\b(?i:{NAME_TRIGGERS})\s{{1,8}})[A-Z][\w'\-]+(?:\s+[A-Z][\w'\-]+){{0,2}}"),
-    "person_run": ("PERSON", 0.55, r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]+)+"),
+    "spoken_email": (
+        "EMAIL", 0.85,
+        r"(?i)\b[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]++)*+\s+at\s+[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]++\b)++",
+    ),
+    "person_trigger": ("PERSON", 0.75, rf"\b(?i:{NAME_TRIGGERS})\s+([A-Z][\w'\-]+(?:\s+[A-Z][\w'\-]+){{0,2}})"),
+    "person_run": ("PERSON", 0.55, r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]++)++"),
 }
+GROUPED = ("account_labelled", "person_trigger")
+
+#: What a text must hold for a kind to be sought at all: a plain search, much cheaper than the pattern.
+HOLDS = {
+    "email": lambda t: t.contains("@"),
+    "spoken_email": lambda t: t.rlike(r"(?i)\sat\s"),
+    "person_trigger": lambda t: t.rlike(r"(?i)(?:i'm|it's|m is|s is|e is|r is|i am|with|for|of|name)\s"),
+    **dict.fromkeys(("ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled", "address", "long_digits"), lambda t: t.rlike("[0-9]")),
+}
 
 #: Kinds that are surer beside a word that tells their type, and how sure then.
-SURER = {"ssn": 0.97}
+SURER = {"ssn": 0.97, "dob_numeric": 0.95, "dob_wordy": 0.93}
 
 #: Top-level domains of a spoken email; capitalised words that are no names.
 DOMAINS = r"(?i)\b(com|org|net|edu|gov|io|co)\b"
@@ -45,10 +71,14 @@ ACCEPT = {
     "spoken_email": lambda v: v.rlike(DOMAINS),
     "person_trigger": lambda v: ~v.rlike(rf"(?i)^(?:{NOT_NAMES})(?:\s|$)"),
     "person_run": lambda v: ~v.rlike(rf"(?i)(?:^|\s)(?:{NOT_NAMES})(?:\s|$)") & ~v.rlike(rf"(?i)\b(?:{STREETS})\b"),
+    "account_labelled": lambda v: F.length(F.regexp_replace(v, r"\D", "")) >= 5,
 }
+SPANS = "array<struct<rank:int,type:string,start:int,end:int,detector:string,confidence:double,value:string>>"
 
 
 def spans_of(text: Column, kinds: list[str], context: Column | None = None) -> Column:
+    """The spans that the kinds find, as one array. Materialise it (``once``) before naming it more than once."""
+
     def named(kind: str) -> Column:
         if kind == "digit_runs":
             rank = F.create_map(*[F.lit(x) for i, t in enumerate(PRIORITY) for x in (t, i)])
@@ -70,15 +100,24 @@ def spans_of(text: Column, kinds: list[str], context: Column | None = None) -> C
             F.lit(kind).alias("detector"), sure(s).alias("confidence"), s["value"].alias("value"),
         )
         found = match_spans(text, pattern)
-        return F.transform(F.filter(found, lambda s: ACCEPT[kind](s["value"])) if kind in ACCEPT else found, own)
+        if kind in GROUPED:  # the group stands at the match's end
+            found = F.transform(found, lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["value"], pattern, 1).alias("value")))
+            found = F.transform(found, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        spans = F.transform(F.filter(found, lambda s: ACCEPT[kind](s["value"])) if kind in ACCEPT else found, own)
+        return F.when(HOLDS[kind](text), spans).otherwise(F.array().cast(SPANS)) if kind in HOLDS else spans
 
     return F.concat(*[named(k) for k in kinds])
 
 
+def once(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """``keep`` and ``value`` under ``name``, worked out once a row: later uses can't be merged into it."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def pii_spans(df: DataFrame, kinds: list[str], keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
     """One row a span: keys, type, start, end, detector, confidence."""
-    found = df.where(F.col("text").isNotNull()).select(*keys, F.explode(spans_of(F.col("text"), kinds)).alias("s"))
-    return found.select(*keys, "s.type", "s.start", "s.end", "s.detector", "s.confidence")
+    found = once(df.where(F.col("text").isNotNull()), "all", spans_of(F.col("text"), kinds), *keys)
+    return found.select(*keys, F.explode("all").alias("s")).select(*keys, "s.type", "s.start", "s.end", "s.detector", "s.confidence")
 
 
 def digit_streams(df: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
@@ -106,16 +145,20 @@ def detect_pii(
 
     ``allowed`` is a row's array of names: a PERSON or ADDRESS that equals one, or one word of it, without case, is no find. Null allows none.
     """
-    found = spans_of(F.col("text"), kinds or [*DETECTORS, "digit_runs"])
-    keep = lambda s: s["confidence"] >= least
+    rows = df.where(F.col("text").isNotNull())
+    found = once(rows, "all", spans_of(F.col("text"), kinds or [*DETECTORS, "digit_runs"]), *rows.columns)
+    keep = F.col("all")
     if types is not None:
-        found = F.filter(found, lambda s: s["type"].isin(*types) if types else F.lit(False))
+        keep = F.filter(keep, lambda s: s["type"].isin(*types) if types else F.lit(False))
     if allowed is not None:
         names = F.transform(F.filter(F.coalesce(allowed, F.array().cast("array<string>")), lambda n: n.isNotNull()), F.lower)
         known = F.concat(names, F.flatten(F.transform(names, lambda n: F.split(n, r"\s+"))))
-        found = F.filter(found, lambda s: ~(s["type"].isin("PERSON", "ADDRESS") & F.array_contains(known, F.lower(F.trim(s["value"])))))
-    rows = df.where(F.col("text").isNotNull()).select(*keys, "text", F.filter(found, keep).alias("all"))
-    return rows.where(F.size("all") > 0).select(*keys, "text", resolve_overlaps(F.col("all")).alias("spans"))
+        keep = F.filter(keep, lambda s: ~(s["type"].isin("PERSON", "ADDRESS") & F.array_contains(known, F.lower(F.trim(s["value"])))))
+    if least > 0:
+        keep = F.filter(keep, lambda s: s["confidence"] >= least)
+    if types is not None or allowed is not None or least > 0:
+        found = once(found, "all", keep, *keys, "text")
+    return once(found.where(F.size("all") > 0), "spans", resolve_overlaps(F.col("all")), *keys, "text")
 
 
 def assign_placeholders(detected: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
@@ -129,28 +172,59 @@ def assign_placeholders(detected: DataFrame, keys: tuple[str, ...] = ("call_id",
 
 
 def redact(df: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """(call_id, seq, text, n_redactions): spans replaced by their placeholders; other rows as they are."""
+    """(call_id, seq, text, n_redactions, redactions): spans replaced by their placeholders; other rows as they are."""
     return write_placeholders(df, detect_pii(df, kinds))
 
 
 def write_placeholders(df: DataFrame, detected: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) -> DataFrame:
-    """(keys, text, n_redactions) of the rows, with the placeholders of ``detected``'s spans."""
-    marks = assign_placeholders(detected, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("marks"))
+    """(keys, text, n_redactions, redactions) of the rows, with the placeholders of ``detected``'s spans.
+
+    ``redactions`` are (type, placeholder, start, end, detector, confidence) in the places of the new text.
+    The texts and the narrow table of marks meet by key; Catalyst broadcasts the marks where they are few.
+    """
+    mark = F.struct("start", "end", "placeholder", "type", "detector", "confidence")
+    marks = assign_placeholders(detected, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(mark)).alias("marks"))
     joined = df.select(*keys, "text").join(marks, list(keys), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    body = F.aggregate(
+    cut = lambda lo, n: F.substring(F.col("text"), lo, n)
+    # What stands before each mark, and the mark: the pieces of the new text.
+    before = F.transform("marks", lambda m, i: m["start"] - F.when(i > 0, F.get("marks", i - 1)["end"]).otherwise(0))
+    pieces = F.zip_with("marks", "__gaps", lambda m, g: F.concat(cut(m["start"] - g + 1, g), m["placeholder"]))
+    rest = F.element_at("marks", -1)["end"]
+    text = F.concat(F.array_join("__pieces", ""), cut(rest + 1, F.length("text")))
+    shifted = F.aggregate(
         "marks",
-        start,
-        lambda acc, m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]), m["placeholder"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return joined.select(*keys, F.coalesce(body, F.col("text")).alias("text"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_redactions"))
+        F.struct(F.lit(0).alias("by"), F.array().cast(REDACTIONS).alias("out")),
+        lambda a, m: F.struct(
+            (a["by"] + F.length(m["placeholder"]) - (m["end"] - m["start"])).alias("by"),
+            F.concat(a["out"], F.array(F.struct(
+                m["type"].alias("type"), m["placeholder"].alias("placeholder"), (m["start"] + a["by"]).alias("start"),
+                (m["start"] + a["by"] + F.length(m["placeholder"])).alias("end"), m["detector"].alias("detector"), m["confidence"].alias("confidence"),
+            ))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    out = once(joined, "__gaps", before, *keys, "text", "marks")
+    out = once(out, "__pieces", pieces, *keys, "text", "marks")
+    none = F.array().cast(REDACTIONS)
+    return out.select(*keys, F.coalesce(text, F.col("text")).alias("text"), F.coalesce(F.size("marks"), F.lit(0)).alias("n_redactions"), F.coalesce(shifted, none).alias("redactions"))
+
+
+REDACTIONS = "array<struct<type:string,placeholder:string,start:int,end:int,detector:string,confidence:double>>"
 
 
 def redaction_summary(spans: DataFrame) -> DataFrame:
     return spans.groupBy("type", "detector").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("call_id").alias("calls"))
 
 
+def redactions_by_call(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(call_id, texts, redactions, redacted_texts) of every call of ``rows``; calls without a redaction have 0."""
+    per_text = spans.groupBy("call_id", "seq").agg(F.count(F.lit(1)).alias("n"))
+    per_call = per_text.groupBy("call_id").agg(F.sum("n").alias("redactions"), F.count(F.lit(1)).alias("redacted_texts"))
+    calls = rows.groupBy("call_id").agg(F.count(F.lit(1)).alias("texts"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return calls.join(per_call, "call_id", "left").select("call_id", "texts", zero("redactions"), zero("redacted_texts"))
+
+
 def long_digit_runs(df: DataFrame, least: int = 7) -> DataFrame:
     """Rows whose text still holds a run of ``least`` digits or more."""
     return df.where(F.col("text").rlike(rf"[0-9]{{{least},}}")).select("call_id", "seq", F.size(F.regexp_extract_all("text", F.lit(rf"[0-9]{{{least},}}"), F.lit(0))).alias("runs"))

@@ -127,6 +127,7 @@ def summarize_calls(facts: DataFrame, intents: DataFrame, resolution: DataFrame,
     out = facts.select("call_id", "turn_count").join(intents, "call_id", "left").join(resolution, "call_id", "left").join(moods, "call_id", "left").join(up, "call_id", "left")
     out = out.join(listed(broken, "violations"), "call_id", "left").join(listed(disclosures.where("given"), "disclosures"), "call_id", "left")
     out = out.withColumn("escalated", F.coalesce("escalated", F.lit(False))).withColumn("resolution", F.when(F.col("escalated"), "escalated").otherwise(F.col("resolution")))
+    # The sentences of a summary.
     end = (
         F.when(F.col("escalated"), " The call was escalated to a supervisor before it concluded.").when(F.col("resolution") == "resolved", " The agent resolved the issue on the call.")
         .when(F.col("resolution") == "follow_up_required", " The agent committed to follow-up action after the call.").otherwise(" The issue was not settled during the call.")

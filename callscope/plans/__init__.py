@@ -49,21 +49,59 @@ SEGMENTS_SQL = """(select cast(user_id as varchar) as call_id, cast(event_id % 9
 REASONS_SQL = """list_filter([case when seq < 0 then 'seq' end, case when speaker not in ('customer', 'agent', 'unknown') then 'speaker' end,
  case when start_ms < 0 or end_ms < start_ms then 'times' end, case when not (asr_confidence between 0 and 1) then 'confidence' end], lambda x: x is not null)"""
 
-SENTIMENT_SQL = f"""(with recursive tok as (select call_id, seq, speaker, regexp_extract_all(lower(text), '[a-z'']+') as w from {TURNS_SQL}),
- walk as (select call_id, seq, speaker, w, 0 as i, 0.0::double as total, 0 as hits, -1 as until, 1.0::double as mult from tok
-  union all select call_id, seq, speaker, w, i + 1,
-   case when w[i + 1] in ('no', 'not') or wt is null then total else total + case when i <= until then wt * mult * -0.8 else wt * mult end end,
-   case when w[i + 1] in ('no', 'not') or wt is null then hits else hits + 1 end,
-   case when w[i + 1] in ('no', 'not') then i + 3 else until end,
-   case when w[i + 1] in ('no', 'not') then mult when w[i + 1] = 'the' then 1.4 when wt is null then mult else 1.0 end
-  from (select *, case w[i + 1] when 'and' then 0.5 when 'with' then 0.4 when 'was' then -0.5 when 'for' then -0.3 end::double as wt from walk where i < len(w)))
- select call_id, seq, speaker, case when hits = 0 then 0.0 else greatest(-1.0, least(1.0, total / hits * 1.35)) end as sentiment from walk where i = len(w))"""
+def sql_map(values: dict) -> str:
+    return "map {" + ", ".join("'{}': {}".format(k.replace("'", "''"), f"{v}::double") for k, v in values.items()) + "}"
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sentiment_sql(turns_sql: str, weights: dict, negations: list, intensifiers: dict, phrases: dict | None = None) -> str:
+    """The fold over the words as a recursion, and the phrases added at its end."""
+    said = " + ".join(f"case when contains(t, '{p}') then {w}::double else 0 end" for p, w in (phrases or {}).items()) or "0.0"
+    n_said = " + ".join(f"contains(t, '{p}')::int" for p in phrases or {}) or "0"
+    no = f"list_contains({sql_list(negations)}, w[i + 1])"
+    return f"""(with recursive tok as (select call_id, seq, speaker, lower(text) as t, regexp_extract_all(lower(text), '[a-z'']+') as w from {turns_sql}),
+ walk as (select call_id, seq, speaker, t, w, 0 as i, 0.0::double as total, 0 as hits, -1 as until, 1.0::double as mult from tok
+  union all select call_id, seq, speaker, t, w, i + 1,
+   case when no or more is not null or wt is null then total else total + case when i <= until then wt * mult * -0.8 else wt * mult end end,
+   case when no or more is not null or wt is null then hits else hits + 1 end,
+   case when no then i + 3 else until end,
+   case when no then mult when more is not null then more when wt is null then mult else 1.0 end
+  from (select *, {no} as no, {sql_map(weights)}[w[i + 1]] as wt, {sql_map(intensifiers)}[w[i + 1]] as more from walk where i < len(w))),
+ ended as (select *, total + ({said}) as whole, hits + ({n_said}) as n from walk where i = len(w))
+ select call_id, seq, speaker, case when n = 0 then 0.0 else greatest(-1.0, least(1.0, whole / n * 1.35)) end as sentiment from ended)"""
+
+
+SENTIMENT_SQL = sentiment_sql(TURNS_SQL, WEIGHTS, NEGATIONS, INTENSIFIERS)
+
+
+def risk_sql(turns_sql: str, hits_sql: str, mood_sql: str) -> str:
+    return f"""with h as (select call_id, max(weight) as peak from ({hits_sql}) group by 1),
+ m as (select call_id, avg(sentiment) as mood from (select *, row_number() over (partition by call_id order by seq desc) as rn from {mood_sql} where speaker = 'customer') where rn <= 3 group by 1),
+ r as (select call_id, case when mood < -0.4 then greatest(coalesce(peak, 0), 0.45 + least(0.3, abs(mood) - 0.4)) when mood > 0.25 then coalesce(peak, 0) * 0.55 else coalesce(peak, 0) end as raw
+  from (select distinct call_id from {turns_sql}) left join h using (call_id) left join m using (call_id))
+ select call_id, round(least(raw, 1.0), 3) as risk, case when raw >= 0.75 then 'high' when raw >= 0.45 then 'medium' when raw >= 0.2 then 'low' else 'none' end as band from r"""
+
+
+def hits_sql(turns_sql: str, patterns: list[tuple[str, float, str]]) -> str:
+    rows = ", ".join("('{}', {}::double, '{}')".format(n, w, p.replace("'", "''")) for p, w, n in patterns)
+    return f"select call_id, seq, label, weight from {turns_sql} join (values {rows}) p(label, weight, pattern) on regexp_matches(text, pattern) where speaker <> 'agent'"
+
 
 SCORES_SQL = f"""(select call_id, intent, round(sum(w * case when speaker = 'customer' then 1.0 else 0.45 end * (1.0 - 0.5 * idx / n)), 6) as score
  from (select *, row_number() over (partition by call_id order by seq) - 1 as idx, count(*) over (partition by call_id) as n from {TURNS_SQL})
  join (values ('the_topic', 'the', 1.0::double), ('the_topic', 'of', 0.5), ('in_topic', 'in ', 1.0), ('in_topic', 'to', 0.75)) k(intent, phrase, w) on contains(lower(text), phrase) group by 1, 2)"""
 
 
+def resolution_sql(turns_sql: str, follow_up: list, resolved: list, escalated_sql: str, up: list) -> str:
+    has = lambda words: "(" + " or ".join("contains(lower(text), '{}')".format(w.replace("'", "''")) for w in words) + ")"
+    return f"""select call_id, case when u then 'escalated' when f is not null then 'follow_up_required' when r is not null then 'resolved' else 'unresolved' end as resolution,
+ coalesce(case when u then e else coalesce(f, r) end, last) as seq from (select call_id, max(seq) as last, max(seq) filter (rn <= 5 and {has(follow_up)}) as f, max(seq) filter (rn <= 5 and {has(resolved)}) as r,
+ max(seq) filter ({has(up)}) as e, call_id in ({escalated_sql}) as u from (select *, row_number() over (partition by call_id order by seq desc) as rn from {turns_sql}) group by call_id)"""
+
+
 SCRUBBED = r"regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[email]', 'g'), '[0-9](?:[ -]?[0-9]){6,}', '[digits]', 'g')"
 
 
@@ -71,8 +109,8 @@ def _pct(part: str, whole: str, digits: int = 2) -> str:
     return f"round(100.0 * ({part}) / ({whole}), {digits})"
 
 
-def _spans_sql(kind: str, pattern: str) -> str:
-    """Positions by splitting: gap lengths and match lengths summed up."""
+def spans_sql(kind: str, pattern: str, documents: str = "documents") -> str:
+    """Positions by splitting: gap lengths and match lengths summed up; a group stands at its match's end."""
     type_, confidence, _ = pii.DETECTORS[kind]
     p = pattern.replace("'", "''")
     sure = f"cast({confidence} as double)"
@@ -80,12 +118,22 @@ def _spans_sql(kind: str, pattern: str) -> str:
         words = ", ".join(f"'{w}'" for w in CONTEXT[type_])
         around = f'lower(substring(text, greatest(start - {NEAR}, 0) + 1, "end" + {NEAR} - greatest(start - {NEAR}, 0)))'
         sure = f"case when len(list_filter([{words}], lambda w: contains({around}, w))) > 0 then {pii.SURER[kind]} else {sure} end::double"
-    return f"""with m as (select doc_id, text, regexp_extract_all(text, '{p}') as v, regexp_split_to_array(text, '{p}') as g from documents where regexp_matches(text, '{p}')),
+    value = f"regexp_extract(v[i], '{p}', 1)" if kind in pii.GROUPED else "v[i]"
+    accept = {
+        "account_labelled": "length(regexp_replace(value, '[^0-9]', '', 'g')) >= 5",
+        "person_trigger": f"not regexp_matches(value, '(?i)^(?:{pii.NOT_NAMES})(?:\\s|$)')",
+    }.get(kind, "true")
+    return f"""with m as (select doc_id, text, regexp_extract_all(text, '{p}') as v, regexp_split_to_array(text, '{p}') as g from {documents} where regexp_matches(text, '{p}')),
  e as (select doc_id, text, v, g, unnest(range(1, len(v) + 1)) as i from m),
- s as (select text, doc_id as call_id, cast(0 as bigint) as seq, '{type_}' as type,
- cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) as int) as start,
- cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(v[1:i], lambda x: length(x))) as int) as "end", '{kind}' as detector from e)
- select call_id, seq, type, start, "end", detector, {sure} as confidence from s"""
+ s as (select text, doc_id as call_id, cast(0 as bigint) as seq, '{type_}' as type, {value} as value,
+ cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(v[1:i], lambda x: length(x))) as int) as "end", '{kind}' as detector from e),
+ t as (select *, cast("end" - length(value) as int) as start from s where {accept})
+ select call_id, seq, type, start, "end", detector, {sure} as confidence from t"""
+
+
+LUHN_SQL = """select call_id, digits from (select call_id, substring(text, start + 1, "end" - start) as digits from ({spans}) join documents on doc_id = call_id)
+ where (with d as (select regexp_replace(digits, '[^0-9]', '', 'g') as x) select length(x) >= 12 and list_sum(list_transform(range(1, length(x) + 1),
+ lambda i: case when (length(x) - i) % 2 = 0 then substring(x, i, 1)::int when substring(x, i, 1)::int > 4 then substring(x, i, 1)::int * 2 - 9 else substring(x, i, 1)::int * 2 end)) % 10 = 0 from d)"""
 
 
 def queries() -> dict:
@@ -127,7 +175,9 @@ def queries() -> dict:
         "disclosure_status": lambda s, d: conversation.disclosure_status(turns(s, d), REQUIRED),
         "intent_scores": _scores,
         "intents": lambda s, d: conversation.classify_intent(turns(s, d), _scores(s, d), list(INTENTS)),
-        "resolution": lambda s, d: conversation.classify_resolution(turns(s, d), ["that the"], ["with", "and the"]),
+        "resolution": lambda s, d: conversation.classify_resolution(
+            turns(s, d), ["that the"], ["with", "and the"], conversation.escalated_flag(conversation.pattern_hits(turns(s, d), PATTERNS), ["of_the"]), ["of the"]
+        ),
         "search_turns": lambda s, d: conversation.search_turns(turns(s, d), turns(s, d).select("call_id").distinct().withColumn("query", F.lit("the of and in")), 3),
         "redact": lambda s, d: pii.redact(documents(s, d)).select("call_id", "seq", F.md5("text").alias("redacted"), "n_redactions"),
         "placeholders": lambda s, d: pii.assign_placeholders(pii.detect_pii(documents(s, d))),
@@ -138,23 +188,23 @@ def queries() -> dict:
         "quality_accuracy": lambda s, d: quality.accuracy(_gold(s, d), "predicted", "quality"),
         "confusions": lambda s, d: quality.confusions(_gold(s, d), "predicted", "quality"),
         "nearest_rank": lambda s, d: quality.nearest_rank(signals(s, d), "duration_ms", "signal_type", 0.95),
-        "capacity": lambda s, d: quality.capacity(signals(s, d), 465.0, "agent_id"),
+        "capacity": lambda s, d: quality.capacity(signals(s, d), 150.0, "agent_id"),
         "call_sessions": lambda s, d: streaming.close_calls(signals(s, d), "6 hours"),
         "signals_hourly": lambda s, d: streaming.signals_hourly(signals(s, d)),
-        "call_activity": lambda s, d: streaming.call_activity(signals(s, d)),
-        "slo_alerts": lambda s, d: streaming.slo_alerts(signals(s, d), 460.0),
+        "call_activity": lambda s, d: streaming.call_activity(signals(s, d).withColumn("seq", F.expr("signal_id % 97"))),
+        "slo_alerts": lambda s, d: streaming.slo_alerts(signals(s, d), 150.0),
     }
     for kind in pii.DETECTORS:
         q[f"pii_{kind}"] = lambda s, d, k=kind: pii.pii_spans(documents(s, d), [k])
-    from callscope.plans import calls, evidence
+    from callscope.plans import calls, evidence, insights, shipped
 
-    return q | evidence.queries() | calls.queries()
+    return q | evidence.queries() | calls.queries() | insights.queries() | shipped.queries()
 
 
 def oracle_sql() -> dict:
-    from callscope.plans import calls, evidence
+    from callscope.plans import calls, evidence, insights, shipped
 
-    return base_sql() | evidence.oracle_sql() | calls.oracle_sql()
+    return base_sql() | evidence.oracle_sql() | calls.oracle_sql() | insights.oracle_sql() | shipped.oracle_sql()
 
 
 def base_sql() -> dict:
@@ -182,7 +232,7 @@ def base_sql() -> dict:
         "retention": f"select signal_id from {sg} where emitted_at >= date '2024-01-21'",
         "segment_reasons": f"select event_id, array_to_string({REASONS_SQL}, ',') as reasons from {seg}",
         "segment_dedupe": f"select call_id, seq, min(event_id) as event_id from {seg} group by 1, 2",
-        "ingest_outcomes": f"select case when len(r) > 0 then 'rejected' when rn > 1 then 'duplicate' else 'accepted' end as outcome, case when len(r) > 0 then r[1] else '' end as reason, count(*) as segments from (select {REASONS_SQL} as r, row_number() over (partition by call_id, seq order by event_id) as rn from {seg}) group by 1, 2",
+        "ingest_outcomes": f"select case when len(r) > 0 then 'rejected' when rn > 1 then 'duplicate' else 'accepted' end as outcome, case when len(r) > 0 then r[1] else '' end as reason, count(*) as segments from (select r, row_number() over (partition by call_id, seq, len(r) > 0 order by event_id) as rn from (select *, {REASONS_SQL} as r from {seg})) group by 1, 2",
         "latest_hypothesis": f"select call_id, seq, arg_max(event_id, emitted_at) as event_id from {seg} group by 1, 2",
         "sequence_gaps": f"select call_id, after, seq - after - 1 as missing from (select call_id, seq, lag(seq) over (partition by call_id order by seq) as after from (select distinct call_id, seq from {seg})) where seq > after + 1",
         "drop_weak": f"select signal_id from {sg} where confidence >= 0.35",
@@ -194,30 +244,30 @@ def base_sql() -> dict:
         "carry_context": f"select call_id, seq, right(coalesce(string_agg(text, ' ') over (partition by call_id order by seq rows between unbounded preceding and 1 preceding), ''), 240) as context from {tn}",
         "sentiment": f"select call_id, seq, round(sentiment, 8) as sentiment from {SENTIMENT_SQL}",
         "sentiment_endpoints": f"select call_id, round(avg(sentiment) filter (k <= t), 3) as start, round(avg(sentiment) filter (k > n - t), 3) as \"end\" from (select *, greatest(1, n // 3) as t from (select *, row_number() over (partition by call_id order by seq) as k, count(*) over (partition by call_id) as n from {SENTIMENT_SQL} where speaker = 'customer')) group by 1",
-        "escalation_hits": rf"select call_id, seq, label, weight from {tn} join (values ('that', 0.6::double, '(?i)\bthat\b'), ('of_the', 0.9, '(?i)\bof the\b')) p(label, weight, pattern) on regexp_matches(text, pattern) where speaker <> 'agent'",
-        "escalation_risk": rf"""with h as (select call_id, max(weight) as peak from {tn} join (values (0.6::double, '(?i)\bthat\b'), (0.9, '(?i)\bof the\b')) p(weight, pattern) on regexp_matches(text, pattern) where speaker <> 'agent' group by 1),
- m as (select call_id, avg(sentiment) as mood from (select *, row_number() over (partition by call_id order by seq desc) as rn from {SENTIMENT_SQL} where speaker = 'customer') where rn <= 3 group by 1),
- r as (select call_id, round(case when mood < -0.4 then least(1.0, coalesce(peak, 0) + 0.15) when mood > 0.25 then coalesce(peak, 0) * 0.55 else coalesce(peak, 0) end, 3) as risk from (select distinct call_id from {tn}) left join h using (call_id) left join m using (call_id))
- select call_id, risk, case when risk >= 0.75 then 'high' when risk >= 0.45 then 'medium' when risk >= 0.2 then 'low' else 'none' end as band from r""",
+        "escalation_hits": hits_sql(tn, PATTERNS),
+        "escalation_risk": risk_sql(tn, hits_sql(tn, PATTERNS), SENTIMENT_SQL),
         "compliance_hits": f"select call_id, policy_id, phrase, min(seq) as seq from {tn} join (values ('P1', 'that'), ('P2', 'with'), ('P3', 'the th')) p(policy_id, phrase) on contains(lower(text), phrase) where speaker = 'agent' group by 1, 2, 3",
-        "disclosure_status": f"select call_id, policy_id, bool_or(contains(lower(text), phrase)) as given, min(case when contains(lower(text), phrase) then seq end) as seq from (select *, row_number() over (partition by call_id order by seq) as k from {tn} where speaker = 'agent') join (values ('P1', 'that', 3), ('P2', 'with', null), ('P3', 'of', 2)) p(policy_id, phrase, n) on n is null or k <= n group by 1, 2",
+        "disclosure_status": f"select call_id, policy_id, bool_or(contains(lower(text), phrase)) as given, min(case when contains(lower(text), phrase) then seq end) as seq, coalesce(min(case when contains(lower(text), phrase) then seq end), min(seq)) as anchor from (select *, row_number() over (partition by call_id order by seq) as k from {tn} where speaker = 'agent') join (values ('P1', 'that', 3), ('P2', 'with', null), ('P3', 'of', 2)) p(policy_id, phrase, n) on n is null or k <= n group by 1, 2",
         "intent_scores": f"select * from {SCORES_SQL}",
         "intents": f"""with s as (select *, row_number() over (partition by call_id order by score desc, case intent when 'the_topic' then 1 else 2 end) as rn, max(score) over (partition by call_id) as top from {SCORES_SQL}),
  p as (select call_id, max(case when rn = 1 then intent end) as p, coalesce(string_agg(case when rn > 1 then intent end, ',' order by rn), '') as s from s where rn = 1 or (rn <= 4 and score >= 0.45 * top) group by 1)
  select t.call_id, coalesce(p, 'general_inquiry') as primary_intent, coalesce(s, '') as secondary from (select distinct call_id from {tn}) t left join p on t.call_id = p.call_id""",
-        "resolution": f"select call_id, case when bool_or(contains(lower(text), 'that the')) then 'follow_up_required' when bool_or(contains(lower(text), 'with') or contains(lower(text), 'and the')) then 'resolved' else 'unresolved' end as resolution from (select *, row_number() over (partition by call_id order by seq desc) as rn from {tn}) where rn <= 5 group by 1",
+        "resolution": resolution_sql(tn, ["that the"], ["with", "and the"], f"select call_id from ({hits_sql(tn, PATTERNS[1:])})", ["of the"]),
         "search_turns": f"select call_id, 'the of and in' as query, seq, overlap::int as overlap, rank::int as rank from (select *, row_number() over (partition by call_id order by overlap desc, seq) as rank from (select call_id, seq, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z'']+')), ['the', 'of', 'and', 'in'])) as overlap from {tn}) where overlap > 0) where rank <= 3",
         "long_digit_runs": "select doc_id as call_id, cast(0 as bigint) as seq, len(regexp_extract_all(text, '[0-9]{7,}'))::int as runs from documents where regexp_matches(text, '[0-9]{7,}')",
         "quality_prf": f"select lang, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when 4 * p + r = 0 then 0 else 5 * p * r / (4 * p + r) end, 6) as f from (select *, case when tp + fp = 0 then 0 else tp / (tp + fp) end as p, case when tp + fn = 0 then 0 else tp / (tp + fn) end as r from ({counts}))",
         "quality_accuracy": f"select count(*) as n, count(*) filter (predicted = quality) as correct, round(avg(cast(predicted = quality as int)), 6) as accuracy from {gold}",
         "confusions": f"select gold, predicted, n, rank::int as rank from (select *, row_number() over (partition by gold order by n desc, predicted) as rank from (select quality as gold, predicted, count(*) as n from {gold} where quality <> predicted group by 1, 2)) where rank <= 6",
         "nearest_rank": f"select signal_type, duration_ms as value from (select signal_type, duration_ms, row_number() over (partition by signal_type order by duration_ms) as k, count(*) over (partition by signal_type) as n from {sg}) where k = least(greatest(round_even(0.95 * n + 0.5, 0), 1), n)",
-        "capacity": f"with l as (select agent_id as level, round(quantile_cont(duration_ms, 0.95), 3) as p95_ms from {sg} group by 1), b as (select min(level) as breach from l where p95_ms > 465) select level, p95_ms, p95_ms <= 465 as within, (breach is null or level < breach) as sustained from l, b",
+        "capacity": f"""with l as (select agent_id as level, round(quantile_cont(duration_ms, 0.5), 3) as p50_ms, round(quantile_cont(duration_ms, 0.95), 3) as p95_ms, round(quantile_cont(duration_ms, 0.99), 3) as p99_ms from {sg} group by 1),
+ b as (select min(level) as breach from l where p95_ms > 150), x as (select *, (breach is null or level < breach) as sustained from l, b)
+ select level, p50_ms, p95_ms, p99_ms, p95_ms <= 150 as within, sustained, (select max(level) filter (sustained) from x) as most from x""",
         "call_sessions": f"select call_id, min(emitted_at) as started_at, max(emitted_at) + interval 6 hours as ended_at, count(*) as segments from (select *, sum(case when gap is null or gap >= interval 6 hours then 1 else 0 end) over (partition by call_id order by emitted_at) as g from (select call_id, emitted_at, emitted_at - lag(emitted_at) over (partition by call_id order by emitted_at) as gap from {sg})) group by call_id, g",
         "signals_hourly": f"select date_trunc('hour', emitted_at) as hour, signal_type, count(*) as events from {sg} group by 1, 2",
-        "call_activity": f"select call_id, min(emitted_at) as first_seen, max(emitted_at) as last_seen, count(*) as segments from {sg} group by 1",
-        "slo_alerts": f"select * from (select date_trunc('day', emitted_at) as window_start, signal_type, round(quantile_cont(duration_ms, 0.95), 3) as p95_ms, count(*) as samples from {sg} group by 1, 2) where p95_ms > 460",
+        "call_activity": f"select call_id, min(emitted_at) as first_seen, max(emitted_at) as last_seen, count(*) as segments, count(*) - count(distinct signal_id % 97) as duplicates, max(signal_id % 97) as last_seq from {sg} group by 1",
+        "slo_alerts": f"select * from (select date_trunc('day', emitted_at) as window_start, signal_type, round(quantile_cont(duration_ms, 0.95), 6) as p95_ms, count(*) as samples from {sg} group by 1, 2) where p95_ms > 150",
     }
-    for kind in ("email", "ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled", "address", "long_digits"):
-        q[f"pii_{kind}"] = _spans_sql(kind, pii.DETECTORS[kind][2])
+    for kind in ("email", "ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled", "address", "long_digits", "person_trigger"):
+        q[f"pii_{kind}"] = spans_sql(kind, pii.DETECTORS[kind][2])
+    q["luhn"] = LUHN_SQL.replace("{spans}", q["pii_long_digits"])
     return q

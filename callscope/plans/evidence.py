@@ -13,6 +13,8 @@ from callscope.testdata import signals as events
 #: A small catalog in words that the invented prose has: policy, place, text.
 POLICIES = [("P0", 0, "that with was"), ("P1", 1, "no was the"), ("P2", 2, "with no one"), ("P3", 3, "was he there")]
 KINDS = ["email", "phone"]
+#: Severities of the demo disclosures; the last is none that the rules know.
+SEVERITIES = [("P1", "critical"), ("P2", None), ("P3", "odd")]
 
 
 def _policies(s):
@@ -60,7 +62,8 @@ def _signals(s, d):
     hits = conversation.pattern_hits(t, plans.PATTERNS)
     risk = conversation.escalation_risk(t, hits, plans._sentiment(s, d))
     said = conversation.phrase_hits(t, plans.PHRASES).select("call_id", "seq", "policy_id", F.col("phrase").alias("label"), F.lit(0.8).alias("score"))
-    lost = conversation.disclosure_status(t, plans.REQUIRED).where("not given").select("call_id", F.lit(0).cast("long").alias("seq"), "policy_id", F.lit("missing").alias("label"), F.lit(0.5).alias("score"))
+    titles = s.createDataFrame([(p, "missing", level) for p, level in SEVERITIES], "policy_id string, title string, severity string")
+    lost = conversation.missing_disclosures(conversation.disclosure_status(t, plans.REQUIRED), titles)
     return signals.build_signals(said, lost, risk, hits)
 
 
@@ -117,7 +120,7 @@ def queries() -> dict:
         ).select("signal_id", F.array_join("reasons", ",").alias("reasons")),
         "label_speakers": lambda s, d: conversation.label_speakers(_late(s, d), conversation.index_turns(turns(s, d))).select("call_id", "seq", "speaker"),
         "required_disclosures": lambda s, d: conversation.required_disclosures(_intents(s, d), _scoped(s), ["P0"]),
-        "action_items": lambda s, d: conversation.action_items(turns(s, d), [PROMISE], ["zz"], 8),
+        "action_items": lambda s, d: conversation.action_items(turns(s, d), [(PROMISE, "agent")], "^(?:zz|a)", 8),
         "route_insights": lambda s, d: route_insights(_envelopes(s, d))[0].select("call_id", "signal_id", F.col("type").alias("signal_type"), "severity"),
         "digit_streams": lambda s, d: pii.digit_streams(documents(s, d)).select("call_id", F.length("digits").alias("digits"), F.size("breaks").alias("breaks")),
         "digit_runs": lambda s, d: pii.pii_spans(documents(s, d), ["digit_runs"]),
@@ -163,7 +166,7 @@ def oracle_sql() -> dict:
  select g.*, covered and coalesce((select arg_min(n.type, (n.start, n."end", n.type)) from {narrow} n where n.call_id = g.call_id and n.start < g."end" and g.start < n."end") = g.type, false) as type_correct from g)"""
     risk = own["escalation_risk"]
     sig = f"""(select call_id, '{signals.VIOLATION}' as signal_type, phrase as label, 'high' as severity, 0.89::double as confidence, policy_id, seq::varchar as evidence from ({own['compliance_hits']})
- union all select call_id, '{signals.VIOLATION}', 'missing', 'medium', 0.75, policy_id, '0' from ({own['disclosure_status']}) where not given
+ union all select call_id, '{signals.VIOLATION}', 'missing', case policy_id when 'P1' then 'critical' else 'medium' end, case policy_id when 'P1' then 0.9 when 'P2' then 0.765 else 0.75 end, policy_id, anchor::varchar from ({own['disclosure_status']}) where not given
  union all select r.call_id, '{signals.ESCALATION}', h.label, r.band, r.risk, null, h.evidence from ({risk}) r join (select call_id, arg_min(label, (-weight, seq, label)) as label, array_to_string(list(seq order by seq, label)[1:3], ',') as evidence from ({own['escalation_hits']}) group by 1) h on r.call_id = h.call_id where band in ('medium', 'high'))"""
     listed = lambda q, n: f"(select call_id, string_agg(policy_id, ',' order by policy_id) as {n} from (select distinct call_id, policy_id from ({q})) group by 1)"
     broken = f"select call_id, policy_id from ({own['compliance_hits']}) where policy_id = 'P3' union all select call_id, policy_id from ({own['disclosure_status']}) where not given"
@@ -178,7 +181,7 @@ def oracle_sql() -> dict:
         "required_disclosures": f"""select distinct call_id, policy_id from (select call_id, 'P0' as policy_id from ({own['intents']}) union all
  select call_id, p from ({own['intents']}) join (values ('P1', 'the_topic'), ('P2', 'in_topic'), ('P2', 'other')) v(p, i) on i = primary_intent or list_contains(string_split(secondary, ','), i))""",
         "action_items": f"""select call_id, seq, description, 'agent' as owner from (select call_id, arg_min(seq, (seq, place)) as seq, arg_min(item, (seq, place)) as description from
- (select call_id, seq, unnest(v) as item, unnest(range(len(v))) as place from (select *, regexp_extract_all(text, '{PROMISE}', 1) as v from {TURNS_SQL} where speaker = 'agent')) where length(item) >= 8 and not contains(lower(item), 'zz') group by call_id, lower(item))""",
+ (select call_id, seq, unnest(v) as item, unnest(range(len(v))) as place from (select *, regexp_extract_all(text, '{PROMISE}', 1) as v from {TURNS_SQL} where speaker = 'agent')) where length(item) >= 8 and not regexp_matches(item, '^(?:zz|a)') group by call_id, lower(item))""",
         "route_insights": f"select call_id::varchar as call_id, signal_id::varchar as signal_id, signal_type, severity from {SIGNALS_SQL} where signal_id % 4 > 0",
         "quotes": f"""select call_id, start, case when lo > 0 then '...' else '' end || regexp_replace(substring(text, lo + 1, hi - lo), '^\\s+|\\s+$', '', 'g') || case when hi < length(text) then '...' else '' end as quote
  from (select call_id, start, text, greatest(0, start - 45) as lo, least(length(text), "end" + 45) as hi from ({own['pii_email']}) join documents on doc_id = call_id)""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,13 +26,27 @@ def signals_hourly(signals: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def call_activity(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("call_id").agg(F.min("emitted_at").alias("first_seen"), F.max("emitted_at").alias("last_seen"), F.count(F.lit(1)).alias("segments"))
+    """(call_id, first_seen, last_seen, segments, duplicates, last_seq), batch or stream in update mode.
+
+    Segments of one number and finality are duplicates of each other. A stream keeps a live call's numbers in its state; a batch
+    counts them before it groups by call.
+    """
+    final = F.coalesce("is_final", F.lit(True)) if "is_final" in segments.columns else F.lit(True)
+    key = F.col("seq").cast("long") * 2 + final.cast("long")
+    first, last, top = F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("last_seq").alias("last_seq")
+    rows = segments.select("call_id", F.col("emitted_at").alias("first_seen"), F.col("emitted_at").alias("last_seen"), F.col("seq").alias("last_seq"), key.alias("__key"))
+    if segments.isStreaming:
+        out = rows.groupBy("call_id").agg(first, last, F.count(F.lit(1)).alias("segments"), F.size(F.collect_set("__key")).alias("__distinct"), top)
+    else:
+        numbers = rows.groupBy("call_id", "__key").agg(first, last, F.count(F.lit(1)).alias("n"), top)
+        out = numbers.groupBy("call_id").agg(first, last, F.sum("n").alias("segments"), F.count("__key").alias("__distinct"), top)
+    return out.select("call_id", "first_seen", "last_seen", "segments", (F.col("segments") - F.col("__distinct")).alias("duplicates"), "last_seq")
 
 
 def slo_alerts(latency: DataFrame, budget_ms: float, width: str = "1 day") -> DataFrame:
     """Windows whose p95 is over the budget."""
     out = latency.groupBy(F.window("emitted_at", width).alias("w"), "signal_type").agg(F.percentile("duration_ms", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("samples"))
-    return out.where(F.col("p95") > budget_ms).select(F.col("w.start").alias("window_start"), "signal_type", F.round("p95", 3).alias("p95_ms"), "samples")
+    return out.where(F.col("p95") > budget_ms).select(F.col("w.start").alias("window_start"), "signal_type", F.round("p95", 6).alias("p95_ms"), "samples")
 
 
 def stage_throughput(latency: DataFrame, width: str = "1 minute", late: str = "1 hour") -> DataFrame:
@@ -46,3 +62,59 @@ def ops_ratios(events: DataFrame, label: str, width: str = "15 minutes") -> Data
     counted = events.groupBy(F.window("emitted_at", width).alias("w"), F.coalesce(F.col(label).cast("string"), F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("events"))
     whole = counted.groupBy("w").agg(F.sum("events").alias("all"))  # both counts come from the same small table
     return counted.join(whole, "w").select(F.col("w.start").alias("window_start"), "label", "events", F.round(F.col("events") / F.col("all"), 6).alias("share"))
+
+
+#: Alert, what it divides (null: its count alone), the limit that it must not pass, and its window.
+ALERTS = (
+    ("final_segments_shed", "dropped_final", None, 0.0, "5 minutes"),
+    ("rows_dropped", "row_dropped", None, 0.0, "10 minutes"),
+    ("summaries_failing", "summary_failed", "summary", 0.1, "10 minutes"),
+    ("hold_churn", "hold", "final", 0.5, "10 minutes"),
+    ("consumer_lag", "lag", None, 5000.0, "5 minutes"),
+)
+REDACTION_ALERT = ("redaction_collapsed", "redaction", "final", "15 minutes")
+
+
+def ops_alerts(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(alert, window_start, value) of the windows of (event, n, emitted_at) in which an alert's limit is passed, batch or stream.
+
+    A ratio's divisor is 1 at least. ``lag`` is a level, so its largest value counts; the others are summed. ``redaction_collapsed``
+    fires where finals flow and nothing is redacted.
+    """
+    rows = events.withWatermark("emitted_at", late) if events.isStreaming else events
+    total = lambda name: F.sum(F.when(F.col("event") == name, F.col("n")).otherwise(0))
+    parts = []
+    for alert, part, whole, limit, width in ALERTS:
+        value = F.max(F.when(F.col("event") == "lag", F.col("n"))) if part == "lag" else total(part)
+        value = value / F.greatest(total(whole), F.lit(1)) if whole else value
+        own = rows.groupBy(F.window("emitted_at", width).alias("w")).agg(F.round(value.cast("double"), 6).alias("value"))
+        parts.append(own.where(F.col("value") > limit).select(F.lit(alert).alias("alert"), F.col("w.start").alias("window_start"), "value"))
+    alert, part, whole, width = REDACTION_ALERT
+    flow = rows.groupBy(F.window("emitted_at", width).alias("w")).agg(total(part).alias("part"), total(whole).alias("whole"))
+    parts.append(flow.where("part = 0 and whole > 0").select(F.lit(alert).alias("alert"), F.col("w.start").alias("window_start"), F.lit(0.0).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Ratio, its events and what they are divided by.
+RATIOS = {
+    "rejected": ("rejected", "segment"), "duplicate": ("duplicate", "segment"), "shed": ("dropped_final", "segment"), "redactions": ("redaction", "final"),
+    "holds": ("hold", "final"), "claims_dropped": ("claim_dropped", "claim"), "tokens_per_summary": ("tokens", "summary"),
+}
+
+
+def ops_panel(events: DataFrame, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
+    """(window_start, ratio, value) of (event, n, emitted_at): each of ``RATIOS`` over its window, divided by 1 at least."""
+    rows = events.withWatermark("emitted_at", late) if events.isStreaming else events
+    names = sorted({x for pair in RATIOS.values() for x in pair})
+    sums = rows.groupBy(F.window("emitted_at", width).alias("w")).agg(*[F.sum(F.when(F.col("event") == x, F.col("n")).otherwise(0)).alias(x) for x in names])
+    each = F.array(*[F.struct(F.lit(r).alias("ratio"), F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6).alias("value")) for r, (a, b) in RATIOS.items()])
+    return sums.select(F.col("w.start").alias("window_start"), F.explode(each).alias("x")).select("window_start", "x.ratio", "x.value")
+
+
+def late_rows(segments: DataFrame, late: str = "1 minute") -> DataFrame:
+    """``segments`` with ``is_late``: emitted more than ``late`` before the newest row that came before it.
+
+    The order of arrival is that of the column ``arrived``; a stream counts what its watermark drops in its progress reports.
+    """
+    seen = F.max("emitted_at").over(Window.partitionBy("call_id").orderBy("arrived").rowsBetween(Window.unboundedPreceding, -1))
+    return segments.withColumn("is_late", F.coalesce(F.col("emitted_at") < seen - F.expr(f"interval {late}"), F.lit(False)))

@@ -54,16 +54,31 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("signal_id"), F.col("user_id").alias("call_id"), F.expr("user_id % 20").alias("agent_id"),
-        F.col("event_type").alias("signal_type"), F.concat(F.lit("P"), (k % 7).cast("string")).alias("policy_id"),
+        F.col("event_type").alias("signal_type"), F.concat(F.lit("L"), (k % 3).cast("string")).alias("label"), F.concat(F.lit("P"), (k % 7).cast("string")).alias("policy_id"),
         F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low").alias("severity"),
         (F.col("value") / 500).alias("confidence"), F.col("value").alias("duration_ms"), F.col("ts").alias("emitted_at"),
     )
 
 
 SIGNALS_SQL = """(select event_id as signal_id, user_id as call_id, user_id % 20 as agent_id, event_type as signal_type,
+ 'L' || cast(cast(json_extract_string(props, '$.k') as int) % 3 as varchar) as label,
  'P' || cast(cast(json_extract_string(props, '$.k') as int) % 7 as varchar) as policy_id,
  case cast(json_extract_string(props, '$.k') as int) % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as severity,
  value / 500 as confidence, value as duration_ms, ts as emitted_at from events)"""
 
 TURNS_SQL = """(select conv_id as call_id, turn as seq, case role when 'user' then 'customer' when 'assistant' then 'agent' else 'unknown' end as speaker,
  text, turn * 4200 as start_ms, turn * 4200 + 3800 as end_ms from conversations)"""
+
+#: Personal data that the invented prose lacks; each document gets one of them.
+PLANTED = [
+    "my social is 123-45-6789", "born on 4/5/1980", "it is due on 12.11.2024 then", "birthday May 4th, 1980", "on 3 June 2021", "account number 12345-678 please", "acct 9 8 7", "at 12 Old Mill Road, apt 4b",
+    "My name is Ana Lee and this is okay", "this is Monday, I'm Bo Ray", "call 555-010-1234", "write to ana.lee@example.org",
+]
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = (F.col("call_id") % len(PLANTED) + 1).cast("int")
+    return documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, PLANTED)), place)))
+
+
+PLANTED_SQL = "(select doc_id, text || ' ' || ([" + ", ".join("'" + x.replace("'", "''") + "'" for x in PLANTED) + f"])[doc_id % {len(PLANTED)} + 1] as text from documents)"
