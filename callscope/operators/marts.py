@@ -158,6 +158,12 @@ def replay_tail(events: DataFrame, n: int = 400) -> DataFrame:
     return events.orderBy(F.col("emitted_at").desc(), F.col("signal_id").desc()).limit(n)
 
 
+def event_feed(segments: DataFrame, signals: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(kind, call_id, id, emitted_at) of all three tables, for ``replay_tail`` by ``signal_id`` as id."""
+    row = lambda df, kind, id_, at: df.select(F.lit(kind).alias("kind"), F.col("call_id").cast("string").alias("call_id"), F.col(id_).cast("string").alias("signal_id"), F.col(at).cast("timestamp").alias("emitted_at"))
+    return row(segments, "segment", "seq", "emitted_at").unionByName(row(signals, "signal", "signal_id", "emitted_at")).unionByName(row(summaries, "summary", "call_id", "ended_at"))
+
+
 def call_detail(summaries: DataFrame, signals: DataFrame) -> DataFrame:
     """The current summary of each call with its signals in time order."""
     own = signals.groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("emitted_at", "signal_id", "signal_type"))).alias("signals"))

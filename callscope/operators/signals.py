@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,49 @@ def build_signals(prohibited: DataFrame, missing: DataFrame, risk: DataFrame, hi
         sure = F.round(F.least(F.lit(most), base + F.col("score") * 0.3), 3)
         return df.select("call_id", F.lit(VIOLATION).alias("signal_type"), "label", severity(F.col("score")).alias("severity"), sure.alias("confidence"), "policy_id", F.array(F.col("seq").cast("long")).alias("evidence"))
 
+    upset = escalations(risk, hits)
+    return violations(prohibited, 0.65, 0.97).unionByName(violations(missing, 0.6, 0.92)).unionByName(upset)
+
+
+#: Signals of one call and pass, and by path the base, slope and most of a violation's confidence when prohibited or missing.
+MOST_SIGNALS = 12
+CONFIDENCE = {"fast": {"prohibited": (0.65, 0.3, 0.97), "missing": (0.6, 0.3, 0.92)}, "judged": {"prohibited": (0.6, 0.35, 0.95), "missing": (0.55, 0.35, 0.9)}}
+
+
+def judge_calls(prohibited: DataFrame, missing: DataFrame, risk: DataFrame, hits: DataFrame, shifts: DataFrame, intents: DataFrame, flagged: DataFrame | None = None) -> DataFrame:
+    """Signals of whole calls, with ``place``: violations, escalation, a shift of mood and the intent, ``MOST_SIGNALS`` a call at most.
+
+    ``shifts`` are (call_id, label, delta, anchor), ``intents`` (call_id, intent, seq) of each call's primary intent. Violations of the
+    (call_id, policy_id) of ``flagged`` were raised before and are left out.
+    """
+
+    def violations(df: DataFrame, kind: str, rank: int) -> DataFrame:
+        base, slope, most = CONFIDENCE["judged"][kind]
+        own = df if flagged is None else df.join(flagged.select("call_id", "policy_id").distinct(), ["call_id", "policy_id"], "left_anti")
+        sure = F.round(F.least(F.lit(most), base + F.col("score") * slope), 3)
+        return own.select("call_id", F.lit(VIOLATION).alias("signal_type"), "label", severity(F.col("score")).alias("severity"), sure.alias("confidence"), "policy_id", F.array(F.col("seq").cast("long")).alias("evidence"), F.lit(rank).alias("kind"))
+
+    none = F.lit(None).cast("string").alias("policy_id")
+    one = lambda c: F.array(F.col(c).cast("long")).alias("evidence")
+    moved = F.abs("delta")
+    parts = [
+        violations(prohibited, "prohibited", 0), violations(missing, "missing", 1),
+        escalations(risk, hits).withColumn("kind", F.lit(2)),
+        shifts.select("call_id", F.lit(SHIFT).alias("signal_type"), "label", F.when(moved > 0.6, "medium").otherwise("low").alias("severity"), F.round(F.least(F.lit(0.9), moved), 3).alias("confidence"), none, one("anchor"), F.lit(3).alias("kind")),
+        intents.select("call_id", F.lit(INTENT).alias("signal_type"), F.col("intent").alias("label"), F.lit("info").alias("severity"), F.lit(0.7).alias("confidence"), none, one("seq"), F.lit(4).alias("kind")),
+    ]
+    place = F.row_number().over(Window.partitionBy("call_id").orderBy("kind", F.get("evidence", F.lit(0)), "policy_id", "label"))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).where(F.col("place") <= MOST_SIGNALS).drop("kind")
+
+
+def escalations(risk: DataFrame, hits: DataFrame) -> DataFrame:
+    """Medium and high risks with their hits: the first three are cited, the strongest names the signal."""
     cited = hits.groupBy("call_id").agg(
         F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "label"))), 1, 3), lambda x: x["seq"].cast("long")).alias("evidence"),
         F.min(F.struct((-F.col("weight")).alias("w"), "seq", "label"))["label"].alias("label"),
     )
     upset = risk.where("band in ('medium', 'high')").join(cited, "call_id")
-    upset = upset.select("call_id", F.lit(ESCALATION).alias("signal_type"), "label", F.col("band").alias("severity"), F.round("risk", 3).alias("confidence"), F.lit(None).cast("string").alias("policy_id"), "evidence")
-    return violations(prohibited, 0.65, 0.97).unionByName(violations(missing, 0.6, 0.92)).unionByName(upset)
+    return upset.select("call_id", F.lit(ESCALATION).alias("signal_type"), "label", F.col("band").alias("severity"), F.round("risk", 3).alias("confidence"), F.lit(None).cast("string").alias("policy_id"), "evidence")
 
 
 def suppress_repeats(signals: DataFrame, rise: float = 0.15) -> DataFrame:
@@ -115,17 +153,33 @@ def sentiment_shift(scored: DataFrame, least: float = 0.35) -> DataFrame:
     return out.select("call_id", F.when(worse, "negative_shift").otherwise("positive_shift").alias("label"), F.round("delta", 3).alias("delta"), F.when(worse, F.col("low")).otherwise(F.col("high")).alias("anchor"))
 
 
-def summarize_calls(facts: DataFrame, intents: DataFrame, resolution: DataFrame, moods: DataFrame, hits: DataFrame, prohibited: DataFrame, disclosures: DataFrame, escalating: list[str]) -> DataFrame:
-    """One row a call: intent, resolution, moods, escalation, policies broken and kept, and a sentence.
+#: Fixed value: action items of a summary.
+MOST_ACTIONS = 8
+
+
+def summarize_calls(
+    facts: DataFrame, intents: DataFrame, resolution: DataFrame, moods: DataFrame, hits: DataFrame, prohibited: DataFrame, disclosures: DataFrame, escalating: list[str],
+    actions: DataFrame | None = None, flagged: DataFrame | None = None,
+) -> DataFrame:
+    """One row a call: intent, resolution, moods, escalation, policies broken and kept, a sentence, action items and the turn cited.
 
-    ``hits`` with an ``escalating`` label mark a call as escalated; a policy is broken if ``prohibited`` names it
-    or ``disclosures`` has it as not given.
+    ``hits`` with an ``escalating`` label mark a call as escalated; a policy is broken if ``prohibited`` names it, ``flagged``
+    (call_id, policy_id) did so before, or ``disclosures`` has it as not given. Of ``actions`` the first ``MOST_ACTIONS`` are listed.
     """
     up = hits.groupBy("call_id").agg(F.max(F.col("label").isin(escalating)).alias("escalated"))
     broken = prohibited.select("call_id", "policy_id").unionByName(disclosures.where("not given").select("call_id", "policy_id"))
+    if flagged is not None:
+        broken = broken.unionByName(flagged.select("call_id", "policy_id"))
     listed = lambda df, name: df.groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_set("policy_id")), ",").alias(name))
     out = facts.select("call_id", "turn_count").join(intents, "call_id", "left").join(resolution, "call_id", "left").join(moods, "call_id", "left").join(up, "call_id", "left")
     out = out.join(listed(broken, "violations"), "call_id", "left").join(listed(disclosures.where("given"), "disclosures"), "call_id", "left")
+    if actions is not None:
+        item = F.struct("seq", F.left("description", F.lit(200)).alias("description"), "owner")
+        first = F.row_number().over(Window.partitionBy("call_id").orderBy("seq", "description"))
+        own = actions.withColumn("__n", first).where(F.col("__n") <= MOST_ACTIONS).groupBy("call_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        out = out.join(own, "call_id", "left")
+    items = F.coalesce(F.col("items") if actions is not None else F.lit(None), F.array().cast("array<struct<seq:bigint,description:string,owner:string>>")).alias("action_items")
+    cited = (F.col("seq") if "seq" in out.columns else F.lit(None)).cast("long").alias("evidence")
     out = out.withColumn("escalated", F.coalesce("escalated", F.lit(False))).withColumn("resolution", F.when(F.col("escalated"), "escalated").otherwise(F.col("resolution")))
     # The sentences of a summary.
     end = (
@@ -135,4 +189,4 @@ def summarize_calls(facts: DataFrame, intents: DataFrame, resolution: DataFrame,
     said = F.concat(F.lit("The customer called about "), F.replace(F.col("primary_intent"), F.lit("_"), F.lit(" ")), F.lit(" over "), F.col("turn_count").cast("string"), F.lit(" turns."), end)
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     mood = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
-    return out.select("call_id", "primary_intent", blank("secondary"), "resolution", mood("start", "sentiment_start"), mood("end", "sentiment_end"), "escalated", blank("violations"), blank("disclosures"), said.alias("summary"))
+    return out.select("call_id", "primary_intent", blank("secondary"), "resolution", mood("start", "sentiment_start"), mood("end", "sentiment_end"), "escalated", blank("violations"), blank("disclosures"), said.alias("summary"), items, cited)

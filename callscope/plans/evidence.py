@@ -67,14 +67,29 @@ def _signals(s, d):
     return signals.build_signals(said, lost, risk, hits)
 
 
+def _judged(s, d):
+    """All kinds of signals of a call; policies of every third call were flagged before."""
+    t = turns(s, d)
+    hits = conversation.pattern_hits(t, plans.PATTERNS)
+    risk = conversation.escalation_risk(t, hits, plans._sentiment(s, d))
+    said = conversation.phrase_hits(t, plans.PHRASES).select("call_id", "seq", "policy_id", F.col("phrase").alias("label"), F.lit(0.8).alias("score"))
+    titles = s.createDataFrame([(p, "missing", level) for p, level in SEVERITIES], "policy_id string, title string, severity string")
+    lost = conversation.missing_disclosures(conversation.disclosure_status(t, plans.REQUIRED), titles)
+    primary = _intents(s, d).select("call_id", F.col("primary_intent").alias("intent"))
+    cited = conversation.intent_evidence(t, plans.INTENTS).select("call_id", "intent", "seq").join(primary, ["call_id", "intent"])
+    flagged = t.where("call_id % 3 = 0").select("call_id", F.lit("P3").alias("policy_id"))
+    return signals.judge_calls(said, lost, risk, hits, signals.sentiment_shift(plans._sentiment(s, d)), cited, flagged)
+
+
 def _summaries(s, d):
     t = turns(s, d)
     hits = conversation.pattern_hits(t, plans.PATTERNS)
     named = conversation.phrase_hits(t, plans.PHRASES[2:])
     return signals.summarize_calls(
-        conversation.call_facts(t), conversation.classify_intent(t, plans._scores(s, d), list(plans.INTENTS)), conversation.classify_resolution(t, ["that the"], ["with", "and the"]),
+        conversation.call_facts(t), conversation.classify_intent(t, plans._scores(s, d), list(plans.INTENTS)), conversation.classify_resolution(t, ["that the"], ["with", "and the"], conversation.escalated_flag(hits, ["of_the"]), ["of the"]),
         conversation.sentiment_endpoints(plans._sentiment(s, d)), hits, named, conversation.disclosure_status(t, plans.REQUIRED), ["of_the"],
-    )
+        conversation.action_items(t, [(PROMISE, "agent")], "^(?:zz|a)", 8),
+    ).withColumn("action_items", F.array_join(F.transform("action_items", lambda i: F.concat(i["seq"].cast("string"), F.lit(":"), i["description"])), ","))
 
 
 def _claims(s, d):
@@ -127,6 +142,7 @@ def queries() -> dict:
         "quotes": lambda s, d: signals.with_quotes(pii.pii_spans(documents(s, d), ["email"]), documents(s, d)).select("call_id", "start", "quote"),
         "ground_claims": _claims,
         "build_signals": lambda s, d: _signals(s, d).select("call_id", "signal_type", "label", "severity", "confidence", "policy_id", F.array_join("evidence", ",").alias("evidence")),
+        "judge_calls": lambda s, d: _judged(s, d).withColumn("evidence", F.array_join("evidence", ",")).withColumn("policy_id", F.coalesce("policy_id", F.lit(""))),
         "suppress_repeats": lambda s, d: signals.suppress_repeats(_repeats(s, d)),
         "search_policies": lambda s, d: signals.search_policies(turns(s, d).select((F.col("call_id") * 1000 + F.col("seq")).alias("query_id"), F.col("text").alias("query")), _policies(s), 2),
         "sentiment_shift": lambda s, d: signals.sentiment_shift(plans._sentiment(s, d)),
@@ -168,10 +184,12 @@ def oracle_sql() -> dict:
     sig = f"""(select call_id, '{signals.VIOLATION}' as signal_type, phrase as label, 'high' as severity, 0.89::double as confidence, policy_id, seq::varchar as evidence from ({own['compliance_hits']})
  union all select call_id, '{signals.VIOLATION}', 'missing', case policy_id when 'P1' then 'critical' else 'medium' end, case policy_id when 'P1' then 0.9 when 'P2' then 0.765 else 0.75 end, policy_id, anchor::varchar from ({own['disclosure_status']}) where not given
  union all select r.call_id, '{signals.ESCALATION}', h.label, r.band, r.risk, null, h.evidence from ({risk}) r join (select call_id, arg_min(label, (-weight, seq, label)) as label, array_to_string(list(seq order by seq, label)[1:3], ',') as evidence from ({own['escalation_hits']}) group by 1) h on r.call_id = h.call_id where band in ('medium', 'high'))"""
+    actions = f"""(select call_id, string_agg(seq || ':' || description, ',' order by seq, description) as action_items from (select *, row_number() over (partition by call_id order by seq, description) as n
+ from (%ACTIONS%)) where n <= {signals.MOST_ACTIONS} group by 1)"""
     listed = lambda q, n: f"(select call_id, string_agg(policy_id, ',' order by policy_id) as {n} from (select distinct call_id, policy_id from ({q})) group by 1)"
     broken = f"select call_id, policy_id from ({own['compliance_hits']}) where policy_id = 'P3' union all select call_id, policy_id from ({own['disclosure_status']}) where not given"
     id_ = "call_id * 1000 + seq"
-    return {
+    found = {
         "check_call_id": f"select signal_id, case when signal_id % 5 > 0 and signal_id % 7 = 0 then 'x' else call_id::varchar end as call_id, case when signal_id % 5 > 0 and signal_id % 7 = 0 then 'call_id_mismatch' else '' end as reason from {SIGNALS_SQL}",
         "unknown_fields": "select event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'id')), ',') as unknown from events",
         "signal_reasons": f"select signal_id, array_to_string(list_filter([case when signal_id % 9 = 0 then 'label' end, case when not (confidence * 1.1 between 0 and 1) then 'confidence' end, case when signal_id % 11 = 0 then 'evidence' end, case when signal_id % 60 < 5 then 'window' end], lambda x: x is not null), ',') as reasons from {SIGNALS_SQL}",
@@ -196,11 +214,11 @@ def oracle_sql() -> dict:
  from (select *, row_number() over (partition by call_id order by seq) as k, count(*) over (partition by call_id) as n from {plans.SENTIMENT_SQL} where speaker = 'customer') where n >= 3 group by 1) where abs(delta) >= 0.35""",
         "summarize_calls": f"""select call_id, primary_intent, secondary, resolution, coalesce(start, 0.0) as sentiment_start, coalesce("end", 0.0) as sentiment_end, escalated, coalesce(violations, '') as violations, coalesce(disclosures, '') as disclosures,
  'The customer called about ' || replace(primary_intent, '_', ' ') || ' over ' || turn_count || ' turns.' || case when escalated then ' The call was escalated to a supervisor before it concluded.' when resolution = 'resolved' then ' The agent resolved the issue on the call.'
- when resolution = 'follow_up_required' then ' The agent committed to follow-up action after the call.' else ' The issue was not settled during the call.' end as summary
- from (select f.*, i.* exclude (call_id), m.* exclude (call_id), v.* exclude (call_id), g.* exclude (call_id), coalesce(up, false) as escalated, case when coalesce(up, false) then 'escalated' else r.resolution end as resolution
+ when resolution = 'follow_up_required' then ' The agent committed to follow-up action after the call.' else ' The issue was not settled during the call.' end as summary, coalesce(action_items, '') as action_items, seq as evidence
+ from (select f.*, a.action_items, r.seq, i.* exclude (call_id), m.* exclude (call_id), v.* exclude (call_id), g.* exclude (call_id), coalesce(up, false) as escalated, case when coalesce(up, false) then 'escalated' else r.resolution end as resolution
  from ({own['call_facts']}) f left join ({own['intents']}) i using (call_id) left join ({own['resolution']}) r using (call_id) left join ({own['sentiment_endpoints']}) m using (call_id)
  left join (select call_id, bool_or(label = 'of_the') as up from ({own['escalation_hits']}) group by 1) u using (call_id) left join {listed(broken, 'violations')} v using (call_id)
- left join {listed(f"select * from ({own['disclosure_status']}) where given", 'disclosures')} g using (call_id))""",
+ left join {listed(f"select * from ({own['disclosure_status']}) where given", 'disclosures')} g using (call_id) left join {actions} a using (call_id))""",
         "find_leaks": f"select call_id, md5(value) as value, space from {leaks}",
         "leak_rate": f"select count(*) as values, count(*) filter (space <> '') as leaked, round(count(*) filter (space <> '') / count(*), 6) as leak_rate from {leaks}",
         "span_coverage": f'select call_id, start, "end", covered, type_correct from {coverage}',
@@ -213,3 +231,14 @@ def oracle_sql() -> dict:
  f as (select l.*, len(w) > 0 and exists (select 1 from {TURNS_SQL} t where t.call_id = l.call_id and t.speaker = 'agent' and len(list_filter(w, lambda x: contains({norm('t.text')}, x))) >= greatest(1, len(w) // 2)) as hit from l)
  select call_id, count(*) as items, count(*) filter (hit) as found, round(count(*) filter (hit) / count(*), 6) as recall from f group by 1""",
     }
+    found["summarize_calls"] = found["summarize_calls"].replace("%ACTIONS%", found["action_items"])
+    found["judge_calls"] = f"""with s as ({found['build_signals']}), fast as (select call_id, signal_type, label, severity, policy_id, evidence, case when signal_type = '{signals.ESCALATION}' then confidence
+  when label = 'missing' then case policy_id when 'P1' then 0.9 when 'P2' then round(0.55 + 0.55 * 0.35, 3) else round(0.55 + 0.5 * 0.35, 3) end else 0.88 end as confidence,
+  case when signal_type = '{signals.ESCALATION}' then 2 when label = 'missing' then 1 else 0 end as kind from s where not (coalesce(policy_id, '') = 'P3' and call_id % 3 = 0)),
+ c as (select * from fast union all by name select call_id, '{signals.SHIFT}' as signal_type, label, case when abs(delta) > 0.6 then 'medium' else 'low' end as severity, round(least(0.9, abs(delta)), 3) as confidence,
+  null as policy_id, anchor::varchar as evidence, 3 as kind from ({found['sentiment_shift']})
+  union all by name select e.call_id, '{signals.INTENT}' as signal_type, e.intent as label, 'info' as severity, 0.7 as confidence, null as policy_id, e.seq::varchar as evidence, 4 as kind
+  from (%EVIDENCE%) e join ({own['intents']}) p on p.call_id = e.call_id and p.primary_intent = e.intent)
+ select call_id, signal_type, label, severity, confidence, coalesce(policy_id, '') as policy_id, evidence, place::int as place from (select *, row_number() over (partition by call_id order by kind, string_split(evidence, ',')[1]::int, policy_id nulls first, label) as place from c)
+ where place <= {signals.MOST_SIGNALS}"""
+    return found

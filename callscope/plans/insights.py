@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from callscope import streaming
 from callscope.operators import contracts, facts, marts, pii, quality
-from callscope.testdata import PLANTED_SQL, SIGNALS_SQL, documents, planted, signals, table
+from callscope.sources import to_kafka_rows
+from callscope.testdata import PLANTED_SQL, SIGNALS_SQL, SUMMARIES_SQL, documents, planted, signals, summaries, table
 
 
 def _insights(s, d):
@@ -117,6 +118,8 @@ def base_queries() -> dict:
         "with_lenient_ts": lambda s, d: contracts.with_lenient_ts(signals(s, d).withColumn("at", F.expr("if(signal_id % 4 = 0, 'soon', '2024-01-05 10:00:00')")), "at", "emitted_at").select("signal_id", "at"),
         "redactions_by_call": lambda s, d: pii.redactions_by_call(documents(s, d), pii.pii_spans(documents(s, d), ["email"])),
         "placeholders_email": _placeholders,
+        "event_feed": lambda s, d: marts.replay_tail(marts.event_feed(signals(s, d).withColumn("seq", F.col("signal_id") % 9), signals(s, d), summaries(s, d)), 400).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("emitted_at").alias("last")),
+        "kafka_rows": lambda s, d: to_kafka_rows(signals(s, d).select("call_id", "signal_id", "label")),
         "ops_alerts": lambda s, d: streaming.ops_alerts(_ops(s, d)),
         "ops_panel": lambda s, d: streaming.ops_panel(_ops(s, d), "1 hour"),
         "late_rows": lambda s, d: streaming.late_rows(signals(s, d).withColumn("arrived", F.col("signal_id")), "6 hours").groupBy("call_id").agg(F.count_if("is_late").alias("late"), F.count(F.lit(1)).alias("n")),
@@ -189,6 +192,9 @@ def base_sql() -> dict:
  k as (select *, case when length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4 then regexp_replace(value, '[^0-9]', '', 'g') else value end as key from s),
  f as (select *, min(start) over (partition by call_id, key) as first from k)
  select call_id, start, "end", '<EMAIL_' || dense_rank() over (partition by call_id order by first) || '>' as placeholder from f""",
+        "event_feed": f"""select kind, count(*) as n, max(emitted_at) as last from (select * from (select 'segment' as kind, (signal_id % 9)::varchar as id, emitted_at::timestamp as emitted_at from {sg}
+ union all select 'signal', signal_id::varchar, emitted_at from {sg} union all select 'summary', call_id::varchar, ended_at from {SUMMARIES_SQL}) order by emitted_at desc, id desc limit 400) group by 1""",
+        "kafka_rows": f"""select call_id::varchar as key, '{{"call_id":' || call_id || ',"signal_id":' || signal_id || ',"label":"' || label || '"}}' as value from {sg}""",
         "ops_alerts": " union all ".join(alerts),
         "ops_panel": panel,
         "late_rows": f"""select call_id, count(*) filter (emitted_at < seen - interval 6 hours) as late, count(*) as n from (select *, max(emitted_at) over (partition by call_id order by signal_id rows between unbounded preceding and 1 preceding) as seen from {sg}) group by 1""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.contracts import MAJOR
+
 SEGMENT = (
     "schema_version string, call_id string, seq int, speaker string, text string, is_final boolean, start_ms int, end_ms int, emitted_at string, "
     "redactions array<struct<type:string,placeholder:string,start:int,end:int,detector:string,confidence:double>>, asr_confidence double, agent_id string, traceparent string"
@@ -12,14 +14,38 @@ SEGMENT = (
 
 
 def read_segments(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(segments, rejects) of JSON lines; a line that isn't a segment is a reject."""
+    """(segments, rejects) of JSON lines; a line that isn't a segment of a readable version is a reject (a missing version is readable)."""
     raw = (spark.readStream if streaming else spark.read).text(path)
     parsed = raw.select("value", F.from_json("value", SEGMENT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("s"))
-    bad = F.col("s").isNull() | F.col("s._corrupt_record").isNotNull() | F.col("s.call_id").isNull()
+    bad = F.col("s").isNull() | F.col("s._corrupt_record").isNotNull() | F.col("s.call_id").isNull() | ~F.coalesce(F.split_part("s.schema_version", F.lit("."), F.lit(1)) == MAJOR, F.lit(True))
     good = parsed.where(~bad).select("s.*").drop("_corrupt_record")
     return good.withColumn("emitted_at", F.try_to_timestamp("emitted_at")), parsed.where(bad).select("value")
 
 
+def reject_reasons(rejects: DataFrame) -> DataFrame:
+    """(reason, lines) of rejected lines: no JSON object, no call id, or a version that isn't read."""
+    object_ = F.col("value").rlike(r"^\s*\{.*\}\s*$")
+    has = lambda field: F.coalesce(F.get_json_object("value", f"$.{field}"), F.lit("")) != ""
+    reason = F.when(~object_, "json").when(~has("call_id"), "call_id").when(has("schema_version") & ~F.get_json_object("value", "$.schema_version").startswith("1."), "version").otherwise("fields")
+    return rejects.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def to_kafka_rows(df: DataFrame, key: str = "call_id") -> DataFrame:
+    """(key, value) for a keyed topic: the row as JSON under its call."""
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+
+
+def stream_to_fact(df: DataFrame, path: str, ts: str, checkpoint: str, grain: str = "month", every: str = "2 seconds"):
+    """Start the append of a stream to a fact table, a batch at a time; a batch that comes again after a failure replaces itself."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        form = {"month": "yyyyMM", "day": "yyyyMMdd"}[grain]
+        rows = batch.withColumns({grain: F.date_format(ts, form), "batch": F.lit(number)})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(grain, "batch").parquet(path)
+
+    return df.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def write_segments_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
