@@ -5,7 +5,8 @@ tokens that any match must hold as a whole, the one that the corpus has least
 often indexes the rule. A URL's own tokens fetch the candidate rules from the
 index, and only those run their expression; a rule without such a token runs on
 every URL. The index is a literal of bounded size, so a URL is judged where it
-is read, without a shuffle.
+is read, without a shuffle; more rules than it holds are a table, which distinct
+URLs meet by token in a join.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and gets the default verdict unless a rule matches the empty string. Of several
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules that one index may hold (it travels as a literal of the plan).
+#: Rules that one index may hold (it travels as a literal of the plan); more of them are joined as a table.
 MAX_RULES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,15 +64,43 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+RULE = "name string, action string, pattern string, tokens array<string>, ranked boolean"
+
+
+def url_tokens(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != ""))
+
+
+def judge_urls_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """``judge_urls`` with a table of rules (``RULE``) of any size: distinct URLs and rules meet by the rule's rarest token."""
+    keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    host, path = host_and_path(F.col("__url"))
+    urls = pages.select(F.col(url_col).alias("__url")).distinct().withColumn("host", host).withColumn("path", path)
+    asked = urls.select("__url", F.concat("host", "path").alias("text"), F.explode(F.concat(url_tokens(F.concat("host", "path")), F.array(F.lit("")))).alias("t"))
+    own = rules.select("*", F.explode_outer("tokens").alias("t"))
+    counts = asked.join(own.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min_by(F.coalesce("t", F.lit("")), F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t")
+    keyed = own.join(counts, "t", "left").groupBy("name", "action", "pattern", "ranked").agg(rarest)
+    hits = asked.join(keyed, "t").where(F.rlike("text", F.col("pattern")))
+    best = F.min(F.when(F.col("ranked"), F.struct((-F.length("name")).alias("n"), "name", "action"))).alias("best")
+    found = hits.groupBy(F.col("__url").alias("__found")).agg(best, F.max(F.col("action") == "block").alias("blocked"))
+    judged = urls.join(found, F.col("__url").eqNullSafe(F.col("__found")), "left").select(
+        "__url", "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.action", F.when(F.col("blocked"), "block").otherwise(default)).alias("verdict")
+    )
+    rows = pages.select(*keep, F.col(url_col).alias("__own"))
+    return rows.join(judged, F.col("__own").eqNullSafe(F.col("__url")), "left").drop("__own", "__url")
+
+
 def judge_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict`` in place of any columns so named."""
     if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; one index holds {MAX_RULES}")
+        table = pages.sparkSession.createDataFrame([(r.name, r.action, r.pattern, list(r.tokens), r.ranked) for r in rules], RULE)
+        return judge_urls_by_table(pages, table, url_col, default)
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col("__url"))
     urls = pages.select(*keep, F.col(url_col).alias("__url")).withColumn("host", host).withColumn("path", path)
     text = F.concat("host", "path")
-    tokens = F.array_distinct(F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda t: t != ""))
+    tokens = url_tokens(text)
 
     # How often the corpus has each token of the rules: as many rows as the rules have tokens.
     literal = sorted({t for r in rules for t in r.tokens})

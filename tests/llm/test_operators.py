@@ -4,6 +4,7 @@ import struct
 import brute
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from callscope.llm import bpe, decontaminate, langid, minhash_dedup, quality_classifier, quality_rules, queries, sharding, substring_dedup, toxicity, url_filter
@@ -42,7 +43,7 @@ def got(df, *cols):
     return {r.doc_id: tuple(r[c] for c in cols) for r in df.collect()}
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     urls = [None, "", "no scheme", "http://A.Example.com/en/x?q=1", "https://www.example.com/en/", "http://example.com", "http://example.com?x", "ftp://x.net/es/a#t",
             "http://xnet/es/", "http://notexample.com/en/1", "http://spam-farm.example.org/en/", "http://a.spam-farm.org/", "a://b://com/c", "http://cheap-pills.net/fr/", "http://com/"]
     urls += [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
@@ -51,6 +52,11 @@ def test_urls(spark):
     out = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df, rules).collect()}
     hints = [r.pattern for r in url_filter.DEFAULT_KEYWORDS]
     assert out == {i: brute.url(u, queries.URL_RULES, hints) for i, u in enumerate(urls)}
+    monkeypatch.setattr(url_filter, "MAX_RULES", 3)  # more rules than one index holds are a table
+    by_table = url_filter.judge_urls(df.withColumn("page_id", F.col("page_id") * 1), rules + [url_filter.keyword_rule("any", "casino")])
+    hints.append("casino")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in by_table.collect()} == {i: brute.url(u, queries.URL_RULES, hints) for i, u in enumerate(urls)}
+    monkeypatch.undo()
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
     assert url_filter.judge_urls(df, []).where("verdict = 'allow'").count() == len(urls)
 
