@@ -59,13 +59,17 @@ def repeat_words() -> Column:
     """Words in 3-word windows met twice or more in the text.
 
     Window hashes are sorted with their places in the low bits; equal neighbours
-    whose words are equal too mark their places.
+    whose words are equal too mark their places. Where a neighbour has the hash
+    but not the words, all of that hash are looked through.
     """
     w = REPEAT_WINDOW
     same = "(words[{a}] = words[{b}] and words[{a} + 1] = words[{b} + 1] and words[{a} + 2] = words[{b} + 2])"
     a, b = "cast(s[{0}] & mask as int)", "cast(v & mask as int)"
-    near = lambda k: f"shiftright(s[{k}], bits) = shiftright(v, bits) and " + same.format(a=a.format(k), b=b)
-    marked = f"transform(filter(s, (v, i) -> (i > 0 and {near('i - 1')}) or (i < size(s) - 1 and {near('i + 1')})), v -> cast(v & mask as int))"
+    alike = lambda k: f"shiftright(s[{k}], bits) = shiftright(v, bits)"
+    near = lambda k: f"{alike(k)} and " + same.format(a=a.format(k), b=b)
+    beside = lambda test: f"(i > 0 and {test('i - 1')}) or (i < size(s) - 1 and {test('i + 1')})"
+    other = "exists(s, u -> u <> v and shiftright(u, bits) = shiftright(v, bits) and " + same.format(a="cast(u & mask as int)", b=b) + ")"
+    marked = f"transform(filter(s, (v, i) -> {beside(near)} or (({beside(alike)}) and {other})), v -> cast(v & mask as int))"
     covered = f"size(array_distinct(flatten(transform({marked}, p -> array({', '.join(f'p + {k}' for k in range(w))})))))"
     return F.expr(f"if(size(array_distinct(windows)) = size(windows), 0, {covered})").cast("long")
 
