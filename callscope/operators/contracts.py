@@ -17,6 +17,7 @@ def validate_segments(segments: DataFrame) -> DataFrame:
         ("seq", "seq", "seq is null or seq < 0"),
         ("speaker", "speaker", f"speaker is null or speaker not in {SPEAKERS}"),
         ("text", "text", f"text is null or octet_length(text) > {MAX_TEXT_BYTES}"),
+        ("utf8", "text", "not is_valid_utf8(text)"),
         ("times", "start_ms", "start_ms is null or end_ms is null or start_ms < 0 or end_ms < start_ms"),
         ("confidence", "asr_confidence", "asr_confidence not between 0 and 1"),
         ("emitted_at", "emitted_at", "emitted_at is null"),
@@ -105,8 +106,21 @@ def unknown_fields(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.withColumn("unknown", F.array_sort(F.array_except(keys, F.array(*map(F.lit, allowed)).cast("array<string>"))))
 
 
+#: Kinds and severities of signals, and the most characters of each text field.
+SIGNAL_TYPES, SEVERITIES = ("compliance_violation", "escalation_risk", "intent", "sentiment_shift"), ("critical", "high", "medium", "low", "info")
+LONGEST = {"signal_id": 64, "call_id": 64, "rationale": 1000, "policy_id": 64, "agent_id": 64, "model_name": 128, "prompt_version": 64}
+#: What an evidence span must fulfil, where it is a struct.
+EVIDENCE = "e.seq >= 0 and e.start_ms >= 0 and e.end_ms >= 0 and e.speaker in ('customer', 'agent', 'unknown') and length(e.quote) > 0"
+
+
 def validate_signals(signals: DataFrame) -> DataFrame:
-    """Adds ``reasons``: signals need an id, a label of 1 to 128 characters, a confidence in [0, 1], evidence, and windows in order."""
+    """Adds ``reasons``: the name of every broken rule; an empty array passes. Missing columns are not judged, but for those first named.
+
+    Signals need an id, a label of 1 to 128 characters, a confidence in [0, 1], evidence, and windows in order; their type and severity
+    are of those known, their texts no longer than allowed, their evidence spans whole.
+    """
+    has = set(signals.columns)
+    known = lambda c, values: ~F.coalesce(F.col(c).isin(*values), F.lit(False))
     bad = {
         "signal_id": F.col("signal_id").isNull() | (F.col("signal_id").cast("string") == ""),
         "label": ~F.coalesce(F.length("label").between(1, 128), F.lit(False)),
@@ -114,4 +128,13 @@ def validate_signals(signals: DataFrame) -> DataFrame:
         "evidence": ~F.coalesce(F.size("evidence") > 0, F.lit(False)),
         "window": F.coalesce((F.col("window_start_ms") < 0) | (F.col("window_end_ms") < F.col("window_start_ms")), F.lit(False)),
     }
+    if "signal_type" in has:
+        bad["signal_type"] = known("signal_type", SIGNAL_TYPES)
+    if "severity" in has:
+        bad["severity"] = known("severity", SEVERITIES)
+    for column, most in LONGEST.items():
+        if column in has:
+            bad[f"{column}_length"] = F.coalesce(F.length(F.col(column).cast("string")) > most, F.lit(False))
+    if "struct" in signals.schema["evidence"].dataType.simpleString():
+        bad["spans"] = F.coalesce(F.expr(f"not forall(evidence, e -> coalesce({EVIDENCE}, false))"), F.lit(False))
     return signals.withColumn("reasons", F.filter(F.array(*[F.when(c, n) for n, c in bad.items()]), lambda r: r.isNotNull()))

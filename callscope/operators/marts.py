@@ -19,6 +19,13 @@ def mean(value: Column, digits: int = 3) -> Column:
     return F.round(F.avg(value), digits) + 0.0  # no negative zero
 
 
+def quantile(column: str, q: float, exact: bool = True) -> Column:
+    """A quantile aggregate: exact (one key's distinct values meet in one task), or from a sketch of bounded size."""
+    if exact:
+        return F.percentile(column, F.lit(q))
+    return F.expr(f"kll_sketch_get_quantile_double(kll_sketch_agg_double(cast({column} as double)), {q}D)")
+
+
 def intent_distribution(summaries: DataFrame, days: int | None = None, as_of=None) -> DataFrame:
     calls = F.count(F.lit(1))
     out = recent(summaries, "ended_at", days, as_of).groupBy("primary_intent").agg(
@@ -59,8 +66,8 @@ def policy_violation_rates(signals: DataFrame, kind: str = "compliance_violation
     )
 
 
-def latency_percentiles(latency: DataFrame, budget_ms: float = 2000, stage: str = "stage", days: int | None = None, as_of=None) -> DataFrame:
-    q = lambda p: F.round(F.percentile("duration_ms", F.lit(p)), 1)
+def latency_percentiles(latency: DataFrame, budget_ms: float = 2000, stage: str = "stage", days: int | None = None, as_of=None, exact: bool = True) -> DataFrame:
+    q = lambda p: F.round(quantile("duration_ms", p, exact), 1)
     n = F.count(F.lit(1))
     return recent(latency, "emitted_at", days, as_of).groupBy(F.col(stage).alias("stage")).agg(
         n.alias("samples"), q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"), q(0.99).alias("p99_ms"), F.round(F.max("duration_ms"), 1).alias("max_ms"),

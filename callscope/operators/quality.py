@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.marts import quantile
+
 
 def prf(counts: DataFrame, beta: float = 2.0) -> DataFrame:
     """Adds precision, recall and F to rows with tp, fp, fn; 0 where nothing divides."""
@@ -124,9 +126,9 @@ def corpus_profile(calls: DataFrame, turns: DataFrame, spans: DataFrame) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def capacity(latency: DataFrame, budget_ms: float, level: str = "level") -> DataFrame:
+def capacity(latency: DataFrame, budget_ms: float, level: str = "level", exact: bool = True) -> DataFrame:
     """Per level its p50, p95 and p99 and verdict; ``sustained`` until the first level whose p95 is over budget, ``most`` the highest such level."""
-    at = lambda q: F.round(F.percentile("duration_ms", F.lit(q)), 3)
+    at = lambda q: F.round(quantile("duration_ms", q, exact), 3)
     by = latency.groupBy(F.col(level).alias("level")).agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), at(0.99).alias("p99_ms"))
     breach = by.agg(F.min(F.when(F.col("p95_ms") > budget_ms, F.col("level"))).alias("breach"))  # one row
     out = by.crossJoin(F.broadcast(breach)).withColumn("sustained", F.col("breach").isNull() | (F.col("level") < F.col("breach")))

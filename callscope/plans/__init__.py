@@ -193,7 +193,7 @@ def queries() -> dict:
         "quality_accuracy": lambda s, d: quality.accuracy(_gold(s, d), "predicted", "quality"),
         "confusions": lambda s, d: quality.confusions(_gold(s, d), "predicted", "quality"),
         "nearest_rank": lambda s, d: quality.nearest_rank(signals(s, d), "duration_ms", "signal_type", 0.95),
-        "capacity": lambda s, d: quality.capacity(signals(s, d), 150.0, "agent_id"),
+        "capacity": lambda s, d: quality.capacity(signals(s, d), 160.0, "agent_id"),
         "call_sessions": lambda s, d: streaming.close_calls(signals(s, d), "6 hours"),
         "signals_hourly": lambda s, d: streaming.signals_hourly(signals(s, d)),
         "call_activity": lambda s, d: streaming.call_activity(signals(s, d).withColumn("seq", F.expr("signal_id % 97"))),
@@ -267,8 +267,8 @@ def base_sql() -> dict:
         "confusions": f"select gold, predicted, n, rank::int as rank from (select *, row_number() over (partition by gold order by n desc, predicted) as rank from (select quality as gold, predicted, count(*) as n from {gold} where quality <> predicted group by 1, 2)) where rank <= 6",
         "nearest_rank": f"select signal_type, duration_ms as value from (select signal_type, duration_ms, row_number() over (partition by signal_type order by duration_ms) as k, count(*) over (partition by signal_type) as n from {sg}) where k = least(greatest(round_even(0.95 * n + 0.5, 0), 1), n)",
         "capacity": f"""with l as (select agent_id as level, round(quantile_cont(duration_ms, 0.5), 3) as p50_ms, round(quantile_cont(duration_ms, 0.95), 3) as p95_ms, round(quantile_cont(duration_ms, 0.99), 3) as p99_ms from {sg} group by 1),
- b as (select min(level) as breach from l where p95_ms > 150), x as (select *, (breach is null or level < breach) as sustained from l, b)
- select level, p50_ms, p95_ms, p99_ms, p95_ms <= 150 as within, sustained, (select max(level) filter (sustained) from x) as most from x""",
+ b as (select min(level) as breach from l where p95_ms > 160), x as (select *, (breach is null or level < breach) as sustained from l, b)
+ select level, p50_ms, p95_ms, p99_ms, p95_ms <= 160 as within, sustained, (select max(level) filter (sustained) from x) as most from x""",
         "call_sessions": f"select call_id, min(emitted_at) as started_at, max(emitted_at) + interval 6 hours as ended_at, count(*) as segments from (select *, sum(case when gap is null or gap >= interval 6 hours then 1 else 0 end) over (partition by call_id order by emitted_at) as g from (select call_id, emitted_at, emitted_at - lag(emitted_at) over (partition by call_id order by emitted_at) as gap from {sg})) group by call_id, g",
         "signals_hourly": f"select date_trunc('hour', emitted_at) as hour, signal_type, count(*) as events from {sg} group by 1, 2",
         "call_activity": f"select call_id, min(emitted_at) as first_seen, max(emitted_at) as last_seen, count(*) as segments, count(*) - count(distinct signal_id % 97) as duplicates, max(signal_id % 97) as last_seq from {sg} group by 1",

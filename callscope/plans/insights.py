@@ -96,6 +96,9 @@ def base_queries() -> dict:
     evidence = [f"evidence_{c}" for c in facts.EVIDENCE]
     return {
         "signal_rows": lambda s, d: _flat(_rows(s, d), *evidence).drop("emitted_at", "rationale", "model_name", "prompt_version"),
+        "wire_reasons": lambda s, d: contracts.validate_signals(
+            _insights(s, d).withColumn("severity", F.expr("if(signal_id % 13 = 0, 'dire', severity)")).withColumn("rationale", F.expr("if(signal_id % 17 = 0, repeat('x', 1001), rationale)")).drop("window_end_ms").withColumn("window_end_ms", F.lit(200))
+        ).select("signal_id", F.array_join("reasons", ",").alias("reasons")),
         "latency_rows": lambda s, d: facts.to_latency_rows(_insights(s, d), F.lit("E1")),
         "evidence_structs": lambda s, d: facts.evidence_structs(_rows(s, d)).select("signal_id", "policy_id", F.explode("evidence").alias("e")).groupBy("signal_id", "policy_id").agg(
             F.count(F.lit(1)).alias("n"), F.max("e.seq").alias("seq"), F.max("e.quote").alias("quote")
@@ -167,6 +170,8 @@ def base_sql() -> dict:
  {rep('signal_id % 7')} as evidence_seq, {rep('signal_id % 90')} as evidence_start_ms, {rep('signal_id % 90 + 9')} as evidence_end_ms, {rep("'agent'")} as evidence_speaker, {rep("'q' || (signal_id % 11)")} as evidence_quote,
  case when signal_id % 2 = 0 then duration_ms end as latency_asr_ms, null::double as latency_redact_ms, null::double as latency_ingest_ms, null::double as latency_queue_ms, 1.5::double as latency_analyze_ms, null::double as latency_llm_ms,
  duration_ms as latency_segment_to_signal_ms, {trace} as trace_id from {sg}""",
+        "wire_reasons": f"""select signal_id, concat_ws(',', case when not coalesce(confidence between 0 and 1, false) then 'confidence' end, case when signal_id % 5 = 0 then 'evidence' end, 'signal_type',
+ case when signal_id % 13 = 0 then 'severity' end, case when signal_id % 17 = 0 then 'rationale_length' end) as reasons from {sg}""",
         "latency_rows": f"""select call_id, case when signal_id % 5 = 0 then 0 else cast(signal_id % 7 as int) end as seq, {agent} as agent_id, stage, v as duration_ms, 1 as is_final, emitted_at
  from (select *, 'asr' as stage, case when signal_id % 2 = 0 then duration_ms end as v from {sg} union all select *, 'analyze', 1.5 from {sg} union all select *, 'e2e', duration_ms from {sg}) where v is not null""",
         "evidence_structs": f"select signal_id, nullif({policy}, '') as policy_id, cast({n_spans} as bigint) as n, cast(signal_id % 7 as int) as seq, 'q' || (signal_id % 11) as quote from {sg} where signal_id % 5 > 0",

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.marts import quantile
+
 
 def dedupe_stream(segments: DataFrame, memory: str = "6 hours") -> DataFrame:
     return segments.withWatermark("emitted_at", memory).dropDuplicatesWithinWatermark(["call_id", "seq", "is_final"])
@@ -43,16 +45,16 @@ def call_activity(segments: DataFrame) -> DataFrame:
     return out.select("call_id", "first_seen", "last_seen", "segments", (F.col("segments") - F.col("__distinct")).alias("duplicates"), "last_seq")
 
 
-def slo_alerts(latency: DataFrame, budget_ms: float, width: str = "1 day") -> DataFrame:
+def slo_alerts(latency: DataFrame, budget_ms: float, width: str = "1 day", exact: bool = True) -> DataFrame:
     """Windows whose p95 is over the budget."""
-    out = latency.groupBy(F.window("emitted_at", width).alias("w"), "signal_type").agg(F.percentile("duration_ms", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("samples"))
+    out = latency.groupBy(F.window("emitted_at", width).alias("w"), "signal_type").agg(quantile("duration_ms", 0.95, exact).alias("p95"), F.count(F.lit(1)).alias("samples"))
     return out.where(F.col("p95") > budget_ms).select(F.col("w.start").alias("window_start"), "signal_type", F.round("p95", 6).alias("p95_ms"), "samples")
 
 
-def stage_throughput(latency: DataFrame, width: str = "1 minute", late: str = "1 hour") -> DataFrame:
+def stage_throughput(latency: DataFrame, width: str = "1 minute", late: str = "1 hour", exact: bool = True) -> DataFrame:
     """(window_start, stage, samples, p50_ms, p95_ms) of (stage, duration_ms, emitted_at), batch or stream."""
     rows = latency.withWatermark("emitted_at", late) if latency.isStreaming else latency
-    at = lambda q, n: F.round(F.percentile("duration_ms", F.lit(q)), 6).alias(n)
+    at = lambda q, n: F.round(quantile("duration_ms", q, exact), 6).alias(n)
     out = rows.groupBy(F.window("emitted_at", width).alias("w"), "stage").agg(F.count(F.lit(1)).alias("samples"), at(0.5, "p50_ms"), at(0.95, "p95_ms"))
     return out.select(F.col("w.start").alias("window_start"), "stage", "samples", "p50_ms", "p95_ms")
 

@@ -184,3 +184,9 @@ def test_alerts_and_activity(spark):
     seen = spark.createDataFrame([("c", 1, True, 1), ("c", 1, True, 2), ("c", 1, False, 3), ("c", 4, True, 0)], "call_id string, seq int, is_final boolean, t int").withColumn("emitted_at", F.timestamp_seconds("t"))
     row = streaming.call_activity(seen).first()
     assert (row.segments, row.duplicates, row.last_seq) == (4, 1, 4)
+
+
+def test_sketched_quantiles_are_near_the_exact(spark):
+    df = spark.range(20_000).selectExpr("'s' as stage", "cast(id as double) as duration_ms", "timestamp_seconds(id % 60) as emitted_at")
+    exact, sketched = marts.latency_percentiles(df, 500).first(), marts.latency_percentiles(df, 500, exact=False).first()
+    assert all(abs(exact[c] - sketched[c]) < 600 for c in ("p50_ms", "p95_ms", "p99_ms")) and exact.samples == sketched.samples
