@@ -31,7 +31,7 @@ def test_prefixes_of_a_boilerplate_family(spark):
 
 
 def test_family_against_brute_force(spark):
-    for rows in (family(300), family(120, 88, 12), family(150, 92, 8)):
+    for rows in (family(200), family(120, 92, 8)):
         docs = spark.createDataFrame([(k, t, "") for k, t in rows], SCHEMA)
         out = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs, 4, 80).collect()}
         assert out == brute.near(rows, 4)
