@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from callscope.llm.common import slices
 
 #: Bytes (about) of remembered words, and how many token pairs are remembered, until a task starts afresh.
-MEMO_BYTES, MAX_PAIRS = 16 << 20, 150_000
+MEMO_BYTES, MAX_PAIRS = 40 << 20, 300_000
 #: Bytes that a remembered word takes beside its letters and ids.
 WORD_BYTES = 190
 #: Words that are put into one trie.
