@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from callscope.llm.licenses import as_pattern, mandatory, parse
 from callscope.llm.url_filter import LOWER, UPPER, UrlRule
 
 #: The contracts' word patterns.
@@ -138,3 +139,53 @@ def sharding(n_shards: int = 8) -> str:
     select doc_id, size, cast(text_crc32 as bigint) as text_crc32, 'bytes' as law, shard,
         row_number() over (partition by shard order by doc_id) - 1 as slot, cast(null as int) as grown_shard
     from placed"""
+
+
+def licenses(templates: dict[str, Iterable[str]], phrases: dict[str, str]) -> str:
+    """Templates as regular expressions over the folded words, each followed by a blank."""
+    fits, most = [], ["0"]
+    for label, template in [(label, t) for label, own in templates.items() for t in own] + list(phrases.items()):
+        nodes = parse(template)
+        test = f"regexp_matches(j, {_text(' ' + as_pattern(nodes))})"
+        fits.append(f"case when {test} then {_text(label)} end")
+        most.append(f"case when {test} then {mandatory(nodes)} else 0 end")
+    places, base = [], []
+    for label, phrase in phrases.items():
+        words = phrase.split()
+        test = " and ".join(f"w[i + {k}] = {_text(x)}" for k, x in enumerate(words))
+        places.append(f"list_filter(generate_series(1, len(w) - {len(words) - 1}), lambda i: {test})")
+        base.append(f"case when regexp_matches(j, {_text(' ' + ' '.join(words) + ' ')}) then {_text(label)} end")
+    names = lambda listed: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(listed)}], lambda x: x is not null))), ',')"
+    return f"""
+    with docs as materialized (select doc_id, coalesce(regexp_extract_all({_fold('text')}, '{FOLDED_WORD}'), []) as w from documents),
+    joined as materialized (select doc_id, w, ' ' || array_to_string(w, ' ') || ' ' as j, list_concat({', '.join(places)}) as starts from docs)
+    select doc_id, cast(len(w) as bigint) as n_words, cast(len(starts) as bigint) as n_base, list_min(starts) - 1 as first_word, list_max(starts) - 1 as last_word,
+        {names(base)} as base_labels, {names(fits)} as labels, greatest({', '.join(most)}) / (greatest({', '.join(most)}) + 4) as score
+    from joined"""
+
+
+def ranked_search(k: int = 10) -> str:
+    terms = lambda column: f"regexp_extract_all({_fold(column)}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    with docs as materialized (select row_number() over () as r, doc_id, {terms('text')} as w from documents),
+    stats as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_terms from docs where len(w) > 0),
+    asked as materialized (
+        select i, item_id, term, count(*) as qtf
+        from (select row_number() over () as i, item_id, unnest({terms('text')}) as term from benchmark) group by i, item_id, term
+    ),
+    held as materialized (
+        select r, doc_id, n, term, count(*) as tf
+        from (select r, doc_id, len(w) as n, unnest(w) as term from docs) semi join asked using (term) group by r, doc_id, n, term
+    ),
+    weights as (
+        select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as weight from held, stats group by term, n_docs
+    ),
+    impacts as materialized (
+        select r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // n_terms)))) as impact
+        from held join weights using (term), stats
+    ),
+    scores as (
+        select i, item_id, r, doc_id, cast(sum(qtf * impact) as bigint) as score from asked join impacts using (term) group by i, item_id, r, doc_id
+    )
+    select item_id, cast(row_number() over (partition by i order by score desc, doc_id) as int) as rank, doc_id, score
+    from scores where score > 0 qualify rank <= {k}"""

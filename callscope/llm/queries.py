@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm import (
+    alignment,
     bpe,
     decontaminate,
     langid,
+    lexical_search,
+    licenses,
     minhash_dedup,
     oracle,
     quality_classifier,
@@ -20,8 +23,12 @@ from callscope.llm import (
     url_filter,
 )
 from callscope.llm.common import in_fold
+from callscope.llm.license_templates import TEMPLATES
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+#: The phrases of the license query, by label.
+LICENSE_PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
 #: The rules of the URL query as (host, path, action).
 URL_RULES = (
@@ -88,6 +95,19 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), k=4, threshold_percent=80)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(_read(spark, sf_dir, "documents"), TEMPLATES, LICENSE_PHRASES)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, public_tokenizers.path(PIECES)
+    return alignment.alignment_counts(_read(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,6 +121,9 @@ QUERIES = {
         op8_bpe,
         op9_substring_dedup,
         op10_minhash_dedup,
+        op11_licenses,
+        op12_lexical_search,
+        op13_token_alignment,
     )
 }
 
@@ -110,4 +133,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_sharding": oracle.sharding(n_shards=8),
     "op9_substring_dedup": oracle.substring_dedup(window=20),
     "op10_minhash_dedup": oracle.near_duplicates(k=4, threshold_percent=80),
+    "op11_licenses": oracle.licenses(TEMPLATES, LICENSE_PHRASES),
+    "op12_lexical_search": oracle.ranked_search(k=10),
 }
