@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPEAKERS = ("customer", "agent", "unknown")
@@ -21,7 +21,7 @@ def validate_segments(segments: DataFrame) -> DataFrame:
         ("times", "start_ms", "start_ms is null or end_ms is null or start_ms < 0 or end_ms < start_ms"),
         ("confidence", "asr_confidence", "asr_confidence not between 0 and 1"),
         ("emitted_at", "emitted_at", "emitted_at is null"),
-        ("version", "schema_version", f"coalesce(split_part(schema_version, '.', 1), '') <> '{MAJOR}'"),
+        ("version", "schema_version", f"coalesce(schema_version, '') <> '' and split_part(schema_version, '.', 1) <> '{MAJOR}'"),
         ("redactions", "redactions", f"size(redactions) > {MAX_REDACTIONS}"),
         ("spans", "redactions", "exists(redactions, r -> not (r.start >= 0 and r.end > r.start and r.end <= length(text) and substring(text, r.start + 1, r.end - r.start) = r.placeholder and r.placeholder rlike '^<[A-Z_]+_[0-9]+>$' and r.confidence between 0 and 1))"),
     ]
@@ -29,26 +29,38 @@ def validate_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("reasons", F.array_compact(F.array(*found)))
 
 
+def is_compatible(column: str) -> Column:
+    """Whether a version has the major number that this library reads; a missing one counts as such."""
+    version = F.coalesce(column, F.lit(""))
+    return (version == "") | (F.split_part(version, F.lit("."), F.lit(1)) == MAJOR)
+
+
 def compatible(segments: DataFrame, column: str = "schema_version") -> DataFrame:
-    """Rows whose version has the major number that this library reads; a row without a version is not compatible."""
-    return segments.where(F.coalesce(F.split_part(column, F.lit("."), F.lit(1)), F.lit("")) == MAJOR)
+    """Rows of a version that this library reads; a row without a version is readable, for every reader alike."""
+    return segments.where(is_compatible(column))
+
+
+def _row_tie(df: DataFrame) -> Column:
+    """Tells rows apart that arrive together, whatever their order."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])))
 
 
 def dedupe_segments(segments: DataFrame, arrival: str = "emitted_at") -> DataFrame:
-    """The first arrival of every (call, seq, final or partial)."""
-    w = Window.partitionBy("call_id", "seq", "is_final").orderBy(arrival)
+    """The first arrival of every (call, seq, final or partial); of those that arrive together, one by a hash of the row."""
+    w = Window.partitionBy("call_id", "seq", "is_final").orderBy(arrival, _row_tie(segments))
     return segments.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def latest_hypothesis(segments: DataFrame) -> DataFrame:
-    w = Window.partitionBy("call_id", "seq").orderBy(F.col("is_final").desc(), F.col("emitted_at").desc())
+    """The final of every (call, seq), else its newest partial; of those emitted together, one by a hash of the row."""
+    w = Window.partitionBy("call_id", "seq").orderBy(F.col("is_final").desc(), F.col("emitted_at").desc(), _row_tie(segments))
     return segments.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def ingest_outcomes(segments: DataFrame, arrival: str) -> DataFrame:
     """Counts by outcome (accepted, duplicate, rejected) and first reason; a rejected segment is nothing that another could repeat."""
-    w = Window.partitionBy("call_id", "seq", "is_final", F.size("reasons") > 0).orderBy(arrival)
-    judged = validate_segments(segments).withColumn("rn", F.row_number().over(w))
+    w = Window.partitionBy("call_id", "seq", "is_final", F.size("reasons") > 0).orderBy(arrival, "__tie")
+    judged = validate_segments(segments).withColumn("__tie", _row_tie(segments)).withColumn("rn", F.row_number().over(w))
     outcome = F.when(F.size("reasons") > 0, "rejected").when(F.col("rn") > 1, "duplicate").otherwise("accepted")
     reason = F.when(F.size("reasons") > 0, F.element_at("reasons", 1)).otherwise("")
     return judged.groupBy(outcome.alias("outcome"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("segments"))

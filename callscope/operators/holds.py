@@ -13,18 +13,21 @@ null call are not held; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
+import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from callscope.functions.digits import CONTEXT, NEAR, claims, read_digits
 from callscope.operators import pii
+from callscope.streaming.state import use_keyed_state
 
 #: Digits of a fragment that is held, turns that it may wait, words after a number, carried characters.
 SHORTEST, LONGEST, TURNS_HELD = 3, 18, 4
@@ -129,23 +132,32 @@ def flush(held: Held) -> dict | None:
 
 def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     call, last, held = None, None, Held()
+    names = [f.name for f in schema]
+    fields = names[3:]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def shown(row: dict) -> tuple:
+        return tuple(row[f] for f in fields)
+
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
-            if row["call_id"] != call:
+        for own, seq, final, text in zip(*(batch.column(c).to_pylist() for c in ("call_id", "seq", "is_final", "text")), strict=True):
+            if own != call:
                 if rest := flush(held):
-                    out.append({"call_id": call, "seq": last, "is_final": True, **rest})
-                call, held = row["call_id"], Held()
-            last = row["seq"]
-            key = {"call_id": call, "seq": last, "is_final": row["is_final"]}
-            if row["text"] is None or call is None:
-                out.append({**key, "part": 0, "text": row["text"], "context": "", "orphans": [], "held_digits": 0})
+                    out.append((call, last, True, *shown(rest)))
+                call, held = own, Held()
+            last = seq
+            if text is None:
+                out.append((call, seq, final, 0, None, "", [], 0))
             else:
-                given, held = step(held, row["text"], row["is_final"])
-                out.append({**key, **given})
-        yield pa.RecordBatch.from_pylist(out, schema)
+                given, held = step(held, text, final)
+                out.append((call, seq, final, *shown(given)))
+        yield made(out)
     if rest := flush(held):
-        yield pa.RecordBatch.from_pylist([{"call_id": call, "seq": last, "is_final": True, **rest}], schema)
+        yield made([(call, last, True, *shown(rest))])
 
 
 def hold_calls(turns: DataFrame) -> DataFrame:
@@ -225,62 +237,144 @@ def detect_text(text: str, context: str, orphans: list[dict] = ()) -> list[tuple
     return sorted(kept, key=lambda x: x[1])
 
 
-def _masked(row: dict, table: dict[str, int]) -> dict:
-    """The row with placeholders, numbered in ``table`` by type and value as they first come."""
+def _masked(row: dict, number: Callable[[str, str], int]) -> dict:
+    """The row with placeholders; ``number`` gives that of a type and value, as they first come in the call."""
     text, out, at, marks = row["text"], "", 0, []
     for type_, start, end, detector, confidence in detect_text(text, row["context"], row["orphans"]):
         value = text[start:end]
         digits = "".join(c for c in value if c in "0123456789")
-        key = f"{type_} {digits if len(digits) >= 4 else value.lower()}"
-        number = table.setdefault(key, 1 + sum(k.startswith(f"{type_} ") for k in table))
-        mark = f"<{type_}_{number}>"
+        mark = f"<{type_}_{number(type_, digits if len(digits) >= 4 else value.lower())}>"
         out += text[at:start]
         marks.append({"type": type_, "placeholder": mark, "start": len(out), "end": len(out) + len(mark), "detector": detector, "confidence": confidence})
         out, at = out + mark, end
     return {"part": row["part"], "text": out + text[at:], "redactions": marks, "held_digits": row["held_digits"]}
 
 
-def _stream(turns: DataFrame, silence_ms: int, late: str, fields: str, render) -> DataFrame:
-    """The fold of ``hold_calls`` over a stream; ``render`` makes the row that is given out, with a table that the call carries."""
-    ends = F.coalesce("ended", F.lit(False)) if "ended" in turns.columns else F.lit(False)
-    rows = turns.withWatermark("emitted_at", late).select(F.col("call_id").cast("string").alias("call_id"), F.col("seq").cast("long").alias("seq"), "text", "emitted_at", ends.alias("ended"))
-    names = ["call_id", "seq", *(x.strip().split(" ")[0] for x in re.sub(r"<[^;]*>", "", fields).split(","))]
-
-    def run(key, frames, state):
-        carry, age, tail, last, seen, known = state.get if state.exists else ("", 0, "", 0, 0, "{}")
-        held, table, out, over = Held(carry, age, tail), json.loads(known), [], state.hasTimedOut
-        if not over:
-            batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
-            for seq, text, at, ended in zip(batch.seq, batch.text, batch.emitted_at, batch.ended, strict=True):
-                last, seen, over = int(seq), max(seen, int(at.timestamp() * 1000)), over or bool(ended)
-                if text is not None:
-                    given, held = step(held, text)
-                    out.append({"call_id": key[0], "seq": last, **render(given, table)})
+_CONTEXT_WORDS = sorted({w for words in CONTEXT.values() for w in words})
+
+
+def context_only(tail: str) -> str:
+    """A tail of which only the words that rules look for near a number are left (and what may begin one at its end), each in its place."""
+    low = tail.lower()
+    kept = bytearray(len(low))
+    for word in _CONTEXT_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            kept[at : at + len(word)] = b"\1" * len(word)
+            at = low.find(word, at + 1)
+        begun = next((n for n in range(min(len(word) - 1, len(low)), 0, -1) if low.endswith(word[:n])), 0)
+        kept[len(low) - begun :] = b"\1" * begun
+    return "".join(c if k or c == " " else "." for c, k in zip(low, kept, strict=True))
+
+
+class Sealer:
+    """What a state may keep of personal values: keyed hashes, and texts under a keystream that the secret and a fresh nonce give."""
+
+    def __init__(self, secret: bytes):
+        if len(secret) < 16:
+            raise ValueError("the secret must have 16 bytes or more")
+        self.key = hashlib.blake2b(secret).digest()
+
+    def hashed(self, call: str, value: str) -> str:
+        return hashlib.blake2b(f"{len(call)} {call}{value}".encode(), key=self.key, digest_size=16).hexdigest()
+
+    def _stream(self, nonce: bytes, n: int) -> bytes:
+        return b"".join(hashlib.blake2b(nonce + k.to_bytes(8, "big"), key=self.key).digest() for k in range(-(-n // 64)))
+
+    def sealed(self, text: str) -> str:
+        if not text:
+            return ""
+        nonce, data = os.urandom(16), text.encode()
+        return (nonce + bytes(a ^ b for a, b in zip(data, self._stream(nonce, len(data)), strict=False))).hex()
+
+    def opened(self, text: str) -> str:
+        nonce, data = bytes.fromhex(text)[:16], bytes.fromhex(text)[16:]
+        return bytes(a ^ b for a, b in zip(data, self._stream(nonce, len(data)), strict=False)).decode()
+
+
+class HoldProcessor(StatefulProcessor):
+    """The fold of ``hold_calls`` with typed state a call, in no clear text: what is held is sealed, of the tail only rule words are kept,
+    and values that have a placeholder are keyed hashes."""
+
+    def __init__(self, silence_ms: int, secret: bytes, names: list[str], redacted: bool):
+        self.silence_ms, self.secret, self.names, self.redacted = silence_ms, secret, names, redacted
+
+    def init(self, handle) -> None:
+        self.handle, self.seal = handle, Sealer(self.secret)
+        self.held = handle.getValueState("held", "carry string, age int, tail string, last long, seen long, ends long")
+        self.known = handle.getMapState("known", "value string", "number int")
+        self.counts = handle.getMapState("counts", "type string", "n int")
+
+    def _number(self, call: str, type_: str, value: str) -> int:
+        key = (self.seal.hashed(call, f"{type_} {value}"),)
+        if self.known.containsKey(key):
+            return int(self.known.getValue(key)[0])
+        n = 1 + (int(self.counts.getValue((type_,))[0]) if self.counts.containsKey((type_,)) else 0)
+        self.counts.updateValue((type_,), (n,))
+        self.known.updateValue(key, (n,))
+        return n
+
+    def _row(self, call: str, seq: int, row: dict) -> dict:
+        return {"call_id": call, "seq": seq, **(_masked(row, lambda t, v: self._number(call, t, v)) if self.redacted else row)}
+
+    def _over(self, call: str, last: int, held: Held) -> list[dict]:
+        rest = flush(held)
+        out = [self._row(call, last, rest)] if rest else []
+        for state in (self.held, self.known, self.counts):
+            state.clear()
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        call, out = key[0], []
+        carry, age, tail, last, seen, ends = self.held.get() if self.held.exists() else ("", 0, "", 0, 0, -1)
+        held, over, ends = Held(self.seal.opened(carry), int(age), tail), False, int(ends)
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        for seq, text, at, ended in zip(batch.seq, batch.text, batch.emitted_at, batch.ended, strict=True):
+            last, seen, over = int(seq), max(int(seen), int(at.timestamp() * 1000)), over or bool(ended)
+            if text is not None:
+                given, held = step(held, text)
+                out.append(self._row(call, last, given))
+        if ends >= 0:
+            self.handle.deleteTimer(ends)
         if over:
-            if rest := flush(held):
-                out.append({"call_id": key[0], "seq": last, **render(rest, table)})
-            state.remove()
+            out += self._over(call, last, held)
         else:
-            state.update((held.carry, held.age, held.tail, last, seen, json.dumps(table)))
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + silence_ms)
-        yield pd.DataFrame(out, columns=names)
+            ends = max(int(seen), timerValues.getCurrentWatermarkInMs()) + self.silence_ms
+            self.handle.registerTimer(ends)
+            self.held.update((self.seal.sealed(held.carry), held.age, context_only(held.tail), int(last), int(seen), ends))
+        yield pd.DataFrame(out, columns=self.names)
 
-    grouped = rows.groupBy("call_id")
-    kept = "carry string, age int, tail string, last long, seen long, known string"
-    return grouped.applyInPandasWithState(run, f"call_id string, seq long, {fields}", kept, "append", "EventTimeTimeout")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.held.exists():
+            carry, age, tail, last, _, _ = self.held.get()
+            out = self._over(key[0], int(last), Held(self.seal.opened(carry), int(age), tail))
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _stream(turns: DataFrame, secret: bytes, silence_ms: int, late: str, fields: str, redacted: bool) -> DataFrame:
+    ends = F.coalesce("ended", F.lit(False)) if "ended" in turns.columns else F.lit(False)
+    rows = turns.withWatermark("emitted_at", late).select(F.col("call_id").cast("string").alias("call_id"), F.col("seq").cast("long").alias("seq"), "text", "emitted_at", ends.alias("ended"))
+    names = ["call_id", "seq", *(x.strip().split(" ")[0] for x in re.sub(r"<[^;]*>", "", fields).split(","))]
+    use_keyed_state(turns.sparkSession)
+    return rows.groupBy("call_id").transformWithStateInPandas(HoldProcessor(silence_ms, secret, names, redacted), f"call_id string, seq long, {fields}", "append", "EventTime")
 
 
-def hold_stream(turns: DataFrame, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
+def hold_stream(turns: DataFrame, secret: bytes, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
     """``hold_calls`` of a stream of final turns (call_id string, seq long, text, emitted_at): the state lives in Spark's store.
 
-    A call that stays silent by event time, or whose row has ``ended`` true, gives out what it still holds.
+    A call that stays silent by event time, or whose row has ``ended`` true, gives out what it still holds. ``secret`` (16 bytes or more,
+    the same after a restart) keeps what is held out of the checkpoint in clear; ``context`` has rule words only.
     """
-    return _stream(turns, silence_ms, late, FIELDS, lambda row, table: row)
+    return _stream(turns, secret, silence_ms, late, FIELDS, False)
 
 
-def redact_stream(turns: DataFrame, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
+def redact_stream(turns: DataFrame, secret: bytes, silence_ms: int = 25_000, late: str = "1 minute") -> DataFrame:
     """(call_id, seq, part, text, redactions, held_digits) of a stream: held, joined, and with placeholders whose numbers a call keeps.
 
-    The state of a call also holds its values' keys, as the placeholders need them; it goes when the call ends.
+    The state of a call holds its values as hashes under ``secret``; it goes when the call ends.
     """
-    return _stream(turns, silence_ms, late, f"part int, text string, redactions {pii.REDACTIONS}, held_digits int", _masked)
+    return _stream(turns, secret, silence_ms, late, f"part int, text string, redactions {pii.REDACTIONS}, held_digits int", True)

@@ -121,7 +121,7 @@ def _late(s, d):
 
 def _envelopes(s, d):
     """Events as envelopes: two signals in a live one."""
-    one = F.struct(F.col("signal_id").cast("string").alias("signal_id"), F.col("signal_type").alias("type"), "severity", "confidence")
+    one = F.struct(F.col("signal_id").cast("string").alias("signal_id"), F.col("call_id").cast("string").alias("call_id"), F.col("signal_type").alias("type"), "severity", "confidence")
     return events(s, d).select(F.to_json(F.struct(F.when(F.col("signal_id") % 4 > 0, "live").otherwise("other").alias("kind"), F.col("call_id").cast("string").alias("call_id"), F.array(one).alias("signals"))).alias("value"))
 
 
@@ -136,7 +136,7 @@ def queries() -> dict:
         "label_speakers": lambda s, d: conversation.label_speakers(_late(s, d), conversation.index_turns(turns(s, d))).select("call_id", "seq", "speaker"),
         "required_disclosures": lambda s, d: conversation.required_disclosures(_intents(s, d), _scoped(s), ["P0"]),
         "action_items": lambda s, d: conversation.action_items(turns(s, d), [(PROMISE, "agent")], "^(?:zz|a)", 8),
-        "route_insights": lambda s, d: route_insights(_envelopes(s, d))[0].select("call_id", "signal_id", F.col("type").alias("signal_type"), "severity"),
+        "route_insights": lambda s, d: route_insights(_envelopes(s, d))[0].select("call_id", "signal_id", "signal_type", "severity"),
         "digit_streams": lambda s, d: pii.digit_streams(documents(s, d)).select("call_id", F.length("digits").alias("digits"), F.size("breaks").alias("breaks")),
         "digit_runs": lambda s, d: pii.pii_spans(documents(s, d), ["digit_runs"]),
         "quotes": lambda s, d: signals.with_quotes(pii.pii_spans(documents(s, d), ["email"]), documents(s, d)).select("call_id", "start", "quote"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from callscope import streaming
 from callscope.operators import contracts, facts, marts, pii, quality
-from callscope.sources import to_kafka_rows
+from callscope.sources import insight_rows, to_kafka_rows
 from callscope.testdata import PLANTED_SQL, SIGNALS_SQL, SUMMARIES_SQL, documents, planted, signals, summaries, table
 
 
@@ -22,6 +22,27 @@ def _insights(s, d):
     )
 
 
+def _wire(s, d):
+    """Envelopes as JSON: one of a signal (of every 4th event it is of no known kind, of every 7th of another version), and one a call's summary."""
+    signal = F.struct(
+        F.col("signal_id").cast("string").alias("signal_id"), F.col("call_id").cast("string").alias("call_id"), F.col("signal_type").alias("type"), "label", "severity", "confidence", "rationale", "evidence",
+        "policy_id", "window_start_ms", "window_end_ms", F.col("emitted_at").cast("string").alias("emitted_at"), "agent_id", "latency", "model_name", "prompt_version", "traceparent",
+    )
+    live = _insights(s, d).select(F.to_json(F.struct(
+        F.when(F.col("signal_id") % 7 > 0, "1.4").otherwise("2.0").alias("schema_version"), F.when(F.col("signal_id") % 4 > 0, "live").otherwise("other").alias("kind"),
+        F.col("call_id").cast("string").alias("call_id"), F.lit("E1").alias("agent_id"), F.array(signal).alias("signals"),
+    )).alias("value"))
+    ended = summaries(s, d).selectExpr("""to_json(struct('post_call' as kind, cast(call_id as string) as call_id, cast(agent_id as string) as agent_id, cast(ended_at as string) as emitted_at, struct(
+     cast(call_id as string) as call_id, 'It ended.' as summary, resolution, primary_intent, array('other') as secondary_intents, array(struct(concat('call ', call_id) as description, 'agent' as owner)) as action_items,
+     sentiment_start as customer_sentiment_start, sentiment_end as customer_sentiment_end, escalated = 1 as escalated, array_repeat('P1', violation_count) as compliance_violations, 'm' as model_name, 'v2' as prompt_version) as summary)) as value""")
+    return live.unionByName(ended)
+
+
+def _sunk(s, d, name: str):
+    counts = summaries(s, d).select(F.col("call_id").cast("string").alias("call_id"), "turn_count")
+    return insight_rows(_wire(s, d), counts)[name]
+
+
 def _rows(s, d):
     return facts.to_signal_rows(_insights(s, d), F.lit("E1"))
 
@@ -79,6 +100,57 @@ OPS_SQL = f"""(select (['segment', 'final', 'redaction', 'hold', 'rejected', 'du
  signal_id % 9 as n, emitted_at from {SIGNALS_SQL})"""
 
 
+def _busy_ops(s, d):
+    """A month's counters as those of a day, with lags in the thousands; in every fourth hour nothing is redacted and much is emitted."""
+    at = F.expr("timestamp_micros(unix_micros(timestamp'2024-01-01') + (unix_micros(cast(emitted_at as timestamp)) - unix_micros(timestamp'2024-01-01')) div 30)")
+    rows = _ops(s, d).withColumn("emitted_at", at)
+    quiet = F.hour("emitted_at") % 4 == 0
+    event = F.when(quiet & (F.col("event") == "redaction"), "segment").otherwise(F.col("event"))
+    return rows.select(event.alias("event"), F.when(F.col("event") == "lag", F.col("n") * 1500).when(F.col("event") == "segment", F.col("n") * 20).otherwise(F.col("n")).alias("n"), "emitted_at")
+
+
+def _busy_latency(s, d):
+    """Events as durations in ms of a day's signals."""
+    at = F.expr("timestamp_micros(unix_micros(timestamp'2024-01-01') + (unix_micros(cast(emitted_at as timestamp)) - unix_micros(timestamp'2024-01-01')) div 30)")
+    return signals(s, d).select((F.col("duration_ms") * 14).alias("duration_ms"), at.alias("emitted_at"))
+
+
+BUSY_LATENCY_SQL = f"(select duration_ms * 14 as duration_ms, make_timestamp(1704067200000000 + (epoch_us(emitted_at) - 1704067200000000) // 30) as emitted_at from {SIGNALS_SQL})"
+#: The same, and each alert's condition as the rules file has it: range in minutes, value, condition, minutes that it must hold.
+BUSY_OPS_SQL = f"""(select case when event = 'redaction' and hour(moment) % 4 = 0 then 'segment' else event end as event,
+ case event when 'lag' then n * 1500 when 'segment' then n * 20 else n end as n, moment as emitted_at
+ from (select event, n, make_timestamp(1704067200000000 + (epoch_us(emitted_at) - 1704067200000000) // 30) as moment from {OPS_SQL}))"""
+ALERT_RULES = {
+    "final_segments_shed": (5, "sum(n) filter (event = 'dropped_final')", "v > 0", 0),
+    "rows_dropped": (10, "sum(n) filter (event = 'row_dropped')", "v > 0", 0),
+    "summaries_failing": (15, "sum(n) filter (event = 'summary_failed') / greatest(coalesce(sum(n) filter (event = 'summary'), 0), 1)", "v > 0.1", 10),
+    "hold_churn": (5, "coalesce(sum(n) filter (event = 'hold'), 0) / nullif(coalesce(sum(n) filter (event = 'final'), 0), 0)", "hold > 0.5 * final", 10),
+    "consumer_lag": (5, "arg_max(n, emitted_at) filter (event = 'lag')", "v > 5000", 5),
+    "redaction_collapsed": (15, "sum(n) filter (event = 'segment') / 900", "redacted = 0 and v > 0.1", 15),
+}
+
+
+def slid_sql(rows_sql: str, minutes: int) -> str:
+    """Rows at every full minute (``slot``) whose range of so many minutes holds them."""
+    return f"(select *, time_bucket(interval '1 minute', emitted_at) + k * interval '1 minute' as slot from (select *, unnest(generate_series(1, {minutes})) as k from {rows_sql}))"
+
+
+def fired_sql(evaluated: str) -> str:
+    """(alert, since, fired_at, value) of breached evaluations (alert, slot, v, holds)."""
+    return f"""select alert, since, min(slot) as fired_at, round(arg_min(coalesce(v, 1e300), slot), 6) as value from (select *, min(slot) over (partition by alert, run) as since
+ from (select *, slot - row_number() over (partition by alert order by slot) * interval '1 minute' as run from ({evaluated})))
+ where slot >= since + holds * interval '1 minute' group by alert, run, since"""
+
+
+def alerts_sql(events_sql: str) -> str:
+    count = lambda e: f"coalesce(sum(n) filter (event = '{e}'), 0)"
+    return fired_sql(" union all ".join(
+        f"""select '{alert}' as alert, slot, v, {holds} as holds from (select slot, ({value})::double as v, {count('hold')} as hold, {count('final')} as final, {count('redaction')} as redacted
+ from {slid_sql(events_sql, minutes)} group by slot) where {test}"""
+        for alert, (minutes, value, test, holds) in ALERT_RULES.items()
+    ))
+
+
 def _placeholders(s, d):
     return pii.assign_placeholders(pii.detect_pii(documents(s, d), ["email"])).select("call_id", "start", "end", "placeholder")
 
@@ -100,6 +172,9 @@ def base_queries() -> dict:
             _insights(s, d).withColumn("severity", F.expr("if(signal_id % 13 = 0, 'dire', severity)")).withColumn("rationale", F.expr("if(signal_id % 17 = 0, repeat('x', 1001), rationale)")).drop("window_end_ms").withColumn("window_end_ms", F.lit(200))
         ).select("signal_id", F.array_join("reasons", ",").alias("reasons")),
         "latency_rows": lambda s, d: facts.to_latency_rows(_insights(s, d), F.lit("E1")),
+        "sink_signals": lambda s, d: _flat(_sunk(s, d, "signals"), *evidence).drop("rationale", "model_name", "prompt_version"),
+        "sink_latencies": lambda s, d: _sunk(s, d, "latencies"),
+        "sink_summaries": lambda s, d: _flat(_sunk(s, d, "summaries"), "secondary_intents", "compliance_violations", "disclosures_given", "action_items", "action_item_owners").withColumn("sentiment_delta", F.round("sentiment_delta", 6)),
         "evidence_structs": lambda s, d: facts.evidence_structs(_rows(s, d)).select("signal_id", "policy_id", F.explode("evidence").alias("e")).groupBy("signal_id", "policy_id").agg(
             F.count(F.lit(1)).alias("n"), F.max("e.seq").alias("seq"), F.max("e.quote").alias("quote")
         ),
@@ -123,7 +198,8 @@ def base_queries() -> dict:
         "placeholders_email": _placeholders,
         "event_feed": lambda s, d: marts.replay_tail(marts.event_feed(signals(s, d).withColumn("seq", F.col("signal_id") % 9), signals(s, d), summaries(s, d)), 400).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("emitted_at").alias("last")),
         "kafka_rows": lambda s, d: to_kafka_rows(signals(s, d).select("call_id", "signal_id", "label")),
-        "ops_alerts": lambda s, d: streaming.ops_alerts(_ops(s, d)),
+        "ops_alerts": lambda s, d: streaming.ops_alerts(_busy_ops(s, d)).withColumn("value", F.coalesce("value", F.lit(1e300))),
+        "latency_alerts": lambda s, d: streaming.latency_alerts(_busy_latency(s, d)),
         "ops_panel": lambda s, d: streaming.ops_panel(_ops(s, d), "1 hour"),
         "late_rows": lambda s, d: streaming.late_rows(signals(s, d).withColumn("arrived", F.col("signal_id")), "6 hours").groupBy("call_id").agg(F.count_if("is_late").alias("late"), F.count(F.lit(1)).alias("n")),
     }
@@ -156,13 +232,6 @@ def base_sql() -> dict:
     spans = " union all ".join(f"select type, detector from ({own[f'pii_{k}']})" for k in ("email", "phone", "ssn"))
     total = lambda e: f"coalesce(sum(n) filter (event = '{e}'), 0)"
     slot = lambda w: f"time_bucket(interval '{w}', emitted_at)"
-    alerts = []
-    for alert, part, whole, limit, width in streaming.ALERTS:
-        value = "max(n) filter (event = 'lag')" if part == "lag" else total(part)
-        value = f"{value} / greatest({total(whole)}, 1)" if whole else value
-        alerts.append(f"select '{alert}' as alert, {slot(width)} as window_start, round(({value})::double, 6) as value from {OPS_SQL} group by 2 having ({value}) > {limit}")
-    alert, part, whole, width = streaming.REDACTION_ALERT
-    alerts.append(f"select '{alert}', {slot(width)} as window_start, 0.0::double from {OPS_SQL} group by 2 having {total(part)} = 0 and {total(whole)} > 0")
     panel = " union all ".join(f"select {slot('1 hour')} as window_start, '{r}' as ratio, round({total(a)} / greatest({total(b)}, 1), 6) as value from {OPS_SQL} group by 1" for r, (a, b) in streaming.RATIOS.items())
     sums = "cast(sum(len(list_intersect(expected, actual))) as bigint) as tp, cast(sum(len(list_filter(actual, lambda x: not list_contains(coalesce(expected, []), x)))) as bigint) as fp, cast(sum(len(list_filter(expected, lambda x: not list_contains(coalesce(actual, []), x)))) as bigint) as fn"
     return {
@@ -174,6 +243,16 @@ def base_sql() -> dict:
  case when signal_id % 13 = 0 then 'severity' end, case when signal_id % 17 = 0 then 'rationale_length' end) as reasons from {sg}""",
         "latency_rows": f"""select call_id, case when signal_id % 5 = 0 then 0 else cast(signal_id % 7 as int) end as seq, {agent} as agent_id, stage, v as duration_ms, 1 as is_final, emitted_at
  from (select *, 'asr' as stage, case when signal_id % 2 = 0 then duration_ms end as v from {sg} union all select *, 'analyze', 1.5 from {sg} union all select *, 'e2e', duration_ms from {sg}) where v is not null""",
+        "sink_signals": f"""select signal_id::varchar as signal_id, call_id::varchar as call_id, {agent} as agent_id, signal_type, label, severity, {policy} as policy_id, confidence, emitted_at, cast(signal_id % 100 as int) as window_start_ms,
+ cast(signal_id % 100 + 10 as int) as window_end_ms, {rep('signal_id % 7')} as evidence_seq, {rep('signal_id % 90')} as evidence_start_ms, {rep('signal_id % 90 + 9')} as evidence_end_ms, {rep("'agent'")} as evidence_speaker,
+ {rep("'q' || (signal_id % 11)")} as evidence_quote, case when signal_id % 2 = 0 then duration_ms end as latency_asr_ms, null::double as latency_redact_ms, null::double as latency_ingest_ms, null::double as latency_queue_ms,
+ 1.5::double as latency_analyze_ms, null::double as latency_llm_ms, duration_ms as latency_segment_to_signal_ms, {trace} as trace_id from {sg} where signal_id % 4 > 0 and signal_id % 7 > 0""",
+        "sink_latencies": f"""select call_id::varchar as call_id, case when signal_id % 5 = 0 then 0 else cast(signal_id % 7 as int) end as seq, {agent} as agent_id, stage, v as duration_ms, 1 as is_final, emitted_at
+ from (select *, 'asr' as stage, case when signal_id % 2 = 0 then duration_ms end as v from {sg} union all select *, 'analyze', 1.5 from {sg} union all select *, 'e2e', duration_ms from {sg})
+ where v is not null and signal_id % 4 > 0 and signal_id % 7 > 0""",
+        "sink_summaries": f"""select call_id::varchar as call_id, agent_id::varchar as agent_id, primary_intent, 'other' as secondary_intents, resolution, escalated, 'It ended.' as summary, sentiment_start, sentiment_end,
+ array_to_string(list_transform(range(violation_count), lambda i: 'P1'), ',') as compliance_violations, '' as disclosures_given, 'call ' || call_id as action_items, 'agent' as action_item_owners, turn_count::int as turn_count,
+ 0 as duration_ms, 0 as redaction_count, ended_at as started_at, ended_at, 'm' as model_name, 'v2' as prompt_version, '' as trace_id, round(sentiment_end - sentiment_start, 6) as sentiment_delta, violation_count, ended_date from {SUMMARIES_SQL}""",
         "evidence_structs": f"select signal_id, nullif({policy}, '') as policy_id, cast({n_spans} as bigint) as n, cast(signal_id % 7 as int) as seq, 'q' || (signal_id % 11) as quote from {sg} where signal_id % 5 > 0",
         "label_set_prf": f"select tp, fp, fn, {prf} from (select *, {ratio} from (select {sums} from {SETS_SQL}))",
         "label_prf_each": f"""select label, tp, fp, fn, {prf} from (select *, {ratio} from (select label, count(*) filter (e and a) as tp, count(*) filter (a and not e) as fp, count(*) filter (e and not a) as fn
@@ -187,7 +266,7 @@ def base_sql() -> dict:
         "join_labels": "select doc_id as call_id, length(text)::int as quality, l.quality as gold_quality, l.toxic from documents join labels l using (doc_id)",
         "merge_rollup": f"select date_trunc('day', emitted_at) as hour, label, severity, count(*) as events, round(sum(confidence), 4) as confidence_sum from {sg} group by 1, 2, 3",
         "exact_rollup": f"select date_trunc('day', emitted_at) as hour, label, count(*) as events, round(avg(confidence), 4) as avg_confidence, count(distinct call_id) as calls from {sg} group by 1, 2",
-        "compatible": f"select signal_id, case signal_id % 5 when 0 then '1.0' else '1.9' end as schema_version from {sg} where signal_id % 5 in (0, 2)",
+        "compatible": f"select signal_id, case signal_id % 5 when 0 then '1.0' when 2 then '1.9' end as schema_version from {sg} where signal_id % 5 in (0, 2, 3)",
         "drop_reasons": f"select case when not coalesce(confidence >= 0.35, false) then 'confidence' when signal_id % 5 = 0 then 'evidence' else 'kept' end as dropped, count(*) as n from {sg} group by 1",
         "with_trace_id": f"select signal_id, {trace} as trace_id from {sg}",
         "with_elapsed_ms": f"select signal_id, case when signal_id % 5000 - 500 between 0 and 3600 then (signal_id % 5000 - 500) * 1000 end as elapsed_ms from {sg}",
@@ -200,7 +279,8 @@ def base_sql() -> dict:
         "event_feed": f"""select kind, count(*) as n, max(emitted_at) as last from (select * from (select 'segment' as kind, (signal_id % 9)::varchar as id, emitted_at::timestamp as emitted_at from {sg}
  union all select 'signal', signal_id::varchar, emitted_at from {sg} union all select 'summary', call_id::varchar, ended_at from {SUMMARIES_SQL}) order by emitted_at desc, id desc limit 400) group by 1""",
         "kafka_rows": f"""select call_id::varchar as key, '{{"call_id":' || call_id || ',"signal_id":' || signal_id || ',"label":"' || label || '"}}' as value from {sg}""",
-        "ops_alerts": " union all ".join(alerts),
+        "ops_alerts": alerts_sql(BUSY_OPS_SQL),
+        "latency_alerts": fired_sql(f"select 'signal_latency' as alert, slot, v, 3 as holds from (select slot, quantile_cont(duration_ms, 0.95) as v from {slid_sql(BUSY_LATENCY_SQL, 5)} group by slot) where v > 2000"),
         "ops_panel": panel,
         "late_rows": f"""select call_id, count(*) filter (emitted_at < seen - interval 6 hours) as late, count(*) as n from (select *, max(emitted_at) over (partition by call_id order by signal_id rows between unbounded preceding and 1 preceding) as seen from {sg}) group by 1""",
     }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.operators.contracts import MAJOR
+from callscope.operators import facts
+from callscope.operators.contracts import is_compatible
+from callscope.sources import ledger
 
 SEGMENT = (
     "schema_version string, call_id string, seq int, speaker string, text string, is_final boolean, start_ms int, end_ms int, emitted_at string, "
@@ -13,21 +15,53 @@ SEGMENT = (
 )
 
 
+#: Reasons for which a line is no segment, in the order in which they are looked for.
+REJECTED = ("json", "call_id", "version")
+
+
+def _parsed_segments(raw: DataFrame) -> DataFrame:
+    """``raw`` with ``s``, each ``value`` as a segment, and ``reason``: why it is none (null if it is one). A missing version is readable."""
+    s = F.from_json("value", SEGMENT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    whole = F.coalesce(F.col("s").isNotNull() & F.col("s._corrupt_record").isNull(), F.lit(False))
+    why = F.when(~whole, "json").when(F.coalesce("s.call_id", F.lit("")) == "", "call_id").when(~is_compatible("s.schema_version"), "version")
+    return raw.withColumn("s", s).withColumn("reason", why)
+
+
+def _segments_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where("reason is null").select("s.*").drop("_corrupt_record").withColumn("emitted_at", F.try_to_timestamp("emitted_at"))
+
+
 def read_segments(spark: SparkSession, path: str, streaming: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(segments, rejects) of JSON lines; a line that isn't a segment of a readable version is a reject (a missing version is readable)."""
-    raw = (spark.readStream if streaming else spark.read).text(path)
-    parsed = raw.select("value", F.from_json("value", SEGMENT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("s"))
-    bad = F.col("s").isNull() | F.col("s._corrupt_record").isNotNull() | F.col("s.call_id").isNull() | ~F.coalesce(F.split_part("s.schema_version", F.lit("."), F.lit(1)) == MAJOR, F.lit(True))
-    good = parsed.where(~bad).select("s.*").drop("_corrupt_record")
-    return good.withColumn("emitted_at", F.try_to_timestamp("emitted_at")), parsed.where(bad).select("value")
+    """(segments, rejects) of JSON lines; a reject is the line and its reason, one of ``REJECTED``."""
+    parsed = _parsed_segments((spark.readStream if streaming else spark.read).text(path))
+    return _segments_of(parsed), parsed.where("reason is not null").select("value", "reason")
+
+
+def observed_segments(lines: DataFrame, name: str = "segments") -> DataFrame:
+    """The segments of JSON lines in ``value``; lines and rejects by reason are counted in the same pass, as metrics of that name.
+
+    A stream reports them with its progress (``streaming.metrics.StreamCounts`` adds them up).
+    """
+    parsed = _parsed_segments(lines.select("value"))
+    counts = [F.count_if(F.col("reason") == r).alias(f"rejected_{r}") for r in REJECTED]
+    return _segments_of(parsed.observe(name, F.count(F.lit(1)).alias("lines"), *counts))
+
+
+def read_keyed_segments(rows: DataFrame, name: str = "segments") -> DataFrame:
+    """``observed_segments`` of a keyed topic, batch or stream: (key, value) as text or bytes.
+
+    A segment whose call isn't that of its key is rejected as ``key``; rows without a key keep the call that they name.
+    """
+    parsed = _parsed_segments(rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")))
+    foreign = F.coalesce(F.col("reason").isNull() & (F.col("key") != F.col("s.call_id")), F.lit(False))
+    parsed = parsed.withColumn("reason", F.when(foreign, "key").otherwise(F.col("reason")))
+    counts = [F.count_if(F.col("reason") == r).alias(f"rejected_{r}") for r in (*REJECTED, "key")]
+    return _segments_of(parsed.observe(name, F.count(F.lit(1)).alias("lines"), *counts))
 
 
 def reject_reasons(rejects: DataFrame) -> DataFrame:
-    """(reason, lines) of rejected lines: no JSON object, no call id, or a version that isn't read."""
-    object_ = F.col("value").rlike(r"^\s*\{.*\}\s*$")
-    has = lambda field: F.coalesce(F.get_json_object("value", f"$.{field}"), F.lit("")) != ""
-    reason = F.when(~object_, "json").when(~has("call_id"), "call_id").when(has("schema_version") & ~F.get_json_object("value", "$.schema_version").startswith("1."), "version").otherwise("fields")
-    return rejects.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+    """(reason, lines) of rejected lines."""
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def to_kafka_rows(df: DataFrame, key: str = "call_id") -> DataFrame:
@@ -35,15 +69,13 @@ def to_kafka_rows(df: DataFrame, key: str = "call_id") -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
 
 
-def stream_to_fact(df: DataFrame, path: str, ts: str, checkpoint: str, grain: str = "month", every: str = "2 seconds"):
-    """Start the append of a stream to a fact table, a batch at a time; a batch that comes again after a failure replaces itself."""
+def stream_to_fact(df: DataFrame, table: str, ts: str, checkpoint: str, grain: str = "month", every: str = "2 seconds"):
+    """Start the append of a stream to a fact table with a commit ledger (``ledger.read_fact`` reads it); a batch counts once."""
 
-    def append(batch: DataFrame, number: int) -> None:
-        form = {"month": "yyyyMM", "day": "yyyyMMdd"}[grain]
-        rows = batch.withColumns({grain: F.date_format(ts, form), "batch": F.lit(number)})
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(grain, "batch").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        ledger.append(batch, table, ts, ledger.stream_id(batch), number, grain)
 
-    return df.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return df.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def write_segments_jsonl(df: DataFrame, path: str) -> None:
@@ -84,14 +116,76 @@ def load_policies(spark: SparkSession, rows: list[dict]) -> tuple[DataFrame, Dat
     return policies, use("prohibited_phrases", "prohibited").unionByName(use("satisfied_by_phrases", "satisfies"))
 
 
+SPAN = "struct<seq:int,start_ms:int,end_ms:int,speaker:string,quote:string>"
 INSIGHT = (
-    "kind string, call_id string, signals array<struct<signal_id:string,type:string,label:string,severity:string,confidence:double,policy_id:string,emitted_at:string>>, "
-    "summary struct<call_id:string,summary:string,resolution:string,primary_intent:string,escalated:boolean,generated_at:string>"
+    "schema_version string, kind string, call_id string, agent_id string, emitted_at string, traceparent string, "
+    "signals array<struct<signal_id:string,call_id:string,type:string,label:string,severity:string,confidence:double,rationale:string,"
+    f"evidence:array<{SPAN}>,policy_id:string,window_start_ms:int,window_end_ms:int,emitted_at:string,agent_id:string,"
+    "latency:struct<asr_ms:double,redact_ms:double,ingest_ms:double,queue_ms:double,analyze_ms:double,llm_ms:double,segment_to_signal_ms:double>,"
+    "model_name:string,prompt_version:string,traceparent:string>>, "
+    "summary struct<call_id:string,summary:string,resolution:string,primary_intent:string,secondary_intents:array<string>,"
+    f"action_items:array<struct<description:string,owner:string,due:string,evidence:array<{SPAN}>>>,customer_sentiment_start:double,customer_sentiment_end:double,"
+    "escalated:boolean,compliance_violations:array<string>,disclosures_given:array<string>,model_name:string,prompt_version:string,generated_at:string>"
 )
 
 
+def read_insights(envelopes: DataFrame) -> DataFrame:
+    """Envelopes of JSON in ``value`` as columns, with ``reason``: why one is left out (null if it isn't).
+
+    ``json``: no JSON object; ``version``: of another major version (a missing one is readable); ``kind``: neither ``live`` nor
+    ``post_call``; ``call_id``: none; ``payload``: a live one without signals, or a post-call one without a summary.
+    """
+    e = envelopes.select("value", F.from_json("value", INSIGHT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"))
+    whole = F.coalesce(F.col("e").isNotNull() & F.col("e._corrupt_record").isNull(), F.lit(False))
+    empty = ((F.col("e.kind") == "live") & ~F.coalesce(F.size("e.signals") > 0, F.lit(False))) | ((F.col("e.kind") == "post_call") & F.col("e.summary").isNull())
+    reason = (
+        F.when(~whole, "json").when(~is_compatible("e.schema_version"), "version").when(~F.coalesce(F.col("e.kind").isin("live", "post_call"), F.lit(False)), "kind")
+        .when(F.coalesce("e.call_id", F.lit("")) == "", "call_id").when(empty, "payload")
+    )
+    return e.select("value", "e.*", reason.alias("reason")).drop("_corrupt_record")
+
+
 def route_insights(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signals, summaries) of JSON envelopes in ``value``: kind ``live`` carries signals, ``post_call`` a summary; others give no rows."""
-    e = envelopes.select(F.from_json("value", INSIGHT).alias("e")).select("e.*")
-    live = e.where("kind = 'live'").select("call_id", F.explode("signals").alias("s")).select("call_id", "s.*")
-    return live, e.where("kind = 'post_call' and summary is not null").select("summary.*")
+    """(signals, summaries) of JSON envelopes in ``value``: kind ``live`` carries signals, ``post_call`` a summary; others give no rows.
+
+    Both have ``envelope_agent``; a time that can't be read is that of reading, so the row isn't lost. A signal's call and trace are
+    its own. A summary has the time and trace of its envelope.
+    """
+    e = read_insights(envelopes).where("reason is null")
+    lenient = lambda c: F.coalesce(F.try_to_timestamp(c), F.current_timestamp())
+    live = e.where("kind = 'live'").select(F.col("agent_id").alias("envelope_agent"), F.explode("signals").alias("s")).select("envelope_agent", "s.*")
+    ended = e.where("kind = 'post_call'").select(F.col("agent_id").alias("envelope_agent"), "emitted_at", "traceparent", "summary.*")
+    return live.withColumnRenamed("type", "signal_type").withColumn("emitted_at", lenient("emitted_at")), ended.withColumn("emitted_at", lenient("emitted_at"))
+
+
+def insight_rows(envelopes: DataFrame, call_facts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The rows of the fact tables ``signals``, ``latencies`` and ``summaries`` that JSON envelopes in ``value`` carry."""
+    live, ended = route_insights(envelopes)
+    agent = F.when(F.col("envelope_agent") != "", F.col("envelope_agent"))
+    ended = ended.withColumn("agent_id", F.col("envelope_agent"))
+    return {
+        "signals": facts.to_signal_rows(live, agent),
+        "latencies": facts.to_latency_rows(live, agent),
+        "summaries": facts.to_summary_rows(ended, call_facts, agent),
+    }
+
+
+#: The time column of each fact table, and what its rows are partitioned by.
+FACT_TABLES = {"signals": ("emitted_at", "month"), "latencies": ("emitted_at", "day"), "summaries": ("ended_at", "month")}
+
+
+def sink_insights(envelopes: DataFrame, root: str, checkpoint: str, every: str = "2 seconds", once: bool = False):
+    """Start the fan-out of a stream of JSON envelopes into the fact tables under ``root``, each with its commit ledger.
+
+    A batch is parsed once a table and committed table by table; after a failure the tables that have it skip it.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for name, rows in insight_rows(batch).items():
+            ts, grain = FACT_TABLES[name]
+            ledger.append(rows, f"{root}/{name}", ts, ledger.stream_id(batch), number, grain)
+        batch.unpersist()
+
+    writer = envelopes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from callscope.operators.marts import quantile
+from callscope.streaming.state import use_keyed_state
 
 
 def dedupe_stream(segments: DataFrame, memory: str = "6 hours") -> DataFrame:
@@ -45,9 +49,10 @@ def call_activity(segments: DataFrame) -> DataFrame:
     return out.select("call_id", "first_seen", "last_seen", "segments", (F.col("segments") - F.col("__distinct")).alias("duplicates"), "last_seq")
 
 
-def slo_alerts(latency: DataFrame, budget_ms: float, width: str = "1 day", exact: bool = True) -> DataFrame:
-    """Windows whose p95 is over the budget."""
-    out = latency.groupBy(F.window("emitted_at", width).alias("w"), "signal_type").agg(quantile("duration_ms", 0.95, exact).alias("p95"), F.count(F.lit(1)).alias("samples"))
+def slo_alerts(latency: DataFrame, budget_ms: float, width: str = "1 day", exact: bool = True, late: str = "1 hour") -> DataFrame:
+    """Windows whose p95 is over the budget, batch or stream (``latency_alerts`` also asks how long)."""
+    rows = latency.withWatermark("emitted_at", late) if latency.isStreaming else latency
+    out = rows.groupBy(F.window("emitted_at", width).alias("w"), "signal_type").agg(quantile("duration_ms", 0.95, exact).alias("p95"), F.count(F.lit(1)).alias("samples"))
     return out.where(F.col("p95") > budget_ms).select(F.col("w.start").alias("window_start"), "signal_type", F.round("p95", 6).alias("p95_ms"), "samples")
 
 
@@ -66,37 +71,128 @@ def ops_ratios(events: DataFrame, label: str, width: str = "15 minutes") -> Data
     return counted.join(whole, "w").select(F.col("w.start").alias("window_start"), "label", "events", F.round(F.col("events") / F.col("all"), 6).alias("share"))
 
 
-#: Alert, what it divides (null: its count alone), the limit that it must not pass, and its window.
+#: Alert, what it measures, of what, the limit, the minutes that are looked back on, and how many minutes it must hold.
+#: A count or share of the range's sums must pass the limit. ``lag`` is a level: its newest value in the range counts.
 ALERTS = (
-    ("final_segments_shed", "dropped_final", None, 0.0, "5 minutes"),
-    ("rows_dropped", "row_dropped", None, 0.0, "10 minutes"),
-    ("summaries_failing", "summary_failed", "summary", 0.1, "10 minutes"),
-    ("hold_churn", "hold", "final", 0.5, "10 minutes"),
-    ("consumer_lag", "lag", None, 5000.0, "5 minutes"),
+    ("final_segments_shed", "dropped_final", None, 0.0, 5, 0),
+    ("rows_dropped", "row_dropped", None, 0.0, 10, 0),
+    ("summaries_failing", "summary_failed", "summary", 0.1, 15, 10),
+    ("hold_churn", "hold", "final", 0.5, 5, 10),
+    ("consumer_lag", "lag", None, 5000.0, 5, 5),
 )
-REDACTION_ALERT = ("redaction_collapsed", "redaction", "final", "15 minutes")
-
+#: Nothing is redacted while more segments a second than this are emitted, over so many minutes, for so many minutes.
+REDACTION_ALERT = ("redaction_collapsed", "redaction", "segment", 0.1, 15, 15)
+#: The latency alert's limit in ms, its range and how long it must hold, in minutes.
+LATENCY_ALERT = ("signal_latency", 2000.0, 5, 3)
+#: A share's divisor is at least so much (else nothing passes where nothing is counted).
+LEAST_WHOLE = {"summaries_failing": 1, "hold_churn": 0}
+FIRED = "alert string, since timestamp, fired_at timestamp, value double"
 
-def ops_alerts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(alert, window_start, value) of the windows of (event, n, emitted_at) in which an alert's limit is passed, batch or stream.
 
-    A ratio's divisor is 1 at least. ``lag`` is a level, so its largest value counts; the others are summed. ``redaction_collapsed``
-    fires where finals flow and nothing is redacted.
-    """
+def _evaluations(events: DataFrame, step: str, late: str) -> DataFrame:
+    """(alert, at, value, breached, holds) at every ``step``: an event counts in each range that reaches back to it."""
     rows = events.withWatermark("emitted_at", late) if events.isStreaming else events
-    total = lambda name: F.sum(F.when(F.col("event") == name, F.col("n")).otherwise(0))
+    total = lambda name: F.sum(F.when(F.col("event") == name, F.col("n")).otherwise(0)).cast("double")
+    ranges: dict[int, list[Column]] = {}
+    for alert, part, whole, limit, minutes, holds in ALERTS:
+        value = F.max_by(F.when(F.col("event") == part, F.col("n")), F.when(F.col("event") == part, F.col("emitted_at"))).cast("double") if part == "lag" else total(part)
+        if whole:
+            # compared without a division: part > limit * whole
+            base = F.greatest(total(whole), F.lit(float(LEAST_WHOLE[alert])))
+            breached, value = value > limit * base, F.when(base > 0, value / F.when(base > 0, base))
+        else:
+            breached = value > limit
+        ranges.setdefault(minutes, []).append(_evaluated(alert, value, breached, holds))
+    alert, part, whole, least, minutes, holds = REDACTION_ALERT
+    flow = total(whole) / (minutes * 60)
+    ranges.setdefault(minutes, []).append(_evaluated(alert, flow, (total(part) == 0) & (flow > least), holds))
     parts = []
-    for alert, part, whole, limit, width in ALERTS:
-        value = F.max(F.when(F.col("event") == "lag", F.col("n"))) if part == "lag" else total(part)
-        value = value / F.greatest(total(whole), F.lit(1)) if whole else value
-        own = rows.groupBy(F.window("emitted_at", width).alias("w")).agg(F.round(value.cast("double"), 6).alias("value"))
-        parts.append(own.where(F.col("value") > limit).select(F.lit(alert).alias("alert"), F.col("w.start").alias("window_start"), "value"))
-    alert, part, whole, width = REDACTION_ALERT
-    flow = rows.groupBy(F.window("emitted_at", width).alias("w")).agg(total(part).alias("part"), total(whole).alias("whole"))
-    parts.append(flow.where("part = 0 and whole > 0").select(F.lit(alert).alias("alert"), F.col("w.start").alias("window_start"), F.lit(0.0).alias("value")))
+    for minutes, own in ranges.items():
+        slid = rows.groupBy(F.window("emitted_at", f"{minutes} minutes", step).alias("w")).agg(*[c.alias(f"a{k}") for k, c in enumerate(own)])
+        each = slid.select(F.col("w.end").alias("at"), F.explode(F.array(*[f"a{k}" for k in range(len(own))])).alias("a"))
+        parts.append(each.select("a.alert", "at", "a.value", "a.breached", "a.holds"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _evaluated(alert: str, value: Column, breached: Column, holds: int) -> Column:
+    return F.struct(F.lit(alert).alias("alert"), value.alias("value"), F.coalesce(breached, F.lit(False)).alias("breached"), F.lit(holds).alias("holds"))
+
+
+def fired_alerts(evaluations: DataFrame, step: str) -> DataFrame:
+    """``FIRED`` rows of (alert, at, value, breached, holds): each run of breached evaluations that lasts ``holds`` minutes fires once.
+
+    A run is unbroken: an evaluation that isn't breached, or is missing, ends it. ``since`` is its first evaluation, ``fired_at`` the
+    first that is ``holds`` minutes later, ``value`` the value then.
+    """
+    # gaps and islands: breached times less their number times the step are equal within a run
+    nth = F.row_number().over(Window.partitionBy("alert").orderBy("at"))
+    runs = evaluations.where("breached").withColumn("run", F.col("at") - F.expr(f"interval {step}") * nth)
+    first = runs.withColumn("since", F.min("at").over(Window.partitionBy("alert", "run")))
+    held = first.where(F.col("at") >= F.col("since") + F.make_dt_interval(mins=F.col("holds")))
+    fired = held.groupBy("alert", "run", "since").agg(F.min("at").alias("fired_at"), F.min_by("value", "at").alias("value"))
+    return fired.select("alert", "since", "fired_at", F.round("value", 6).alias("value"))
+
+
+class AlertRuns(StatefulProcessor):
+    """The open run of each alert, kept from batch to batch: its start, its last evaluation, and whether it has fired."""
+
+    def __init__(self, step_ms: int):
+        self.step_ms = step_ms
+
+    def init(self, handle) -> None:
+        self.run = handle.getValueState("run", "since long, last long, fired boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        since, last, fired = self.run.get() if self.run.exists() else (-1, -1, False)
+        out = []
+        for e in pd.concat(list(rows)).sort_values("at", kind="stable").itertuples():
+            at = int(e.at.value // 1_000_000) if hasattr(e.at, "value") else int(e.at.timestamp() * 1000)
+            if not e.breached:
+                since = -1
+            elif since < 0 or at - int(last) != self.step_ms:
+                since, fired = at, False
+            if e.breached and not fired and at - since >= e.holds * 60_000:
+                out.append((key[0], pd.Timestamp(since, unit="ms"), pd.Timestamp(at, unit="ms"), round(float(e.value), 6)))
+                fired = True
+            last = at
+        self.run.update((int(since), int(last), bool(fired)))
+        yield pd.DataFrame(out, columns=["alert", "since", "fired_at", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def ops_alerts(events: DataFrame, step: str = "1 minute", late: str = "5 minutes") -> DataFrame:
+    """``FIRED`` rows of counters (event, n, emitted_at), batch or stream: when each alert's condition had held for its time.
+
+    Conditions are evaluated at every ``step`` over sliding ranges (``step`` must divide 5 minutes); an evaluation whose range holds no
+    event at all counts as quiet. A stream closes an evaluation as the watermark passes it, so it fires ``late`` after the fact.
+    """
+    found = _evaluations(events, step, late)
+    return _fired(found, step)
+
+
+def _fired(found: DataFrame, step: str) -> DataFrame:
+    if not found.isStreaming:
+        return fired_alerts(found, step)
+    use_keyed_state(found.sparkSession)
+    step_ms = int(pd.Timedelta(step).total_seconds() * 1000)
+    return found.groupBy("alert").transformWithStateInPandas(AlertRuns(step_ms), FIRED, "append", "None")
+
+
+def latency_alerts(latency: DataFrame, step: str = "1 minute", late: str = "5 minutes", exact: bool = True) -> DataFrame:
+    """``FIRED`` rows of (duration_ms, emitted_at): when the 95th percentile of a sliding range had been over the budget for its time.
+
+    ``exact`` gathers the durations of each range; false takes a sketch of bounded size.
+    """
+    alert, budget, minutes, holds = LATENCY_ALERT
+    rows = latency.withWatermark("emitted_at", late) if latency.isStreaming else latency
+    slid = rows.groupBy(F.window("emitted_at", f"{minutes} minutes", step).alias("w")).agg(quantile("duration_ms", 0.95, exact).alias("value"))
+    value = F.col("value").cast("double")
+    found = slid.select(F.lit(alert).alias("alert"), F.col("w.end").alias("at"), value.alias("value"), (value > budget).alias("breached"), F.lit(holds).alias("holds"))
+    return _fired(found, step)
+
+
 #: Ratio, its events and what they are divided by.
 RATIOS = {
     "rejected": ("rejected", "segment"), "duplicate": ("duplicate", "segment"), "shed": ("dropped_final", "segment"), "redactions": ("redaction", "final"),

