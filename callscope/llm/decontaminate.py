@@ -9,12 +9,15 @@ which they cover too much are dropped.
 The automaton is built in a task and broadcast, so its size is checked first: a
 benchmark beyond ``MAX_AUTOMATON_WORDS`` words is dealt to groups of items by
 hash. Then each group's automaton is broadcast by itself and streamed over by
-the documents, one pass a group; only the hits leave a pass, and come together
-by document.
+the documents, one pass a group; only the hits leave a pass. They are joined with
+the texts by broadcast where they are checked to be few, else by text and salt,
+so copies of a text aren't one task's. An item longer than an automaton may be is
+cut into pieces that overlap by a window less a word, so none of its windows is lost.
 
 Defined results: null and empty texts have no words; an item without words never
-occurs; an empty benchmark hits nothing; repeated rows are judged one by one;
-items without an id count, their names are left out.
+occurs; an empty benchmark hits nothing; repeated rows are judged one by one. An
+item is known by its id: rows that share an id are one item, and all rows without
+an id are one item, which counts but has no name.
 """
 
 from __future__ import annotations
@@ -30,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import slices, stage_table, utf8
+from callscope.llm.common import is_small, slices, stage_table, utf8
 
 #: Words (about) of the items in one automaton (it is broadcast; a word costs about 1 kB at most).
 MAX_AUTOMATON_WORDS = 100_000
+#: Parts in which the rows of one text meet its hits, where these are too many to broadcast.
+SALTS = 16
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _IS_WORD = [0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)]
 #: Lower-cases A-Z and blanks every other byte that no word holds.
@@ -144,10 +150,15 @@ class Automaton:
 
 
 def build_automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(group, automaton): pickled automata of about ``MAX_AUTOMATON_WORDS`` words each (one item may exceed it alone)."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), utf8(text_col).alias("t"))
-    words = F.size(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
-    total = benchmark.agg(F.sum(words.cast("long"))).first()[0] or 0
+    """(group, automaton): pickled automata of about ``MAX_AUTOMATON_WORDS`` words each."""
+    words = F.regexp_extract_all(F.col(text_col), F.lit(TERM), F.lit(0))
+    split = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"), words.alias("w")).withColumn("n", F.size("w"))
+    whole = split.where(F.col("n") <= MAX_AUTOMATON_WORDS).select("k", utf8("t"), "n")
+    step = max(1, MAX_AUTOMATON_WORDS - n + 1)
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - n, F.lit(0)), F.lit(step))).alias("at")
+    pieces = split.where(F.col("n") > MAX_AUTOMATON_WORDS).select("k", "w", starts).withColumn("w", F.slice("w", F.col("at") + 1, MAX_AUTOMATON_WORDS))
+    items = whole.unionByName(pieces.select("k", F.array_join("w", " ").cast("binary").alias("t"), F.size("w").alias("n")))
+    total = items.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
     n_groups = max(1, -(-total // MAX_AUTOMATON_WORDS))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +166,7 @@ def build_automata(benchmark: DataFrame, n: int, id_col: str = "item_id", text_c
         machine = Automaton([(k, fold_words(bytes(t))) for k, t in own], n)
         return pd.DataFrame({"group": rows.group.iloc[:1], "automaton": [pickle.dumps(machine, pickle.HIGHEST_PROTOCOL)]})
 
-    dealt = items.withColumn("group", F.pmod(F.xxhash64("k", "t"), F.lit(n_groups)).cast("int"))
+    dealt = items.select("k", "t").withColumn("group", F.pmod(F.xxhash64("k", "t"), F.lit(n_groups)).cast("int"))
     return stage_table(dealt.groupBy("group").applyInPandas(build, "group int, automaton binary"), "automata")
 
 
@@ -183,6 +194,7 @@ def _report(rows: list, want_text: bool, max_coverage: float) -> list[pa.Array]:
         n_hit = sum(hit)
         out[0].append(n_words)
         out[1].append(n_hit)
+        items = set(items)
         out[2].append(len(items))
         out[3].append(hashlib.sha256(",".join(sorted(k for k in items if k is not None)).encode()).hexdigest())
         out[4].append((_cut(data, folded, hit) if n_hit else data) if want_text else None)
@@ -204,18 +216,18 @@ def _scanner(machine, want_text: bool, max_coverage: float):
     return scan
 
 
-def _hitter(machine, group: int):
-    """(text_key, spans, items) of the texts that a group's items hit; items are told apart by group and number."""
+def _hitter(machine):
+    """(text_key, spans, items) of the texts that a group's items hit."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span, item = pa.struct([("a", pa.int32()), ("b", pa.int32())]), pa.struct([("k", pa.int64()), ("name", pa.string())])
+        span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
         for _, rows in _scanned(batches, machine):
             hits = [(data, spans, items) for data, _, _, spans, items in rows if spans]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([hashlib.md5(data).digest() for data, _, _ in hits], pa.binary()),
                     pa.array([[{"a": a, "b": b} for a, b in spans] for _, spans, _ in hits], pa.list_(span)),
-                    pa.array([[{"k": group * (1 << 32) + k, "name": name} for k, name in enumerate(sorted(items, key=str))] for _, _, items in hits], pa.list_(item)),
+                    pa.array([items for _, _, items in hits], pa.list_(pa.string())),
                 ],
                 ["text_key", "spans", "items"],
             )
@@ -233,7 +245,7 @@ def _merger(want_text: bool, max_coverage: float):
                 data = data.as_py()
                 folded = (data or b"").translate(_FOLD)
                 found = [(s["a"], s["b"]) for part in spans.as_py() or () for s in part]
-                names = [i["name"] for part in items.as_py() or () for i in part]
+                names = [i for part in items.as_py() or () for i in part]
                 rows.append((data, folded, len(folded.split()), found, names))
             names = [c for c in batch.schema.names if c not in ("text", "spans", "items", "text_key")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + _report(rows, want_text, max_coverage), [*names, *_REPORT])
@@ -253,13 +265,18 @@ def _reported(rows: DataFrame, benchmark: DataFrame, n: int, want_text: bool, ma
     hits: DataFrame | None = None
     for g in groups:
         own = machine(g)
-        found = rows.select("text").mapInArrow(_hitter(own, g), "text_key binary, spans array<struct<a:int,b:int>>, items array<struct<k:bigint,name:string>>")
+        found = rows.select("text").mapInArrow(_hitter(own), "text_key binary, spans array<struct<a:int,b:int>>, items array<string>")
         found = stage_table(found.dropDuplicates(["text_key"]), f"hits{g}")
         own.destroy()
         hits = found if hits is None else hits.unionByName(found)
     hits = hits.groupBy("text_key").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))  # a row a group at most
+    hits = stage_table(hits, "hits")
     keyed = rows.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit(b"")))))
-    joined = keyed.join(hits, "text_key", "left")
+    if is_small(hits.select("text_key")) and is_small(hits.select(F.to_json(F.struct("spans", "items")).alias("all"))):
+        joined = keyed.join(F.broadcast(hits), "text_key", "left")
+    else:
+        salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["text_key", "salt"], "left").drop("salt")
     return joined.mapInArrow(_merger(want_text, max_coverage), fields + _REPORT_DDL)
 
 

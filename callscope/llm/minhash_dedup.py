@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import gram_hashes, join_ids, release, slices, stage_table, text_tie, utf8, word_hashes
+from callscope.llm.common import gram_hashes, is_small, join_ids, release, slices, stage_table, text_tie, utf8, word_hashes
 
 #: Bands of hashes: at similarity 0.8 a pair shares no bucket with probability 4e-7.
 BANDS, ROWS = 28, 4
@@ -38,6 +38,10 @@ SLACK = 0.25
 
 #: Members of a shingle's group up to which its pairs are formed; beyond it blocks are compared.
 PAIRED = 64
+#: Pairs of a hub that are compared in one part.
+HUB_PART = 512
+#: Rows of one set from which its class is looked up by broadcast instead of by a shuffle.
+HOT_CLASS = 20_000
 #: Documents of either side of a block of the exact comparison.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 
@@ -139,7 +143,7 @@ def _grouped(docs: DataFrame, k: int, threshold_percent: int) -> DataFrame:
         kind = rows.schema["doc_id"].dataType.simpleString()
     usable = signed.where("set_key is not null and doc_id is not null").withColumn("doc_id", node)
     classes = stage_table(
-        usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes"
+        usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "classes"
     )
     bands = [F.xxhash64(F.lit(b), *[F.get("sig", F.lit(ROWS * b + r)) for r in range(ROWS)]) for b in range(BANDS)]
     members = classes.select("rep", "n", F.explode(F.array(*bands)).alias("bucket"))
@@ -165,7 +169,17 @@ def _grouped(docs: DataFrame, k: int, threshold_percent: int) -> DataFrame:
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("class_component")
     )
-    out = signed.join(named, "set_key", "left").withColumn("node", node)
+    # Rows without a set meet nothing; those of a set that very many rows have don't meet in one task.
+    full, empty = signed.where("set_key is not null"), signed.where("set_key is null").withColumn("class_component", F.lit(None).cast(named.schema["class_component"].dataType))
+    hot = stage_table(named.join(classes.where(F.col("rows") >= HOT_CLASS).select("set_key"), "set_key"), "hot_classes")
+    if hot.isEmpty():
+        out = full.join(named, "set_key", "left")
+    elif is_small(hot.select("set_key")):
+        rest = full.join(F.broadcast(hot.select("set_key")), "set_key", "left_anti")
+        out = full.join(F.broadcast(hot), "set_key").unionByName(rest.join(named, "set_key", "left"))
+    else:  # so many that none has a large share of the rows
+        out = full.join(named, "set_key", "left")
+    out = out.unionByName(empty).withColumn("node", node)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "node"))
     out = out.select("doc_id", "tie", "n_shingles", component.alias("component"), "node")
     kept = F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("kept")
@@ -271,9 +285,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, kind: str,
     # A doc_id on several rows may stand for several sets; each is tried.
     texts = join_ids(rows, ids, "doc_id", "left_semi")
     sets = stage_table(texts.mapInArrow(_setter(k), f"doc_id {kind}, hashes array<long>"), "sets")
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set{c}"))
-    both = near.join(of("u"), "u").join(of("v"), "v").withColumn("common", F.size(F.array_intersect("setu", "setv")))
-    return both.where(f"100 * common >= {percent} * (size(setu) + size(setv) - common)").select("u", "v").distinct()
+    # The end with more pairs is the hub: its pairs are dealt in parts, and its set goes once to each part, not to each pair.
+    ends = near.select(F.col("u").alias("hub")).unionByName(near.select(F.col("v").alias("hub")))
+    degree = ends.groupBy("hub").agg(F.count(F.lit(1)).alias("degree"))
+    of = lambda c: degree.select(F.col("hub").alias(c), F.col("degree").alias(f"d{c}"))
+    sided = near.join(of("u"), "u").join(of("v"), "v")
+    larger = F.col("du") >= F.col("dv")
+    sided = sided.select(F.when(larger, F.col("u")).otherwise(F.col("v")).alias("hub"), F.when(larger, F.col("v")).otherwise(F.col("u")).alias("other"), F.ceil(F.greatest("du", "dv") / HUB_PART).cast("int").alias("parts"))
+    sided = sided.withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts").cast("long")).cast("int"))
+    hubs = sided.select("hub", "part").distinct().join(sets.withColumnRenamed("doc_id", "hub"), "hub")
+    given = sided.select("hub", "part", "other").join(sets.select(F.col("doc_id").alias("other"), F.col("hashes").alias("own")), "other")
+    both = given.join(hubs, ["hub", "part"]).withColumn("common", F.size(F.array_intersect("own", "hashes")))
+    alike = both.where(f"100 * common >= {percent} * (size(own) + size(hashes) - common)")
+    return alike.select(F.least("hub", "other").alias("u"), F.greatest("hub", "other").alias("v")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold_percent: int = 80) -> DataFrame:

@@ -8,11 +8,14 @@ class; a class is told apart by 128 bits. A batch of documents becomes an
 immutable run, bucketed and sorted by fingerprint.
 
 To add a batch, its run is merge-joined with the runs of history, bucket by
-bucket, without a shuffle of history; only the rows that meet go on. A new segment whose class has an earlier
+bucket, in their stored order: history is neither shuffled nor sorted; only the
+rows that meet go on. A new segment whose class has an earlier
 member is repeated as a whole. Where a fingerprint has several classes, their
 first members may share windows in part: these are verified by the 64-bit hashes
 of every window beside the fingerprint, from the words of those few documents.
-Runs beyond a fan-out are merged into one, which keeps the first of each class.
+Runs have levels: as many runs of a level as the fan-out are merged into one of
+the next level, which keeps the first of each class. So after n batches a row
+was written log(n) times at most, and as many runs times the fan-out are met.
 ``save`` and ``open`` keep the index in a folder, so that a later session adds a
 batch without the tables of the earlier ones.
 
@@ -38,6 +41,7 @@ import itertools
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -186,6 +190,26 @@ def _of_same_document(df: DataFrame, other: DataFrame, how: str, also: tuple[str
     return df.join(F.broadcast(right) if small else right, reduce(lambda a, b: a & b, same), how).drop(*[f"__{c}" for c in keys])
 
 
+#: Lets a scan of a bucketed table with one file a bucket keep the order that the files are stored in.
+STORED_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def stored_order(spark: SparkSession):
+    """While plans are made in this block, scans of runs are known to be sorted."""
+    before = spark.conf.get(STORED_ORDER)
+    spark.conf.set(STORED_ORDER, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORED_ORDER, before)
+
+
+def level_of(name: str) -> int:
+    """The level in the name of a run: how often its rows were merged."""
+    return int(name.partition("_level")[2] or 0)
+
+
 class FingerprintIndex:
     """Runs of segments, each bucketed and sorted by fingerprint, and the words of the documents that they came from."""
 
@@ -244,9 +268,9 @@ class FingerprintIndex:
             )
         return self.spark.table(self._name(name))
 
-    def _write(self, rows: DataFrame) -> str:
-        """A new run; ``rows`` are dealt by fingerprint already, so every task writes one bucket."""
-        name = f"run{self.made}"
+    def _write(self, rows: DataFrame, level: int = 0) -> str:
+        """A new run; ``rows`` are dealt by fingerprint already, so every task writes one bucket, as one sorted file."""
+        name = f"run{self.made}_level{level}"
         self.made += 1
         self.spark.sql(f"DROP TABLE IF EXISTS {self._name(name)}")
         rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(self._name(name))
@@ -255,8 +279,7 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """``batch`` (doc_id, tie, text as binary) comes after all before it. Returns (doc_id, tie, lo, n): its runs of repeated windows."""
         self.kind = self.kind or batch.schema["doc_id"].dataType.simpleString()
-        if len(self.runs) >= self.fanout:
-            self.compact()
+        self.compact()
         number, self.batches = self.batches, self.batches + 1
         self.texts[number] = batch
         members = stage_table(batch.mapInArrow(_segmenter(self.window), f"fp long, seg long, doc_id {self.kind}, tie long, lo int, n int, lead boolean"), "members")
@@ -265,13 +288,16 @@ class FingerprintIndex:
         name = self._write(run.repartition(self.buckets, "fp"))
         release(members)
         new = self._table(name)
-        met = reduce(DataFrame.unionByName, self.met(new)).repartition("fp")
+        with stored_order(self.spark):
+            met = stage_table(reduce(DataFrame.unionByName, self.met(new)), "meeting")
+        meeting, met = met, met.repartition("fp")
         by_fp = Window.partitionBy("fp")
         met = met.withColumn("rep", _place() == F.min(_place()).over(Window.partitionBy("fp", "seg")))
         several = F.min("seg").over(by_fp) != F.max("seg").over(by_fp)
         is_new = F.col("batch") == number
         met = met.withColumn("open", several & F.max(is_new & F.col("rep")).over(by_fp))
         met = stage_table(met.where((is_new & ~F.col("rep")) | (F.col("rep") & F.col("open"))), "met")
+        release(meeting)
         self.runs[name] = new
         whole = met.where(is_new & ~F.col("rep")).select("doc_id", "tie", "lo", "n")
         found = loose.unionByName(whole).unionByName(self._shared_windows(met.where("rep and open"), number))
@@ -280,15 +306,16 @@ class FingerprintIndex:
     def met(self, new: DataFrame) -> list[DataFrame]:
         """The rows of the run ``new`` whose fingerprint is in it twice or in another run, and the rows of each other run that it meets.
 
-        All runs are bucketed alike, so these are merge joins of buckets: nothing is shuffled.
+        All runs are bucketed and sorted alike, so these are merge joins of buckets: nothing is shuffled, and, under ``stored_order``,
+        nothing of history is sorted.
         """
         old = list(self.runs.values())
-        twice = new.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("fp")))
-        test = F.col("__n") > 1
-        for k, df in enumerate(old):
-            twice = twice.join(df.groupBy("fp").agg(F.count(F.lit(1)).alias(f"__in{k}")), "fp", "left")
-            test |= F.col(f"__in{k}").isNotNull()
-        return [twice.where(test).select(*new.columns), *(df.join(new.select("fp"), "fp", "left_semi") for df in old)]
+        view = f"callscope_new_{uuid.uuid4().hex}"
+        new.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("fp"))).createOrReplaceTempView(view)
+        known = "".join(f" OR EXISTS (SELECT 1 FROM {self._name(name)} o WHERE o.fp = t.fp)" for name in self.runs)
+        repeated = self.spark.sql(f"SELECT * FROM {view} t WHERE __n > 1{known}").select(*new.columns)
+        self.spark.catalog.dropTempView(view)
+        return [repeated, *(df.join(new.select("fp"), "fp", "left_semi") for df in old)]
 
     def _shared_windows(self, reps: DataFrame, number: int) -> DataFrame:
         """Windows of batch ``number`` that another class has before, among first members of classes that share a fingerprint."""
@@ -305,13 +332,23 @@ class FingerprintIndex:
         return later.select("doc_id", "tie", "lo", F.lit(1).alias("n"))
 
     def compact(self) -> None:
-        """Merge all runs into one; the first member of a class stands for it."""
+        """Merge the runs of each level that has as many as the fan-out, from the lowest level up."""
+        level = 0
+        while level <= max(map(level_of, self.runs), default=-1):
+            full = [name for name in self.runs if level_of(name) == level]
+            if len(full) >= self.fanout:
+                self._merge(full, level + 1)
+            level += 1
+
+    def _merge(self, names: list[str], level: int) -> None:
+        """One run in place of several; the first member of a class stands for it."""
         order = ["batch", F.col("doc_id").asc_nulls_last(), "tie", "lo"]
         rank = F.row_number().over(Window.partitionBy("fp", "seg").orderBy(*order))
         # Dealt anew: Spark 4.1 takes a union of bucketed tables for bucketed, but reads its parts one after the other.
-        merged = reduce(DataFrame.unionByName, self.runs.values()).repartition(self.buckets, "fp").withColumn("__rank", rank)
-        old, name = self.runs, self._write(merged.where("__rank = 1").drop("__rank"))
-        self.runs = {name: self._table(name)}
+        old = {name: self.runs.pop(name) for name in names}
+        merged = reduce(DataFrame.unionByName, old.values()).repartition(self.buckets, "fp").withColumn("__rank", rank)
+        name = self._write(merged.where("__rank = 1").drop("__rank"), level)
+        self.runs[name] = self._table(name)
         for gone, df in old.items():
             if not self.version:  # a saved index may be open elsewhere
                 release(df)

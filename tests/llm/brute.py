@@ -52,7 +52,7 @@ def contamination(docs, items, n=10):
     for k, text in items:
         w = folded(text)
         for i in range(max(1, len(w) - n + 1) if w else 0):
-            windows[tuple(w[i : i + n])].add(str(k))
+            windows[tuple(w[i : i + n])].add(None if k is None else str(k))
     sizes = {len(x) for x in windows}
     out = {}
     for k, text in docs:
@@ -62,7 +62,7 @@ def contamination(docs, items, n=10):
                 if own := windows.get(tuple(w[i : i + size])):
                     found |= own
                     hit.update(range(i, i + size))
-        out[k] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
+        out[k] = (len(w), len(hit), len(found), sha(",".join(sorted(x for x in found if x is not None))), bool(hit))
     return out
 
 

@@ -45,7 +45,7 @@ def test_batches_in_several_sessions(spark, tmp_path):
     for lo in (0, 15, 30):
         part = rows[lo : lo + 15]
         got |= removed(part, index.add(batch(spark, part)).collect())
-    assert len(index.runs) == 2  # compacted before the third
+    assert sorted(index.runs) == ["run2_level1", "run3_level0"]  # compacted before the third
     index.save()
     index.close()
     # The old texts are gone for the new session, which sees the folder of the index only.
@@ -69,18 +69,47 @@ def test_batches_in_several_sessions(spark, tmp_path):
     assert got == want
 
 
-def test_history_is_merged_without_a_shuffle(spark, tmp_path):
+def test_history_is_merged_without_a_shuffle_or_sort(spark, tmp_path):
     index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), fanout=4)
-    index.add(batch(spark, texts(0, 10)))
-    index.add(batch(spark, texts(10, 20)))
-    new = index.runs.pop("run1")
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    for lo in (0, 10, 20):
+        index.add(batch(spark, texts(lo, lo + 10)))
+    new = index.runs.pop("run2_level0")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        plans = [df._jdf.queryExecution().executedPlan().toString() for df in index.met(new)]
+        with substring_dedup.stored_order(spark):
+            plans = [df._jdf.queryExecution().executedPlan().toString() for df in index.met(new)]
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert len(plans) == 2 and all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+    assert all(" Sort [" not in p and "Sort [fp" not in p for p in plans)
+    index.close()
+
+
+def test_ten_batches_write_each_row_a_logarithmic_number_of_times(spark, tmp_path):
+    rows = texts(0, 80)
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), fanout=2)
+    written, levels, got = 0, [], {}
+    write = index._write
+
+    def counted(run, level=0):
+        nonlocal written
+        name = write(run, level)
+        written += spark.read.parquet(f"{index.path}/{name}").count()
+        return name
+
+    index._write = counted
+    for lo in range(0, 80, 8):
+        part = rows[lo : lo + 8]
+        got |= removed(part, index.add(batch(spark, part)).collect())
+        levels.append(sorted(map(substring_dedup.level_of, index.runs)))
+    assert got == {k: v[1] for k, v in brute.repeats(rows).items()}
+    assert levels[:5] == [[0], [0, 0], [0, 1], [0, 0, 1], [0, 2]] and max(map(len, levels)) <= 4
+    own = sum(df.count() for df in index.runs.values())
+    assert written <= own * 5  # four levels for ten batches
     index.close()
 
 

@@ -117,6 +117,18 @@ def test_decontamination_in_several_automata(spark, docs, items, monkeypatch):
     assert got(out, "n_words", "n_hit", "n_items", "items_sha256") == {k: v[:4] for k, v in brute.contamination(docs, items).items()}
 
 
+@pytest.mark.parametrize("most,small", [(100_000, True), (60, True), (60, False), (12, True)])
+def test_decontamination_by_items_of_one_id_or_none(spark, docs, items, monkeypatch, most, small):
+    """Rows that share an id are one item, those without one are one without a name, in one automaton, in several, and cut into pieces."""
+    monkeypatch.setattr(decontaminate, "MAX_AUTOMATON_WORDS", most)
+    monkeypatch.setattr(decontaminate, "is_small", lambda df: small)
+    own = [("a", items[0][1]), ("a", items[1][1]), ("a", items[0][1]), (None, items[0][1]), (None, items[2][1]), ("b", None), ("c", PASSAGE)]
+    rows = docs + [(1001, f"x {items[0][1]} y"), (1002, items[1][1] + " and " + items[2][1]), (1003, items[0][1]), (1003, items[0][1]), (1004, None), (1005, ""), (1006, PASSAGE), (1006, PASSAGE)]
+    out = decontaminate.scan_documents(frame(spark, rows), spark.createDataFrame(own, "item_id string, text string"), 10)
+    assert got(out, "n_words", "n_hit", "n_items", "items_sha256") == {k: v[:4] for k, v in brute.contamination(rows, own).items()}
+    assert out.count() == len(rows)
+
+
 @pytest.mark.parametrize("copies", [1, 2])
 def test_sharding(spark, docs, copies):
     out = sharding.shard_documents(frame(spark, docs * copies), 8)
@@ -211,6 +223,17 @@ def test_near_duplicates_of_a_loose_family(spark):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(k for k, v in brute.near(rows, 4).items() if v[2])
 
 
+def test_near_duplicates_around_a_hub(spark, monkeypatch):
+    """One document that very many others are near to, and one text that very many rows have: parts and the lookup of hot classes."""
+    monkeypatch.setattr(minhash_dedup, "HUB_PART", 8)
+    monkeypatch.setattr(minhash_dedup, "HOT_CLASS", 20)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(0, " ".join(base))] + [(k, " ".join([*base[:97], f"x{k}", f"y{k}", f"z{k}"])) for k in range(1, 60)]
+    rows += [(100 + k, "copy of one text that many rows have") for k in range(30)] + [(200 + k, None) for k in range(25)]
+    out = minhash_dedup.near_duplicates(frame(spark, rows), 4, 80)
+    assert got(out, "n_shingles", "component_id", "kept") == brute.near(rows, 4)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "u long, v long")
     out = {r.node: r.component for r in minhash_dedup.components(chain).collect()}
