@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callscope.functions.arrays import let, running
+
 
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the non-overlapping matches, left to right.
@@ -11,13 +13,10 @@ def match_spans(text: Column, pattern: str) -> Column:
     ``regexp_extract_all``; running lengths give the positions.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    pairs = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))), lambda p: p["value"].isNotNull())
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + F.length(p["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda p: p["gap"] + F.length(p["value"])), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(pairs, ends, lambda p, end: F.struct((end - F.length(p["value"])).alias("start"), end.alias("end"), p["value"].alias("value")))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), state, step)["spans"]
+    return let(pairs, placed)

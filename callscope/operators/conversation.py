@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the finest time buckets are of 2^14 ms.
@@ -17,6 +17,16 @@ def by_call():
 
 
 
+def _dealt(rows: DataFrame, hits: Column, *keep: str) -> DataFrame:
+    """A row for each element of ``hits`` as ``p``, worked out once a row: a plain explode would do it again in a filter."""
+    return rows.select(*keep, F.explode_outer(hits).alias("p")).where("p is not null")
+
+
+def _said(table: Column) -> Column:
+    """The entries of a literal table whose phrase stands in the text."""
+    return F.filter(table, lambda p: F.lower("text").contains(p["phrase"]))
+
+
 def index_turns(turns: DataFrame) -> DataFrame:
     return turns.withColumn("idx", F.row_number().over(by_call()) - 1)
 
@@ -79,11 +89,14 @@ def score_sentiment(
 
 
 def pattern_hits(turns: DataFrame, patterns: list[tuple[str, float, str]]) -> DataFrame:
-    """First match of every pattern in each non-agent turn: (call_id, seq, label, weight, start). The list is one literal."""
+    """First match of every pattern in each non-agent turn: (call_id, seq, label, weight, start).
+
+    The list is one literal; a text is looked through once a row for all of it, and only hits leave the row.
+    """
     table = F.from_json(F.lit(json.dumps([{"pattern": p, "weight": w, "label": n} for p, w, n in patterns])), "array<struct<pattern:string,weight:double,label:string>>")
-    rows = turns.where("speaker != 'agent' and text is not null").select("call_id", "seq", "text", F.explode(table).alias("p"))
-    rows = rows.where(F.rlike("text", F.col("p.pattern")))
-    return rows.select("call_id", "seq", "p.label", "p.weight", (F.regexp_instr("text", F.col("p.pattern")) - 1).alias("start"))
+    found = F.filter(table, lambda p: F.rlike("text", p["pattern"]))
+    hits = F.transform(found, lambda p: F.struct(p["label"].alias("label"), p["weight"].alias("weight"), (F.regexp_instr("text", p["pattern"]) - 1).alias("start")))
+    return _dealt(turns.where("speaker != 'agent' and text is not null"), hits, "call_id", "seq").select("call_id", "seq", "p.label", "p.weight", "p.start")
 
 
 def escalation_risk(turns: DataFrame, hits: DataFrame, sentiment: DataFrame) -> DataFrame:
@@ -110,8 +123,7 @@ def escalated_flag(hits: DataFrame, labels: list[str]) -> DataFrame:
 def phrase_hits(turns: DataFrame, phrases: list[tuple[str, str]], speaker: str | None = "agent") -> DataFrame:
     """First turn of each call with each (policy, phrase): (call_id, policy_id, phrase, seq)."""
     table = F.from_json(F.lit(json.dumps([{"policy": p, "phrase": x.lower()} for p, x in phrases])), "array<struct<policy:string,phrase:string>>")
-    rows = turns.where(F.col("speaker") == speaker) if speaker else turns
-    rows = rows.select("call_id", "seq", F.lower("text").alias("t"), F.explode(table).alias("p")).where(F.col("t").contains(F.col("p.phrase")))
+    rows = _dealt(turns.where(F.col("speaker") == speaker) if speaker else turns, _said(table), "call_id", "seq")
     return rows.groupBy("call_id", F.col("p.policy").alias("policy_id"), F.col("p.phrase").alias("phrase")).agg(F.min("seq").alias("seq"))
 
 
@@ -123,10 +135,13 @@ def disclosure_status(turns: DataFrame, required: list[tuple[str, str, int | Non
     """
     table = F.from_json(F.lit(json.dumps([{"policy": p, "phrase": x.lower(), "n": n} for p, x, n in required])), "array<struct<policy:string,phrase:string,n:int>>")
     agent = turns.where("speaker = 'agent'").withColumn("k", F.row_number().over(by_call()))
-    rows = agent.select("call_id", "seq", "k", F.lower("text").alias("t"), F.explode(table).alias("p")).where("p.n is null or k <= p.n")
-    hit = F.coalesce(F.col("t").contains(F.col("p.phrase")), F.lit(False))
-    out = rows.groupBy("call_id", F.col("p.policy").alias("policy_id")).agg(F.max(hit).alias("given"), F.min(F.when(hit, F.col("seq"))).alias("seq"), F.min("seq").alias("first"))
-    return out.select("call_id", "policy_id", "given", "seq", F.coalesce("seq", "first").alias("anchor"))
+    within = _dealt(agent, F.filter(_said(table), lambda p: p["n"].isNull() | (F.col("k") <= p["n"])), "call_id", "seq")
+    hits = within.groupBy("call_id", F.col("p.policy").alias("policy_id")).agg(F.min("seq").alias("seq"))
+    # every call with an agent turn within a policy's window is asked for it: a call's first agent turn is
+    policies = F.array_distinct(F.transform(F.filter(table, lambda p: p["n"].isNull() | (p["n"] >= 1)), lambda p: p["policy"]))
+    asked = agent.groupBy("call_id").agg(F.min("seq").alias("first")).select("call_id", "first", F.explode(policies).alias("policy_id"))
+    out = asked.join(hits, ["call_id", "policy_id"], "left")
+    return out.select("call_id", "policy_id", F.col("seq").isNotNull().alias("given"), "seq", F.coalesce("seq", "first").alias("anchor"))
 
 
 #: How much a missing disclosure weighs by the severity of its policy, and without a known one.
@@ -145,10 +160,10 @@ def score_intents(turns: DataFrame, keywords: dict[str, dict[str, float]]) -> Da
     flat = [{"intent": i, "phrase": p, "w": w} for i, own in keywords.items() for p, w in own.items()]
     table = F.from_json(F.lit(json.dumps(flat)), "array<struct<intent:string,phrase:string,w:double>>")
     n = F.count(F.lit(1)).over(Window.partitionBy("call_id"))
-    rows = index_turns(turns).withColumn("n", n).select("call_id", "idx", "n", "speaker", F.lower("text").alias("t"), F.explode(table).alias("k"))
+    rows = _dealt(index_turns(turns).withColumn("n", n), _said(table), "call_id", "idx", "n", "speaker")
     share = F.when(F.col("speaker") == "customer", 1.0).otherwise(0.45)
     decay = 1.0 - 0.5 * F.col("idx") / F.greatest(F.col("n"), F.lit(1))
-    return rows.where(F.col("t").contains(F.col("k.phrase"))).groupBy("call_id", F.col("k.intent").alias("intent")).agg(F.round(F.sum(F.col("k.w") * share * decay), 6).alias("score"))
+    return rows.groupBy("call_id", F.col("p.intent").alias("intent")).agg(F.round(F.sum(F.col("p.w") * share * decay), 6).alias("score"))
 
 
 def classify_intent(turns: DataFrame, scores: DataFrame, catalog: list[str], default: str = "general_inquiry") -> DataFrame:
@@ -190,11 +205,16 @@ def sentiment_endpoints(scored: DataFrame) -> DataFrame:
 
 
 def search_turns(turns: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """Top ``k`` turns of a call by the share of the query's words that they hold; queries are (call_id, query)."""
+    """Top ``k`` turns of a call by the number of the query's words that they hold; queries are (call_id, query).
+
+    Words are postings, so a query meets only turns that share one. Turns of one number and text are one turn.
+    """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0)))
-    joined = turns.join(queries, "call_id").withColumn("overlap", F.size(F.array_intersect(words("text"), words("query")))).where("overlap > 0")
-    w = Window.partitionBy("call_id", "query").orderBy(F.col("overlap").desc(), "seq")
-    return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("call_id", "query", "seq", "overlap", "rank")
+    held = turns.select("call_id", "seq", F.xxhash64("text").alias("__id"), F.explode(words("text")).alias("word")).distinct()
+    asked = queries.select("call_id", "query").distinct().select("call_id", "query", F.explode(words("query")).alias("word"))
+    met = asked.join(held, ["call_id", "word"]).groupBy("call_id", "query", "seq", "__id").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+    w = Window.partitionBy("call_id", "query").orderBy(F.col("overlap").desc(), "seq", "__id")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("call_id", "query", "seq", "overlap", "rank")
 
 
 def _levelled(times: DataFrame) -> DataFrame:
@@ -274,8 +294,8 @@ def intent_evidence(turns: DataFrame, keywords: dict[str, dict[str, float]]) ->
     """
     flat = [{"intent": i, "phrase": p, "w": w, "k": k} for i, own in keywords.items() for k, (p, w) in enumerate(own.items())]
     table = F.from_json(F.lit(json.dumps(flat)), "array<struct<intent:string,phrase:string,w:double,k:int>>")
-    rows = turns.select("call_id", "seq", "speaker", F.lower("text").alias("t"), F.explode(table).alias("p"))
-    rows = rows.select("call_id", "seq", "p.*", F.position("p.phrase", "t").alias("at"), F.when(F.col("speaker") == "customer", 1.0).otherwise(0.45).alias("share")).where("at > 0")
+    hits = F.transform(_said(table), lambda p: F.struct(p.alias("p"), F.position(p["phrase"], F.lower("text")).alias("at")))
+    rows = _dealt(turns, hits, "call_id", "seq", "speaker").select("call_id", "seq", "p.p.*", "p.at", F.when(F.col("speaker") == "customer", 1.0).otherwise(0.45).alias("share"))
     best = F.min(F.struct((-F.col("w") * F.col("share")).alias("w"), "seq", "k", "phrase", (F.col("at") - 1).alias("start")))
     out = rows.groupBy("call_id", "intent").agg(best.alias("b")).select("call_id", "intent", "b.seq", "b.phrase", "b.start")
     return out.withColumn("end", F.col("start") + F.length("phrase"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.digits import CONTEXT, NEAR, digit_claims, digit_stream
+from callscope.functions.arrays import let, running
 from callscope.functions.spans import match_spans
 
 #: The order in which types win overlaps, the months and street words.
@@ -126,15 +127,33 @@ def digit_streams(df: DataFrame, keys: tuple[str, ...] = ("call_id", "seq")) ->
     return out.where(F.length("d.digits") > 0).select(*keys, "d.digits", "d.breaks")
 
 
-def resolve_overlaps(spans: Column) -> Column:
-    """Greedy: by type, then length, confidence and place; a span that meets a kept one goes."""
-    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["confidence"]).alias("c"), s["start"].alias("d"), s.alias("s"))))
-    kept = F.aggregate(
+def _kept(cluster: Column) -> Column:
+    """Greedy within spans that hang together: by type, then length, confidence and place; a span that meets a kept one goes."""
+    keyed = F.array_sort(F.transform(cluster, lambda s: F.struct(s["rank"].alias("a"), (s["start"] - s["end"]).alias("b"), (-s["confidence"]).alias("c"), s["start"].alias("d"), s.alias("s"))))
+    return F.aggregate(
         keyed,
-        F.filter(spans, lambda s: F.lit(False)),
+        F.slice(cluster, F.lit(1), F.lit(0)),
         lambda acc, k: F.when(F.exists(acc, lambda o: (o["start"] < k["s"]["end"]) & (k["s"]["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(k["s"]))),
     )
-    return kept
+
+
+def resolve_overlaps(spans: Column) -> Column:
+    """The spans that stay where some overlap, in clusters from left to right.
+
+    A sweep by start with the running maximum of ends cuts the spans into clusters that don't meet; only within a cluster are spans
+    compared, so a text of many matches takes time in proportion to them.
+    """
+
+    def swept(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: x["end"]), F.lit(-1), F.greatest)
+        return let(reach, lambda m: clustered(s, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(m, i - 1)))))
+
+    def clustered(s: Column, begins: Column) -> Column:
+        cut = lambda b: F.transform(b, lambda at, k: F.slice(s, at + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - at))
+        return F.flatten(F.transform(let(begins, cut), _kept))
+
+    ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s.alias("s")))), lambda x: x["s"])
+    return F.when(F.size(spans) > 1, let(ordered, swept)).otherwise(spans)
 
 
 def detect_pii(
@@ -191,18 +210,16 @@ def write_placeholders(df: DataFrame, detected: DataFrame, keys: tuple[str, ...]
     pieces = F.zip_with("marks", "__gaps", lambda m, g: F.concat(cut(m["start"] - g + 1, g), m["placeholder"]))
     rest = F.element_at("marks", -1)["end"]
     text = F.concat(F.array_join("__pieces", ""), cut(rest + 1, F.length("text")))
-    shifted = F.aggregate(
-        "marks",
-        F.struct(F.lit(0).alias("by"), F.array().cast(REDACTIONS).alias("out")),
-        lambda a, m: F.struct(
-            (a["by"] + F.length(m["placeholder"]) - (m["end"] - m["start"])).alias("by"),
-            F.concat(a["out"], F.array(F.struct(
-                m["type"].alias("type"), m["placeholder"].alias("placeholder"), (m["start"] + a["by"]).alias("start"),
-                (m["start"] + a["by"] + F.length(m["placeholder"])).alias("end"), m["detector"].alias("detector"), m["confidence"].alias("confidence"),
-            ))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    grown = F.transform("marks", lambda m: F.length(m["placeholder"]) - (m["end"] - m["start"]))
+
+    def placed(m: Column, by: Column) -> Column:  # ``by``: how much longer the text has become up to the mark's end
+        end = m["end"] + by
+        return F.struct(
+            m["type"].alias("type"), m["placeholder"].alias("placeholder"), (end - F.length(m["placeholder"])).alias("start"), end.alias("end"),
+            m["detector"].alias("detector"), m["confidence"].alias("confidence"),
+        )
+
+    shifted = F.zip_with("marks", running(grown, F.lit(0), lambda a, b: a + b), placed)
     out = once(joined, "__gaps", before, *keys, "text", "marks")
     out = once(out, "__pieces", pieces, *keys, "text", "marks")
     none = F.array().cast(REDACTIONS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shortest values that count as a leak, words of digits, share of characters that counts as covered.
@@ -74,10 +74,16 @@ def redaction_scorecard(coverage: DataFrame, by: str = "type", exempt: str = "NO
 
 
 def false_positives(spans: DataFrame, labels: DataFrame, exempt: str = "NON_CARD") -> DataFrame:
-    """Per predicted type the spans that meet no labelled personal data."""
-    s, t = spans.alias("s"), labels.where(F.col("type") != exempt).alias("t")
-    same = (F.col("s.call_id") == F.col("t.call_id")) & (F.col("s.seq") == F.col("t.seq"))
-    alone = s.join(t, same & (F.col("t.start") < F.col("s.end")) & (F.col("s.start") < F.col("t.end")), "left_anti")
+    """Per predicted type the spans that meet no labelled personal data.
+
+    A sweep over each text: with labels at their starts and spans at their ends, the furthest end of the labels so far tells
+    whether one reaches into the span. No span is compared with every label.
+    """
+    cut = spans.select("call_id", "seq", F.col("end").alias("__at"), F.lit(0).alias("__kind"), "type", F.col("start").alias("__from"), F.lit(None).cast("long").alias("__to"))
+    own = labels.where(F.col("type") != exempt).select("call_id", "seq", F.col("start").alias("__at"), F.lit(1).alias("__kind"), "type", F.lit(None).cast("int").alias("__from"), F.col("end").cast("long").alias("__to"))
+    so_far = Window.partitionBy("call_id", "seq").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = cut.unionByName(own).withColumn("__reach", F.max("__to").over(so_far))
+    alone = swept.where((F.col("__kind") == 0) & ~F.coalesce(F.col("__reach") > F.col("__from"), F.lit(False)))
     return alone.groupBy("type").agg(F.count(F.lit(1)).alias("false_positives"))
 
 
