@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,6 +120,27 @@ def unknown_fields(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.withColumn("unknown", F.array_sort(F.array_except(keys, F.array(*map(F.lit, allowed)).cast("array<string>"))))
 
 
+def unknown_paths(df: DataFrame, column: str, allowed: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """(keys, path): each key of a JSON text that isn't allowed, at any depth, once a row.
+
+    Paths are dotted; ``[]`` stands for an array's elements (``redactions[].type``). Within an object that isn't allowed nothing is
+    looked at; nor are keys of an allowed value with no allowed path below it. Texts that aren't JSON give no rows.
+    """
+    steps = sorted({tuple(p.replace("[]", ".[]").split(".")) for p in allowed}, key=len)
+    inner = sorted({".".join(p[:k]).replace(".[]", "[]") for p in steps for k in range(1, len(p))})
+    known = sorted({*allowed, *inner})
+    spark = df.sparkSession
+    level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(F.col(column).cast("string")).alias("v"))
+    parts = []
+    for _ in range(max(map(len, steps), default=1)):
+        walked = spark.sql("SELECT t.*, e.key AS key, e.value AS value FROM {t} t, LATERAL variant_explode(t.v) e", t=level)
+        name = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        walked = walked.select(*keys, name.alias("path"), F.col("value").alias("v"))
+        parts.append(walked.where(~F.col("path").isin(known)).select(*keys, "path"))
+        level = walked.where(F.col("path").isin(inner))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 #: Kinds and severities of signals, and the most characters of each text field.
 SIGNAL_TYPES, SEVERITIES = ("compliance_violation", "escalation_risk", "intent", "sentiment_shift"), ("critical", "high", "medium", "low", "info")
 LONGEST = {"signal_id": 64, "call_id": 64, "rationale": 1000, "policy_id": 64, "agent_id": 64, "model_name": 128, "prompt_version": 64}

@@ -59,9 +59,11 @@ def violation_rate(signals: DataFrame, summaries: DataFrame, kind: str = "compli
     return by.crossJoin(F.broadcast(total)).withColumn("violation_rate_pct", percent(F.col("calls_with_violation"), F.col("total_calls")))
 
 
-def policy_violation_rates(signals: DataFrame, kind: str = "compliance_violation") -> DataFrame:
+def policy_violation_rates(signals: DataFrame, kind: str = "compliance_violation", exact: bool = True) -> DataFrame:
+    """Calls, events and severity by policy; without ``exact`` the calls are estimated from a sketch of bounded size."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
     return signals.where(F.col("signal_type") == kind).groupBy("policy_id").agg(
-        F.count_distinct("call_id").alias("calls"), F.count(F.lit(1)).alias("events"), F.round(F.avg("confidence"), 4).alias("avg_confidence"),
+        distinct("call_id").alias("calls"), F.count(F.lit(1)).alias("events"), F.round(F.avg("confidence"), 4).alias("avg_confidence"),
         F.count_if(F.col("severity").isin("critical", "high")).alias("severe_events"),
     )
 
@@ -123,15 +125,42 @@ def merge_signals(rollup: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def rollup_agent_daily(summaries: DataFrame) -> DataFrame:
-    """A call has one current summary, so its day's count of calls is additive."""
-    return summaries.groupBy(F.col("ended_date").alias("day"), "agent_id").agg(
+def rollup_agent_daily(summaries: DataFrame, version: str | None = None) -> DataFrame:
+    """Additive sums by day and agent; with ``version`` only the current version of each call counts, so later versions replace earlier ones."""
+    rows = summaries if version is None else current_versions(summaries, version)
+    return rows.groupBy(F.col("ended_date").alias("day"), "agent_id").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("escalated").cast("long").alias("escalations"), F.sum("violation_count").cast("long").alias("violations"),
         F.count_if(F.col("resolution") == "resolved").alias("resolved"), F.sum(F.col("sentiment_end") - F.col("sentiment_start")).alias("delta_sum"),
         F.sum("turn_count").cast("long").alias("turns"),
     )
 
 
+def current_versions(summaries: DataFrame, version: str) -> DataFrame:
+    """``current_summaries`` by an aggregate that combines before it shuffles: a call with very many versions isn't one task's sort."""
+    row = F.struct(*[F.col(f"`{c}`") for c in summaries.columns])
+    best = summaries.groupBy("call_id").agg(F.max_by(row, F.struct(F.col(version), F.xxhash64(*summaries.columns))).alias("__row"))
+    return best.select("__row.*")
+
+
+def rollup_call_sketches(summaries: DataFrame, batch: str, by: list[str] | None = None) -> DataFrame:
+    """(batch, ended_date, by, calls): theta sketches of the calls that each appended batch of summaries holds."""
+    return summaries.groupBy(F.col(batch).alias("batch"), "ended_date", *(by or ["agent_id"])).agg(F.theta_sketch_agg(F.col("call_id").cast("string")).alias("calls"))
+
+
+def merge_call_sketches(rollup: DataFrame, by: list[str]) -> DataFrame:
+    """(by, calls): estimated distinct calls of sketches by batch, where a later batch's version of a call replaces the earlier ones.
+
+    A batch's sketch loses the calls of all later batches (theta difference) before the batches are united, so a call counts under
+    the keys of its last version only. Batches are numbers; what they hold is never read again.
+    """
+    whole = rollup.groupBy("batch").agg(F.theta_union_agg("calls").alias("all"))  # a row a batch
+    numbers = rollup.select(F.col("batch").alias("own")).distinct()
+    later = numbers.join(F.broadcast(whole), F.col("batch") > F.col("own")).groupBy("own").agg(F.theta_union_agg("all").alias("later"))
+    kept = rollup.join(later, F.col("batch") == F.col("own"), "left")
+    calls = F.when(F.col("later").isNull(), F.col("calls")).otherwise(F.theta_difference("calls", F.coalesce("later", "calls")))
+    return kept.withColumn("calls", calls).groupBy(*by).agg(F.theta_sketch_estimate(F.theta_union_agg("calls")).alias("calls"))
+
+
 def agent_league(rollup: DataFrame, least_calls: int = 3) -> DataFrame:
     sums = rollup.groupBy("agent_id").agg(*[F.sum(c).alias(c) for c in ("calls", "escalations", "violations", "resolved", "delta_sum", "turns")])
     return sums.where(F.col("calls") >= least_calls).select(

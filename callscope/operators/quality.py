@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.operators.marts import quantile
+from callscope.operators.order import order_statistics
 
 
 def prf(counts: DataFrame, beta: float = 2.0) -> DataFrame:
@@ -36,12 +37,11 @@ def accuracy(pairs: DataFrame, predicted: str, gold: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, by: str, q: float) -> DataFrame:
-    """The value at place round(q n + 0.5) - 1, halves to even, clamped."""
-    w = Window.partitionBy(by).orderBy("v")
-    d = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("__c"))  # equal values are one row of the windows
-    d = d.withColumn("__k", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(Window.partitionBy(by)))
-    place = F.least(F.greatest(F.bround(q * F.col("__n") + 0.5), F.lit(1.0)), F.col("__n").cast("double"))
-    return d.where((F.col("__k") - F.col("__c") < place) & (place <= F.col("__k"))).select(by, F.col("v").alias("value"))
+    """(by, value): the value at place round(q n + 0.5) - 1, halves to even, clamped; selected by counts, not by a sort of a key's values."""
+    n = F.count(F.lit(1)).cast("double")
+    place = F.least(F.greatest(F.bround(q * n + 0.5), F.lit(1.0)), n)
+    ranks = df.where(F.col(value).isNotNull()).groupBy(by).agg((place - 1).cast("long").alias("rank"))
+    return order_statistics(df, [by], value, ranks).select(by, F.col("value").cast(df.schema[value].dataType).alias("value"))
 
 
 #: Metric, whether higher is better, whether a loss fails the run, and the change that is noise.

@@ -73,6 +73,23 @@ def redaction_scorecard(coverage: DataFrame, by: str = "type", exempt: str = "NO
     )
 
 
+def redaction_report(coverage: DataFrame, spans: DataFrame, labels: DataFrame, views: tuple[str, ...] = ("type", "surface_form", "category"), exempt: str = "NON_CARD") -> DataFrame:
+    """(view, name, tp, fn, fp, recall, type_accuracy): the scorecard by each of ``views``, and the covered spans by detector.
+
+    False positives count by predicted type only. Values that are missing are ``unknown``. A view that the labels lack is left out.
+    """
+    rows = coverage.where(F.col("type") != exempt)
+    known = [v for v in views if v in coverage.columns]
+    each = F.array(*[F.struct(F.lit(v).alias("view"), F.coalesce(F.col(v).cast("string"), F.lit("unknown")).alias("name")) for v in (*known, "detector")])
+    seen = rows.select("covered", "type_correct", F.explode(each).alias("x")).where("x.view != 'detector' or covered")
+    cards = seen.groupBy("x.view", "x.name").agg(F.count_if("covered").alias("tp"), F.count_if(~F.col("covered")).alias("fn"), F.count_if("type_correct").alias("__right"))
+    wrong = false_positives(spans, labels, exempt).select(F.lit("type").alias("view"), F.col("type").alias("name"), F.col("false_positives").alias("fp"))
+    out = cards.join(wrong, ["view", "name"], "full")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("tp", "fn", "fp", "__right")}
+    out = out.withColumns(zero)
+    return out.select("view", "name", "tp", "fn", "fp", F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 6).alias("recall"), F.round(F.try_divide(F.col("__right"), F.col("tp")), 6).alias("type_accuracy"))
+
+
 def false_positives(spans: DataFrame, labels: DataFrame, exempt: str = "NON_CARD") -> DataFrame:
     """Per predicted type the spans that meet no labelled personal data.
 
@@ -134,6 +151,13 @@ def evidence_rate(signals: DataFrame, by: list[str] | None = None) -> DataFrame:
     return signals.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("total"), F.count_if(~has).alias("without_evidence"), F.round(F.avg(has.cast("double")), 4).alias("evidence_rate"))
 
 
+def grounded_actions(summaries: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, actions, grounded, grounded_share) of the action items of summaries: those that cite evidence."""
+    items = summaries.select(*(by or []), F.explode("action_items").alias("i"))
+    has = F.coalesce(F.size("i.evidence") > 0, F.lit(False))
+    return items.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("actions"), F.count_if(has).alias("grounded"), F.round(F.avg(has.cast("double")), 6).alias("grounded_share"))
+
+
 def action_recall(labelled: DataFrame, produced: DataFrame) -> DataFrame:
     """(call_id, items, found, recall): a labelled (id, call_id, item) is found if half of its words of over four letters stand in one produced (call_id, description).
 

@@ -53,6 +53,34 @@ def build_signals(prohibited: DataFrame, missing: DataFrame, risk: DataFrame, hi
     return violations(prohibited, 0.65, 0.97).unionByName(violations(missing, 0.6, 0.92)).unionByName(upset)
 
 
+def gate_missing(missing: DataFrame, gate: DataFrame) -> DataFrame:
+    """The findings of missing disclosures whose window is closed: ``gate`` is (call_id, policy_id, closed, more)."""
+    return missing.join(gate.where("closed").select("call_id", "policy_id").distinct(), ["call_id", "policy_id"], "left_semi").select(*missing.columns)
+
+
+def with_window_bounds(signals: DataFrame, turns: DataFrame, size: int = 6) -> DataFrame:
+    """``signals`` with ``window_start_ms`` and ``window_end_ms``: when the last ``size`` turns of their call begin and end (0 without turns)."""
+    last = turns.withColumn("__n", F.row_number().over(Window.partitionBy("call_id").orderBy(F.col("seq").desc()))).where(F.col("__n") <= size)
+    bounds = last.groupBy("call_id").agg(F.max_by("start_ms", "__n").alias("window_start_ms"), F.min_by("end_ms", "__n").alias("window_end_ms"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("window_start_ms", "window_end_ms")}
+    return signals.join(bounds, "call_id", "left").withColumns(zero)
+
+
+def with_evidence(signals: DataFrame, turns: DataFrame, longest: int = 500) -> DataFrame:
+    """``signals`` with ``quotes`` in the order of ``evidence``: (seq, speaker, quote) of the turns cited; a turn that isn't there is left out.
+
+    A signal is told by its call, type, label and policy.
+    """
+    keys = ["call_id", "signal_type", "label", "policy_id"]
+    cited = signals.select(*keys, F.posexplode("evidence").alias("__at", "seq")).withColumn("__policy", F.coalesce("policy_id", F.lit("")))
+    said = turns.select("call_id", "seq", "speaker", F.left("text", F.lit(longest)).alias("quote"))
+    quotes = cited.join(said, ["call_id", "seq"]).groupBy("call_id", "signal_type", "label", "__policy").agg(F.array_sort(F.collect_set(F.struct("__at", "seq", "speaker", "quote"))).alias("__q"))
+    out = signals.withColumn("__policy", F.coalesce("policy_id", F.lit(""))).join(quotes, ["call_id", "signal_type", "label", "__policy"], "left")
+    spans = F.transform("__q", lambda q: F.struct(q["seq"].alias("seq"), q["speaker"].alias("speaker"), q["quote"].alias("quote")))
+    empty = F.array().cast("array<struct<seq:bigint,speaker:string,quote:string>>")
+    return out.withColumn("quotes", F.coalesce(spans.cast("array<struct<seq:bigint,speaker:string,quote:string>>"), empty)).drop("__q", "__policy").select(*signals.columns, "quotes")
+
+
 #: Signals of one call and pass, and by path the base, slope and most of a violation's confidence when prohibited or missing.
 MOST_SIGNALS = 12
 CONFIDENCE = {"fast": {"prohibited": (0.65, 0.3, 0.97), "missing": (0.6, 0.3, 0.92)}, "judged": {"prohibited": (0.6, 0.35, 0.95), "missing": (0.55, 0.35, 0.9)}}
@@ -153,6 +181,21 @@ def sentiment_shift(scored: DataFrame, least: float = 0.35) -> DataFrame:
     return out.select("call_id", F.when(worse, "negative_shift").otherwise("positive_shift").alias("label"), F.round("delta", 3).alias("delta"), F.when(worse, F.col("low")).otherwise(F.col("high")).alias("anchor"))
 
 
+def summary_evidence(prohibited: DataFrame, disclosures: DataFrame, actions: DataFrame) -> DataFrame:
+    """(call_id, part, name, seq): the turn that each part of a call's summary rests on.
+
+    A violation rests on the first turn with a prohibited phrase of its policy, else on the turn to cite for the missing disclosure;
+    a disclosure on the turn that gives it, an action item (by its text) on the turn of the commitment.
+    """
+    said = prohibited.groupBy("call_id", F.col("policy_id").alias("name")).agg(F.min("seq").alias("seq"), F.lit(0).alias("rank"))
+    lost = disclosures.where("not given").select("call_id", F.col("policy_id").alias("name"), F.col("anchor").alias("seq"), F.lit(1).alias("rank"))
+    broken = said.unionByName(lost).groupBy("call_id", "name").agg(F.min_by("seq", "rank").alias("seq"))
+    part = lambda df, name: df.select("call_id", F.lit(name).alias("part"), "name", "seq")
+    kept = disclosures.where("given").select("call_id", F.col("policy_id").alias("name"), "seq")
+    done = actions.select("call_id", F.left("description", F.lit(200)).alias("name"), "seq")
+    return part(broken, "violation").unionByName(part(kept, "disclosure")).unionByName(part(done, "action"))
+
+
 #: Fixed value: action items of a summary.
 MOST_ACTIONS = 8
 

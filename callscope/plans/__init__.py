@@ -5,6 +5,8 @@ The demo word lists hold words that the invented prose of the test tables has.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from callscope import streaming
@@ -117,7 +119,7 @@ def _pct(part: str, whole: str, digits: int = 2) -> str:
 def spans_sql(kind: str, pattern: str, documents: str = "documents") -> str:
     """Positions by splitting: gap lengths and match lengths summed up; a group stands at its match's end."""
     type_, confidence, _ = pii.DETECTORS[kind]
-    p = pattern.replace("'", "''")
+    p = re.sub(r"([+*])\+", r"\1", pattern).replace("'", "''")  # possessive repeats are there for speed only
     sure = f"cast({confidence} as double)"
     if kind in pii.SURER:
         words = ", ".join(f"'{w}'" for w in CONTEXT[type_])
@@ -127,6 +129,7 @@ def spans_sql(kind: str, pattern: str, documents: str = "documents") -> str:
     accept = {
         "account_labelled": "length(regexp_replace(value, '[^0-9]', '', 'g')) >= 5",
         "person_trigger": f"not regexp_matches(value, '(?i)^(?:{pii.NOT_NAMES})(?:\\s|$)')",
+        "spoken_email": f"regexp_matches(value, '{pii.DOMAINS}')",
     }.get(kind, "true")
     return f"""with m as (select doc_id, text, regexp_extract_all(text, '{p}') as v, regexp_split_to_array(text, '{p}') as g from {documents} where regexp_matches(text, '{p}')),
  e as (select doc_id, text, v, g, unnest(range(1, len(v) + 1)) as i from m),
@@ -201,17 +204,17 @@ def queries() -> dict:
     }
     for kind in pii.DETECTORS:
         q[f"pii_{kind}"] = lambda s, d, k=kind: pii.pii_spans(documents(s, d), [k])
-    from callscope.plans import calls, evidence, insights, shipped
+    from callscope.plans import calls, evidence, insights, more, shipped
 
-    return q | evidence.queries() | calls.queries() | insights.queries() | shipped.queries()
+    return q | evidence.queries() | calls.queries() | insights.queries() | shipped.queries() | more.queries()
 
 
 def oracle_sql() -> dict:
-    from callscope.plans import calls, evidence, insights, shipped
+    from callscope.plans import calls, evidence, insights, more, shipped
 
     named = base_sql() | evidence.oracle_sql() | calls.oracle_sql()
     named["judge_calls"] = named["judge_calls"].replace("%EVIDENCE%", named["intent_evidence"])
-    return named | insights.oracle_sql() | shipped.oracle_sql()
+    return named | insights.oracle_sql() | shipped.oracle_sql() | more.oracle_sql()
 
 
 def base_sql() -> dict:

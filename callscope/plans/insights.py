@@ -156,7 +156,7 @@ def _placeholders(s, d):
 
 
 #: Kinds of personal data that are planted, and the two that are met without.
-PLANTED_KINDS = ("ssn", "dob_numeric", "dob_wordy", "account_labelled", "address", "person_trigger", "phone", "email")
+PLANTED_KINDS = ("ssn", "dob_numeric", "dob_wordy", "account_labelled", "address", "person_trigger", "phone", "email", "spoken_email")
 
 
 def queries() -> dict:

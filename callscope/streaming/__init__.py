@@ -209,6 +209,31 @@ def ops_panel(events: DataFrame, width: str = "15 minutes", late: str = "1 hour"
     return sums.select(F.col("w.start").alias("window_start"), F.explode(each).alias("x")).select("window_start", "x.ratio", "x.value")
 
 
+#: Breakdown, the event that it splits, by which column, and the event that it is divided by.
+BREAKDOWNS = {
+    "rejects_by_reason": ("rejected", "reason", "segment"), "redactions_by_type": ("redaction", "type", "final"), "redactions_by_detector": ("redaction", "detector", "final"),
+    "claims_by_outcome": ("claim", "outcome", "claim"), "tools_by_outcome": ("tool", "outcome", "tool"),
+}
+
+
+def ops_breakdown(events: DataFrame, width: str = "15 minutes") -> DataFrame:
+    """(window_start, breakdown, label, n, share) of counters (event, n, emitted_at, and the columns that ``BREAKDOWNS`` split by, if there).
+
+    Labels that are missing are ``none``; a share's divisor is 1 at least.
+    """
+    split = {name: x for name, x in BREAKDOWNS.items() if x[1] in events.columns}
+    each = F.array(*[
+        F.struct(F.lit(name).alias("breakdown"), F.coalesce(F.col(by).cast("string"), F.lit("none")).alias("label"), F.when(F.col("event") == part, F.col("n")).alias("part"), F.when(F.col("event") == whole, F.col("n")).alias("whole"))
+        for name, (part, by, whole) in split.items()
+    ])
+    kept = F.filter(each, lambda x: x["part"].isNotNull() | x["whole"].isNotNull())
+    rows = events.select("emitted_at", F.explode_outer(kept).alias("x")).where("x is not null").select(F.window("emitted_at", width).alias("w"), "x.*")
+    counted = rows.groupBy("w", "breakdown", "label").agg(F.sum("part").alias("n"), F.coalesce(F.sum("whole"), F.lit(0)).alias("whole"))
+    whole = counted.groupBy("w", "breakdown").agg(F.sum("whole").alias("all"))
+    out = counted.where("n is not null").join(whole, ["w", "breakdown"])
+    return out.select(F.col("w.start").alias("window_start"), "breakdown", "label", "n", F.round(F.col("n") / F.greatest(F.col("all"), F.lit(1)), 6).alias("share"))
+
+
 def late_rows(segments: DataFrame, late: str = "1 minute") -> DataFrame:
     """``segments`` with ``is_late``: emitted more than ``late`` before the newest row that came before it.
 

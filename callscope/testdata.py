@@ -73,6 +73,7 @@ TURNS_SQL = """(select conv_id as call_id, turn as seq, case role when 'user' th
 PLANTED = [
     "my social is 123-45-6789", "born on 4/5/1980", "it is due on 12.11.2024 then", "birthday May 4th, 1980", "on 3 June 2021", "account number 12345-678 please", "acct 9 8 7", "at 12 Old Mill Road, apt 4b",
     "My name is Ana Lee and this is okay", "this is Monday, I'm Bo Ray", "call 555-010-1234", "write to ana.lee@example.org",
+    "it is ana dot lee at example dot com then",
 ]
 
 
