@@ -76,7 +76,10 @@ def judge_urls_by_table(pages: DataFrame, rules: DataFrame, url_col: str = "url"
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(F.col("__url"))
     urls = pages.select(F.col(url_col).alias("__url")).distinct().withColumn("host", host).withColumn("path", path)
-    asked = urls.select("__url", F.concat("host", "path").alias("text"), F.explode(F.concat(url_tokens(F.concat("host", "path")), F.array(F.lit("")))).alias("t"))
+    # A rule without a token meets every URL, under the token ''; no URL has it unless such a rule is there.
+    all_meet = not rules.where(F.coalesce(F.size("tokens"), F.lit(0)) < 1).isEmpty()
+    tokens = url_tokens(F.concat("host", "path"))
+    asked = urls.select("__url", F.concat("host", "path").alias("text"), F.explode(F.concat(tokens, F.array(F.lit(""))) if all_meet else tokens).alias("t"))
     own = rules.select("*", F.explode_outer("tokens").alias("t"))
     counts = asked.join(own.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min_by(F.coalesce("t", F.lit("")), F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t")

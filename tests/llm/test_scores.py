@@ -23,23 +23,40 @@ def test_toxicity_by_loops(tables):
     docs, labels, texts = tables
     model = toxicity.fit(docs, labels)
     known = {int(h): k + 1 for k, h in enumerate(model.words)}
-    fast = model.tables()
-    for data in texts:
-        words = toxicity.text_hashes(data)
-        ids = [known.get(int(h), 0) for h in words] + [0] * max(0, 3 - len(words))
-        total = model.bias
-        place = 0
+    fast = model.logits(toxicity.Texts.of([toxicity.text_words(data) for data in texts]))
+
+    def vector(word):
+        text = word.decode("utf-8", "ignore")
+        named = [word, *(text[:n].encode() + b" *" for n in toxicity.STEMS if len(text) > n)]
+        rows = [known[int(h)] for h in word_hashes(named) if int(h) in known]
+        return sum(model.embed[r] for r in rows) / max(1, len(rows)) + np.zeros(toxicity.DIM)
+
+    for data, z in zip(texts, fast, strict=True):
+        words = [vector(w) for w in toxicity.text_words(data)]
+        words += [np.zeros(toxicity.DIM)] * max(0, 3 - len(words))
+        if len(words) >= 400:
+            continue
+        total, place = model.bias, 0
         for conv, shift in zip(model.conv, model.shift, strict=True):
             for f in range(toxicity.FILTERS):
-                best = max(
-                    sum(float(model.embed[ids[i + o]] @ conv[o][:, f]) for o in range(len(conv)) if ids[i + o]) for i in range(len(ids) - len(conv) + 1)
-                ) if len(ids) < 400 else None
-                if best is None:
-                    break
+                best = max(sum(float(words[i + o] @ conv[o][:, f]) for o in range(len(conv))) for i in range(len(words) - len(conv) + 1))
                 total += max(best + float(shift[f]), 0.0) * float(model.out[place])
                 place += 1
-        if len(ids) < 400:
-            assert model.logit(model.ids(words), fast) == pytest.approx(total, abs=1e-3)
+        assert z == pytest.approx(total, abs=1e-3)
+
+
+def test_words_share_what_their_beginning_tells():
+    """Toxic texts hold a stem with an ending that no other text has."""
+    rng = np.random.RandomState(2)
+    endings = [a + b + c for a in "aeiou" for b in "lmnrs" for c in "bdgkt"]
+    sample = []
+    for k in range(400):
+        words = [f"w{rng.randint(60)}" for _ in range(15)]
+        words[rng.randint(15)] = ("vermo" if k % 2 else f"z{k % 7}xq") + endings[rng.randint(len(endings))] + str(k)
+        sample.append(([w.encode() for w in words], k % 2))
+    model = toxicity.train(sample[:300])
+    logits = model.logits(toxicity.Texts.of([words for words, _ in sample[300:]]))
+    assert sum((z > model.cut[-1]) == bool(y) for z, (_, y) in zip(logits, sample[300:], strict=True)) >= 95
 
 
 def test_wider_filters_tell_word_order():
@@ -51,14 +68,14 @@ def test_wider_filters_tell_word_order():
         at = rng.randint(18)
         pair = ["you", "rotter"]
         words = rest[:at] + pair + rest[at:] if k % 2 else [*rest[:at], "rotter", *rest[at:], "you"]
-        sample.append((word_hashes([w.encode() for w in words]), k % 2))
+        sample.append(([w.encode() for w in words], k % 2))
     epochs, toxicity.EPOCHS = toxicity.EPOCHS, 40
     try:
         model = toxicity.train(sample[:500])
     finally:
         toxicity.EPOCHS = epochs
-    tables = model.tables()
-    right = [(model.logit(model.ids(h), tables) > model.cut[-1]) == bool(y) for h, y in sample[500:]]
+    logits = model.logits(toxicity.Texts.of([words for words, _ in sample[500:]]))
+    right = [(z > model.cut[-1]) == bool(y) for z, (_, y) in zip(logits, sample[500:], strict=True)]
     assert sum(right) >= 85
 
 
