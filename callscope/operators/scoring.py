@@ -19,23 +19,106 @@ def _by_turn(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy("call_id").agg(F.array_join(F.transform(lines, lambda x: x[column]), "\n").alias("emitted"))
 
 
+def _postings(turns: DataFrame, q: int) -> DataFrame:
+    """(call_id, gram, pos) of every run of ``q`` digits in the string that a call's pieces (call_id, seq, s, more) make in order.
+
+    Pieces that follow each other share a run through the last digits before a piece, which come from the pieces just before it, so a
+    call's string is never put together. What isn't a digit in a piece parts runs.
+    """
+    order = Window.partitionBy("call_id").orderBy("seq", "s")
+    own = turns.where(F.length("s") > 0).withColumn("at", F.coalesce(F.sum(F.length("s")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = F.right(F.concat_ws("", *[F.lag(F.right("s", F.lit(q - 1)), k).over(order) for k in range(q - 1, 0, -1)]), F.lit(q - 1))
+    own = own.withColumn("__tail", before).withColumn("__t", F.concat("__tail", "s")).where(F.col("__t").rlike(f"[0-9]{{{q}}}"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("__t") - q + 1), lambda i: F.struct(F.substring("__t", i, F.lit(q)).alias("gram"), (F.col("at") - F.length("__tail") + i - 1).alias("pos")))
+    rows = own.select("call_id", F.explode_outer(F.filter(grams, lambda g: g["gram"].rlike("^[0-9]+$"))).alias("g")).where("g is not null")
+    return rows.select("call_id", "g.gram", "g.pos").distinct()
+
+
+def _places(wanted: DataFrame, postings: DataFrame, q: int) -> DataFrame:
+    """(call_id, digits, pos): where the strings ``wanted`` (call_id, digits; ``q`` digits or more) stand in their call.
+
+    A string's rarest run in the call gives the candidates; the runs that cover it must all stand at their places.
+    """
+    n = F.length("digits")
+    offsets = F.array_distinct(F.concat(F.sequence(F.lit(0), n - q, F.lit(q)), F.array(n - q)))
+    cover = wanted.distinct().select("call_id", "digits", F.size(offsets).alias("parts"), F.explode(offsets).alias("off"))
+    cover = cover.withColumn("gram", F.substring("digits", F.col("off") + 1, F.lit(q)))
+    counts = postings.join(cover.select("call_id", "gram").distinct(), ["call_id", "gram"], "left_semi").groupBy("call_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    met = cover.join(counts, ["call_id", "gram"])  # a run that the call lacks leaves its string without a part
+    rarest = met.groupBy("call_id", "digits", "parts").agg(F.count(F.lit(1)).alias("__met"), F.min_by(F.struct("gram", "off"), F.struct("n", "off")).alias("k")).where("__met = parts")
+    found = rarest.select("call_id", "digits", "parts", F.col("k.gram").alias("gram"), F.col("k.off").alias("at")).join(postings, ["call_id", "gram"]).select("call_id", "digits", "parts", (F.col("pos") - F.col("at")).alias("begin"))
+    checked = found.join(cover.select("call_id", "digits", "off", "gram"), ["call_id", "digits"]).withColumn("pos", F.col("begin") + F.col("off")).join(postings, ["call_id", "gram", "pos"], "left_semi")
+    whole = checked.groupBy("call_id", "digits", "begin", "parts").agg(F.count(F.lit(1)).alias("n")).where("n = parts")
+    return whole.select("call_id", "digits", F.col("begin").alias("pos"))
+
+
+def _spoken(turns: DataFrame) -> DataFrame:
+    """(call_id, seq, s, first, last): a character a word of the turn: its digit if it is one (else ``x``), if it ends with one, if it begins with one."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    digit = F.create_map(*[x for k, w in enumerate(DIGIT_WORDS) for x in (F.lit(w), F.lit(str(k)))])
+    names = "|".join(DIGIT_WORDS)
+    coded = lambda c, part: F.array_join(F.transform(c, lambda w: F.coalesce(digit[part(w)], F.lit("x"))), "")
+    rows = turns.where("text is not null").select("call_id", "seq", words.alias("__w"))
+    return rows.select(
+        "call_id", "seq", coded("__w", lambda w: w).alias("s"), coded("__w", lambda w: F.regexp_extract(w, f"({names})$", 1)).alias("first"), coded("__w", lambda w: F.regexp_extract(w, f"^({names})", 1)).alias("last")
+    )
+
+
+def _ends(turns: DataFrame, column: str) -> DataFrame:
+    """(call_id, pos, digit) of the words of ``column`` that are digits."""
+    order = Window.partitionBy("call_id").orderBy("seq", "s").rowsBetween(Window.unboundedPreceding, -1)
+    own = turns.where(F.length("s") > 0).withColumn("at", F.coalesce(F.sum(F.length("s")).over(order), F.lit(0))).where(F.col(column).rlike("[0-9]"))
+    each = F.transform(F.split(column, ""), lambda c, i: F.struct(c.alias("digit"), (F.col("at") + i).alias("pos")))
+    rows = own.select("call_id", F.explode_outer(F.filter(each, lambda x: x["digit"].rlike("[0-9]"))).alias("x")).where("x is not null")
+    return rows.select("call_id", "x.digit", "x.pos")
+
+
 def find_leaks(values: DataFrame, emitted: DataFrame) -> DataFrame:
     """``values`` (call_id, value, more) with ``space``: where the value shows in the call's emitted text.
 
     ``digits`` or ``spoken`` for values of five digits or more (punctuation does not hide them, nor does a turn's end),
     ``raw`` for emails and values without digits, else empty; values too short to tell and calls without text are empty.
+
+    Digits and spoken digits are found through postings of digit runs, raw values through their rarest inner word or run of 5
+    characters: no value is compared with a whole call, and no call is put together, but for raw values with a line break or
+    under 5 characters.
     """
-    text = _by_turn(emitted, "text").select(
-        "call_id", "emitted", _digits(F.col("emitted")).alias("__d"), F.trim(F.regexp_replace(F.lower("emitted"), "[^a-z0-9]+", " ")).alias("__s")
-    )
     own, raw = _digits(F.col("value")), F.trim("value")
-    words = F.array_join(F.transform(F.split(own, ""), lambda d: F.element_at(F.array(*map(F.lit, DIGIT_WORDS)), d.cast("int") + 1)), " ")
-    plain = F.col("value").contains("@") | ((own == "") & (F.length(raw) >= LEAST_LEAK))
-    space = (
-        F.when(F.length(own) >= LEAST_LEAK, F.when(F.col("__d").contains(own), "digits").when(F.col("__s").contains(words), "spoken"))
-        .when(plain & F.col("emitted").contains(raw), "raw")
-    )
-    return values.join(text, "call_id", "left").withColumn("space", F.coalesce(space, F.lit(""))).drop("emitted", "__d", "__s")
+    told = values.select("call_id", "value").distinct().withColumns({"digits": own, "raw": raw})
+    long_ = told.where(F.length("digits") >= LEAST_LEAK)
+    plain = told.where((F.length("digits") < LEAST_LEAK) & (F.col("value").contains("@") | ((F.col("digits") == "") & (F.length("raw") >= LEAST_LEAK))))
+
+    typed = _places(long_.select("call_id", "digits"), _postings(emitted.where("text is not null").select("call_id", "seq", _digits(F.col("text")).alias("s")), LEAST_LEAK), LEAST_LEAK)
+    typed = long_.join(typed.select("call_id", "digits").distinct(), ["call_id", "digits"], "left_semi").select("call_id", "value", F.lit("digits").alias("space"))
+
+    # between its ends a spoken value is whole words; its first may end a longer word, its last begin one
+    said = _spoken(emitted)
+    inner = long_.withColumn("inner", F.substring("digits", F.lit(2), F.length("digits") - 2))
+    q = LEAST_LEAK - 2
+    heard = _places(inner.select("call_id", F.col("inner").alias("digits")), _postings(said, q), q).withColumnRenamed("digits", "inner").join(inner, ["call_id", "inner"])
+    heard = heard.withColumns({"first": F.left("digits", F.lit(1)), "last": F.right("digits", F.lit(1)), "end": F.col("pos") + F.length("inner")})
+    begins, ends = (_ends(said, c).select("call_id", F.col("digit").alias(c), F.col("pos").alias(f"__{c}")) for c in ("first", "last"))
+    heard = heard.withColumn("__first", F.col("pos") - 1).join(begins, ["call_id", "first", "__first"], "left_semi").withColumn("__last", F.col("end")).join(ends, ["call_id", "last", "__last"], "left_semi")
+    heard = heard.select("call_id", "value", F.lit("spoken").alias("space")).distinct()
+
+    odd = F.col("raw").contains("\n") | (F.length("raw") < LEAST_LEAK)
+    whole = plain.where(odd).join(_by_turn(emitted.join(plain.where(odd).select("call_id").distinct(), "call_id", "left_semi"), "text"), "call_id").where(F.col("emitted").contains(F.col("raw")))
+    some = plain.where(~odd).withColumn("__words", F.split("raw", "[^A-Za-z0-9]+"))
+    words = F.filter(F.slice("__words", F.lit(2), F.greatest(F.size("__words") - 2, F.lit(0))), lambda w: w != "")
+    some = some.withColumn("__words", words)
+    short = F.size("__words") == 0
+    keys = F.when(short, _grams(F.col("raw"), LEAST_LEAK)).otherwise(F.col("__words"))
+    texts = emitted.where("text is not null").join(some.select("call_id").distinct(), "call_id", "left_semi").select("call_id", "text").distinct().withColumn("__id", F.xxhash64("text"))
+    runs = texts.join(some.where(short).select("call_id").distinct(), "call_id", "left_semi")
+    keyed = _keyed(texts, F.split("text", "[^A-Za-z0-9]+")).unionByName(_keyed(runs, _grams(F.col("text"), LEAST_LEAK))).distinct()
+    counted = _counted(some.select("call_id", "raw", F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("__key")), keyed)
+    rarest = counted.groupBy("call_id", "raw").agg(F.min_by("__key", F.struct("__n", "__key")).alias("__key"))
+    near = rarest.join(keyed, ["call_id", "__key"]).select("call_id", "__id", "raw").join(texts, ["call_id", "__id"]).where(F.col("text").contains(F.col("raw")))
+    shown = whole.select("call_id", "value").unionByName(some.join(near.select("call_id", "raw").distinct(), ["call_id", "raw"], "left_semi").select("call_id", "value"))
+
+    found = typed.unionByName(heard).unionByName(shown.select("call_id", "value", F.lit("raw").alias("space")))
+    best = found.groupBy("call_id", "value").agg(F.min("space").alias("space"))  # digits before spoken; raw stands alone
+    return values.join(best, ["call_id", "value"], "left").withColumn("space", F.coalesce("space", F.lit(""))).select(*values.columns, "space")
 
 
 def leak_rate(leaks: DataFrame, by: list[str] | None = None) -> DataFrame:

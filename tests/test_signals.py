@@ -68,3 +68,45 @@ def test_call_files_and_catalog(spark, tmp_path):
     policies, phrases = load_policies(spark, [{"id": "A", "applies_when": "intent in [x, 'y']", "prohibited_phrases": ["no"]}, {"id": "B"}])
     assert {r.policy_id: (list(r.intents), r.severity) for r in policies.collect()} == {"A": (["x", "y"], "medium"), "B": ([], "medium")}
     assert [(r.policy_id, r.use, r.phrase) for r in phrases.collect()] == [("A", "prohibited", "no")]
+
+
+def plain_leaks(values, turns):
+    """The definition: a call's turns put together, and its three readings."""
+    import re
+
+    words = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    out = []
+    for call, value in values:
+        emitted = "\n".join(t for c, _, t in sorted((x for x in turns if x[2] is not None), key=lambda x: x[:2]) if c == call)
+        digits, raw = re.sub("[^0-9]", "", value), value.strip(" ")
+        space = ""
+        if len(digits) >= 5:
+            spoken = " ".join(words[int(d)] for d in digits)
+            if digits in re.sub("[^0-9]", "", emitted):
+                space = "digits"
+            elif spoken in re.sub("[^a-z0-9]+", " ", emitted.lower()).strip():
+                space = "spoken"
+        elif ("@" in value or (digits == "" and len(raw) >= 5)) and raw in emitted:
+            space = "raw"
+        out.append((call, value, space))
+    return out
+
+
+def test_leaks_through_postings_are_those_of_the_definition(spark):
+    import random
+
+    r = random.Random(4)
+    words = ["zero", "one"] * 9 + ["someone", "zeroed", "so", "ana.lee@example.org", "Ana Lee", "x@y"]
+    turns = []
+    for call in range(12):
+        for seq in range(14):
+            turns.append((call, seq, r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randrange(9))), "".join(r.choice("01- ") for _ in range(r.randrange(12)))])))
+    turns += [(90, 0, "call 12"), (90, 1, "3"), (90, 2, "no"), (90, 3, "45 and 99999999"), (91, 0, "it is one"), (91, 1, "two three"), (91, 2, "one twofold"), (92, 0, "first line"), (92, 1, "second")]
+    values = [(c, "".join(r.choice("01") for _ in range(r.choice((5, 6, 9, 12))))) for c in range(12) for _ in range(6)]
+    values += [(c, v) for c in range(13) for v in ("ana.lee@example.org", "Ana Lee", "x@y", "lee@example", "a Lee ana", "one two three", "1", "", "Lee so")]
+    values += [(90, "1-2345"), (90, "999999999"), (90, "99999"), (91, "12312"), (91, "12313"), (92, "line\nsecond"), (92, "line second"), (93, "12345")]
+    values = sorted(set(values))
+    got = scoring.find_leaks(spark.createDataFrame(values, "call_id int, value string"), spark.createDataFrame(turns, "call_id int, seq int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(plain_leaks(values, turns))
+    spaces = [r.space for r in got.collect()]
+    assert min(spaces.count(x) for x in ("digits", "spoken", "raw", "")) > 0
