@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from callscope import plans, streaming
 from callscope.operators import contracts, conversation, marts, order, pii, scoring
 from callscope.operators import signals as judged
-from callscope.testdata import SIGNALS_SQL, SUMMARIES_SQL, TURNS_SQL, signals, summaries, table, turns
+from callscope.testdata import SIGNALS_SQL, SUMMARIES_SQL, TURNS_SQL, documents, signals, summaries, table, turns
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -95,11 +95,12 @@ def queries() -> dict:
         "signal_windows": lambda s, d: flat(judged.with_window_bounds(_signals(s, d), turns(s, d))).select("call_id", "signal_type", "label", "policy_id", "window_start_ms", "window_end_ms"),
         "signal_quotes": lambda s, d: flat(judged.with_evidence(_signals(s, d), turns(s, d))).select("call_id", "signal_type", "label", "policy_id", F.md5(F.array_join(F.transform("quotes", quote), "|")).alias("quotes")),
         "summary_evidence": _parts,
+        "redact_email": lambda s, d: pii.redact(plans.spread(documents(s, d)), ["email"]).select("call_id", F.md5("text").alias("text"), "n_redactions"),
     }
 
 
 def oracle_sql() -> dict:
-    from callscope.plans import calls, evidence
+    from callscope.plans import calls, evidence, insights
 
     own, ev, sg = plans.base_sql(), evidence.oracle_sql(), SIGNALS_SQL
     day = "date_trunc('day', emitted_at)"
@@ -113,7 +114,11 @@ def oracle_sql() -> dict:
     card = lambda view, name: f"select '{view}' as view, {name} as name, count(*) filter (covered) as tp, count(*) filter (not covered) as fn, count(*) filter (type_correct) as ok from c group by 2"
     bounds = f"(select call_id, min(start_ms) as window_start_ms, max(end_ms) as window_end_ms from (select *, row_number() over (partition by call_id order by seq desc) as k from {TURNS_SQL}) where k <= 6 group by 1)"
     windows = ", ".join(f"('{p}', {'null' if n is None else n})" for p, n in calls.WINDOWS.items())
+    placed = insights.base_sql()["placeholders_email"]
     return {
+        "redact_email": f"""with q as (select p.*, text, lag("end", 1, 0) over (partition by call_id order by start) as prev from ({placed}) p join documents on doc_id = call_id),
+ r as (select call_id, string_agg(substring(text, prev + 1, start - prev) || placeholder, '' order by start) as head, max("end") as reach, count(*) as n from q group by 1)
+ select doc_id as call_id, md5(coalesce(head || substring(text, reach + 1), text)) as text, coalesce(n, 0)::int as n_redactions from documents left join r on call_id = doc_id""",
         "selected_quantiles": f"select signal_type, {', '.join(f'round(quantile_cont(duration_ms, {q}), 6) as {n}' for n, q in QUANTILES.items())} from {sg} group by 1",
         "selected_by_agent": f"select agent_id, signal_type, round(quantile_cont(confidence, 0.5), 6) as median from {sg} group by 1, 2",
         "agent_daily_versions": f"""select ended_date as day, agent_id, count(*) as calls, sum(escalated)::bigint as escalations, sum(violation_count)::bigint as violations, count(*) filter (resolution = 'resolved') as resolved,
