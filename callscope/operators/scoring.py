@@ -188,7 +188,9 @@ def false_positives(spans: DataFrame, labels: DataFrame, exempt: str = "NON_CARD
 
 
 def normalise(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"^[ .,!?…]+|[ .,!?…]+$", ""), r"\s+", " "))
+    """Lower case, without marks at the ends and with single spaces, as the SQL's patterns read: an end is the text's own (not that before a last line break), blanks are ASCII."""
+    bare = F.regexp_replace(F.lower(c), r"^[ .,!?…]+|[ .,!?…]+\z", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[\t\n\f\r ]+", " "), r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
 def _grams(c: Column, n: int) -> Column:
