@@ -35,7 +35,7 @@ OPEN_WORDS, LONG_TAIL_WORDS, TAIL = 4, 12, 240
 SURE = 0.9
 
 #: Kinds whose patterns can claim a number.
-_NUMERIC = {k: re.compile(pii.DETECTORS[k][2]) for k in ("ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled")}
+_NUMERIC = {k: re.compile(pii.PATTERNS[k], re.ASCII) for k in ("ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled")}
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
 _OPEN_EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]*$")
 
@@ -206,7 +206,7 @@ def preview_partials(turns: DataFrame) -> DataFrame:
 
 
 #: What a match must fulfil beside its pattern, for texts that are scanned one by one.
-_PATTERNS = {k: re.compile(p) for k, (_, _, p) in pii.DETECTORS.items()}
+_PATTERNS = {k: re.compile(p, 0 if k == "person_run" else re.ASCII) for k, p in pii.PATTERNS.items()}
 _NOT_FIRST, _NOT_ANY = re.compile(rf"(?i)^(?:{pii.NOT_NAMES})(?:\s|$)"), re.compile(rf"(?i)(?:^|\s)(?:{pii.NOT_NAMES})(?:\s|$)")
 _DOMAIN, _STREET = re.compile(pii.DOMAINS), re.compile(rf"(?i)\b(?:{pii.STREETS})\b")
 _ACCEPT = {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.arrays import let, running
 from callscope.functions.digits import CONTEXT, NEAR, digit_claims, digit_stream
-from callscope.functions.spans import match_spans
+from callscope.functions.spans import ascii_pattern, match_spans
 
 #: The order in which types win overlaps, the months and street words.
 PRIORITY = ("CARD", "SSN", "DOB", "PHONE", "ACCOUNT", "EMAIL", "PERSON", "ADDRESS")
@@ -48,6 +48,8 @@ DETECTORS = {
     "person_run": ("PERSON", 0.55, r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]++)++"),
 }
 GROUPED = ("account_labelled", "person_trigger")
+#: The patterns as texts are scanned; that of person_run, which has no SQL, keeps word borders of all scripts.
+PATTERNS = {kind: p if kind == "person_run" else ascii_pattern(p) for kind, (_, _, p) in DETECTORS.items()}
 
 #: What a text must hold for a kind to be sought at all: a plain search, much cheaper than the pattern.
 HOLDS = {
@@ -87,7 +89,7 @@ def spans_of(text: Column, kinds: list[str], context: Column | None = None) -> C
                 rank[s["type"]].alias("rank"), s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"),
                 F.lit(kind).alias("detector"), s["confidence"].alias("confidence"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("value"),
             ))
-        type_, confidence, pattern = DETECTORS[kind]
+        type_, confidence, pattern = *DETECTORS[kind][:2], PATTERNS[kind]
 
         def sure(s: Column) -> Column:
             if kind not in SURER:

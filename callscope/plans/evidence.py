@@ -43,7 +43,7 @@ def _coverage(s, d):
 
 
 def _values(s, d):
-    found = F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(pii.DETECTORS[k][2]), F.lit(0)) for k in KINDS]))
+    found = F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(pii.PATTERNS[k]), F.lit(0)) for k in KINDS]))
     return documents(s, d).select("call_id", found.alias("value"))
 
 
