@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 RANGES, LEFT = 512, 4096
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """``df`` worked out once, with a short lineage where the session has a checkpoint folder."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -31,7 +31,7 @@ def _selected(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """(__key, rank, value) of ``rows`` (__key, __v) and ``ranks`` (__key, rank); keys are structs, so null parts meet each other."""
     whole = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     known = ranks.distinct().join(whole, "__key").where((F.col("rank") >= 0) & (F.col("rank") < F.col("__n")))
-    open_ = _cut(known.withColumn("__skip", F.col("rank").cast("long")))
+    open_ = settled(known.withColumn("__skip", F.col("rank").cast("long")))
     bounds = ["__key", "__lo", "__hi"]
     wide = (F.col("__n") > LEFT) & (F.col("__lo") < F.col("__hi"))
     while not open_.where(wide).isEmpty():
@@ -41,7 +41,7 @@ def _selected(rows: DataFrame, ranks: DataFrame) -> DataFrame:
         hist = counted.groupBy(*bounds).agg(F.array_sort(F.collect_list(F.struct("k", "n", "lo", "hi"))).alias("hist"))  # RANGES at most
         met = open_.join(hist, bounds, "left").withColumn("p", F.when(F.col("hist").isNotNull(), _picked(F.col("hist"), F.col("__skip"))))
         skip = (F.col("__skip") - F.coalesce("p.before", F.lit(0))).alias("__skip")
-        open_ = _cut(met.select("__key", "rank", F.coalesce("p.at.lo", "__lo").alias("__lo"), F.coalesce("p.at.hi", "__hi").alias("__hi"), F.coalesce("p.at.n", "__n").alias("__n"), skip))
+        open_ = settled(met.select("__key", "rank", F.coalesce("p.at.lo", "__lo").alias("__lo"), F.coalesce("p.at.hi", "__hi").alias("__hi"), F.coalesce("p.at.n", "__n").alias("__n"), skip))
     few = rows.join(open_.where("__lo < __hi").select(*bounds).distinct(), "__key").where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
     ordered = few.groupBy(*bounds).agg(F.array_sort(F.collect_list("__v")).alias("__all"))  # LEFT values at most
     out = open_.join(ordered, bounds, "left")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.operators.order import settled
+
+#: Calls that may be broadcast; above them a shuffle join is used.
+MAX_CALLS = 500_000
 #: Shortest values that count as a leak, words of digits, share of characters that counts as covered.
 LEAST_LEAK, LEAST_QUOTE, COVERED = 5, 8, 0.9
 DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
@@ -52,15 +56,21 @@ def _places(wanted: DataFrame, postings: DataFrame, q: int) -> DataFrame:
     return whole.select("call_id", "digits", F.col("begin").alias("pos"))
 
 
+def _of_calls(df: DataFrame, calls: DataFrame) -> DataFrame:
+    """The rows of the calls that ``calls`` (settled) names: broadcast if they are counted to be few."""
+    ids = calls.select("call_id").distinct()
+    return df.join(F.broadcast(ids) if ids.limit(MAX_CALLS + 1).count() <= MAX_CALLS else ids, "call_id", "left_semi")
+
+
 def _spoken(turns: DataFrame) -> DataFrame:
     """(call_id, seq, s, first, last): a character a word of the turn: its digit if it is one (else ``x``), if it ends with one, if it begins with one."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
     digit = F.create_map(*[x for k, w in enumerate(DIGIT_WORDS) for x in (F.lit(w), F.lit(str(k)))])
     names = "|".join(DIGIT_WORDS)
     coded = lambda c, part: F.array_join(F.transform(c, lambda w: F.coalesce(digit[part(w)], F.lit("x"))), "")
-    rows = turns.where("text is not null").select("call_id", "seq", words.alias("__w"))
+    rows = turns.where("text is not null").select("call_id", "seq", "text", words.alias("__w"))
     return rows.select(
-        "call_id", "seq", coded("__w", lambda w: w).alias("s"), coded("__w", lambda w: F.regexp_extract(w, f"({names})$", 1)).alias("first"), coded("__w", lambda w: F.regexp_extract(w, f"^({names})", 1)).alias("last")
+        "call_id", "seq", "text", coded("__w", lambda w: w).alias("s"), coded("__w", lambda w: F.regexp_extract(w, f"({names})$", 1)).alias("first"), coded("__w", lambda w: F.regexp_extract(w, f"^({names})", 1)).alias("last")
     )
 
 
@@ -81,34 +91,38 @@ def find_leaks(values: DataFrame, emitted: DataFrame) -> DataFrame:
 
     Digits and spoken digits are found through postings of digit runs, raw values through their rarest inner word or run of 5
     characters: no value is compared with a whole call, and no call is put together, but for raw values with a line break or
-    under 5 characters.
+    under 5 characters. Only texts of calls with a value are read for it, once for numbers and once for raw values; what is found
+    in them is kept (``settled``), so that no later step reads a text again.
     """
-    own, raw = _digits(F.col("value")), F.trim("value")
-    told = values.select("call_id", "value").distinct().withColumns({"digits": own, "raw": raw})
+    own, raw, values = _digits(F.col("value")), F.trim("value"), settled(values)
+    told = settled(values.select("call_id", "value").distinct().withColumns({"digits": own, "raw": raw}))
     long_ = told.where(F.length("digits") >= LEAST_LEAK)
     plain = told.where((F.length("digits") < LEAST_LEAK) & (F.col("value").contains("@") | ((F.col("digits") == "") & (F.length("raw") >= LEAST_LEAK))))
 
-    typed = _places(long_.select("call_id", "digits"), _postings(emitted.where("text is not null").select("call_id", "seq", _digits(F.col("text")).alias("s")), LEAST_LEAK), LEAST_LEAK)
+    heard_of = _of_calls(emitted.where("text is not null"), long_)
+    said = settled(_spoken(heard_of).withColumn("typed", _digits(F.col("text"))).drop("text"))  # one pass over the texts
+    postings = settled(_postings(said.select("call_id", "seq", F.col("typed").alias("s")), LEAST_LEAK))
+    typed = _places(long_.select("call_id", "digits"), postings, LEAST_LEAK)
     typed = long_.join(typed.select("call_id", "digits").distinct(), ["call_id", "digits"], "left_semi").select("call_id", "value", F.lit("digits").alias("space"))
 
     # between its ends a spoken value is whole words; its first may end a longer word, its last begin one
-    said = _spoken(emitted)
+    said = said.drop("typed")
     inner = long_.withColumn("inner", F.substring("digits", F.lit(2), F.length("digits") - 2))
     q = LEAST_LEAK - 2
-    heard = _places(inner.select("call_id", F.col("inner").alias("digits")), _postings(said, q), q).withColumnRenamed("digits", "inner").join(inner, ["call_id", "inner"])
+    heard = _places(inner.select("call_id", F.col("inner").alias("digits")), settled(_postings(said, q)), q).withColumnRenamed("digits", "inner").join(inner, ["call_id", "inner"])
     heard = heard.withColumns({"first": F.left("digits", F.lit(1)), "last": F.right("digits", F.lit(1)), "end": F.col("pos") + F.length("inner")})
     begins, ends = (_ends(said, c).select("call_id", F.col("digit").alias(c), F.col("pos").alias(f"__{c}")) for c in ("first", "last"))
     heard = heard.withColumn("__first", F.col("pos") - 1).join(begins, ["call_id", "first", "__first"], "left_semi").withColumn("__last", F.col("end")).join(ends, ["call_id", "last", "__last"], "left_semi")
     heard = heard.select("call_id", "value", F.lit("spoken").alias("space")).distinct()
 
     odd = F.col("raw").contains("\n") | (F.length("raw") < LEAST_LEAK)
-    whole = plain.where(odd).join(_by_turn(emitted.join(plain.where(odd).select("call_id").distinct(), "call_id", "left_semi"), "text"), "call_id").where(F.col("emitted").contains(F.col("raw")))
+    whole = plain.where(odd).join(_by_turn(_of_calls(emitted, plain.where(odd)), "text"), "call_id").where(F.col("emitted").contains(F.col("raw")))
     some = plain.where(~odd).withColumn("__words", F.split("raw", "[^A-Za-z0-9]+"))
     words = F.filter(F.slice("__words", F.lit(2), F.greatest(F.size("__words") - 2, F.lit(0))), lambda w: w != "")
     some = some.withColumn("__words", words)
     short = F.size("__words") == 0
     keys = F.when(short, _grams(F.col("raw"), LEAST_LEAK)).otherwise(F.col("__words"))
-    texts = emitted.where("text is not null").join(some.select("call_id").distinct(), "call_id", "left_semi").select("call_id", "text").distinct().withColumn("__id", F.xxhash64("text"))
+    texts = _of_calls(emitted.where("text is not null"), some).select("call_id", "text").distinct().withColumn("__id", F.xxhash64("text"))
     runs = texts.join(some.where(short).select("call_id").distinct(), "call_id", "left_semi")
     keyed = _keyed(texts, F.split("text", "[^A-Za-z0-9]+")).unionByName(_keyed(runs, _grams(F.col("text"), LEAST_LEAK))).distinct()
     counted = _counted(some.select("call_id", "raw", F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("__key")), keyed)

@@ -43,12 +43,14 @@ def _coverage(s, d):
 
 
 def _values(s, d):
-    found = F.explode(F.concat(*[F.regexp_extract_all("text", F.lit(pii.PATTERNS[k]), F.lit(0)) for k in KINDS]))
-    return documents(s, d).select("call_id", found.alias("value"))
+    none = F.array().cast("array<string>")
+    each = [F.when(pii.HOLDS[k](F.col("text")), F.regexp_extract_all("text", F.lit(pii.PATTERNS[k]), F.lit(0))).otherwise(none) for k in KINDS]
+    found = F.explode_outer(F.concat(*each))  # a plain explode works out its array again in a filter
+    return plans.spread(documents(s, d)).select("call_id", found.alias("value")).where("value is not null")
 
 
 def _leaks(s, d):
-    return scoring.find_leaks(_values(s, d), contracts.scrub(documents(s, d), "text"))
+    return scoring.find_leaks(_values(s, d), contracts.scrub(plans.spread(documents(s, d)), "text"))
 
 
 def _quotes(s, d):
