@@ -45,7 +45,7 @@ DETECTORS = {
         r"(?i)\b[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]++)*+\s+at\s+[A-Za-z0-9]+(?:\s*(?:dot|\.)\s*[A-Za-z0-9]++\b)++",
     ),
     "person_trigger": ("PERSON", 0.75, rf"\b(?i:{NAME_TRIGGERS})\s+([A-Z][\w'\-]+(?:\s+[A-Z][\w'\-]+){{0,2}})"),
-    "person_run": ("PERSON", 0.55, r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]++)++"),
+    "person_run": ("PERSON", 0.55, r"(?=[A-Z])(?<![.!?]\s)(?<!^)\b[A-Z][a-z'\-]+(?:\s+[A-Z][a-z'\-]++)++"),
 }
 GROUPED = ("account_labelled", "person_trigger")
 #: The patterns as texts are scanned; that of person_run, which has no SQL, keeps word borders of all scripts.
@@ -54,8 +54,7 @@ PATTERNS = {kind: p if kind == "person_run" else ascii_pattern(p) for kind, (_,
 #: What a text must hold for a kind to be sought at all: a plain search, much cheaper than the pattern.
 HOLDS = {
     "email": lambda t: t.contains("@"),
-    "spoken_email": lambda t: t.rlike(r"(?i)\sat\s"),
-    "person_trigger": lambda t: t.rlike(r"(?i)(?:i'm|it's|m is|s is|e is|r is|i am|with|for|of|name)\s"),
+    "spoken_email": lambda t: t.rlike(r"(?i)\sat\s") & t.rlike(r"(?<![A-Za-z0-9_])(?=[a-zA-Z])(?i:com|org|net|edu|gov|io|co)(?![A-Za-z0-9_])"),
     **dict.fromkeys(("ssn", "phone", "dob_numeric", "dob_wordy", "account_labelled", "address", "long_digits"), lambda t: t.rlike("[0-9]")),
 }
 
@@ -107,7 +106,8 @@ def spans_of(text: Column, kinds: list[str], context: Column | None = None) -> C
             found = F.transform(found, lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["value"], pattern, 1).alias("value")))
             found = F.transform(found, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
         spans = F.transform(F.filter(found, lambda s: ACCEPT[kind](s["value"])) if kind in ACCEPT else found, own)
-        return F.when(HOLDS[kind](text), spans).otherwise(F.array().cast(SPANS)) if kind in HOLDS else spans
+        sought = HOLDS[kind](text) & text.rlike(pattern) if kind in HOLDS else text.rlike(pattern)
+        return F.when(sought, spans).otherwise(F.array().cast(SPANS))
 
     return F.concat(*[named(k) for k in kinds])
 
